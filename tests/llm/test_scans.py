@@ -1,0 +1,189 @@
+import hashlib
+import re
+from collections import defaultdict
+
+import pytest
+import xxhash
+
+from wayfold.llm import fingerprint, pii, queries, secret_scan, simhash
+
+
+def texts(spark, d):
+    return [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def slow_simhash(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def slow_groups(rows):
+    """(fingerprint, component) for each row, by comparing all pairs."""
+    fps = [slow_simhash(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 4:
+                root[find(i)] = find(j)
+    least = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)].append(d)
+    return [(d, f"{fps[i]:016x}", min(least[find(i)], default=None)) for i, (d, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("where", ["small", "odd_dir", "empty_dir"])
+def test_simhash_equals_all_pairs(spark, where, request):
+    d = request.getfixturevalue(where)
+    got = [tuple(r) for r in queries.op6_simhash_near_dedup(spark, d).collect()]
+    want = slow_groups(texts(spark, d))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_links_connect_dense_and_random_fingerprints(spark):
+    import random
+
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = set(base)
+    for b in base[:4]:
+        for _ in range(150):
+            fps.add(b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(1, 7))))
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    from wayfold.llm.common import connected
+
+    roots = {r.node: r.root for r in connected(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"))).collect()}
+    root = dict(zip(signed, signed, strict=True))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(fps):
+        for j in range(i):
+            if (a ^ fps[j]).bit_count() <= 4:
+                x, y = find(signed[i]), find(signed[j])
+                root[max(x, y)] = min(x, y)
+    assert {f: roots.get(f, f) for f in signed} == {f: find(f) for f in signed}
+
+
+def test_keep_one_keeps_columns_and_one_of_each_group(spark, odd_docs):
+    kept = simhash.keep_one(odd_docs)
+    assert kept.columns == odd_docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert {5} == {5, 6, 7} & set(ids) and ids.count(3) == 0 and 2 in ids
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def slow_base_secrets(t):
+    out = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(t) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    return ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(out))
+
+
+@pytest.mark.parametrize("where", ["small", "odd_dir", "empty_dir"])
+def test_secrets_base_equals_python(spark, where, request):
+    d = request.getfixturevalue(where)
+    got = queries.op7_secret_scans(spark, d).collect()
+    want = [(i, slow_base_secrets(t)) for i, t in texts(spark, d)]
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted(((r.doc_id, r.base_sha256) for r in got), key=key) == sorted(((i, hashlib.sha256(s.encode()).hexdigest()) for i, s in want), key=key)
+    by_id = dict(want)
+    for r in got:
+        added = [s for s in r.spans.split(",") if s.startswith("key:")]
+        assert len(added) == r.n_live
+        if r.doc_id is not None:
+            assert [s for s in r.spans.split(",") if s and not s.startswith("key:")] == [s for s in by_id[r.doc_id].split(",") if s]
+            assert r.n_assign == by_id[r.doc_id].count("assign")
+
+
+def test_ownership_separates_copied_examples_from_live_keys(spark):
+    copied, live = "EXAMPLEkey0123456789abcDEF", "Zq81LkPwXv20NbRt77YhGf3"
+    rows = [(i, f"use {copied} here", f"owner{i}") for i in range(9)] + [(9, f"😀 {live} and {copied}", "owner1"), (10, f"{live}", "owner1")]
+    out = {r.doc_id: r for r in secret_scan.secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [(s.start, s.end, s.kind) for s in out[9].spans] == [(2, 2 + len(live), "key")]
+    assert out[9].n_copied == 1 and out[0].n_copied == 1 and not out[0].spans and out[10].n_live == 1
+
+
+def slow_base_pii(t):
+    out = [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for k, kind, p, lo, hi in ((2, "card", r"[0-9]([\x20-]?[0-9])+", 14, 19), (3, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", 10, 15)):
+        for m in re.finditer(p, t):
+            digits = [int(c) for c in m[0] if c in "0123456789"]
+            if lo <= len(digits) <= hi and (k == 3 or sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits[::-1])) % 10 == 0):
+                out.append((m.start(), k, m.end(), kind))
+    return ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(out))
+
+
+@pytest.mark.parametrize("where", ["small", "odd_dir", "empty_dir"])
+def test_pii_base_equals_plain_patterns(spark, where, request):
+    d = request.getfixturevalue(where)
+    got = queries.op8_pii(spark, d).collect()
+    key = lambda r: (str(r[0]), r[1])
+    want = [(i, hashlib.sha256(slow_base_pii(t).encode()).hexdigest()) for i, t in texts(spark, d)]
+    assert sorted(((r.doc_id, r.base_sha256) for r in got), key=key) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("t", ["a@b.co_x@d.com", "@@a@b..c", "x@y", "a@b.c@d.e", "1.2.3.4.5.6.7.8", "+1+1(2) 345 678 901", "4111111111111111 4111-1111-1111-1111", "1 2 3 4 5 6 7 8 9 0 1 2 3 4", "", "00000255.1.1.1", "é@x.y"])
+def test_pii_patterns_at_the_edges(t):
+    assert ",".join(f"{k}:{s}:{e}" for s, e, k, _ in pii.find(t) if k != "iban") == slow_base_pii(t)
+
+
+def test_pii_long_runs_are_linear_and_context_counts():
+    assert pii.find("a" * 300_000 + "@" + "1" * 300_000) == []
+    assert [k for *_, k, _ in pii.find("IBAN DE89370400440532013000")] == ["iban"]
+    assert pii.find("card 4111111111111111")[0][3] > pii.find("item 4111111111111111")[0][3]
+    t = "write to me@exa.mple.org now"
+    assert pii.redacted(t, pii.find(t)) == "write to <email> now"
+
+
+@pytest.mark.parametrize("where", ["small", "odd_dir", "empty_dir"])
+def test_fingerprints(spark, where, request):
+    d = request.getfixturevalue(where)
+    got = queries.op10_document_fingerprints(spark, d).collect()
+    rows = sorted(texts(spark, d), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = []
+    for k, (i, t) in enumerate(rows):
+        other = rows[(k + 1) % len(rows)][1]
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - len(t) // 3] + other[: len(t) // 3]).encode()).hexdigest()))
+    key = lambda r: (str(r[0]), r[2])
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=key) == sorted(want, key=key)
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    prints = defaultdict(set)
+    by_id = dict(texts(spark, d))
+    for r in got:
+        prints[by_id[r.doc_id]].add(r.fingerprint)
+    assert all(len(x) == 1 for x in prints.values())
+    if where == "small":
+        long = [r for r in got if r.n_chars > 500]
+        assert sum(r.near_edited > 0.4 for r in long) > 0.9 * len(long)
+        assert sum(r.near_next < 0.2 for r in long) > 0.9 * len(long)
+
+
+def test_sketch_likeness_follows_true_containment_and_merges(spark):
+    a, b = [f"w{i}" for i in range(4000)], [f"w{i}" for i in range(1000, 2000)]
+    df = spark.createDataFrame([(1, " ".join(a), " ".join(b), " ".join(f"v{i}" for i in range(900)))], "g int, a string, b string, c string")
+    for x in "abc":
+        df = fingerprint.with_sketch(df, x, f"s_{x}")
+    row = df.select(fingerprint.likeness("s_a", "s_b").alias("in_"), fingerprint.likeness("s_a", "s_c").alias("out_")).first()
+    assert row.in_ > 0.9 and row.out_ == 0
+    two = df.selectExpr("g", "s_a sketch", "s_a_limit sketch_limit").union(df.selectExpr("g", "s_c sketch", "s_c_limit sketch_limit"))
+    merged = fingerprint.merged(two, ["g"]).first()
+    assert set(merged.sketch) == set(df.first().s_a) | set(df.first().s_c)
