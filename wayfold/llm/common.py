@@ -44,9 +44,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def held_out(doc_id: str | Column = "doc_id") -> Column:
-    """True for the fifth of the documents that no model learns from."""
-    return F.pmod(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")), F.lit(5)) == 0
+def held_out(doc_id: str = "doc_id") -> Column:
+    """True for the fifth of the documents that no model learns from; false for a null id."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(5)) == 0, F.lit(False)).alias("held_out")
 
 
 def connected(edges: DataFrame, rounds: int = 64) -> DataFrame:
