@@ -37,9 +37,13 @@ def with_shingles(df: DataFrame, text: str, out: str, words: int = WORDS) -> Dat
     w, h = f"{out}__w", f"{out}__h"
     df = df.withColumn(w, words_of(F.coalesce(F.col(text), F.lit(""))))
     df = df.withColumn(h, F.transform(w, lambda x: F.xxhash64(x)))
-    long = F.transform(F.sequence(F.lit(0), F.size(h) - words), lambda i: F.xxhash64(*[F.get(F.col(h), i + k) for k in range(words)]).bitwiseAND(F.lit(_TOP)))
-    short = F.when(F.size(h) == 0, F.array().cast("array<long>")).otherwise(F.array(F.xxhash64(F.col(h)).bitwiseAND(F.lit(_TOP))))
-    return df.withColumn(out, F.sort_array(F.array_distinct(F.when(F.size(h) >= words, long).otherwise(short)))).drop(w, h)
+    # The array is zipped with itself shifted, so that the lambda needs only its own argument:
+    # should the optimizer put the array's expression in place of its name, it still runs once.
+    n = F.size(h)
+    runs = F.slice(F.arrays_zip(*[F.slice(h, k + 1, F.greatest(n, F.lit(1))).alias(f"s{k}") for k in range(words)]), F.lit(1), F.greatest(n - words + 1, F.lit(0)))
+    long = F.transform(runs, lambda z: F.xxhash64(*[z[f"s{k}"] for k in range(words)]).bitwiseAND(F.lit(_TOP)))
+    short = F.when(n == 0, F.array().cast("array<long>")).otherwise(F.array(F.xxhash64(F.col(h)).bitwiseAND(F.lit(_TOP))))
+    return df.withColumn(out, F.sort_array(F.array_distinct(F.when(n >= words, long).otherwise(short)))).drop(w, h)
 
 
 def with_sketch(df: DataFrame, text: str, out: str, words: int = WORDS, fraction: float = FRACTION, floor: int = FLOOR) -> DataFrame:
@@ -75,7 +79,7 @@ def merged(sketches: DataFrame, by: list[str], sketch: str = "sketch") -> DataFr
     which ``FRACTION`` are kept.
     """
     limits = sketches.groupBy(*by).agg(F.min(f"{sketch}_limit").alias(f"{sketch}_limit"))
-    hashes = sketches.select(*by, F.explode(sketch).alias("h")).distinct().join(limits, by).where(F.col("h") <= F.col(f"{sketch}_limit"))
+    hashes = sketches.select(*by, F.explode(F.filter(sketch, lambda x: x.isNotNull())).alias("h")).distinct().join(limits, by).where(F.col("h") <= F.col(f"{sketch}_limit"))
     return limits.join(hashes.groupBy(*by).agg(F.sort_array(F.collect_list("h")).alias(sketch)), by, "left").withColumn(sketch, F.coalesce(sketch, F.array().cast("array<long>")))
 
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, sized
+
 # Kind, pattern, group with the secret, least length of that group.
 KINDS = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -86,7 +88,7 @@ def ownership(found: DataFrame, column: str = "candidates") -> DataFrame:
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """Rows (doc_id, n_assign, n_access, n_hex, base, spans, n_live, n_copied), one for each row of ``docs``.
+    """Rows (doc_id, text_hash, n_assign, n_access, n_hex, base, spans, n_live, n_copied), one for each row of ``docs``.
 
     spans has the base spans and the key-like candidates of at most ``max_owners`` owners;
     n_live counts those, n_copied the candidates left out as widely copied. Repeated rows
@@ -103,5 +105,30 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
     added = F.coalesce("added", none)
     count = lambda k: F.size(k).cast("long").alias(f"n_{k}")
     return joined.select(
-        "doc_id", count("assign"), count("access"), count("hex"), "base", F.concat("base", added).alias("spans"), F.size(added).cast("long").alias("n_live"), F.coalesce("copied", F.lit(0)).cast("long").alias("n_copied")
+        "doc_id", "text_hash", count("assign"), count("access"), count("hex"), "base", F.concat("base", added).alias("spans"), F.size(added).cast("long").alias("n_live"), F.coalesce("copied", F.lit(0)).cast("long").alias("n_copied")
     )
+
+
+def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_owners: int = MAX_OWNERS) -> DataFrame:
+    """``docs``, all rows and columns, with each secret in the text replaced by ``<kind>``.
+
+    Of an assign span only the secret goes, not the name before it. n_chars, if there is
+    such a column, is set to the new length. Overlapping spans count as the first of them.
+    """
+    found = secrets(docs, id_col, text_col, max_owners).where(F.size("spans") > 0)
+    hit = found.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), "spans").dropDuplicates(["__d", "__t"])
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    joined = docs.join(sized(cut(hit, "secret-spans")), F.col(id_col).eqNullSafe(F.col("__d")) & (key == F.col("__t")), "left")
+    ordered = F.array_sort(F.transform("spans", lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    text = F.col(text_col)
+
+    def step(acc: Column, s: Column) -> Column:
+        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), s["kind"], F.lit(">"))
+        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], piece).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    new = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    out = joined.withColumn(text_col, F.when(F.col("spans").isNull(), text).otherwise(new))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns)
