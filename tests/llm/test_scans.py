@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -64,7 +65,7 @@ def test_links_connect_dense_and_random_fingerprints(spark):
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     from wayfold.llm.common import connected
 
-    roots = {r.node: r.root for r in connected(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"))).collect()}
+    roots = {r.node: r.root for r in connected(simhash.links(spark.createDataFrame([(f, f) for f in signed], "id long, fp long"))).collect()}
     root = dict(zip(signed, signed, strict=True))
 
     def find(i):
@@ -84,7 +85,33 @@ def test_keep_one_keeps_columns_and_one_of_each_group(spark, odd_docs):
     kept = simhash.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert {5} == {5, 6, 7} & set(ids) and ids.count(3) == 0 and 2 in ids
+    assert sorted(i for i in ids if i is not None) == [0, 2, 4, 5, 8, 9, 10, 11, 50] and ids.count(None) == 1
+
+
+def test_near_copies_equal_all_pairs(spark):
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 300))] for _ in range(25)]
+    texts = [" ".join(b) for b in base]
+    for b in base[:10]:
+        for _ in range(8):
+            c = list(b)
+            for _ in range(rng.randint(1, max(1, len(c) // 70))):
+                c[rng.randrange(len(c))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(c))
+    texts += texts[:3] + ["", "!!", "!!"]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if texts[i] == texts[j] or sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted({find(i) for i in range(len(texts))})
 
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)

@@ -10,7 +10,8 @@ what leaves it are true links only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, cut
+from .common import connected, cut, sized
+from .fingerprint import with_shingles
 
 SEED = 42
 RADIUS = 4
@@ -26,6 +28,10 @@ RADIUS = 4
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Representatives of a segment value that every holder of that value is compared with first.
 PIVOTS = 4
+#: Near copies share this much of their word shingles of this size.
+SIMILARITY = 0.8
+SHINGLE = 5
+_WORD = re.compile(r"\w+")
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 
@@ -49,6 +55,11 @@ def fingerprint(text: str | None, words: int = 4) -> int:
         ends = np.concatenate((gaps, [len(joined)]))[words - 1 :].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[s:e], SEED) for s, e in zip(starts, ends, strict=True)]
+    return _majority(hashes)
+
+
+def _majority(hashes: list[int]) -> int:
+    """The bits that are set in over half of the hashes."""
     columns = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)
     counts = np.concatenate([np.bincount(columns[:, k], minlength=256) @ _BITS for k in range(8)])
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
@@ -69,42 +80,42 @@ def _segments(fp: Column) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("seg"), F.shiftrightunsigned(fp, s).bitwiseAND(F.lit((1 << w) - 1)).alias("key"), F.lit(w).alias("width")) for i, (s, w) in enumerate(SEGMENTS)])
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links that join all pairs of distinct fingerprints at ``radius`` or fewer bits.
+def links(nodes: DataFrame, radius: int = RADIUS, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Links that join all pairs of nodes whose fingerprints differ in ``radius`` or fewer bits.
 
-    ``fps`` has distinct non-null ``fp``. Rows (a, b), enough to connect whatever is linked,
-    not every pair: first each holder of a segment value is compared with up to ``PIVOTS``
-    others of that value; the components that gives are then joined by the complete search,
-    which skips pairs already in one component. A dense group of n fingerprints so leaves
-    about n links, not n squared.
+    ``nodes`` has distinct ``id`` and their ``fp``, none null; ``verify``, if given, keeps of
+    candidate rows (a, b: ids) those that are links. Rows (a, b), enough to connect whatever
+    is linked, not every pair: first each holder of a segment value is compared with up to
+    ``PIVOTS`` others of that value; the components that gives are then joined by the
+    complete search, which skips pairs already in one component. A dense group of n nodes so
+    leaves about n links, not n squared.
     """
     if radius // len(SEGMENTS) > 1:
         raise ValueError("three segments find up to 5 differing bits")
-    index = fps.select("fp", F.explode(_segments(F.col("fp"))).alias("s")).select("fp", "s.seg", "s.key", "s.width")
-    pivots = index.groupBy("seg", "key").agg(
-        *[F.min(F.struct(F.xxhash64(F.lit(i), "fp").alias("h"), F.col("fp"))).getField("fp").alias(f"p{i}") for i in range(PIVOTS)], F.count("*").alias("n")
-    )
-    crowded = pivots.where("n > 2").select("seg", "key", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("pivot"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) <= radius
-    first = index.join(crowded, ["seg", "key"]).where(near & (F.col("fp") != F.col("pivot"))).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
-    first = cut(first, "pivot-links")
+    index = nodes.select("id", "fp", F.explode(_segments(F.col("fp"))).alias("s")).select("id", "fp", "s.seg", "s.key", "s.width")
+    pivots = index.groupBy("seg", "key").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "id").alias("h"), "id", "fp")).alias(f"p{i}") for i in range(PIVOTS)], F.count("*").alias("n"))
+    crowded = pivots.where("n > 2").select("seg", "key", F.explode(F.array_distinct(F.transform(F.array(*[f"p{i}" for i in range(PIVOTS)]), lambda p: F.struct(p["id"].alias("b"), p["fp"].alias("b_fp"))))).alias("p"))
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("p.b_fp"))) <= radius
+    first = index.join(crowded, ["seg", "key"]).where(near & (F.col("id") != F.col("p.b"))).select(F.greatest("id", "p.b").alias("a"), F.least("id", "p.b").alias("b")).distinct()
+    first = cut(verify(cut(first, "pivot-pairs")) if verify else first, "pivot-links")
     root = connected(first)
-    known = cut(fps.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "pivot-roots")
-    index = known.select("fp", "root", F.explode(_segments(F.col("fp"))).alias("s")).select("fp", "root", "s.seg", "s.key", "s.width")
+    known = cut(nodes.join(root.withColumnRenamed("node", "id"), "id", "left").select("id", "fp", F.coalesce("root", "id").alias("root")), "pivot-roots")
+    index = known.select("id", "fp", "root", F.explode(_segments(F.col("fp"))).alias("s")).select("id", "fp", "root", "s.seg", "s.key", "s.width")
     flips = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda j: F.col("key").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), j)))
     probe = index.select(
-        F.col("fp").alias("a"), F.col("root").alias("a_root"), F.col("seg").alias("a_seg"), F.col("key").alias("own"), F.explode(F.concat(F.array("key"), F.filter(flips, lambda x: x != F.col("key")))).alias("a_key")
-    )
-    other = index.select(F.col("fp").alias("b"), F.col("root").alias("b_root"), "seg", "key")
+        F.col("id").alias("a"), F.col("fp").alias("a_fp"), F.col("root").alias("a_root"), F.col("seg").alias("a_seg"), F.col("key").alias("own"),
+        F.explode(F.concat(F.array("key"), F.filter(flips, lambda x: x != F.col("key")))).alias("a_key"),
+    )
+    other = index.select(F.col("id").alias("b"), F.col("fp").alias("b_fp"), F.col("root").alias("b_root"), "seg", "key")
     rest = probe.join(
         other,
         (F.col("a_seg") == F.col("seg"))
         & (F.col("a_key") == F.col("key"))
         & (F.col("a_root") != F.col("b_root"))
         & ((F.col("own") != F.col("a_key")) | (F.col("a") < F.col("b")))
-        & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius),
+        & (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= radius),
     ).select("a", "b")
-    return first.unionByName(rest)
+    return first.unionByName(verify(cut(rest.distinct(), "rest-pairs")) if verify else rest)
 
 
 def near_groups(docs: DataFrame, words: int = 4, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,19 +128,76 @@ def near_groups(docs: DataFrame, words: int = 4, radius: int = RADIUS, id_col: s
     """
     marked = cut(with_fingerprint(docs, words, id_col, text_col), "fingerprints")
     fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
-    roots = connected(links(fps.select("fp"), radius)).withColumnRenamed("node", "fp")
+    roots = connected(links(fps.select(F.col("fp").alias("id"), "fp"), radius)).withColumnRenamed("node", "fp")
     rooted = fps.join(roots, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of = cut(rooted.join(least, "root").select("fp", "component_id"), "components")
     return marked.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> DataFrame:
-    """``docs`` without the rows that are not the first of their near-duplicate group.
+def word_fingerprint(text: str | None) -> int | None:
+    """The unsigned SimHash of a text's set of words (letters and digits, lower-case); null without any.
+
+    Copies that differ in a few words share most of this set, so they stay within a few bits
+    of each other where fingerprints of shingles, of which each changed word spoils several,
+    do not.
+    """
+    words = set(_WORD.findall((text or "").lower()))
+    if not words:
+        return None
+    hashes = [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), SEED) for w in words]
+    return _majority(hashes)
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE) -> DataFrame:
+    """Rows (text_id, component_id): the groups of near copies of ``docs`` (doc_id, text).
+
+    text_id is the hash of a text, component_id the least doc_id of its group. Equal texts
+    are one node. Candidates are texts whose word fingerprints differ in at most five bits;
+    linked are those of them whose sets of word shingles have the Jaccard ``similarity`` or
+    more, exactly. A text without words is grouped with its equals only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [word_fingerprint(x.as_py()) for x in batch.column(2)]
+            signed = pa.array([None if f is None else f - (1 << 64) * (f >> 63) for f in fps], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed], names=["doc_id", "text_id", "fp"])
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), text.alias("text")).mapInArrow(run, "doc_id long, text_id long, fp long")
+    nodes = cut(marked.groupBy("text_id").agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("fp")), "distinct-texts")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        wanted = sized(pairs.select(F.explode(F.array("a", "b")).alias("text_id")).distinct(), 500_000)
+        texts = docs.select(F.xxhash64(text).alias("text_id"), "text").join(wanted, "text_id", "left_semi").dropDuplicates(["text_id"])
+        sets = cut(with_shingles(texts, "text", "s", words).select("text_id", "s"), "shingle-sets")
+        both = pairs.join(sets.select(F.col("text_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("text_id").alias("b"), F.col("s").alias("sb")), "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+    found = links(nodes.where("fp IS NOT NULL").select(F.col("text_id").alias("id"), "fp"), 5, verify)
+    rooted = nodes.join(connected(found).withColumnRenamed("node", "text_id"), "text_id", "left").select("text_id", "least_id", F.coalesce("root", "text_id").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return rooted.join(least, "root").select("text_id", "component_id")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs``, all columns, with one document of each group of near copies: that of the least doc_id.
 
-    Every column is kept. Of several rows with the surviving doc_id all stay; a row whose
-    doc_id is null stays only if its whole group has none.
+    Of several rows with that doc_id and text one is kept. Where no row of a group has a
+    doc_id, one row without is kept.
     """
-    groups = near_groups(docs, words, radius).where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(groups, "doc_id", "left_anti")
-    return kept
+    of = cut(near_copies(docs, similarity), "copies")
+    first = docs.select(F.col("doc_id").alias("__d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__t"))
+    text_id = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    # A text is dropped if its group's least document has another text; within a text all but the least document go.
+    least = cut(first.groupBy("__t").agg(F.min("__d").alias("__least"), F.count("*").alias("__n")), "least-of-text")
+    marked = of.join(least, F.col("text_id") == F.col("__t"))
+    gone = marked.where(~F.col("__least").eqNullSafe(F.col("component_id"))).select(F.col("text_id").alias("__t"))
+    rest = docs.withColumn("__t", text_id).join(sized(cut(gone, "gone-texts")), "__t", "left_anti")
+    repeated = sized(cut(least.where("__n > 1").select(F.col("__t").alias("__rt"), "__least"), "repeated-texts"))
+    kept = rest.join(repeated, F.col("__t") == F.col("__rt"), "left").where(F.col("__rt").isNull() | F.col("doc_id").eqNullSafe(F.col("__least")))
+    single = kept.where(F.col("__rt").isNull()).select(*docs.columns)
+    ties = kept.where(F.col("__rt").isNotNull()).dropDuplicates(["__t"]).select(*docs.columns)
+    return single.unionByName(ties)
