@@ -160,3 +160,35 @@ def test_match_results(spark):
     assert got == {"1": ("matched", 1), "2": ("matched", 2), "3": ("ambiguous", 2), "4": ("not found", 0)}
     taken = spark.createDataFrame([("n", 1)], "t string, id long")
     assert {r.row_id: r.result for r in match_plan.match(rows, objects, taken).collect()}["1"] == "not found"
+
+
+def test_kinds_narrow_and_absorb(spark):
+    from wayfold.operators.kinds import BY_NAME
+
+    def run(kind, members, how):
+        rows = spark.createDataFrame([(members,)], "a array<struct<t:string,id:int,tags:map<string,string>>>")
+        return [m.id for m in rows.select(getattr(BY_NAME[kind], how)(F.col("a")).alias("x")).first().x]
+
+    admin, village = {"boundary": "administrative"}, {"place": "village"}
+    assert run("settlement", [("r", 1, admin), ("n", 2, village)], "absorb") == [2]
+    assert run("settlement", [("r", 1, admin)], "absorb") == [1]
+    assert run("harde", [("r", 1, admin), ("n", 2, village)], "absorb") == [1, 2]
+    assert run("landscape", [("r", 1, admin), ("w", 2, village)], "absorb") == [1, 2]
+    assert run("settlement", [("w", 1, village), ("n", 2, village)], "canonical") == [2]
+    assert run("settlement", [("w", 1, {})], "canonical") == [1]
+
+
+def test_rows_are_put_after_their_kind(spark):
+    from wayfold.operators import tuning
+
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, "a", "z")], "line int, kind string, v string")
+    new = spark.createDataFrame([("b", 1, "n1"), ("b", 2, "n2"), ("q", 3, "n3")], "kind string, seq int, v string")
+    assert [r.v for r in tuning.inserted(rows, new).orderBy("line").collect()] == ["x", "y", "n1", "n2", "z", "n3"]
+
+
+def test_made_points(spark):
+    from wayfold.operators import tuning
+
+    df = spark.createDataFrame([("b", "hamlet", {"name:frr": "F"}, {"place": ""}), ("a", "hamlet", {}, {"name": "N"}), ("c", None, {}, None)], "slug string, place string, names map<string,string>, changes map<string,string>")
+    got = {r.slug: (r.id, r.t) for r in tuning.made_objects(df, 100).withColumn("t", tuning.point_tags(F.col("place"), F.col("slug"), F.col("names"), F.col("changes"))).collect()}
+    assert got == {"a": (101, {"place": "hamlet", "name": "N"}), "b": (102, None), "c": (103, None)}

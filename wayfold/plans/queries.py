@@ -654,3 +654,117 @@ def set_union_ids(spark: SparkSession, d: str) -> DataFrame:
     a, b = table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
     both = a.intersect(b).withColumn("in_both", F.lit(True))
     return a.union(b).distinct().join(both, "k", "left").select("k", F.coalesce("in_both", F.lit(False)).alias("in_both"))
+
+
+@query("""
+WITH o AS (SELECT p_partkey, ['n', 'w', 'r'][p_partkey % 3 + 1] AS t, CASE WHEN p_size % 2 = 0 THEN ['village', 'island', 'sea'][p_size % 3 + 1] ELSE '' END AS place, CASE WHEN p_size % 5 = 0 THEN 'administrative' ELSE '' END AS boundary, p_size % 12 AS level FROM part)
+SELECT p_partkey, place = 'village' OR (boundary = 'administrative' AND level BETWEEN 6 AND 11) AS settlement, place = 'island' OR (boundary = 'administrative' AND level BETWEEN 8 AND 11) AS island,
+    boundary = 'administrative' AND level = 2 AS country, CASE WHEN t = 'n' AND place <> '' THEN 30 WHEN t = 'r' AND boundary = 'administrative' THEN 12 WHEN t = 'w' AND place <> '' THEN 8 ELSE 2 END AS points FROM o
+""")
+def kind_rules(spark: SparkSession, d: str) -> DataFrame:
+    """FLT03-FLT09, GEO09, UDF01, UDF02: kinds as data."""
+    from ..operators.kinds import BY_NAME
+
+    place = F.when(F.col("p_size") % 2 == 0, F.element_at(F.array(F.lit("village"), F.lit("island"), F.lit("sea")), F.col("p_size") % 3 + 1)).otherwise("")
+    m = F.create_map(F.lit("place"), place, F.lit("boundary"), F.when(F.col("p_size") % 5 == 0, "administrative").otherwise(""), F.lit("admin_level"), (F.col("p_size") % 12).cast("string"))
+    t = F.element_at(F.array(F.lit("n"), F.lit("w"), F.lit("r")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    o = table(spark, d, "part").select("p_partkey", F.struct(t.alias("t"), m.alias("tags")).alias("o"))
+    return o.select("p_partkey", *[BY_NAME[k].accepts(F.col("o")).alias(k) for k in ("settlement", "island", "country")], BY_NAME["settlement"].bonus(F.col("o")).alias("points"))
+
+
+@query("""
+WITH m AS (SELECT s_nationkey, s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'administrative' ELSE '' END AS boundary, CASE WHEN s_suppkey % 4 = 0 THEN 'village' ELSE '' END AS place, ['n', 'w', 'r'][s_suppkey % 3 + 1] AS t FROM supplier),
+k AS (SELECT *, boundary = 'administrative' AND place = '' AS bare FROM m), g AS (SELECT s_nationkey, bool_or(NOT bare) AS other, bool_or(t = 'n' AND place <> '') AS node FROM k GROUP BY 1)
+SELECT s_nationkey, count(*) FILTER (NOT bare OR NOT other) AS n_settlement, count(*) FILTER (NOT node OR NOT bare OR NOT other) AS n_landscape, count(*) AS n_harde FROM k JOIN g USING (s_nationkey) GROUP BY 1
+""")
+def absorb_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    """FLT22, FLT23: three ways with bare boundaries, none of which empties a set."""
+    from ..operators.kinds import BY_NAME
+
+    m = F.create_map(F.lit("boundary"), F.when(F.col("s_suppkey") % 3 == 0, "administrative").otherwise(""), F.lit("place"), F.when(F.col("s_suppkey") % 4 == 0, "village").otherwise(""))
+    t = F.element_at(F.array(F.lit("n"), F.lit("w"), F.lit("r")), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    g = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.collect_list(F.struct(t.alias("t"), m.alias("tags"))).alias("a"))
+    return g.select("s_nationkey", *[F.size(BY_NAME[k].absorb(F.col("a"))).cast("long").alias(f"n_{k}") for k in ("settlement", "landscape", "harde")])
+
+
+@query("""
+WITH o AS (SELECT p_partkey AS id, 'w' AS t, p_name AS name, CASE WHEN p_partkey % 4 = 0 THEN 'Q' || (p_partkey % 50) ELSE '' END AS item, p_partkey % 8 <> 0 AS place_like FROM part),
+mem AS (SELECT id, rel, rname FROM (SELECT l_partkey AS id, l_orderkey AS rel, 'small ring' AS rname, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey) AS n FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem)) WHERE n = 1),
+j AS (SELECT o.*, CASE WHEN id % 10 = 0 THEN 'own' || id END AS r1, CASE WHEN rname = name AND rel % 2 = 0 THEN 'rel' || rel END AS r2, CASE WHEN item <> '' AND (id % 50) < 30 THEN 'item' || item END AS r3 FROM o LEFT JOIN mem USING (id))
+SELECT id, coalesce(r1, r2, CASE WHEN place_like THEN r3 END) AS "row", CASE WHEN r1 IS NOT NULL THEN 'reference' WHEN r2 IS NOT NULL THEN 'member' WHEN r3 IS NOT NULL THEN CASE WHEN place_like THEN 'item' ELSE 'skipped' END END AS how FROM j
+""")
+def claim_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """JN05-JN09: an object's row by reference, as a member of a waterway, or by item."""
+    from ..operators import lookup
+
+    p = table(spark, d, "part")
+    item = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("Q"), (F.col("p_partkey") % 50).cast("string"))).otherwise("")
+    m = F.create_map(F.lit("name"), F.col("p_name"), F.lit("wikidata"), item, F.lit("place"), F.when(F.col("p_partkey") % 8 != 0, "x").otherwise(""))
+    objects = p.select(F.lit("w").alias("t"), F.col("p_partkey").alias("id"), m.alias("tags"))
+    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.struct(F.lit("w").alias("type"), F.col("l_partkey").alias("ref"), F.lit("").alias("role"))).alias("members"))
+    members = lookup.waterway_members(li.withColumn("tags", F.create_map(F.lit("type"), F.lit("waterway"), F.lit("name"), F.lit("small ring"))))
+    own = p.where("p_partkey % 10 = 0").select(F.lit("w").alias("t"), F.col("p_partkey").alias("id"), F.concat(F.lit("own"), F.col("p_partkey").cast("string")).alias("row"))
+    rel = li.where("id % 2 = 0").select(F.lit("r").alias("t"), "id", F.concat(F.lit("rel"), F.col("id").cast("string")).alias("row"))
+    items = p.where(item != "").where("p_partkey % 50 < 30").select(item.alias("item")).distinct().select("item", F.concat(F.lit("item"), F.col("item")).alias("row"))
+    return lookup.row_for(objects, own.unionByName(rel), items, members).select("id", "row", "how")
+
+
+@query(f"""
+WITH c AS (SELECT c_nationkey::VARCHAR AS hint, c_custkey AS id, {_pos('c_custkey')}, ['village', 'island', 'town'][c_custkey % 3 + 1] AS place FROM customer),
+s AS (SELECT *, -{_km('lon', 'lat', '8.9::DOUBLE', '54.7::DOUBLE')} + CASE place WHEN 'island' THEN 40 WHEN 'village' THEN 30 ELSE 0 END AS p FROM c)
+SELECT hint, round(lon, 6) AS lon, round(lat, 6) AS lat, CASE WHEN hint = '3' THEN 25.0 WHEN place = 'island' THEN 10.0 ELSE 8.0 END::DOUBLE AS km FROM s QUALIFY row_number() OVER (PARTITION BY hint ORDER BY p DESC, id) = 1
+""")
+def hint_circles(spark: SparkSession, d: str) -> DataFrame:
+    """JN18, JN19, GEO06-GEO08: where a hint points."""
+    from ..operators import lookup
+
+    c = placed(table(spark, d, "customer"), "c_custkey")
+    kind = F.element_at(F.array(F.lit("village"), F.lit("island"), F.lit("town")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    hits = c.select(F.col("c_nationkey").cast("string").alias("hint"), F.col("c_custkey").alias("id"), "lon", "lat", F.create_map(F.lit("place"), kind).alias("tags"))
+    return lookup.hint_circles(hits, large=("3",)).select("hint", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "km")
+
+
+@query("""
+WITH r AS (SELECT p_partkey AS line, p_partkey % 4 AS k, p_size FROM part)
+SELECT line, unnest(list_filter([CASE WHEN k = 3 THEN 'no reference' END, CASE WHEN k = 0 AND line % 8 = 0 THEN 'a local reference needs a position' END, CASE WHEN k = 1 THEN 'a node has a position of its own' END,
+    CASE WHEN p_size < 10 THEN 'maxzoom is below minzoom' END, CASE WHEN k = 2 AND p_size % 2 = 1 THEN 'a square is for islands only' END], lambda x: x IS NOT NULL)) AS message FROM r
+""")
+def tuning_problems(spark: SparkSession, d: str) -> DataFrame:
+    """DQ07-DQ10, SRC23, WIN11, STR13, GEO22, GEO23: typed rows and what is wrong with them."""
+    from ..operators import tuning
+
+    p = table(spark, d, "part").withColumn("k", F.col("p_partkey") % 4)
+    key = F.col("p_partkey").cast("string")
+    osm = F.when(F.col("k") == 0, F.concat(F.lit("local/p"), key)).when(F.col("k") == 1, F.concat(F.lit("node/"), key)).when(F.col("k") == 2, F.concat(F.lit("way/"), key)).otherwise(F.concat(F.lit("road/"), key))
+    has = F.when((F.col("k") == 0) & (F.col("p_partkey") % 8 == 0) | (F.col("k") == 3), "").otherwise("54.5")
+    rows = p.select(
+        F.col("p_partkey").alias("line"), osm.alias("osm"), has.alias("lat"), F.when(has != "", "8.5").otherwise("").alias("lon"), F.when(F.col("p_size") % 2 == 0, "place=island").otherwise("").alias("set_tags"),
+        F.lit("10").alias("minzoom"), F.col("p_size").cast("string").alias("maxzoom"), F.when(F.col("k") == 2, "1.5").otherwise("").alias("polygon_km2"),
+    )
+    return tuning.tuning_problems(tuning.typed(rows.withColumn("maxzoom", F.when(F.col("maxzoom").cast("int") > 24, "24").otherwise(F.col("maxzoom")))))
+
+
+@query("""
+SELECT n_nationkey, coalesce(nullif(CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE '' END, ''), r_name) AS headline, CASE WHEN n_nationkey % 2 = 0 THEN r_name ELSE '' END AS others
+FROM nation JOIN region ON n_regionkey = r_regionkey
+""")
+def card_names(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ32, PRJ33, PRJ38-PRJ41: a headline and the names besides it."""
+    from ..operators import cards
+
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).withColumn("own", F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(""))
+    n = n.withColumn("headline", cards.merged("own", "r_name"))
+    lines = cards.other_lines(F.col("headline"), [("own", F.col("own")), ("region", F.col("r_name")), ("again", F.col("r_name"))])
+    return n.select("n_nationkey", "headline", F.array_join(F.transform(lines, lambda x: x["name"]), "|").alias("others"))
+
+
+@query("""
+SELECT p_partkey, contains(lower(p_name || ' ' || p_brand), 'ring') AND p_type = 'ECONOMY' AS hit, regexp_full_match(CASE WHEN p_partkey % 2 = 0 THEN 'new:' || p_partkey ELSE p_name END, 'new:[0-9a-f]+') AS provisional FROM part
+""")
+def row_filters(spark: SparkSession, d: str) -> DataFrame:
+    """FLT25, FLT26, FLT30."""
+    from ..operators import cards
+
+    p = table(spark, d, "part")
+    key = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("new:"), F.col("p_partkey").cast("string"))).otherwise(F.col("p_name"))
+    return p.select("p_partkey", cards.matches_filter(["p_name", "p_brand"], "RING", "ECONOMY", "p_type").alias("hit"), cards.is_provisional(key).alias("provisional"))
