@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, tags, text
 from ..operators import checks, claims, clustering, decisions, geometry, matching, naming, search, spatial, stats
+from ..ship import ship
 from ..sources import extracts, tables
 from . import match as match_plan
 
@@ -32,6 +33,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
