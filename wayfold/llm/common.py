@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -21,14 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This ends the lineage: a lost executor costs a reread, not a recomputation, and what
     follows sees the true size of the table.
     """
     path = f"{shared_dir(df.sparkSession)}/wayfold/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -40,7 +42,19 @@ def sized(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+_LIVE: dict[str, object] = {}
+
+
+def living(key: str, model: object) -> object:
+    """The first copy of a model that this worker got, with what it has cached; only the latest model is kept."""
+    if key not in _LIVE:
+        _LIVE.clear()
+        _LIVE[key] = model
+    return _LIVE[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
