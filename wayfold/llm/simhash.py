@@ -80,42 +80,73 @@ def _segments(fp: Column) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("seg"), F.shiftrightunsigned(fp, s).bitwiseAND(F.lit((1 << w) - 1)).alias("key"), F.lit(w).alias("width")) for i, (s, w) in enumerate(SEGMENTS)])
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _index(nodes: DataFrame) -> DataFrame:
+    """Nodes with each of their segment values: seg, key, width."""
+    return nodes.select("*", F.explode(_segments(F.col("fp"))).alias("__s")).select("*", "__s.seg", "__s.key", "__s.width").drop("__s")
+
+
+def _probes(index: DataFrame, half: bool) -> DataFrame:
+    """Index rows with ``own`` and, as key, each value of the ball of radius one around it; of half a ball those that set a bit."""
+    bits = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), j))
+    set_ = F.filter(F.transform(bits, lambda b: F.col("key").bitwiseOR(b)), lambda x: x != F.col("key"))
+    ball = set_ if half else F.transform(bits, lambda b: F.col("key").bitwiseXOR(b))
+    return index.withColumn("own", F.col("key")).withColumn("key", F.explode(F.concat(F.array("own"), ball))).drop("width")
+
+
+def _sides(probes: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return probes.select([F.col(c).alias(f"a_{c}") for c in probes.columns]), others.select([F.col(c).alias(f"b_{c}") for c in others.columns])
+
+
+def _found(radius: int) -> Column:
+    """Condition of the search: equal segment values, and complete distances within the radius."""
+    same = (F.col("a_seg") == F.col("b_seg")) & (F.col("a_key") == F.col("b_key")) & (F.col("a_id") != F.col("b_id"))
+    return same & (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= radius)
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    return joined.select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b")).distinct()
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, central: Column | None = None, bound: Column | None = None, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Links that join all pairs of nodes whose fingerprints differ in ``radius`` or fewer bits.
 
-    ``nodes`` has distinct ``id`` and their ``fp``, none null; ``verify``, if given, keeps of
-    candidate rows (a, b: ids) those that are links. Rows (a, b), enough to connect whatever
-    is linked, not every pair: first each holder of a segment value is compared with up to
-    ``PIVOTS`` others of that value; the components that gives are then joined by the
-    complete search, which skips pairs already in one component. A dense group of n nodes so
-    leaves about n links, not n squared.
+    ``nodes`` has distinct ``id`` and their ``fp``, none null. Rows (a, b: ids), enough to
+    connect whatever is linked, not every pair: first each node is compared with up to
+    ``PIVOTS`` holders of each segment value near its own, the least by ``central``; the
+    components that gives are then joined by the complete search, which skips pairs already
+    in one component. A dense group of n nodes so leaves about n links, not n squared.
+
+    ``bound`` is a condition on columns of nodes, named a_ and b_, that every link meets, and
+    ``verify`` keeps of candidate rows those that are links.
     """
     if radius // len(SEGMENTS) > 1:
         raise ValueError("three segments find up to 5 differing bits")
-    index = nodes.select("id", "fp", F.explode(_segments(F.col("fp"))).alias("s")).select("id", "fp", "s.seg", "s.key", "s.width")
-    pivots = index.groupBy("seg", "key").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "id").alias("h"), "id", "fp")).alias(f"p{i}") for i in range(PIVOTS)], F.count("*").alias("n"))
-    crowded = pivots.where("n > 2").select("seg", "key", F.explode(F.array_distinct(F.transform(F.array(*[f"p{i}" for i in range(PIVOTS)]), lambda p: F.struct(p["id"].alias("b"), p["fp"].alias("b_fp"))))).alias("p"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("p.b_fp"))) <= radius
-    first = index.join(crowded, ["seg", "key"]).where(near & (F.col("id") != F.col("p.b"))).select(F.greatest("id", "p.b").alias("a"), F.least("id", "p.b").alias("b")).distinct()
-    first = cut(verify(cut(first, "pivot-pairs")) if verify else first, "pivot-links")
+    found = _found(radius) & bound if bound is not None else _found(radius)
+    checked = (lambda pairs, name: cut(verify(cut(pairs, f"{name}-pairs")), name)) if verify else cut
+    index = _index(nodes)
+    order = [central] if central is not None else []
+    fields = [c for c in nodes.columns]
+    ranked = lambda i: F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)], F.xxhash64(F.lit(i), "id").alias("h"), *fields)
+    salts = range(PIVOTS) if central is None else [0]
+    pivots = index.groupBy("seg", "key").agg(*[F.min(ranked(i)).alias(f"p{i}") for i in salts], F.count("*").alias("n"))
+    kept = F.array_distinct(F.transform(F.array(*[f"p{i}" for i in salts]), lambda p: F.struct(*[p[c].alias(c) for c in fields])))
+    crowded = pivots.where("n > 1").select("seg", "key", F.explode(kept).alias("p")).select("seg", "key", "p.*")
+    left, right = _sides(_probes(index, False) if central is not None else index.drop("width"), crowded)
+    first = checked(_pairs(left.join(right, found)), "pivot-links")
     root = connected(first)
-    known = cut(nodes.join(root.withColumnRenamed("node", "id"), "id", "left").select("id", "fp", F.coalesce("root", "id").alias("root")), "pivot-roots")
-    index = known.select("id", "fp", "root", F.explode(_segments(F.col("fp"))).alias("s")).select("id", "fp", "root", "s.seg", "s.key", "s.width")
-    flips = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda j: F.col("key").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), j)))
-    probe = index.select(
-        F.col("id").alias("a"), F.col("fp").alias("a_fp"), F.col("root").alias("a_root"), F.col("seg").alias("a_seg"), F.col("key").alias("own"),
-        F.explode(F.concat(F.array("key"), F.filter(flips, lambda x: x != F.col("key")))).alias("a_key"),
-    )
-    other = index.select(F.col("id").alias("b"), F.col("fp").alias("b_fp"), F.col("root").alias("b_root"), "seg", "key")
-    rest = probe.join(
-        other,
-        (F.col("a_seg") == F.col("seg"))
-        & (F.col("a_key") == F.col("key"))
-        & (F.col("a_root") != F.col("b_root"))
-        & ((F.col("own") != F.col("a_key")) | (F.col("a") < F.col("b")))
-        & (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= radius),
-    ).select("a", "b")
-    return first.unionByName(verify(cut(rest.distinct(), "rest-pairs")) if verify else rest)
+    known = cut(nodes.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "pivot-roots")
+    index = _index(known)
+    left, right = _sides(_probes(index, True), index.drop("width"))
+    rest = left.join(right, found & (F.col("a_root") != F.col("b_root")) & ((F.col("a_own") != F.col("a_key")) | (F.col("a_id") < F.col("b_id"))))
+    return first.unionByName(checked(_pairs(rest), "rest-links"))
+
+
+def with_neighbours(nodes: DataFrame, radius: int) -> DataFrame:
+    """Rows (id) of nodes that have another within the radius: semi-joins both ways, as half balls find a pair from one side."""
+    index = _index(nodes)
+    left, right = _sides(_probes(index, True), index.drop("width"))
+    ids = left.join(right, _found(radius), "left_semi").select(F.col("a_id").alias("id"))
+    return ids.unionByName(right.join(left, _found(radius), "left_semi").select(F.col("b_id").alias("id"))).distinct()
 
 
 def near_groups(docs: DataFrame, words: int = 4, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,7 +186,10 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = SH
     text_id is the hash of a text, component_id the least doc_id of its group. Equal texts
     are one node. Candidates are texts whose word fingerprints differ in at most five bits;
     linked are those of them whose sets of word shingles have the Jaccard ``similarity`` or
-    more, exactly. A text without words is grouped with its equals only.
+    more, exactly. Texts too many of whose shingles are theirs alone are left out before any
+    pair is made, and the most ordinary text of each segment value is compared with first:
+    it is the one that the others are copies of. A text without words is grouped with its
+    equals only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,16 +201,23 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = SH
     text = F.coalesce(F.col("text"), F.lit(""))
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), text.alias("text")).mapInArrow(run, "doc_id long, text_id long, fp long")
     nodes = cut(marked.groupBy("text_id").agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("fp")), "distinct-texts")
+    searched = nodes.where("fp IS NOT NULL").select(F.col("text_id").alias("id"), "fp")
+    close = sized(cut(with_neighbours(searched, 5), "close-texts"), 500_000)
+    texts = docs.select(F.xxhash64(text).alias("id"), "text").join(close, "id", "left_semi").dropDuplicates(["id"])
+    sets = cut(with_shingles(texts, "text", "s", words).select("id", "s"), "shingle-sets")
+    # Shingles that no other of these texts has are in no intersection: what is left bounds the likeness from above.
+    lone = sets.select("id", F.explode(F.filter("s", lambda h: h.isNotNull())).alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    lone = lone.groupBy("id").agg(F.count("*").alias("lone"))
+    sizes = sets.select("id", F.size("s").alias("n")).join(lone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common"))
+    able = cut(searched.join(sizes.where(F.col("common") >= similarity * F.col("n")), "id"), "able-texts")
+    bound = F.least("a_common", "b_common") * (1 + similarity) >= similarity * (F.col("a_n") + F.col("b_n"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = sized(pairs.select(F.explode(F.array("a", "b")).alias("text_id")).distinct(), 500_000)
-        texts = docs.select(F.xxhash64(text).alias("text_id"), "text").join(wanted, "text_id", "left_semi").dropDuplicates(["text_id"])
-        sets = cut(with_shingles(texts, "text", "s", words).select("text_id", "s"), "shingle-sets")
-        both = pairs.join(sets.select(F.col("text_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("text_id").alias("b"), F.col("s").alias("sb")), "b")
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
         return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
-    found = links(nodes.where("fp IS NOT NULL").select(F.col("text_id").alias("id"), "fp"), 5, verify)
+    found = links(able, 5, F.lit(1) - F.col("common") / F.col("n"), bound, verify)
     rooted = nodes.join(connected(found).withColumnRenamed("node", "text_id"), "text_id", "left").select("text_id", "least_id", F.coalesce("root", "text_id").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return rooted.join(least, "root").select("text_id", "component_id")
