@@ -7,6 +7,7 @@ the greatest length is scored if known, else its two parts one character shorter
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import living
+
 #: Bound on the documents a model learns from; of more, those with the least hashes of their ids are taken, a like share of all.
 MAX_TRAIN_DOCS = 6000
 #: Bound on the words of one model: the most frequent, each seen twice or more.
@@ -35,32 +38,41 @@ def words(text: str) -> list[str]:
 class Model:
     langs: list[str]
     #: Log posterior of each language for a known word or n-gram, given equal priors.
-    word: dict[str, np.ndarray]
-    gram: dict[str, np.ndarray]
+    word: dict[str, tuple[float, ...]]
+    gram: dict[str, tuple[float, ...]]
+    backed: dict[str, tuple[float, ...]] = field(default_factory=dict)
     cache: dict[str, int] = field(default_factory=dict)
     rows: np.ndarray | None = None
 
-    def of_gram(self, gram: str) -> np.ndarray:
-        found = self.gram.get(gram)
-        if found is not None:
-            return found
-        if len(gram) == 1:
-            return np.zeros(len(self.langs))
-        return (self.of_gram(gram[:-1]) + self.of_gram(gram[1:])) / 2
-
-    def of_word(self, word: str) -> np.ndarray:
+    def of_gram(self, gram: str) -> tuple[float, ...]:
+        found = self.gram.get(gram) or self.backed.get(gram)
+        if found is None:
+            if len(gram) == 1:
+                return (0.0,) * len(self.langs)
+            found = tuple((a + b) / 2 for a, b in zip(self.of_gram(gram[:-1]), self.of_gram(gram[1:]), strict=True))
+            if len(self.backed) > CACHE_WORDS:
+                self.backed.clear()
+            self.backed[gram] = found
+        return found
+
+    def of_word(self, word: str) -> tuple[float, ...]:
         found = self.word.get(word)
         if found is not None:
             return found
         padded = f"^{word}$"
         size = min(LONGEST, len(padded))
-        return np.mean([self.of_gram(padded[i : i + size]) for i in range(len(padded) - size + 1)], axis=0)
-
-    def add(self, token: str) -> None:
-        """Keep in ``rows`` what a white-space separated token adds: scores, and its number of words."""
-        at = self.cache[token] = len(self.cache)
-        found = words(token)
-        self.rows[at] = [*np.sum([self.of_word(w) for w in found], axis=0), len(found)] if found else 0
+        n = len(padded) - size + 1
+        return tuple(sum(c) / n for c in zip(*[self.of_gram(padded[i : i + size]) for i in range(n)], strict=True))
+
+    def add(self, tokens: list[str]) -> None:
+        """Keep in ``rows`` what white-space separated tokens add: scores, and their number of words."""
+        first = len(self.cache)
+        self.cache.update(zip(tokens, range(first, first + len(tokens)), strict=True))
+        out = []
+        for t in tokens:
+            found = [t.lower()] if t.isalpha() else words(t)
+            out.append((*map(sum, zip(*map(self.of_word, found), strict=True)), len(found)) if found else (0.0,) * (len(self.langs) + 1))
+        self.rows[first : first + len(tokens)] = out
 
     def predict(self, text: str) -> tuple[str, float]:
         """Language and its share of the posterior, tempered by the root of the number of words; und and 0 without letters."""
@@ -71,10 +83,10 @@ class Model:
             if self.rows is None or len(self.cache) + len(part) >= CACHE_WORDS:
                 self.cache.clear()
                 self.rows = np.zeros((CACHE_WORDS, len(self.langs) + 1), np.float32)
-            for t in set(part).difference(self.cache):
-                self.add(t)
+            if new := list(set(part).difference(self.cache)):
+                self.add(new)
             total += self.rows[np.fromiter(map(self.cache.__getitem__, part), np.int64, len(part))].sum(0, dtype=np.float64)
-        if not total[-1] or not self.langs:
+        if not self.langs or not total[-1]:
             return UNKNOWN, 0.0
         v = total[:-1] / np.sqrt(total[-1])
         p = np.exp(v - v.max())
@@ -82,12 +94,12 @@ class Model:
         return self.langs[best], float(p[best] / p.sum())
 
 
-def _posteriors(counts: dict[str, np.ndarray], totals: np.ndarray, smooth: float) -> dict[str, np.ndarray]:
+def _posteriors(counts: dict[str, np.ndarray], totals: np.ndarray, smooth: float) -> dict[str, tuple[float, ...]]:
     kinds = max(1, len(counts))
     out = {}
     for key, c in counts.items():
         v = np.log((c + smooth) / (totals + smooth * kinds))
-        out[key] = v - np.logaddexp.reduce(v)
+        out[key] = tuple((v - np.logaddexp.reduce(v)).tolist())
     return out
 
 
@@ -116,7 +128,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
                 by_gram[padded[i : i + size]] += c
     totals = sum(by_word.values(), np.zeros(len(langs)))
     kept = dict(sorted(((w, c) for w, c in by_word.items() if c.sum() >= 2), key=lambda x: (-x[1].sum(), x[0]))[:MAX_WORDS])
-    grams: dict[str, np.ndarray] = {}
+    grams: dict[str, tuple[float, ...]] = {}
     for size in range(1, LONGEST + 1):
         level = {g: c for g, c in by_gram.items() if len(g) == size and c.sum() >= 2}
         grams |= _posteriors(level, sum(level.values(), np.zeros(len(langs))), 0.5)
@@ -130,9 +142,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     language in order of name.
     """
 
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = living(key, model)
         for batch in batches:
-            got = [model.predict(t.as_py() or "") for t in batch.column(1)]
+            got = [kept.predict(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
