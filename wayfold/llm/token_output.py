@@ -9,6 +9,7 @@ document: part by part, and within a part block by block.
 
 from __future__ import annotations
 
+import functools
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ SELECT_EVERY = 64
 MAGIC = b"EFTB"
 _HEAD = struct.Struct("<4sBBHIQII")
 #: Words of one worker's cache; past it the cache starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
 #: The characters that byte-level BPE writes for bytes: printable ones stand for themselves, the others for 256 and up in turn.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LEVEL = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
@@ -156,6 +157,15 @@ class WordEncoder:
         return out
 
 
+@functools.cache
+def encoder(path: str, end_id: int) -> tuple[int, bytes, WordEncoder]:
+    """Width of ids, the end id's bytes and the encoder, kept with its words as long as the worker lives."""
+    from tokenizers import Tokenizer
+
+    width = 2 if max(Tokenizer.from_file(path).get_vocab_size(True) - 1, end_id) < 1 << 16 else 4
+    return width, np.array([end_id], f"<u{width}").tobytes(), WordEncoder(path, width)
+
+
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_tokens, width, ids): little-endian ids with the end id, one row for each of ``docs``.
 
@@ -166,14 +176,11 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id"
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(True) - 1, end_id) < 1 << 16 else 4
-        end, encoder = np.array([end_id], f"<u{width}").tobytes(), WordEncoder(tokenizer, width)
+        width, end, words = encoder(tokenizer, end_id)
         for batch in batches:
             for k in range(0, len(batch), 256):
                 part = batch.slice(k, 256)
-                ids = [x + end for x in encoder.encode([t.as_py() or "" for t in part.column(1)])]
+                ids = [x + end for x in words.encode([t.as_py() or "" for t in part.column(1)])]
                 n = pa.array([len(x) // width for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "width", "ids"])
 
@@ -250,5 +257,5 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str | None =
     import uuid
 
     path = path or f"{shared_dir(docs.sparkSession)}/wayfold/blocks-{uuid.uuid4().hex}"
-    write_blocks(cut(encoded(docs, tokenizer, end_id, id_col, text_col), "token-ids"), path)
+    write_blocks(cut(encoded(docs, tokenizer, end_id, id_col, text_col), "token-ids", "zstd"), path)
     return path
