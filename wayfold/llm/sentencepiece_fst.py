@@ -17,6 +17,7 @@ lies on either side is composed by itself, and kept for the next time it comes.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -26,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-INFINITE = float("inf")
+_ABSENT = object()
 #: Entries of one worker's tables of words, segments and arcs; past it a table starts anew.
-CACHE = 500_000
+CACHE = 400_000
 
 
 class Model:
@@ -48,6 +49,9 @@ class Model:
         if len(self.bytes) != 256:
             raise ValueError("the model has no byte fallback")
         self.longest = max(map(len, self.pieces))
+        #: Beginnings of pieces, and for whole ones whether merging ever makes them (null: not known yet).
+        self.prefixes: dict[str, bool | None] = {p[:i]: False for p in self.pieces for i in range(1, len(p))}
+        self.prefixes |= dict.fromkeys(self.pieces)
         #: Pairs of characters that stand next to each other inside some piece.
         self.inner = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
         self.lone_newline = not any("\n" in x for x in self.inner)
@@ -58,7 +62,6 @@ class Model:
             self.surface[i] = bytes([b])
         self.kind = "<u2" if len(proto.pieces) <= 1 << 16 else "<u4"
         self._arcs: dict[tuple[str, str], bool] = {}
-        self._alone: dict[str, bool] = {}
         self._segments: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {}
 
@@ -71,7 +74,7 @@ class Model:
         """What merging makes of a short text: the pair with the best score first, the leftmost of equals."""
         parts = list(text)
         while True:
-            best, at = -INFINITE, -1
+            best, at = float("-inf"), -1
             for i in range(len(parts) - 1):
                 found = self.pieces.get(parts[i] + parts[i + 1])
                 if found and found[1] > best:
@@ -90,45 +93,49 @@ class Model:
             found = self._arcs[key] = (a[-1] + b[0]) not in self.inner or self.merged(a + b) == [a, b]
         return found
 
-    def alone(self, piece: str) -> bool:
-        """Whether merging ever makes this piece."""
-        found = self._alone.get(piece)
-        if found is None:
-            found = self._alone[piece] = self.merged(piece) == [piece]
-        return found
+    def starting(self, text: str, i: int) -> list[str]:
+        """Pieces that begin at a place of a text, the longest first; a character that is none stands for its bytes."""
+        out, prefixes = [text[i]], self.prefixes
+        for end in range(i + 2, min(len(text), i + self.longest) + 1):
+            piece = text[i:end]
+            made = prefixes.get(piece, _ABSENT)
+            if made is _ABSENT:
+                break
+            if made is None:
+                made = prefixes[piece] = self.merged(piece) == [piece]
+            if made:
+                out.append(piece)
+        return out[::-1]
 
     def shortest_path(self, text: str) -> list[str]:
         """The pieces on the path of least weight through the lattice of a normalised text.
 
-        States are (place, last piece); a piece weighs 1, a character for byte fallback 10.
+        States are (place, last piece), and all arcs weigh nothing or are infinite, so the
+        first path that reaches the end is the shortest. The search goes on from the longest
+        piece and never enters a state again from which no path leads on.
         """
-        n = len(text)
-        states: list[dict[str, tuple[float, str | None]]] = [{} for _ in range(n + 1)]
-        states[0][""] = (0.0, None)
-        pieces, longest = self.pieces, self.longest
-        for i in range(n):
-            here = states[i]
-            if not here:
-                continue
-            for size in range(1, min(longest, n - i) + 1):
-                piece = text[i : i + size]
-                if size > 1 and (piece not in pieces or not self.alone(piece)):
+        n, arcs, arc = len(text), self._arcs, self.arc
+        path: list[str] = []
+        places, ways, dead = [0], [iter(self.starting(text, 0))], set()
+        while True:
+            at, last = places[-1], path[-1] if path else ""
+            for piece in ways[-1]:
+                if last:
+                    known = arcs.get((last, piece))
+                    if not (arc(last, piece) if known is None else known):
+                        continue
+                end = at + len(piece)
+                if dead and (end, piece) in dead:
                     continue
-                weight = 1.0 if piece in pieces else 10.0
-                best, via = INFINITE, None
-                for last, (w, _) in here.items():
-                    if w + weight < best and (not last or self.arc(last, piece)):
-                        best, via = w + weight, last
-                if via is not None:
-                    states[i + size][piece] = (best, via)
-        out, place = [], n
-        last = min(states[n], key=lambda p: states[n][p][0])
-        while last:
-            out.append(last)
-            via = states[place][last][1]
-            place -= len(last)
-            last = via
-        return out[::-1]
+                path.append(piece)
+                if end == n:
+                    return path
+                places.append(end)
+                ways.append(iter(self.starting(text, end)))
+                break
+            else:
+                ways.pop()
+                dead.add((places.pop(), path.pop()))
 
     # Whole texts.
 
@@ -141,18 +148,17 @@ class Model:
 
     def _cut(self, text: str) -> bytes:
         """Ids of a normalised stretch of text, segment by segment."""
-        out, start = [], 0
-        for i in range(1, len(text) + 1):
-            if i == len(text) or text[i - 1 : i + 1] not in self.inner:
-                segment = text[start:i]
-                ids = self._segments.get(segment)
-                if ids is None:
-                    ids = self._ids(segment)
-                    if len(self._segments) > CACHE:
-                        self._segments.clear()
-                    self._segments[segment] = ids
-                out.append(ids)
-                start = i
+        out, start, inner, known = [], 0, self.inner, self._segments
+        ends = [i + 1 for i, pair in enumerate(map("".join, zip(text, text[1:]))) if pair not in inner]
+        for end in [*ends, len(text)] if text else ():
+            segment = text[start:end]
+            ids = known.get(segment)
+            if ids is None:
+                if len(known) > CACHE:
+                    known.clear()
+                ids = known[segment] = self._ids(segment)
+            out.append(ids)
+            start = end
         return b"".join(out)
 
     def encode(self, text: str) -> np.ndarray:
@@ -175,6 +181,12 @@ class Model:
         return got[1:] if self.prefix and got.startswith(" ") else got
 
 
+@functools.cache
+def loaded(path: str) -> Model:
+    """The compiled model of a file, kept with its tables as long as the worker lives."""
+    return Model(path)
+
+
 def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_tokens, ids, decoded_sha256, round_trip), one for each row of ``docs``, without a shuffle.
 
@@ -183,7 +195,7 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(model_path)
+        model = loaded(model_path)
         for batch in batches:
             for k in range(0, len(batch), 512):
                 part = batch.slice(k, 512)
