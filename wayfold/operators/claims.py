@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 import pandas as pd
@@ -28,6 +29,9 @@ def conflict_groups(cands: DataFrame, row: str, thing: str, rounds: int = 50) ->
     Labels are the least row of a group, spread over shared things until none changes; each
     round is two sums and joins on keys and is checkpointed.
     """
+    context = cands.sparkSession.sparkContext
+    if not context.getCheckpointDir():  # only where the cluster names none, as in tests
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="wayfold-"))
     pairs = cands.select(row, thing).distinct()
     labels = pairs.select(row).distinct().withColumn("conflict", F.col(row))
     for _ in range(rounds):
