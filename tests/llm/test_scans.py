@@ -114,6 +114,31 @@ def test_near_copies_equal_all_pairs(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted({find(i) for i in range(len(texts))})
 
 
+def test_near_copies_finds_cut_extended_and_edited_copies(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(40):
+        b = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(100, 600))]
+        n, new = len(b), lambda k: [f"x{rng.randrange(10**6)}" for _ in range(k)]
+        swapped = list(b)
+        for i in rng.sample(range(n), n // 50):
+            swapped[i] = new(1)[0]
+        texts += [" ".join(c) for c in (b, b[: n - n * 15 // 100], b[n * 15 // 100 :], b + new(n * 20 // 100), swapped, b[: n * 60 // 100])]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {find(i) for i in range(len(texts))} and len(got) < 100
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 

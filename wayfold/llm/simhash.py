@@ -31,8 +31,17 @@ PIVOTS = 4
 #: Near copies share this much of their word shingles of this size.
 SIMILARITY = 0.8
 SHINGLE = 5
+#: Bands of so many minima each over a text's shingles; texts of SIMILARITY share LEAST_BANDS of them but for 4 pairs in 10^9.
+BANDS = 32
+BAND_ROWS = 3
+LEAST_BANDS = 2
+#: Value of ``seg`` of an index row that holds a band.
+_BAND = len(SEGMENTS)
 _WORD = re.compile(r"\w+")
 
+_XOR, _MUL, _MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (3, BANDS * BAND_ROWS), np.uint64)
+_MUL, _MIX = _MUL | np.uint64(1), _MIX | np.uint64(1)
+
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 
 
@@ -81,15 +90,20 @@ def _segments(fp: Column) -> Column:
 
 
 def _index(nodes: DataFrame) -> DataFrame:
-    """Nodes with each of their segment values: seg, key, width."""
-    return nodes.select("*", F.explode(_segments(F.col("fp"))).alias("__s")).select("*", "__s.seg", "__s.key", "__s.width").drop("__s")
+    """Nodes with each of their segment values, and of their ``bands`` if they have any: seg, key, width (0: no ball)."""
+    keys = _segments(F.col("fp"))
+    if "bands" in nodes.columns:
+        keys = F.concat(keys, F.transform("bands", lambda b: F.struct(F.lit(_BAND).alias("seg"), b.alias("key"), F.lit(0).alias("width"))))
+    return nodes.select("*", F.explode(keys).alias("__s")).select("*", "__s.seg", "__s.key", "__s.width").drop("__s", "bands")
 
 
-def _probes(index: DataFrame, half: bool) -> DataFrame:
+def _probes(index: DataFrame, half: bool, banded: bool = False) -> DataFrame:
     """Index rows with ``own`` and, as key, each value of the ball of radius one around it; of half a ball those that set a bit."""
     bits = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), j))
     set_ = F.filter(F.transform(bits, lambda b: F.col("key").bitwiseOR(b)), lambda x: x != F.col("key"))
     ball = set_ if half else F.transform(bits, lambda b: F.col("key").bitwiseXOR(b))
+    if banded:
+        ball = F.when(F.col("width") > 0, ball).otherwise(F.array().cast("array<long>"))
     return index.withColumn("own", F.col("key")).withColumn("key", F.explode(F.concat(F.array("own"), ball))).drop("width")
 
 
@@ -97,10 +111,11 @@ def _sides(probes: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFrame]:
     return probes.select([F.col(c).alias(f"a_{c}") for c in probes.columns]), others.select([F.col(c).alias(f"b_{c}") for c in others.columns])
 
 
-def _found(radius: int) -> Column:
-    """Condition of the search: equal segment values, and complete distances within the radius."""
+def _found(radius: int, banded: bool = False) -> Column:
+    """Condition of the search: an equal band, or equal segment values and complete distances within the radius."""
     same = (F.col("a_seg") == F.col("b_seg")) & (F.col("a_key") == F.col("b_key")) & (F.col("a_id") != F.col("b_id"))
-    return same & (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= radius)
+    near = F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= radius
+    return same & ((F.col("a_seg") == _BAND) | near if banded else near)
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
@@ -116,27 +131,31 @@ def links(nodes: DataFrame, radius: int = RADIUS, central: Column | None = None,
     components that gives are then joined by the complete search, which skips pairs already
     in one component. A dense group of n nodes so leaves about n links, not n squared.
 
+    Nodes with an array ``bands`` are also compared where they share one of its values,
+    whatever their distance.
+
     ``bound`` is a condition on columns of nodes, named a_ and b_, that every link meets, and
     ``verify`` keeps of candidate rows those that are links.
     """
     if radius // len(SEGMENTS) > 1:
         raise ValueError("three segments find up to 5 differing bits")
-    found = _found(radius) & bound if bound is not None else _found(radius)
+    banded = "bands" in nodes.columns
+    found = _found(radius, banded) & bound if bound is not None else _found(radius, banded)
     checked = (lambda pairs, name: cut(verify(cut(pairs, f"{name}-pairs")), name)) if verify else cut
     index = _index(nodes)
     order = [central] if central is not None else []
-    fields = [c for c in nodes.columns]
+    fields = [c for c in nodes.columns if c != "bands"]
     ranked = lambda i: F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)], F.xxhash64(F.lit(i), "id").alias("h"), *fields)
     salts = range(PIVOTS) if central is None else [0]
     pivots = index.groupBy("seg", "key").agg(*[F.min(ranked(i)).alias(f"p{i}") for i in salts], F.count("*").alias("n"))
     kept = F.array_distinct(F.transform(F.array(*[f"p{i}" for i in salts]), lambda p: F.struct(*[p[c].alias(c) for c in fields])))
     crowded = pivots.where("n > 1").select("seg", "key", F.explode(kept).alias("p")).select("seg", "key", "p.*")
-    left, right = _sides(_probes(index, False) if central is not None else index.drop("width"), crowded)
+    left, right = _sides(_probes(index, False, banded) if central is not None else index.drop("width"), crowded)
     first = checked(_pairs(left.join(right, found)), "pivot-links")
     root = connected(first)
     known = cut(nodes.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "pivot-roots")
     index = _index(known)
-    left, right = _sides(_probes(index, True), index.drop("width"))
+    left, right = _sides(_probes(index, True, banded), index.drop("width"))
     rest = left.join(right, found & (F.col("a_root") != F.col("b_root")) & ((F.col("a_own") != F.col("a_key")) | (F.col("a_id") < F.col("b_id"))))
     return first.unionByName(checked(_pairs(rest), "rest-links"))
 
@@ -180,12 +199,35 @@ def word_fingerprint(text: str | None) -> int | None:
     return _majority(hashes)
 
 
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """BANDS values (signed) of a text's shingle hashes, each of BAND_ROWS minima; none without hashes.
+
+    Two texts share a band with the probability J ** BAND_ROWS, J the Jaccard likeness of
+    their hashes: they share none with (1 - 0.8 ** 3) ** 32, about 1e-10, at a J of 0.8.
+    """
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(len(_XOR), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 2048):
+        np.minimum(least, ((hashes[k : k + 2048, None] ^ _XOR) * _MUL).min(axis=0), out=least)
+    mixed = (least ^ (least >> np.uint64(32))) * _MIX
+    return mixed.reshape(BANDS, BAND_ROWS).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def with_common_bands(nodes: DataFrame, least: int = LEAST_BANDS) -> DataFrame:
+    """Rows (id) of nodes (id, bands) of whose bands so many are also another's. No pairs are made."""
+    each = nodes.select("id", F.explode("bands").alias("key"))
+    common = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return each.join(common, "key", "left_semi").groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("id")
+
+
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE) -> DataFrame:
     """Rows (text_id, component_id): the groups of near copies of ``docs`` (doc_id, text).
 
     text_id is the hash of a text, component_id the least doc_id of its group. Equal texts
-    are one node. Candidates are texts whose word fingerprints differ in at most five bits;
-    linked are those of them whose sets of word shingles have the Jaccard ``similarity`` or
+    are one node. Candidates are texts whose word fingerprints differ in at most five bits,
+    and texts that share a band of minima of their shingles, which finds cut, extended and
+    heavily edited copies as well; linked are those of them whose sets of word shingles have the Jaccard ``similarity`` or
     more, exactly. Texts too many of whose shingles are theirs alone are left out before any
     pair is made, and the most ordinary text of each segment value is compared with first:
     it is the one that the others are copies of. A text without words is grouped with its
@@ -196,13 +238,19 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = SH
         for batch in batches:
             fps = [word_fingerprint(x.as_py()) for x in batch.column(2)]
             signed = pa.array([None if f is None else f - (1 << 64) * (f >> 63) for f in fps], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed], names=["doc_id", "text_id", "fp"])
+            ends = batch.column(3).offsets.to_numpy()
+            hashes = batch.column(3).values.to_numpy().view(np.uint64)
+            each = [bands(hashes[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            of = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, each)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *each])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed, of], names=["doc_id", "text_id", "fp", "bands"])
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), text.alias("text")).mapInArrow(run, "doc_id long, text_id long, fp long")
-    nodes = cut(marked.groupBy("text_id").agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("fp")), "distinct-texts")
-    searched = nodes.where("fp IS NOT NULL").select(F.col("text_id").alias("id"), "fp")
-    close = sized(cut(with_neighbours(searched, 5), "close-texts"), 500_000)
+    hashed = with_shingles(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), text.alias("text")), "text", "s", words)
+    marked = hashed.select("doc_id", "text_id", "text", "s").mapInArrow(run, "doc_id long, text_id long, fp long, bands array<long>")
+    nodes = cut(marked.groupBy("text_id").agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "distinct-texts")
+    searched = nodes.where("fp IS NOT NULL").select(F.col("text_id").alias("id"), "fp", "bands")
+    near = with_neighbours(searched.drop("bands"), 5).unionByName(with_common_bands(searched)).distinct()
+    close = sized(cut(near, "close-texts"), 500_000)
     texts = docs.select(F.xxhash64(text).alias("id"), "text").join(close, "id", "left_semi").dropDuplicates(["id"])
     sets = cut(with_shingles(texts, "text", "s", words).select("id", "s"), "shingle-sets")
     # Shingles that no other of these texts has are in no intersection: what is left bounds the likeness from above.
@@ -218,6 +266,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = SH
         return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
     found = links(able, 5, F.lit(1) - F.col("common") / F.col("n"), bound, verify)
+    nodes = nodes.drop("bands")
     rooted = nodes.join(connected(found).withColumnRenamed("node", "text_id"), "text_id", "left").select("text_id", "least_id", F.coalesce("root", "text_id").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return rooted.join(least, "root").select("text_id", "component_id")
