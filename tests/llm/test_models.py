@@ -32,6 +32,13 @@ def test_word_encoder_equals_library(text):
     assert np.frombuffer(enc.encode([text])[0], "<u2").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ['say "foo", x', "(foo).", "a),", "x%.", '29B"!! end', "İ. naïvé. 7. x²;", "é́.", "a_.", "don't. it's' .", "“q”.", "...\"."])
+def test_word_encoder_keeps_runs_of_punctuation(text):
+    enc = token_output.WordEncoder(PATH, 2)
+    for t in (text, text.upper()):
+        assert np.frombuffer(enc.encode([t])[0], "<u2").tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("where", ["small", "odd_dir", "empty_dir"])
 def test_token_files_equal_library(spark, where, request):
     from tokenizers import Tokenizer

@@ -126,9 +126,10 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def word(self, word: bytes) -> bytes:
-        """Ids of one word. Closing punctuation is a token of its own, and words of letters alone need no normaliser."""
+        """Ids of one word. Closing punctuation after a letter or digit is a token of its own; after anything else it is part of
+        a longer run, and the word is encoded whole. Words of letters alone need no normaliser."""
         stem = word.rstrip(b".,!?;:")
-        if stem != word and stem:
+        if stem != word and stem.decode().lower()[-1:].isalnum():
             tail = word[len(stem) :]
             return (self.cache.get(stem) or self.word(stem)) + (self.cache.get(tail) or self.word(tail))
         text = word.decode()
