@@ -198,6 +198,13 @@ def test_pii_patterns_at_the_edges(t):
     assert ",".join(f"{k}:{s}:{e}" for s, e, k, _ in pii.find(t) if k != "iban") == slow_base_pii(t)
 
 
+@pytest.mark.parametrize("after", ["", " BIC COBADEFFXXX", " USD 50", " 2024", " and", ", GB", " DE89370400440532013000", " A" * 40, " AAAA" * 20])
+@pytest.mark.parametrize("iban", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO9386011117947"])
+def test_iban_before_capitals_and_digits(iban, after):
+    got = [(s, e) for s, e, k, _ in pii.find(f"IBAN {iban}{after}") if k == "iban"]
+    assert got[0] == (5, 5 + len(iban)) and len(got) == 1 + after.count("DE89")
+
+
 def test_pii_long_runs_are_linear_and_context_counts():
     assert pii.find("a" * 300_000 + "@" + "1" * 300_000) == []
     assert [k for *_, k, _ in pii.find("IBAN DE89370400440532013000")] == ["iban"]
