@@ -57,7 +57,7 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secrets(table(spark, sf_dir, "documents"))
     base = F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256")
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", base, secret_scan.listed(F.col("spans")).alias("spans"), "n_live", "n_copied")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", base, secret_scan.listed(F.col("spans")).alias("spans"), "n_live", "n_copied", "n_base_live", "n_base_copied")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 Fixed patterns give the base spans. The method adds spans of kind ``key``: long mixed
 tokens that look like keys. Whether such a token is a live credential or an example that
-everybody copies is told by how it is spread: the hash of each candidate is counted over
-distinct owners and distinct repositories of the whole corpus, and only candidates of few
-owners are reported.
+everybody copies is told by how it is spread: the hash of each candidate, the secrets of
+base spans included, is counted over distinct owners and distinct repositories of the whole
+corpus. Of the added kind only candidates of few owners and few repositories are reported;
+base spans are all reported, and their verdicts counted.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ KINDS = (
 KEY = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+"
 #: A candidate that more owners than this have is a copied example.
 MAX_OWNERS = 2
+#: So is one that more repositories than this have, be they of one owner.
+MAX_REPOSITORIES = 20
 ORDER = ("assign", "access", "hex", "key")
 
 
@@ -87,25 +90,33 @@ def ownership(found: DataFrame, column: str = "candidates") -> DataFrame:
     return by_owner.groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
 
 
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """Rows (doc_id, text_hash, n_assign, n_access, n_hex, base, spans, n_live, n_copied), one for each row of ``docs``.
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """Rows (doc_id, text_hash, n_assign, n_access, n_hex, base, spans, n_live, n_copied, n_base_live, n_base_copied), one for each row of ``docs``.
 
-    spans has the base spans and the key-like candidates of at most ``max_owners`` owners;
-    n_live counts those, n_copied the candidates left out as widely copied. Repeated rows
-    get equal results; a null or empty text has no spans.
+    A secret is live if at most ``max_owners`` owners and ``max_repositories`` repositories
+    have its value, under whatever kind; else it is copied. spans has the base spans and the
+    live key-like candidates; n_live counts those, n_copied the candidates left out, and
+    n_base_live and n_base_copied the base spans of each verdict. Repeated rows get equal
+    results; a null or empty text has no spans.
     """
-    found = scan(docs, id_col, text_col)
-    each = found.where(F.size("candidates") > 0).select("doc_id", "text_hash", F.explode("candidates").alias("s")).distinct()
+    found = scan(docs, id_col, text_col).withColumn("all", F.concat("base", "candidates"))
+    each = found.where(F.size("all") > 0).select("doc_id", "text_hash", F.explode("all").alias("s")).distinct()
     each = each.withColumn("value_hash", F.sha2(F.col("s.value"), 256))
-    judged = each.join(ownership(found), "value_hash").select("doc_id", "text_hash", "s", (F.col("owners") <= max_owners).alias("live"))
-    of = judged.groupBy("doc_id", "text_hash").agg(F.collect_list(F.when(F.col("live"), F.col("s"))).alias("added"), F.sum(F.when(~F.col("live"), 1).otherwise(0)).alias("copied"))
+    live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    judged = each.join(ownership(found, "all"), "value_hash").select("doc_id", "text_hash", "s", live.alias("live"), (F.col("s.kind") == "key").alias("key"))
+    count_if = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    of = judged.groupBy("doc_id", "text_hash").agg(
+        F.collect_list(F.when(F.col("key") & F.col("live"), F.col("s"))).alias("added"), count_if(F.col("key") & ~F.col("live")).alias("copied"),
+        count_if(~F.col("key") & F.col("live")).alias("base_live"), count_if(~F.col("key") & ~F.col("live")).alias("base_copied"),
+    )
     of = of.withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
     joined = found.join(of, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left")
     none = F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")
     added = F.coalesce("added", none)
     count = lambda k: F.size(k).cast("long").alias(f"n_{k}")
+    total = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(f"n_{c}")
     return joined.select(
-        "doc_id", "text_hash", count("assign"), count("access"), count("hex"), "base", F.concat("base", added).alias("spans"), F.size(added).cast("long").alias("n_live"), F.coalesce("copied", F.lit(0)).cast("long").alias("n_copied")
+        "doc_id", "text_hash", count("assign"), count("access"), count("hex"), "base", F.concat("base", added).alias("spans"), F.size(added).cast("long").alias("n_live"), total("copied"), total("base_live"), total("base_copied")
     )
 
 
