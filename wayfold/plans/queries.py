@@ -114,6 +114,18 @@ def norm_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(words).cast("long").alias("n_words"), F.array_join(F.slice(words, 1, 5), "|").alias("head"))
 
 
+@query("""
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, sha256(array_to_string(w, '|')) AS words_sha256 FROM (
+    SELECT doc_id, list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace(
+        translate(replace(replace(replace(replace(lower(text), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), 'àâçéèêëîïíñóôùûúá', 'aaceeeeiiinoouuua'),
+        '[\\-–—_/.''`’]+', ' ', 'g'), '[^\\w\\s]+', '', 'g'), '[\\t\\n\\r\\f]+', '', 'g'), ' +'), lambda x: x <> '') AS w FROM documents)
+""")
+def norm_whole_texts(spark: SparkSession, d: str) -> DataFrame:
+    """STR01 over the whole text of each document: a digest of all its words."""
+    words = F.filter(F.split(text.norm("text"), " "), lambda w: w != "")
+    return table(spark, d, "documents").select("doc_id", F.size(words).cast("long").alias("n_words"), F.sha2(F.array_join(words, "|"), 256).alias("words_sha256"))
+
+
 @query("""
 SELECT p_partkey, trim(regexp_replace(regexp_replace(c, '\\s*\\(.*$', ''), ';.*$', '')) AS primary_name, CAST(CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_variants,
     CASE WHEN p_partkey % 2 = 0 THEN p_brand || '; ' || p_type ELSE p_brand END AS remark
