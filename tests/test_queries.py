@@ -45,6 +45,12 @@ def test_queries_without_sql(spark, tmp_path):
     assert {r.result for r in plans.match_names(spark, D).collect()} <= {"matched", "ambiguous", "not found"}
 
 
+def test_glyph_blocks_reads_all_runs_of_a_text(spark, tmp_path):
+    spark.createDataFrame([("é and я, then 漢é", "en", "a")], "text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.block: r.label for r in plans.glyph_blocks_whole_texts(spark, str(tmp_path)).collect()}
+    assert got == {"0-255": "doc en a", "1024-1279": "я", "28416-28671": "漢é"}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(plans.SQL) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())

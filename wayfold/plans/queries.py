@@ -543,6 +543,19 @@ def glyph_blocks(spark: SparkSession, d: str) -> DataFrame:
     return checks.offending_blocks(labels, "text", ["256-511"])
 
 
+@query("""
+SELECT CASE WHEN code < 256 THEN '0-255' ELSE (code // 256 * 256)::VARCHAR || '-' || (code // 256 * 256 + 255)::VARCHAR END AS block, min(text) AS label
+FROM (SELECT text, unnest(list_transform(list_distinct(string_split(text, '')), lambda c: unicode(c))) AS code FROM (SELECT 'doc ' || lang || ' ' || source AS text FROM documents UNION SELECT unnest(regexp_extract_all(text, '[^ -~\\n]+')) FROM documents) WHERE text <> '')
+WHERE code // 256 <> 1 GROUP BY 1
+""")
+def glyph_blocks_whole_texts(spark: SparkSession, d: str) -> DataFrame:
+    """AGG19, STR25: the first label of each block of letters that is not there, all runs of each text being labels."""
+    docs = table(spark, d, "documents")
+    runs = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[^ -~\n]+"), F.lit(0)))).alias("text"))
+    labels = docs.select(F.concat_ws(" ", F.lit("doc"), "lang", "source").alias("text")).unionByName(runs).distinct()
+    return checks.offending_blocks(labels, "text", ["256-511"])
+
+
 @query("""SELECT doc_id, sha1(encode('blob ' || octet_length(encode(text)) || chr(0)) || encode(text)) AS blob FROM documents""")
 def git_blob_hash(spark: SparkSession, d: str) -> DataFrame:
     """STR26, SNK04."""
