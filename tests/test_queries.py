@@ -51,6 +51,23 @@ def test_glyph_blocks_reads_all_runs_of_a_text(spark, tmp_path):
     assert got == {"0-255": "doc en a", "1024-1279": "я", "28416-28671": "漢é"}
 
 
+def test_relations_of_the_scan_equal_brute_force(spark):
+    import numpy as np
+
+    read = lambda n: spark.read.parquet(f"{D}/{n}.parquet")
+    part = {r.p_partkey: (np.float32(7.8 + r.p_partkey * 7919 % 1750 / 1000), np.float32(54.15 + r.p_partkey * 104729 % 970 / 1000)) for r in read("part").collect()}
+    first, spots = {}, {}
+    for r in sorted(read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey").collect()):
+        if r.l_partkey in part:
+            first.setdefault(r.l_orderkey, part[r.l_partkey])
+    for r in read("orders").collect():
+        spots.setdefault(r.o_custkey, []).extend([first[r.o_orderkey]] if r.o_orderkey in first else [])
+    got = {r.id: (r.lon, r.lat) for r in plans.relation_positions(spark, D).collect()}
+    assert set(got) == set(spots) and got
+    for i, p in spots.items():
+        assert got[i] == (pytest.approx(np.mean([float(x) for x, _ in p]) * 1e6, abs=0.6), pytest.approx(np.mean([float(y) for _, y in p]) * 1e6, abs=0.6))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(plans.SQL) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())

@@ -614,6 +614,18 @@ def candidate_scan(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("t").agg(F.count("*").alias("n"), micro("lon"), micro("lat"))
 
 
+@query(f"""
+WITH n AS (SELECT p_partkey AS id, {_pos('p_partkey')} FROM part),
+firsts AS (SELECT l_orderkey, CAST(n.lon AS FLOAT) AS lon, CAST(n.lat AS FLOAT) AS lat FROM lineitem JOIN n ON n.id = l_partkey QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = 1),
+means AS (SELECT o_custkey AS id, avg(CAST(lon AS DOUBLE)) AS lon, avg(CAST(lat AS DOUBLE)) AS lat FROM orders JOIN firsts ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT c_custkey AS id, CAST(round(lon * 1000000) AS BIGINT) AS lon, CAST(round(lat * 1000000) AS BIGINT) AS lat FROM customer LEFT JOIN means ON id = c_custkey WHERE c_custkey IN (SELECT o_custkey FROM orders)
+""")
+def relation_positions(spark: SparkSession, d: str) -> DataFrame:
+    """SRC01-SRC09, AGG04-AGG07: the relations of the candidate scan, each at the mean of its member ways' first usable nodes."""
+    got = extracts.candidates(_extract(spark, d)).where("t = 'r'")
+    return got.select("id", *[F.round(F.col(c) * 1_000_000).cast("long").alias(c) for c in ("lon", "lat")])
+
+
 @query("""
 SELECT c_custkey AS id, count(*) AS n_ways, min(o_orderkey) AS first_way FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1
 """)
