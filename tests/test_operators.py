@@ -162,6 +162,23 @@ def test_match_results(spark):
     assert {r.row_id: r.result for r in match_plan.match(rows, objects, taken).collect()}["1"] == "not found"
 
 
+def test_match_applies_hints_members_and_review(spark):
+    far = {"place": "hamlet"}
+    objects = spark.createDataFrame([
+        ("a", "w", 1, 8.9, 54.7, {"name": "One", "place": "village"}), ("a", "n", 2, 8.9, 54.7001, {"name": "One", "place": "village"}),
+        ("a", "n", 3, 11.0, 53.0, {"name": "Far"} | far),
+        ("a", "n", 4, 11.0, 53.0, {"name": "Weak", "place": "town"}), ("a", "n", 5, 8.9, 54.7, {"name": "x", "alt_name": "Weak", "place": "town"}),
+        ("a", "n", 6, 8.0, 54.3, {"name": "Many", "place": "town"}), ("a", "n", 7, 9.0, 54.9, {"name": "Many", "place": "town"}),
+        ("a", "n", 8, 9.54, 54.7, {"name": "Edge", "place": "town"}), ("a", "n", 9, 9.7, 54.7, {"name": "Edge", "place": "town"}),
+        ("a", "n", 10, 11.0, 53.0, {"name": "Again"} | far), ("a", "n", 11, 8.9, 54.7, {"name": "y", "alt_name": "Again", "place": "town"}),
+    ], OBJECTS)
+    rows = [("1", "one", None, False), ("2", "far", None, False), ("3", "weak", None, False), ("4", "many", "north", False), ("5", "many", None, False), ("6", "edge", None, False), ("7", "one", "north", False), ("8", "weak", "south", True), ("9", "again", None, False)]
+    circles = spark.createDataFrame([("north", 9.0, 54.9, 8.0), ("south", 11.0, 53.0, 8.0)], "hint string, lon double, lat double, km double")
+    got = {r.row_id: (r.result, r.id) for r in match_plan.match(spark.createDataFrame(rows, "row_id string, name string, hint string, home_only boolean"), objects, None, circles).collect()}
+    review = ("ambiguous", None)
+    assert got == {"1": ("matched", 2), "2": review, "3": review, "4": ("matched", 7), "5": review, "6": review, "7": review, "8": review, "9": ("matched", 11)}
+
+
 def test_kinds_narrow_and_absorb(spark):
     from wayfold.operators.kinds import BY_NAME
 

@@ -11,6 +11,7 @@ RIVER_KM = 30.0
 STRETCH_KM = 5.0
 BOUNDARY_KM = 10.0
 MINOR_PLACE_KM = 50.0
+SEPARATION_KM = 30.0
 UNPLACED_KM = 500.0
 KM_PER_POINT = 200.0
 ITEM_BONUS = 8.0

@@ -2,32 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo
-from ..operators import clustering, matching
+from ..constants import MINOR_PLACES, SEPARATION_KM
+from ..functions import geo, tags
+from ..operators import clustering, lookup, matching
 
 
-def match(rows: DataFrame, objects: DataFrame, taken: DataFrame | None = None) -> DataFrame:
-    """Rows (row_id, result, n_best, n_clusters, cluster, lon, lat) for rows (row_id, name).
+def _winner(g: Column, circle: Column) -> Column:
+    """The clear one of a row's clusters, else null: the only one in the hint's circle; without a hint the only one, or the only one at home that stands apart from all others."""
+    near = F.filter(g, lambda c: lookup.in_circle(c["lon"], c["lat"], circle))
+    home = F.filter(g, lambda c: c["home"])
+    first = F.get(home, F.lit(0))
+    apart = F.forall(g, lambda c: (c["cluster"] == first["cluster"]) | (geo.km_or(geo.haversine(c["lon"], c["lat"], first["lon"], first["lat"]), float("inf")) > SEPARATION_KM))
+    return F.when(circle.isNotNull(), F.when(F.size(near) == 1, F.get(near, F.lit(0)))).when(F.size(g) == 1, F.get(g, F.lit(0))).when((F.size(home) == 1) & apart, first)
+
+
+def match(rows: DataFrame, objects: DataFrame, taken: DataFrame | None = None, circles: DataFrame | None = None) -> DataFrame:
+    """Rows (row_id, result, n_best, n_clusters, cluster, t, id, lon, lat) for rows (row_id, name).
 
     Candidates are objects with an equal normalised name that no claim (t, id) holds. Those
     of the best rank are grouped; one group, or one that alone lies in the home region, is
-    matched, several are ambiguous, none is not found.
+    matched, several are ambiguous, none is not found. A column ``hint`` of the rows names a
+    circle (hint, lon, lat, km) that the one group must lie in, and ``home_only`` tells that
+    a match elsewhere is implausible. If the winner is implausible, all candidates are
+    grouped; a winner still for review is ambiguous. t, id, lon and lat are those of the
+    group's object that suits best to carry the name.
     """
     hits = matching.lookup(rows.select("row_id", "name"), matching.name_index(objects)).join(objects.select("src", "t", "id", "lon", "lat", "tags"), ["src", "t", "id"])
     cands = matching.ranked_candidates(hits)
     if taken is not None:
         cands = cands.join(taken.select("t", "id").distinct(), ["t", "id"], "left_anti")
-    best = matching.split_by_rank(cands).where("best")
-    groups = clustering.clusters(best, ["row_id"], ["t", "id"]).withColumn("home", geo.in_box("lon", "lat"))
-    per_row = groups.groupBy("row_id").agg(
-        F.count("*").alias("n_clusters"), F.sum(F.size("members")).alias("n_best"), F.sum(F.col("home").cast("int")).alias("n_home"),
-        F.min(F.struct((~F.col("home")).alias("away"), "cluster", "lon", "lat")).alias("c"),
-    )
-    clear = (F.col("n_clusters") == 1) | (F.col("n_home") == 1)
-    out = rows.select("row_id").join(per_row, "row_id", "left")
-    result = F.when(F.col("n_clusters").isNull(), "not found").when(clear, "matched").otherwise("ambiguous")
-    won = lambda c: F.when(clear, F.col(f"c.{c}")).alias(c)
-    return out.select("row_id", result.alias("result"), F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("n_clusters", F.lit(0)).alias("n_clusters"), won("cluster"), won("lon"), won("lat"))
+    ranked = matching.split_by_rank(cands)
+    more = ranked.where("not best").select("row_id").distinct()
+    tiers = ranked.where("best").withColumn("tier", F.lit(0)).unionByName(ranked.join(more, "row_id", "left_semi").withColumn("tier", F.lit(1)))
+    groups = clustering.clusters(tiers, ["row_id", "tier"], ["t", "id"])
+    minor = F.exists("members", lambda m: F.coalesce(m["tags"]["place"].isin(*MINOR_PLACES), F.lit(False)))
+    one = F.struct("cluster", "lon", "lat", geo.in_box("lon", "lat").alias("home"), minor.alias("minor"), "members")
+    packed = groups.groupBy("row_id", "tier").agg(F.collect_list(one).alias("g"))
+    weaker = ranked.where(~F.col("best") & geo.in_box("lon", "lat")).groupBy("row_id").agg(F.collect_list(F.struct("t", "id")).alias("weaker"))
+    home_only = F.coalesce(F.col("home_only"), F.lit(False)) if "home_only" in rows.columns else F.lit(False)
+    out = rows.select("row_id", home_only.alias("home_only"), *[c for c in ("hint",) if c in rows.columns])
+    if circles is not None:
+        out = out.join(circles.select("hint", F.struct("lon", "lat", "km").alias("circle")), "hint", "left")
+    else:
+        out = out.withColumn("circle", F.lit(None).cast("struct<lon:double,lat:double,km:double>"))
+    for k in (0, 1):
+        out = out.join(packed.where(F.col("tier") == k).select("row_id", F.col("g").alias(f"g{k}")), "row_id", "left")
+    out = out.join(weaker, "row_id", "left").withColumns({f"w{k}": _winner(F.col(f"g{k}"), F.col("circle")) for k in (0, 1)})
+    km = lambda w: geo.from_centre(w["lon"], w["lat"])
+    review = lambda w, hinted, lower: F.coalesce(matching.needs_review(w["home"], F.col("home_only"), w["minor"], km(w), hinted, lower), F.lit(False))
+    doubtful = lambda w: review(w, F.lit(True), F.lit(False))
+    again = F.col("w0").isNotNull() & doubtful(F.col("w0")) & F.col("w1").isNotNull() & ~doubtful(F.col("w1"))
+    out = out.withColumns({"w": F.when(again, F.col("w1")).otherwise(F.col("w0")), "g": F.when(again, F.col("g1")).otherwise(F.col("g0"))})
+    others = F.exists(F.coalesce("weaker", F.array().cast("array<struct<t:string,id:bigint>>")), lambda x: ~F.exists(F.col("w.members"), lambda m: (m["t"] == x["t"]) & (m["id"] == x["id"])))
+    clear = F.col("w").isNotNull() & ~review(F.col("w"), F.col("circle").isNotNull(), F.coalesce(others, F.lit(False)))
+    best = F.get("w.members", matching.best_member(F.col("w.members"), lambda m: matching.member_score(matching.place_fit(m["t"], m["tags"]), m)).cast("int"))
+    out = out.withColumn("clear", clear).withColumn("m", F.when(F.col("clear"), best))
+    result = F.when(F.col("g0").isNull(), "not found").when(F.col("clear"), "matched").otherwise("ambiguous")
+    n_best = F.aggregate("g0", F.lit(0).cast("long"), lambda s, c: s + F.size(c["members"]))
+    return out.select("row_id", result.alias("result"), F.coalesce(n_best, F.lit(0)).alias("n_best"), F.when(F.col("g").isNull(), F.lit(0)).otherwise(F.size("g")).cast("long").alias("n_clusters"), F.when(F.col("clear"), F.col("w.cluster")).alias("cluster"), *[F.col(f"m.{c}").alias(c) for c in ("t", "id", "lon", "lat")])

@@ -97,9 +97,11 @@ def name_exact_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def match_names(spark: SparkSession, d: str) -> DataFrame:
-    """The whole match plan for supplier and part names."""
-    rows = table(spark, d, "part").select(F.col("p_brand").alias("row_id"), F.concat("p_name", F.lit(" ("), F.col("p_brand"), F.lit(")")).alias("name"))
-    return match_plan.match(rows.groupBy("row_id").agg(F.min("name").alias("name")), _places(spark, d))
+    """The whole match plan for all distinct part names, alone and with their brands, and supplier names; row_id is the name."""
+    p = table(spark, d, "part")
+    names = p.select(F.col("p_name").alias("name")).unionByName(p.select(F.concat("p_name", F.lit(" ("), F.col("p_brand"), F.lit(")")).alias("name")))
+    names = names.unionByName(table(spark, d, "supplier").select(F.col("s_name").alias("name"))).distinct()
+    return match_plan.match(names.withColumn("row_id", F.col("name")), _places(spark, d))
 
 
 @query("""
