@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -11,13 +12,20 @@ from pyspark.sql import functions as F
 from ..ship import ship
 
 
+#: Rows of one Arrow batch that goes to a Python worker, where the session has Spark's default of 10,000.
+BATCH_ROWS = 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    It is set to a fresh local folder only where the session has none (tests, local mode).
+    In local mode a fresh local folder is set where the session has none, as in tests; on a
+    cluster, whose executors would not see such a folder, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="wayfold-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -34,27 +42,62 @@ def cut(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, rows: int = 200_000) -> DataFrame:
+def sized(df: DataFrame, rows: int = 200_000, size: Column | None = None, most: int = 64 << 20) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is (a shuffled join).
 
-    For narrow tables only, whose rows are a few dozen bytes.
+    Rows of a few numbers or hashes are bounded by their count alone; for wider ones ``size``
+    gives a row's bytes, and all rows together have at most ``most``.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    width = F.lit(0) if size is None else size
+    got = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if got["n"] <= rows and got["bytes"] <= most else df
 
 
 _LIVE: dict[str, object] = {}
 
 
 def living(key: str, model: object) -> object:
-    """The first copy of a model that this worker got, with what it has cached; only the latest model is kept."""
+    """The first copy of a model that this worker got, with its words; only the latest model is kept.
+
+    What a model keeps is bounded by a constant of its module, a few MB.
+    """
     if key not in _LIVE:
         _LIVE.clear()
         _LIVE[key] = model
     return _LIVE[key]
 
 
+def least_hashes(rows: DataFrame, n: int, k: int, id_col: str = "doc_id") -> DataFrame:
+    """The ``k`` rows of ``n`` whose ids have the least hashes; all rows if there are no more than k.
+
+    A first cut at a hash that a few more than k rows lie below, on the whole 63-bit range,
+    leaves the ordering little to do; with any number of rows some k are found.
+    """
+    if n <= k:
+        return rows
+    h = F.xxhash64(F.col(id_col)).bitwiseAND(F.lit((1 << 63) - 1))
+    share = min(1.0, (k + 6 * math.sqrt(k) + 20) / n)
+    return rows.withColumn("__h", h).where(F.col("__h") <= F.lit(int(share * ((1 << 63) - 1)))).orderBy("__h", id_col).limit(k).drop("__h")
+
+
+def within_chars(texts: DataFrame, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of a bounded sample the rows that fit into ``most`` characters, taken by the hash of their ids; at least one row."""
+    sizes = texts.select(F.xxhash64(F.col(id_col)).alias("h"), F.length(text_col).alias("n")).collect()
+    total, last = 0, None
+    for r in sorted(sizes, key=lambda r: (r["h"], r["n"])):
+        total += r["n"] or 0
+        if last is not None and total > most:
+            break
+        last = r["h"]
+    else:
+        return texts
+    return texts.where(F.xxhash64(F.col(id_col)) <= F.lit(last))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -69,7 +112,9 @@ def connected(edges: DataFrame, rounds: int = 64) -> DataFrame:
     Alternates large-star and small-star steps until a round changes nothing. Each step is
     an aggregate with map-side combine and an equi-join, so a node with very many
     neighbours is summed before the shuffle and split by the adaptive skew join after it.
-    Self-links and null ends are ignored; nodes without a link do not appear.
+    Self-links and null ends are ignored; nodes without a link do not appear. The rounds grow
+    with the logarithm of the longest chain; as many as the bound would take more nodes than
+    there are ids, so reaching it is an error.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = cut(pairs, "links")

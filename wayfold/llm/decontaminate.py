@@ -92,10 +92,10 @@ def leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, threshold: floa
     """
     items = items.select("item_id", "text").where(F.col("text").isNotNull()).distinct()
     found = cut(candidates(docs, items, words, id_col, text_col), "leak-candidates")
-    by_doc = sized(found.groupBy("__key").agg(F.collect_list("item_id").alias("__items")))
+    by_doc = sized(found.groupBy("__key").agg(F.collect_list("item_id").alias("__items")), size=F.size("__items") * 8 + 16)
     mine = with_key(docs, id_col, text_col).select("__key", F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(by_doc, "__key")
     mine = _with_texts(mine, "text", "s", words).select("__key", "doc_id", "s", F.explode(F.array_distinct("__items")).alias("item_id"))
-    theirs = sized(cut(_with_texts(items, "text", "t", words).select("item_id", "t"), "item-shingles"), 20_000)
+    theirs = sized(cut(_with_texts(items, "text", "t", words).select("item_id", "t"), "item-shingles"), 20_000, F.length(F.array_join("t", "")) + F.size("t") * 8)
     both = mine.join(theirs, "item_id").withColumn("n_shared", F.size(F.array_intersect("t", "s")))
     return both.select("__key", "doc_id", "item_id", "n_shared", F.size("t").alias("n_item"), (F.col("n_shared") / F.size("t")).alias("containment")).where(F.col("containment") >= threshold)
 
