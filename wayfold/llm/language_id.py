@@ -17,16 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import living
+from .common import cut, least_hashes, living, within_chars
 
-#: Bound on the documents a model learns from; of more, those with the least hashes of their ids are taken, a like share of all.
+#: Bounds on the documents a model learns from, in number and in characters together; of more, those with the least hashes of their ids.
 MAX_TRAIN_DOCS = 6000
+MAX_TRAIN_CHARS = 40_000_000
 #: Bound on the words of one model: the most frequent, each seen twice or more.
 MAX_WORDS = 100_000
 LONGEST = 4
 UNKNOWN = "und"
 #: Distinct words of one worker's cache; past it the cache starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 
 def words(text: str) -> list[str]:
@@ -103,16 +104,18 @@ def _posteriors(counts: dict[str, np.ndarray], totals: np.ndarray, smooth: float
     return out
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = MAX_TRAIN_DOCS) -> Model:
-    """A model from rows with a text and a language. Without any, it knows no language.
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = MAX_TRAIN_DOCS, max_chars: int = MAX_TRAIN_CHARS) -> Model:
+    """A model from rows with a text and a language. Without any, as from an empty table, it knows no language.
 
-    Words are counted in Spark over a bounded sample (``max_docs``); what reaches the driver
-    is bounded by that sample's distinct words.
+    Words are counted in Spark over a bounded sample; what reaches the driver is bounded by
+    that sample's distinct words. Rows without an id are sampled like any other.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = rows.select(lang_col).count()
-    if n > max_docs:
-        rows = rows.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < int(1_000_000 * max_docs / n))
+    picked = cut(least_hashes(rows.select(id_col, lang_col, text_col), n, max_docs, id_col), "language-sample")
+    if n and not picked.limit(1).count():
+        raise RuntimeError("no document in the sample")
+    rows = within_chars(picked, max_chars, id_col, text_col)
     each = rows.select(F.col(lang_col).alias("lang"), F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+")).alias("w")).where("w <> ''")
     counted = each.groupBy("lang", "w").agg(F.count("*").alias("n")).toArrow()
     langs = sorted(set(counted["lang"].to_pylist()))
@@ -139,15 +142,15 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """Rows (doc_id, lang_pred, score), one for each row of ``docs``, without a shuffle.
 
     A null text, or one without a letter, is ``und`` with score 0; ties go to the first
-    language in order of name.
+    language in order of name. An empty table gives an empty result.
     """
-
     key = uuid.uuid4().hex
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kept = living(key, model)
-        for batch in batches:
-            got = [kept.predict(t.as_py() or "") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
+        for texts in batches:
+            got = [kept.predict(t.as_py() or "") for t in texts]
+            yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    found = F.arrow_udf(run, "lang_pred string, score double")(F.col(text_col))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), found.alias("__p")).select("doc_id", "__p.lang_pred", "__p.score")
