@@ -31,9 +31,9 @@ PIVOTS = 4
 #: Near copies share this much of their word shingles of this size.
 SIMILARITY = 0.8
 SHINGLE = 5
-#: Bands of so many minima each over a text's shingles; texts of SIMILARITY share LEAST_BANDS of them but for 4 pairs in 10^9.
-BANDS = 32
-BAND_ROWS = 3
+#: Bands of so many minima each over a text's shingles; texts of SIMILARITY share LEAST_BANDS of them but for 2 pairs in 10^6.
+BANDS = 40
+BAND_ROWS = 5
 LEAST_BANDS = 2
 #: Value of ``seg`` of an index row that holds a band.
 _BAND = len(SEGMENTS)
@@ -203,7 +203,8 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     """BANDS values (signed) of a text's shingle hashes, each of BAND_ROWS minima; none without hashes.
 
     Two texts share a band with the probability J ** BAND_ROWS, J the Jaccard likeness of
-    their hashes: they share none with (1 - 0.8 ** 3) ** 32, about 1e-10, at a J of 0.8.
+    their hashes: they share none with (1 - 0.8 ** 5) ** 40, about 1e-7, at a J of 0.8, and
+    one of a J of 0.3 is shared by one pair in ten.
     """
     if not len(hashes):
         return np.zeros(0, np.int64)
@@ -221,37 +222,47 @@ def with_common_bands(nodes: DataFrame, least: int = LEAST_BANDS) -> DataFrame:
     return each.join(common, "key", "left_semi").groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("id")
 
 
+def _text_keys(text: Column) -> list[Column]:
+    """Two hashes that together stand for a text: 128 bits, so that no two texts of a corpus share them."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(SEED), text).alias("t2")]
+
+
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE) -> DataFrame:
-    """Rows (text_id, component_id): the groups of near copies of ``docs`` (doc_id, text).
-
-    text_id is the hash of a text, component_id the least doc_id of its group. Equal texts
-    are one node. Candidates are texts whose word fingerprints differ in at most five bits,
-    and texts that share a band of minima of their shingles, which finds cut, extended and
-    heavily edited copies as well; linked are those of them whose sets of word shingles have the Jaccard ``similarity`` or
-    more, exactly. Texts too many of whose shingles are theirs alone are left out before any
-    pair is made, and the most ordinary text of each segment value is compared with first:
-    it is the one that the others are copies of. A text without words is grouped with its
-    equals only.
+    """Rows (t1, t2, least_id, n, component_id, kept): the distinct texts of ``docs`` (doc_id, text) and their groups.
+
+    t1 and t2 are the hashes of a text, least_id and n the least doc_id and the number of
+    its rows, component_id the least doc_id of its group, and kept tells the one text of the
+    group that has it. Candidates are texts whose word fingerprints differ in at most five
+    bits, and texts that share bands of minima of their shingles, which finds cut, extended
+    and heavily edited copies as well; linked are those of them whose sets of word shingles
+    have the Jaccard ``similarity`` or more, exactly. Texts too many of whose shingles are
+    theirs alone are left out before any pair is made, and the most ordinary text of each
+    segment value is compared with first: it is the one that the others are copies of. A
+    text without words is grouped with its equals only; null counts as empty. Of a group
+    without any doc_id the text of the least hash is kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = [word_fingerprint(x.as_py()) for x in batch.column(2)]
-            signed = pa.array([None if f is None else f - (1 << 64) * (f >> 63) for f in fps], pa.int64())
-            ends = batch.column(3).offsets.to_numpy()
-            hashes = batch.column(3).values.to_numpy().view(np.uint64)
-            each = [bands(hashes[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            of = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, each)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *each])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed, of], names=["doc_id", "text_id", "fp", "bands"])
+        for whole in batches:
+            for k in range(0, len(whole), 256):
+                batch = whole.slice(k, 256)
+                fps = [word_fingerprint(x.as_py()) for x in batch.column(3)]
+                signed = pa.array([None if f is None else f - (1 << 64) * (f >> 63) for f in fps], pa.int64())
+                ends = batch.column(4).offsets.to_pylist()
+                hashes = batch.column(4).values.to_numpy().view(np.uint64)
+                each = [bands(hashes[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                of = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, each)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *each])))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], signed, of], names=["doc_id", "t1", "t2", "fp", "bands"])
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    hashed = with_shingles(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), text.alias("text")), "text", "s", words)
-    marked = hashed.select("doc_id", "text_id", "text", "s").mapInArrow(run, "doc_id long, text_id long, fp long, bands array<long>")
-    nodes = cut(marked.groupBy("text_id").agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "distinct-texts")
-    searched = nodes.where("fp IS NOT NULL").select(F.col("text_id").alias("id"), "fp", "bands")
+    hashed = with_shingles(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_text_keys(text), text.alias("text")), "text", "s", words)
+    marked = hashed.select("doc_id", "t1", "t2", "text", "s").mapInArrow(run, "doc_id long, t1 long, t2 long, fp long, bands array<long>")
+    nodes = marked.groupBy("t1", "t2").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
+    nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()), "distinct-texts")
+    searched = nodes.where("fp IS NOT NULL").select("id", "fp", "bands")
     near = with_neighbours(searched.drop("bands"), 5).unionByName(with_common_bands(searched)).distinct()
-    close = sized(cut(near, "close-texts"), 500_000)
-    texts = docs.select(F.xxhash64(text).alias("id"), "text").join(close, "id", "left_semi").dropDuplicates(["id"])
+    close = sized(cut(nodes.select("t1", "t2", "id").join(near, "id", "left_semi"), "close-texts"), 500_000)
+    texts = docs.select(*_text_keys(text), "text").join(close, ["t1", "t2"]).dropDuplicates(["id"])
     sets = cut(with_shingles(texts, "text", "s", words).select("id", "s"), "shingle-sets")
     # Shingles that no other of these texts has are in no intersection: what is left bounds the likeness from above.
     lone = sets.select("id", F.explode(F.filter("s", lambda h: h.isNotNull())).alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
@@ -266,28 +277,27 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = SH
         return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
     found = links(able, 5, F.lit(1) - F.col("common") / F.col("n"), bound, verify)
-    nodes = nodes.drop("bands")
-    rooted = nodes.join(connected(found).withColumnRenamed("node", "text_id"), "text_id", "left").select("text_id", "least_id", F.coalesce("root", "text_id").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return rooted.join(least, "root").select("text_id", "component_id")
+    roots = connected(found).withColumnRenamed("node", "id")
+    rooted = nodes.join(roots, "id", "left").select("t1", "t2", "id", "least_id", "n", F.coalesce("root", "id").alias("root"))
+    first = F.struct(F.col("least_id").isNull().alias("none"), "least_id", "t1", "t2", "id")
+    least = rooted.groupBy("root").agg(F.min(first).alias("first"))
+    return rooted.join(least, "root").select("t1", "t2", "least_id", "n", F.col("first.least_id").alias("component_id"), (F.col("id") == F.col("first.id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs``, all columns, with one document of each group of near copies: that of the least doc_id.
 
     Of several rows with that doc_id and text one is kept. Where no row of a group has a
-    doc_id, one row without is kept.
+    doc_id, one row without is kept. An empty table stays empty.
     """
     of = cut(near_copies(docs, similarity), "copies")
-    first = docs.select(F.col("doc_id").alias("__d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__t"))
-    text_id = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    # A text is dropped if its group's least document has another text; within a text all but the least document go.
-    least = cut(first.groupBy("__t").agg(F.min("__d").alias("__least"), F.count("*").alias("__n")), "least-of-text")
-    marked = of.join(least, F.col("text_id") == F.col("__t"))
-    gone = marked.where(~F.col("__least").eqNullSafe(F.col("component_id"))).select(F.col("text_id").alias("__t"))
-    rest = docs.withColumn("__t", text_id).join(sized(cut(gone, "gone-texts")), "__t", "left_anti")
-    repeated = sized(cut(least.where("__n > 1").select(F.col("__t").alias("__rt"), "__least"), "repeated-texts"))
-    kept = rest.join(repeated, F.col("__t") == F.col("__rt"), "left").where(F.col("__rt").isNull() | F.col("doc_id").eqNullSafe(F.col("__least")))
-    single = kept.where(F.col("__rt").isNull()).select(*docs.columns)
-    ties = kept.where(F.col("__rt").isNotNull()).dropDuplicates(["__t"]).select(*docs.columns)
+    key = [c.alias(f"__{k}") for c, k in zip(_text_keys(F.coalesce(F.col("text"), F.lit(""))), ("t1", "t2"), strict=True)]
+    keyed = docs.select("*", *key)
+    gone = of.where("not kept").select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"))
+    rest = keyed.join(sized(cut(gone, "gone-texts")), ["__t1", "__t2"], "left_anti")
+    repeated = of.where("kept and n > 1").select(F.col("t1").alias("__r1"), F.col("t2").alias("__r2"), F.col("least_id").alias("__least"))
+    same = (F.col("__t1") == F.col("__r1")) & (F.col("__t2") == F.col("__r2"))
+    kept = rest.join(sized(cut(repeated, "repeated-texts")), same, "left").where(F.col("__r1").isNull() | F.col("doc_id").eqNullSafe(F.col("__least")))
+    single = kept.where(F.col("__r1").isNull()).select(*docs.columns)
+    ties = kept.where(F.col("__r1").isNotNull()).dropDuplicates(["__t1", "__t2"]).select(*docs.columns)
     return single.unionByName(ties)
