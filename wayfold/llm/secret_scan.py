@@ -30,6 +30,11 @@ MAX_REPOSITORIES = 20
 ORDER = ("assign", "access", "hex", "key")
 
 
+_SPANS = "array<struct<start:int,end:int,kind:string,value:string>>"
+#: Matches that are placed in one go; more are placed stretch by stretch, so that time grows in proportion.
+STRETCH = 256
+
+
 def spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """Array of struct(start, end, kind, value), code points, leftmost non-overlapping.
 
@@ -40,16 +45,24 @@ def spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Colu
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     gaps = F.split(text, pattern, -1)
     rows = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), F.arrays_zip(found.alias("m"), values.alias("v")), lambda g, x: F.struct(F.length(g).alias("gap"), F.length(x["m"]).alias("len"), x["v"].alias("value")))
-    at0 = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        one = F.array(F.struct(start.alias("start"), (start + x["len"]).alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value")))
-        return F.struct((start + x["len"]).alias("at"), F.concat(acc["out"], one).alias("out"))
+    def placed(part: Column, at: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["gap"]
+            one = F.array(F.struct(start.alias("start"), (start + x["len"]).alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value")))
+            return F.struct((start + x["len"]).alias("at"), F.concat(acc["out"], one).alias("out"))
+
+        return F.aggregate(part, F.struct(at.alias("at"), F.array().cast(_SPANS).alias("out")), step)
+
+    def add(acc: Column, first: Column) -> Column:
+        done = placed(F.slice(acc["rows"], first, F.lit(STRETCH)), acc["at"])
+        return F.struct(acc["rows"].alias("rows"), done["at"].alias("at"), F.concat(acc["parts"], F.array(done["out"])).alias("parts"))
 
-    none = F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")
-    got = F.aggregate(rows, at0, step, lambda acc: acc["out"])
-    return F.when(F.contains(text, F.lit("AKIA")) if kind == "access" else F.rlike(text, F.lit(pattern)), F.filter(got, lambda s: F.length(s["value"]) >= least)).otherwise(none)
+    # Each stretch is put aside whole; few stretches are joined at the end.
+    start = F.struct(rows.alias("rows"), F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("parts"))
+    firsts = F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1)), F.lit(STRETCH))
+    got = F.flatten(F.aggregate(firsts, start, add, lambda acc: acc["parts"]))
+    return F.when(F.contains(text, F.lit("AKIA")) if kind == "access" else F.rlike(text, F.lit(pattern)), F.filter(got, lambda s: F.length(s["value"]) >= least)).otherwise(F.array().cast(_SPANS))
 
 
 def _rank(kind: Column) -> Column:
@@ -99,7 +112,8 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
     n_base_live and n_base_copied the base spans of each verdict. Repeated rows get equal
     results; a null or empty text has no spans.
     """
-    found = scan(docs, id_col, text_col).withColumn("all", F.concat("base", "candidates"))
+    # The texts are scanned once: what is found in them is a small table, which all that follows reads.
+    found = cut(scan(docs, id_col, text_col), "secret-candidates").withColumn("all", F.concat("base", "candidates"))
     each = found.where(F.size("all") > 0).select("doc_id", "text_hash", F.explode("all").alias("s")).distinct()
     each = each.withColumn("value_hash", F.sha2(F.col("s.value"), 256))
     live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
@@ -111,7 +125,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
     )
     of = of.withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
     joined = found.join(of, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left")
-    none = F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")
+    none = F.array().cast(_SPANS)
     added = F.coalesce("added", none)
     count = lambda k: F.size(k).cast("long").alias(f"n_{k}")
     total = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(f"n_{c}")
@@ -125,21 +139,25 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
 
     Of an assign span only the secret goes, not the name before it. n_chars, if there is
     such a column, is set to the new length. Overlapping spans count as the first of them.
+    Null texts stay null; columns of whatever name are left as they are.
     """
     found = secrets(docs, id_col, text_col, max_owners).where(F.size("spans") > 0)
-    hit = found.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), "spans").dropDuplicates(["__d", "__t"])
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.join(sized(cut(hit, "secret-spans")), F.col(id_col).eqNullSafe(F.col("__d")) & (key == F.col("__t")), "left")
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    hit = found.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), ordered.alias("__spans")).dropDuplicates(["__d", "__t"])
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    held = sized(cut(hit, "secret-spans"), size=F.lit(40) + F.size("__spans") * 24)
+    joined = docs.join(held, F.col(id_col).eqNullSafe(F.col("__d")) & (key == F.col("__t")), "left")
     text = F.col(text_col)
 
     def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), s["kind"], F.lit(">"))
-        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], piece).alias("out")))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    new = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = joined.withColumn(text_col, F.when(F.col("spans").isNull(), text).otherwise(new))
+        piece = F.struct(acc["at"].alias("at"), s["start"].alias("start"), s["kind"].alias("kind"))
+        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,start:int,kind:string>>").alias("out"))
+    piece = lambda x: F.concat(F.substring(text, x["at"] + 1, x["start"] - x["at"]), F.lit("<"), x["kind"], F.lit(">"))
+    new = F.aggregate("__spans", start, step, lambda acc: F.concat(F.array_join(F.transform(acc["out"], piece), ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    hidden = F.col("__spans").isNotNull()
+    out = joined.withColumn(text_col, F.when(hidden, new).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(hidden, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
