@@ -1,25 +1,23 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, on Spark functions only.
 
-A sketch keeps each 64-bit shingle hash below ``FRACTION`` of the hash range, so sketches
-of texts of any length can be merged and compared hash by hash. A text with fewer than
-``FLOOR`` such hashes keeps its ``FLOOR`` smallest ones instead, and its ``limit`` says up
-to where it is complete; two sketches are compared up to the lower of their limits.
+A sketch keeps every 64-bit shingle hash below ``FRACTION`` of the hash range, whatever the
+length of the text, so that sketches can be merged and compared hash by hash. Beside it
+stands a digest of all the text's shingles, which tells equal sets from unknown ones where
+a short text has no hash below the fraction.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, sized
-
 WORDS = 5
-FRACTION = 1 / 8
-FLOOR = 16
-#: Rows that share a bucket while neighbours by id are found.
-BUCKET_ROWS = 1000
+FRACTION = 1 / 4
+#: Ranges of ids for each shuffle partition while neighbours by id are found.
+RANGES = 8
 
 _TOP = (1 << 63) - 1
 
@@ -46,66 +44,82 @@ def with_shingles(df: DataFrame, text: str, out: str, words: int = WORDS) -> Dat
     return df.withColumn(out, F.sort_array(F.array_distinct(F.when(n >= words, long).otherwise(short)))).drop(w, h)
 
 
-def with_sketch(df: DataFrame, text: str, out: str, words: int = WORDS, fraction: float = FRACTION, floor: int = FLOOR) -> DataFrame:
-    """Add ``out`` (array of hashes, ascending) and ``out_limit`` (long: complete up to it).
+def with_sketch(df: DataFrame, text: str, out: str, words: int = WORDS, fraction: float = FRACTION) -> DataFrame:
+    """Add ``out`` (array of the hashes below the fraction, ascending) and ``out_digest`` (long: of all hashes).
 
-    Equal texts have equal sketches. A null, empty or wordless text has an empty, complete one.
+    Equal texts have equal sketches. A null, empty or wordless text has an empty one.
     """
     below = math.floor(fraction * 2.0**63)
     s = f"{out}__s"
     df = with_shingles(df, text, s, words)
-    kept = F.filter(s, lambda x: x < F.lit(below))
-    df = df.withColumn(out, F.when(F.size(s) <= floor, F.col(s)).when(F.get(s, F.lit(floor - 1)) < F.lit(below), kept).otherwise(F.slice(s, 1, floor)))
-    limit = F.when(F.size(s) <= floor, F.lit(_TOP)).otherwise(F.greatest(F.lit(below - 1), F.element_at(out, -1)))
-    return df.withColumn(f"{out}_limit", limit).drop(s)
+    return df.withColumn(out, F.filter(s, lambda x: x < F.lit(below))).withColumn(f"{out}_digest", F.xxhash64(s)).drop(s)
 
 
 def likeness(a: str, b: str) -> Column:
     """Estimated containment, 0 to 1, of the smaller of two shingle sets in the larger.
 
-    Only hashes up to the lower limit count. Without any on one side it is 1 for equal
-    sketches, else 0.
+    It is 1 for equal sets, told by their digests, and 0 where a side has no hash to go by.
     """
-    limit = F.least(f"{a}_limit", f"{b}_limit")
-    x, y = F.filter(a, lambda v: v <= limit), F.filter(b, lambda v: v <= limit)
-    size = F.least(F.size(x), F.size(y))
-    return F.when(F.col(a) == F.col(b), F.lit(1.0)).when(size == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / size)
+    size = F.least(F.size(a), F.size(b))
+    return F.when(F.col(f"{a}_digest") == F.col(f"{b}_digest"), F.lit(1.0)).when(size == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / size)
 
 
 def merged(sketches: DataFrame, by: list[str], sketch: str = "sketch") -> DataFrame:
-    """One sketch for each group: hashes of all its rows up to the least limit of any.
+    """One sketch for each group: the hashes of all its rows. A merged sketch has no digest.
 
     Sums before it shuffles; the result of a group grows with its distinct hashes, of
-    which ``FRACTION`` are kept.
+    which ``FRACTION`` are kept. Groups without a hash have an empty sketch.
     """
-    limits = sketches.groupBy(*by).agg(F.min(f"{sketch}_limit").alias(f"{sketch}_limit"))
-    hashes = sketches.select(*by, F.explode(F.filter(sketch, lambda x: x.isNotNull())).alias("h")).distinct().join(limits, by).where(F.col("h") <= F.col(f"{sketch}_limit"))
-    return limits.join(hashes.groupBy(*by).agg(F.sort_array(F.collect_list("h")).alias(sketch)), by, "left").withColumn(sketch, F.coalesce(sketch, F.array().cast("array<long>")))
+    groups = sketches.select(*by).distinct()
+    hashes = sketches.select(*by, F.explode(F.filter(sketch, lambda x: x.isNotNull())).alias("h")).distinct()
+    packed = hashes.groupBy(*by).agg(F.sort_array(F.collect_list("h")).alias(sketch)).withColumnsRenamed({c: f"__{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    out = groups.join(packed, same, "left") if by else groups.crossJoin(packed)
+    return out.select(*by, F.coalesce(sketch, F.array().cast("array<long>")).alias(sketch))
 
 
 def as_text(sketch: str) -> Column:
-    """A sketch as text: the limit and the hashes in hex, colon and comma separated."""
-    return F.concat(F.lower(F.hex(f"{sketch}_limit")), F.lit(":"), F.array_join(F.transform(sketch, lambda h: F.lower(F.hex(h))), ","))
+    """A sketch as text: the digest and the hashes in hex, colon and comma separated."""
+    return F.concat(F.lower(F.hex(f"{sketch}_digest")), F.lit(":"), F.array_join(F.transform(sketch, lambda h: F.lower(F.hex(h))), ","))
+
+
+def _range_of(key: Column, edges: list[float]) -> Column:
+    """How many of the ascending edges are at most the key: first among every so many of them, then within one stretch."""
+    step = max(1, math.isqrt(len(edges)))
+    # One folded literal each, so that the plan stays small with any number of edges.
+    heads = F.from_json(F.lit(json.dumps(edges[::step])), "array<double>")
+    fine = F.from_json(F.lit(json.dumps([edges[i : i + step] for i in range(0, len(edges), step)])), "array<array<double>>")
+    coarse = F.size(F.filter(heads, lambda e: e <= key))
+    within = F.size(F.filter(F.get(fine, coarse - 1), lambda e: e <= key))
+    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * step + within)
 
 
-def with_next(docs: DataFrame, id_col: str, *cols: str) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, text_col: str, more=lambda df: df) -> DataFrame:
     """Add ``next_<col>``: the values of the row with the next lower id, round to the first.
 
-    Rows are dealt to buckets of about ``BUCKET_ROWS`` by id; the first row of each bucket is
-    also put at the end of the bucket above it, so each bucket is finished by itself. Rows
-    without an id come last; ties are in order of ``cols``.
+    The columns are the id's and the text's and those that ``more`` adds to them; ``more`` is
+    applied after the rows are dealt out, so that only ids and texts are shuffled, once.
+    Rows are dealt by ranges of ids that hold about equally many rows, however ids are
+    spread; the first row of each range is also put at the end of the range above it, so
+    each range is finished by itself. Rows without an id come last; ties are in order of
+    their texts. Rows of one id are in one range.
     """
-    span = docs.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi"), F.count("*").alias("n")).first()
-    least = (span["lo"] or 0) - 1
-    width = max(1, math.ceil(((span["hi"] or 0) - least + 1) * BUCKET_ROWS / max(1, span["n"])))
-    dealt = docs.withColumn("__key", F.coalesce(F.col(id_col), F.lit(least))).withColumn("__b", F.floor((F.col("__key") - F.lit(least)) / F.lit(width)))
-    order = [F.col("__key").desc(), *[F.col(c).asc_nulls_first() for c in cols]]
-    # The bucket that the first row of each bucket has to close: the next above it that has rows, for the last the first.
-    by_bucket = Window.orderBy("__b")
-    tops = dealt.groupBy("__b").agg(F.max("__key").alias("__top"))
-    tops = sized(cut(tops.select("__top", F.coalesce(F.lead("__b").over(by_bucket), F.first("__b").over(by_bucket)).alias("__up")), "bucket-tops"))
-    heads = dealt.join(tops, F.col("__key") == F.col("__top")).groupBy("__up").agg(F.min(F.struct(*cols)).alias("__s"))
-    heads = heads.select(F.col("__up").alias("__b"), *[F.col("__s").getField(c).alias(c) for c in cols])
-    both = dealt.withColumn("__end", F.lit(False)).unionByName(heads.withColumn("__end", F.lit(True)), allowMissingColumns=True)
-    by = Window.partitionBy("__b").orderBy("__end", *order)
-    return both.select("*", *[F.lead(c).over(by).alias(f"next_{c}") for c in cols]).where("not __end").drop("__b", "__end", "__key")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * RANGES
+    docs = docs.select(id_col, text_col)
+    edges = docs.approxQuantile(id_col, [i / parts for i in range(1, parts)], 1 / (4 * parts))
+    number = F.col(id_col).cast("double")
+    place = F.when(number.isNull(), F.lit(-1)).otherwise(_range_of(number, sorted(set(edges)))) if edges else F.lit(-1)
+    dealt = docs.withColumn("__b", place)
+    # The range that the first row of each range has to close: the next above it that has rows, for the last the first.
+    tops = sorted(dealt.groupBy("__b").agg(F.max(id_col).alias("top")).collect(), key=lambda r: r["__b"])
+    ups = [(r["__b"], r["top"], tops[(i + 1) % len(tops)]["__b"]) for i, r in enumerate(tops)]
+    kind = docs.schema[id_col].dataType.simpleString()
+    table = docs.sparkSession.createDataFrame(ups, f"__r int, __top {kind}, __up int")
+    heads = docs.join(F.broadcast(table), F.col(id_col).eqNullSafe(F.col("__top")))
+    # A row of least text of each range's top id; the table has a row for each range, fewer than the driver has edges.
+    heads = heads.groupBy("__up").agg(F.min(F.struct(F.col(id_col).alias("i"), F.col(text_col).alias("t"))).alias("s")).select(F.col("s.i").alias(id_col), F.col("s.t").alias(text_col), F.col("__up").alias("__b"))
+    both = dealt.withColumn("__end", F.lit(False)).unionByName(heads.withColumn("__end", F.lit(True)))
+    full = more(both.repartition(parts // RANGES, "__b"))
+    by = Window.partitionBy("__b").orderBy("__end", F.col(id_col).desc_nulls_last(), F.col(text_col).asc_nulls_first())
+    cols = [c for c in full.columns if c not in ("__b", "__end")]
+    return full.select("*", *[F.lead(c).over(by).alias(f"next_{c}") for c in cols]).where("not __end").drop("__b", "__end")

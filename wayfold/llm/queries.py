@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, fingerprint, language_id, pii, secret_scan, sentencepiece_fst, simhash, token_output, toxicity
 from .common import held_out, table
 
-#: Where the public tokenizers' files are; not part of this repository.
-TOKENIZERS = os.environ.get("WAYFOLD_TOKENIZERS", "/opt/tokenizers")
-
-
 def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -28,18 +24,18 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "<|im_end|><|im_start|>assistant ok"
     rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], rows.schema))
-    tokenizer = f"{TOKENIZERS}/byte_bpe_50k.json"
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     read = chat_format.read_conversations(spark, chat_format.write_trees(rows, tokenizer), tokenizer)
     return read.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_fst.encoded(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return sentencepiece_fst.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    path = token_output.token_files(docs, f"{TOKENIZERS}/word_bpe_49k.json", end_id=1)
+    path = token_output.token_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return token_output.read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -76,7 +72,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = fingerprint.with_next(fingerprint.with_sketch(docs, "text", "fp"), "doc_id", "text", "fp", "fp_limit")
+    both = fingerprint.with_next(docs, "doc_id", "text", lambda df: fingerprint.with_sketch(df, "text", "fp"))
     third = F.floor(F.length("text") / F.lit(3)).cast("int")
     both = both.withColumn("n_chars", F.length("text").cast("long"))
     both = both.withColumn("edited", F.concat(F.left("text", F.length("text") - third), F.left("next_text", third)))
