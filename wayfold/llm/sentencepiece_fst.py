@@ -1,15 +1,20 @@
 """SentencePiece encoding and decoding with a weighted finite-state transducer.
 
-The model file is compiled into three machines: the normaliser (spaces to U+2581, one put
-before the text), the pieces (arcs from text to piece ids) and byte fallback (arcs from a
-character without a piece to the ids of its bytes). An input is composed with them, which
-gives a lattice of pieces over its characters, and its encoding is the shortest path in the
-tropical semiring.
+A model file is compiled into machines whose arcs read a label, write an output and have a
+tropical weight (paths add weights, the least path counts):
 
-For BPE models the pieces' machine has a state for each piece, and an arc from one piece to
-the next has finite weight only if merging leaves that pair of pieces alone. A sequence of
-pieces is the BPE encoding of a text exactly if all its neighbours are such pairs, so of all
-paths just one is finite. Arcs are compiled when an input first needs them and kept.
+* the normaliser writes U+2581 for each space and one before the text;
+* the pieces, a trie that reads characters and, where a piece is complete, writes its id and
+  returns to its root, at the negative score of the piece (unigram models) or at no weight;
+* byte fallback, which reads a character without a piece and writes the ids of its bytes;
+* for BPE models the pairs, whose states are pieces: the arc from a piece to the next weighs
+  nothing if merging leaves the two alone side by side, else infinity. A sequence of pieces is
+  the BPE encoding of a text exactly if all its neighbours are such pairs, so of all paths
+  one is finite.
+
+An input is composed with the normaliser, and what that writes with pieces and byte fallback,
+which gives a lattice of arcs between places of the text; its shortest path, found by
+relaxation in order of places (and of the last piece, where there are pairs), is the encoding.
 
 Two characters that never stand next to each other inside a piece part the lattice: what
 lies on either side is composed by itself, and kept for the next time it comes.
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,123 +33,237 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-_ABSENT = object()
-#: Entries of one worker's tables of words, segments and arcs; past it a table starts anew.
-CACHE = 400_000
+#: Label of an arc that reads any character which no other arc of its state reads, and writes it.
+ANY = None
+#: Entries of each of a worker's tables of words, segments and pairs; past it a table starts anew.
+CACHE = 100_000
+#: What a unigram model takes off its least score for a character without a piece; a fixed value.
+UNKNOWN_PENALTY = 10.0
+
+
+class Machine:
+    """A transducer. ``arcs[state][label]`` is (output, weight, next state); ``final`` holds the states where an input may end."""
+
+    def __init__(self):
+        self.arcs: list[dict] = [{}]
+        self.final: set[int] = set()
+
+    def state(self) -> int:
+        self.arcs.append({})
+        return len(self.arcs) - 1
+
+    def arc(self, source: int, label, output, weight: float, target: int) -> None:
+        self.arcs[source][label] = (output, weight, target)
+
+    def write(self, text: str) -> str:
+        """The output of a machine that has one path for each input; in an output ANY stands for the character read."""
+        state, out = 0, []
+        for c in text:
+            output, _, state = self.arcs[state].get(c) or self.arcs[state][ANY]
+            out += [c if x is ANY else x for x in output]
+        return "".join(out)
+
+
+def normaliser(prefix: str) -> Machine:
+    """Spaces to U+2581, and the prefix before the first character."""
+    m = Machine()
+    inside = m.state()
+    m.final = {0, inside}
+    for source, before in ((0, (prefix,)), (inside, ())):
+        m.arc(source, " ", (*before, SPACE), 0.0, inside)
+        m.arc(source, ANY, (*before, ANY), 0.0, inside)
+    return m
+
+
+class Pieces(Machine):
+    """The trie of pieces; ``ends[state]`` is (id, weight) of the piece that the way from the root to a state spells."""
+
+    def __init__(self, weights: dict[str, tuple[int, float]]):
+        super().__init__()
+        self.ends: dict[int, tuple[int, float]] = {}
+        self.final = {0}
+        for piece, end in weights.items():
+            at = 0
+            for c in piece:
+                found = self.arcs[at].get(c)
+                if not found:
+                    found = ("", 0.0, self.state())
+                    self.arcs[at][c] = found
+                at = found[2]
+            self.ends[at] = end
+
+    def lattice(self, text: str, fallback) -> list[list[tuple[int, float, object]]]:
+        """Composition with a text: for each place its arcs (next place, weight, output).
+
+        A character that is no piece has an arc of byte fallback, at that arc's weight.
+        """
+        out, arcs, ends = [], self.arcs, self.ends
+        for i in range(len(text)):
+            here, state = [], 0
+            for j in range(i, len(text)):
+                found = arcs[state].get(text[j])
+                if not found:
+                    break
+                state = found[2]
+                if state in ends:
+                    here.append((j + 1, ends[state][1], ends[state][0]))
+            if not here or here[0][0] > i + 1:
+                here.append((i + 1, *fallback(text[i])))
+            out.append(here)
+        return out
+
+
+class Pairs:
+    """Which pieces merging leaves alone side by side, as weights of arcs from piece to piece.
+
+    A piece is made by its last merge of two pieces, so the pieces that stand at its right
+    edge while it is made are its right part, that one's right part and so on, each from its
+    own merge until the next. A merge across the border of two pieces takes place if pieces
+    of their inner edges are there at the same time and the merge of these comes before what
+    ends either of them.
+    """
+
+    def __init__(self, pieces: dict[str, tuple[int, float]]):
+        self.order = {p: -s for p, (_, s) in pieces.items()}
+        self.parts: dict[str, tuple[str, str] | None] = {}
+        self.known: dict[tuple[str, str], float] = {}
+
+    def split(self, piece: str) -> tuple[str, str] | None:
+        """The two pieces whose merge makes a piece, null for a character and for a piece that merging never makes."""
+        if piece not in self.parts:
+            self.parts[piece] = None
+            best = math.inf
+            for i in range(1, len(piece)):
+                a, b = piece[:i], piece[i:]
+                if self.made(a) and self.made(b) and max(self.time(a), self.time(b)) < best and self._apart(a, b, self.order[piece]):
+                    self.parts[piece], best = (a, b), max(self.time(a), self.time(b))
+        return self.parts[piece]
+
+    def made(self, piece: str) -> bool:
+        return len(piece) == 1 or piece in self.order and self.split(piece) is not None
+
+    def time(self, piece: str) -> float:
+        """When a piece is made: its own place in the order of merges; characters are there from the start."""
+        return -math.inf if len(piece) == 1 else self.order[piece]
+
+    def _edge(self, piece: str, side: int) -> list[tuple[str, float, float]]:
+        """Pieces at an edge with the times from which and until which they are there, the whole piece first."""
+        out, until = [], math.inf
+        while True:
+            out.append((piece, self.time(piece), until))
+            if len(piece) == 1:
+                return out
+            until, piece = self.time(piece), self.split(piece)[side]
+
+    def _apart(self, a: str, b: str, before: float) -> bool:
+        """Whether no merge across the border of two pieces comes before a time; of equal merges the left one comes first."""
+        right = self._edge(b, 0)
+        for x, x_from, x_until in self._edge(a, 1):
+            for y, y_from, y_until in right:
+                if x_from < y_until and y_from < x_until:
+                    at = self.order.get(x + y)
+                    if at is not None and at < before and at < x_until and at <= y_until:
+                        return False
+        return True
+
+    def weight(self, a: str, b: str) -> float:
+        """0 if b may follow a, else infinity."""
+        key = (a, b)
+        found = self.known.get(key)
+        if found is None:
+            if len(self.known) > CACHE:
+                self.known.clear()
+            found = self.known[key] = 0.0 if self._apart(a, b, math.inf) else math.inf
+        return found
+
+
+def shortest_path(lattice: list[list[tuple[int, float, object]]], text: str, pair=None) -> tuple[float, list[tuple[str, object]]]:
+    """Weight and (piece, output) arcs of the least path through a lattice, the first of equals.
+
+    Relaxes all arcs place by place. With ``pair``, a weight between neighbouring pieces, a
+    state is a place and the piece that ends there; without, a place.
+    """
+    n = len(lattice)
+    best: list[dict[str, tuple[float, str | None, int, object]]] = [{} for _ in range(n + 1)]
+    best[0][""] = (0.0, None, 0, None)
+    for i, arcs in enumerate(lattice):
+        for end, weight, output in arcs:
+            piece = text[i:end]
+            key = piece if pair else ""
+            least, came = math.inf, None
+            for last, (so_far, *_) in best[i].items():
+                total = so_far + weight + (pair(last, piece) if pair and last else 0.0)
+                if total < least:
+                    least, came = total, last
+            if came is not None and least < best[end].get(key, (math.inf,))[0]:
+                best[end][key] = (least, came, i, output)
+    if not best[n]:
+        raise ValueError("no path")
+    key = min(best[n], key=lambda k: best[n][k][0])
+    total, at, out = best[n][key][0], n, []
+    while at:
+        _, came, i, output = best[at][key]
+        out.append((text[i:at], output))
+        at, key = i, came
+    return total, out[::-1]
 
 
 class Model:
-    def __init__(self, path: str):
+    """The machines of one model file: BPE or unigram, identity normaliser, with byte fallback."""
+
+    def __init__(self, path: str | None, proto_bytes: bytes | None = None):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
-        with open(path, "rb") as f:
-            proto.ParseFromString(f.read())
+        if proto_bytes is None:
+            with open(path, "rb") as f:
+                proto_bytes = f.read()
+        proto.ParseFromString(proto_bytes)
         spec = proto.normalizer_spec
-        if proto.trainer_spec.model_type != 2 or spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
-            raise ValueError("only BPE models with an identity normaliser are compiled")
+        if proto.trainer_spec.model_type not in (1, 2) or spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
+            raise ValueError("only BPE and unigram models with an identity normaliser are compiled")
+        bpe = proto.trainer_spec.model_type == 2
         self.prefix = SPACE if spec.add_dummy_prefix else ""
         kinds = pb.ModelProto.SentencePiece
-        self.pieces = {p.piece: (i, p.score) for i, p in enumerate(proto.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)}
+        scored = {p.piece: (i, p.score) for i, p in enumerate(proto.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == kinds.BYTE}
         if len(self.bytes) != 256:
             raise ValueError("the model has no byte fallback")
-        self.longest = max(map(len, self.pieces))
-        #: Beginnings of pieces, and for whole ones whether merging ever makes them (null: not known yet).
-        self.prefixes: dict[str, bool | None] = {p[:i]: False for p in self.pieces for i in range(1, len(p))}
-        self.prefixes |= dict.fromkeys(self.pieces)
+        self.pairs = Pairs(scored) if bpe else None
+        self.unknown = 0.0 if bpe else UNKNOWN_PENALTY - min((s for _, s in scored.values()), default=0.0)
+        self.normaliser = normaliser(self.prefix)
+        # A piece that merging never makes is on no path.
+        self.pieces = Pieces({p: (i, 0.0 if bpe else -s) for p, (i, s) in scored.items() if not bpe or self.pairs.made(p)})
         #: Pairs of characters that stand next to each other inside some piece.
-        self.inner = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        self.inner = {p[i : i + 2] for p in scored for i in range(len(p) - 1)}
         self.lone_newline = not any("\n" in x for x in self.inner)
+        self.leading_space = all(x[0] == SPACE for x in self.inner if x[1] == SPACE)
         self.surface = [b""] * len(proto.pieces)
-        for p, (i, _) in self.pieces.items():
+        for p, (i, _) in scored.items():
             self.surface[i] = p.replace(SPACE, " ").encode()
         for b, i in self.bytes.items():
             self.surface[i] = bytes([b])
         self.kind = "<u2" if len(proto.pieces) <= 1 << 16 else "<u4"
-        self._arcs: dict[tuple[str, str], bool] = {}
         self._segments: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {}
 
-    # The machines.
+    def fallback(self, char: str) -> tuple[float, tuple[int, ...]]:
+        """Weight and output of the byte fallback's arc for a character."""
+        return self.unknown, tuple(self.bytes[b] for b in char.encode("utf-8", "replace"))
 
-    def normalised(self, text: str) -> str:
-        return self.prefix + text.replace(" ", SPACE) if text else ""
+    def path(self, normalised: str) -> tuple[float, list[tuple[str, object]]]:
+        """Weight and arcs of the least path for a normalised text."""
+        return shortest_path(self.pieces.lattice(normalised, self.fallback), normalised, self.pairs and self.pairs.weight)
 
-    def merged(self, text: str) -> list[str]:
-        """What merging makes of a short text: the pair with the best score first, the leftmost of equals."""
-        parts = list(text)
-        while True:
-            best, at = float("-inf"), -1
-            for i in range(len(parts) - 1):
-                found = self.pieces.get(parts[i] + parts[i + 1])
-                if found and found[1] > best:
-                    best, at = found[1], i
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-
-    def arc(self, a: str, b: str) -> bool:
-        """Whether piece b may follow piece a at finite weight."""
-        key = (a, b)
-        found = self._arcs.get(key)
-        if found is None:
-            if len(self._arcs) > CACHE:
-                self._arcs.clear()
-            found = self._arcs[key] = (a[-1] + b[0]) not in self.inner or self.merged(a + b) == [a, b]
-        return found
-
-    def starting(self, text: str, i: int) -> list[str]:
-        """Pieces that begin at a place of a text, the longest first; a character that is none stands for its bytes."""
-        out, prefixes = [text[i]], self.prefixes
-        for end in range(i + 2, min(len(text), i + self.longest) + 1):
-            piece = text[i:end]
-            made = prefixes.get(piece, _ABSENT)
-            if made is _ABSENT:
-                break
-            if made is None:
-                made = prefixes[piece] = self.merged(piece) == [piece]
-            if made:
-                out.append(piece)
-        return out[::-1]
-
-    def shortest_path(self, text: str) -> list[str]:
-        """The pieces on the path of least weight through the lattice of a normalised text.
-
-        States are (place, last piece), and all arcs weigh nothing or are infinite, so the
-        first path that reaches the end is the shortest. The search goes on from the longest
-        piece and never enters a state again from which no path leads on.
-        """
-        n, arcs, arc = len(text), self._arcs, self.arc
-        path: list[str] = []
-        places, ways, dead = [0], [iter(self.starting(text, 0))], set()
-        while True:
-            at, last = places[-1], path[-1] if path else ""
-            for piece in ways[-1]:
-                if last:
-                    known = arcs.get((last, piece))
-                    if not (arc(last, piece) if known is None else known):
-                        continue
-                end = at + len(piece)
-                if dead and (end, piece) in dead:
-                    continue
-                path.append(piece)
-                if end == n:
-                    return path
-                places.append(end)
-                ways.append(iter(self.starting(text, end)))
-                break
-            else:
-                ways.pop()
-                dead.add((places.pop(), path.pop()))
+    def normalised(self, text: str) -> str:
+        return self.normaliser.write(text)
 
     # Whole texts.
 
     def _ids(self, segment: str) -> bytes:
         out: list[int] = []
-        for p in self.shortest_path(segment):
-            found = self.pieces.get(p)
-            out += [found[0]] if found else [self.bytes[b] for b in p.encode("utf-8", "replace")]
+        for _, output in self.path(segment)[1]:
+            out += output if isinstance(output, tuple) else [output]
         return np.array(out, self.kind).tobytes()
 
     def _cut(self, text: str) -> bytes:
@@ -165,7 +285,7 @@ class Model:
         """Ids of a whole text."""
         if not text:
             return np.zeros(0, self.kind)
-        if "\0" in text or "  " in text or text[0] == " " or not self.lone_newline or SPACE in text:
+        if "\0" in text or "  " in text or text[0] == " " or not self.lone_newline or SPACE in text or not self.leading_space:
             return np.frombuffer(self._cut(self.normalised(text)), self.kind)
         words = (self.prefix + text.replace(" ", f"\0{SPACE}").replace("\n", "\0\n\0")).split("\0")
         known = self._words
@@ -191,14 +311,14 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     """Rows (doc_id, n_tokens, ids, decoded_sha256, round_trip), one for each row of ``docs``, without a shuffle.
 
     round_trip says whether decoding the ids gives the text back. A null text counts as
-    empty and has no ids.
+    empty and has no ids; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(model_path)
         for batch in batches:
-            for k in range(0, len(batch), 512):
-                part = batch.slice(k, 512)
+            for k in range(0, len(batch), 256):
+                part = batch.slice(k, 256)
                 texts = [x.as_py() or "" for x in part.column(1)]
                 ids = [model.encode(t) for t in texts]
                 back = [model.decode(x) for x in ids]
