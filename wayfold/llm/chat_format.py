@@ -20,12 +20,14 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_dir
+from .token_output import BYTE_LEVEL
 
 START, END = "<|im_start|>", "<|im_end|>"
 _ESCAPE = re.compile(r"<(\\*)\|")
@@ -83,7 +85,7 @@ def joined(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def conversations(rows: DataFrame) -> DataFrame:
     """Rows (conv_id, turns, path), one for each conversation.
 
-    Turns are in order of turn, then role and text (nulls first); a null role or text is
+    All rows whose conv_id is null are one conversation; an empty table has none. Turns are in order of turn, then role and text (nulls first); a null role or text is
     empty. path holds eight bytes of hash for each turn. A conversation is one training
     sequence and is held by one task.
     """
@@ -119,9 +121,8 @@ def write_trees(rows: DataFrame, tokenizer: str, path: str | None = None) -> str
                 while same < min(len(stack), len(turns)) and stack[same][0] == turns[same]:
                     same += 1
                 del stack[same:]
-                pieces = encode([p for t in turns[same:] for p in segments(*t)])
-                for i, t in enumerate(turns[same:]):
-                    head, body, tail = pieces[3 * i : 3 * i + 3]
+                pieces = encode([segments(*t) for t in turns[same:]])
+                for t, (head, body, tail) in zip(turns[same:], pieces, strict=True):
                     ids = head + body + tail
                     position = stack[-1][3] if stack else 0
                     sees = joined([(s, e) for _, s, e, _ in stack])
@@ -144,7 +145,12 @@ def write_trees(rows: DataFrame, tokenizer: str, path: str | None = None) -> str
     return path
 
 
+#: Openings and closes of turns that a worker keeps, with their ids.
+CACHE_PIECES = 10_000
+
+
 def _encoder(tokenizer: str):
+    """A function from turns' (opening, text, close) to the ids of each; openings and closes, which recur, are encoded once."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -152,7 +158,37 @@ def _encoder(tokenizer: str):
 
     t = Tokenizer.from_file(tokenizer)
     t.encode_special_tokens = True
-    return lambda pieces: [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)]
+    known: dict[str, list[int]] = {}
+
+    def short(piece: str) -> list[int]:
+        if piece not in known:
+            if len(known) > CACHE_PIECES:
+                known.clear()
+            known[piece] = t.encode(piece, add_special_tokens=False).ids
+        return known[piece]
+
+    def encode(turns: list[tuple[str, str, str]]) -> list[tuple[list[int], list[int], list[int]]]:
+        bodies = t.encode_batch_fast([body for _, body, _ in turns], add_special_tokens=False) if turns else []
+        return [(short(head), e.ids, short(tail)) for (head, _, tail), e in zip(turns, bodies, strict=True)]
+
+    return encode
+
+
+def _surfaces(tokenizer: str) -> pa.Array:
+    """The bytes of each id of a byte-level tokenizer, by id."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer)
+    if json.loads(t.to_str())["decoder"]["type"] != "ByteLevel":
+        raise ValueError("only byte-level tokenizers are decoded")
+    bytes_of = {c: b for b, c in BYTE_LEVEL.items()}
+    vocabulary, added = t.get_vocab(with_added_tokens=True), {a.content for a in t.get_added_tokens_decoder().values()}
+    out = [b""] * (max(vocabulary.values()) + 1)
+    for token, i in vocabulary.items():
+        out[i] = token.encode() if token in added else bytes(map(bytes_of.__getitem__, token))
+    return pa.array(out, pa.binary())
 
 
 def read_conversations(spark, path: str, tokenizer: str) -> DataFrame:
@@ -165,33 +201,41 @@ def read_conversations(spark, path: str, tokenizer: str) -> DataFrame:
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        decode = Tokenizer.from_file(tokenizer).decode
+        surfaces = _surfaces(tokenizer)
         stack: list[tuple] = []  # (start, end, formatted, text under the loss mask or None)
         part = None
         for b in batches:
             out = []
-            for r in b.to_pylist():
-                if r["part"] != part:
-                    part, stack = r["part"], []
-                seen = [(x["start"], x["end"]) for x in r["sees"]]
+            columns = {c: b.column(i) for i, c in enumerate(_NAMES) if c not in ("ids", "sees")}
+            columns = {c: v.to_pylist() for c, v in columns.items()}
+            # Whatever the rows' ids say, decoded at once: ends[k] is where the bytes of the first k ids end.
+            ids = b.column(_NAMES.index("ids"))
+            said = surfaces.take(ids.values)
+            ends = np.frombuffer(said.buffers()[1], np.int32)[said.offset : said.offset + len(said) + 1] if len(said) else np.zeros(1, np.int32)
+            text = memoryview(said.buffers()[2]) if len(said) else memoryview(b"")
+            of = ids.offsets.to_pylist()
+            sees = b.column(_NAMES.index("sees"))
+            see = sees.offsets.to_pylist()
+            starts, stops = sees.values.field("start").to_pylist(), sees.values.field("end").to_pylist()
+            for k in range(len(b)):
+                if columns["part"][k] != part:
+                    part, stack = columns["part"][k], []
+                seen = list(zip(starts[see[k] : see[k + 1]], stops[see[k] : see[k + 1]], strict=True))
                 while stack and not any(s <= stack[-1][0] and stack[-1][1] <= e for s, e in seen[-1:]):
                     stack.pop()
-                if r["kind"] == "node":
-                    ids = r["ids"]
-                    a, z = r["loss_from"], r["loss_to"]
-                    under = decode(ids[a:z], skip_special_tokens=False) if z else None
-                    text = decode(ids[:a], skip_special_tokens=False) + under + decode(ids[z:], skip_special_tokens=False) if z else decode(ids, skip_special_tokens=False)
-                    stack.append((r["start"], r["start"] + len(ids), text, under))
+                if columns["kind"][k] == "node":
+                    first, n = of[k], of[k + 1] - of[k]
+                    at = lambda i, j: str(text[ends[first + i] : ends[first + j]], "utf-8", "surrogatepass")  # noqa: B023, E731
+                    a, z, start = columns["loss_from"][k], columns["loss_to"][k], columns["start"][k]
+                    stack.append((start, start + n, at(0, n), at(a, z) if z else None))
                     continue
                 if joined([(s, e) for s, e, *_ in stack]) != seen:
-                    raise ValueError(f"part {part}: the path at {r['seq']} is not what its intervals say")
+                    raise ValueError(f"part {part}: the path at {columns['seq'][k]} is not what its intervals say")
                 formatted = "".join(x[2] for x in stack)
                 loss = "".join(unescape(x[3]) for x in stack if x[3] is not None)
                 turns = parse(formatted)
-                whole = "".join(f"{role}\n{text}\n" for role, text in turns)
-                out.append((r["conv_id"], len(turns), _sha(whole), len(loss), _sha(loss), len(formatted), r["position"]))
+                whole = "".join(f"{role}\n{text_}\n" for role, text_ in turns)
+                out.append((columns["conv_id"][k], len(turns), _sha(whole), len(loss), _sha(loss), len(formatted), columns["position"][k]))
             if out:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
                 names = [x.split(" ")[0] for x in schema.split(", ")]
