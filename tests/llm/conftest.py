@@ -1,6 +1,7 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, seg int, key string, h long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, seg int, key string, h long, spans string, s int, c string, t string, text_id long, fp long, root long, toxic int, score double, kept int, item_id long"
+EXTRA = ("spans", 5, "c", "t", 6, 7, 8, 1, 0.5, 9, 10)
 
 
 @pytest.fixture(scope="session")
@@ -17,7 +18,7 @@ def odd_docs(spark):
         (10, "card 4111 1111 1111 1111 ip 10.0.0.255 999.1.1.1 IBAN DE89370400440532013000", "en", "c", 0, 2, "k", 1),
         (11, "   \t\n ", "en", "c", 0, 2, "k", 1), (50, "gap after this id " * 40, "fr", "c", 0, 2, "k", 1),
     ]
-    return spark.createDataFrame(rows, SCHEMA)
+    return spark.createDataFrame([r + (EXTRA if r[0] != 1 else (None,) * len(EXTRA)) for r in rows], SCHEMA)
 
 
 @pytest.fixture(scope="session")

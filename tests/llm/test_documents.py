@@ -1,13 +1,14 @@
 import random
 
+import public_tokenizers
 import pytest
 import sentencepiece
 
 import corpus_pipeline
 from wayfold.llm import chat_format, decontaminate, queries, sentencepiece_fst, toxicity
 
-SPM = f"{queries.TOKENIZERS}/piece_bpe_32k.model"
-BPE = f"{queries.TOKENIZERS}/byte_bpe_50k.json"
+SPM = public_tokenizers.path("piece_bpe_32k.model")
+BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def grams(text, k=5):
@@ -110,7 +111,83 @@ def test_shortest_paths_equal_the_library(models):
         ids = own.encode(t)
         assert ids.tolist() == library.encode(t), t
         assert own.decode(ids) == library.decode(ids.tolist()) == t.replace("▁", " ")
-    assert own.shortest_path(own.normalised("the theory of other things")) == library.encode("the theory of other things", out_type=str)
+    weight, arcs = own.path(own.normalised("the theory of other things"))
+    assert weight == 0 and [p for p, _ in arcs] == library.encode("the theory of other things", out_type=str)
+
+
+def paths(model, text):
+    """Weight of every way to cut a normalised text into pieces and fallback characters."""
+    ends = {p: w for p, w in spelled(model)}
+
+    def go(i, last):
+        if i == len(text):
+            yield 0.0, []
+        for j in range(i + 1, len(text) + 1):
+            piece = text[i:j]
+            w = ends.get(piece, model.fallback(piece)[0] if j == i + 1 else None)
+            if w is not None:
+                w += model.pairs.weight(last, piece) if model.pairs and last else 0.0
+                for rest, more in go(j, piece):
+                    yield w + rest, [piece, *more]
+
+    return list(go(0, ""))
+
+
+def spelled(model):
+    todo = [("", 0)]
+    while todo:
+        word, state = todo.pop()
+        if state in model.pieces.ends:
+            yield word, model.pieces.ends[state][1]
+        todo += [(word + c, a[2]) for c, a in model.pieces.arcs[state].items()]
+
+
+def merged(model, text):
+    """BPE by its definition: the best pair first, the leftmost of equals."""
+    parts = list(text)
+    while True:
+        at = min(range(len(parts) - 1), key=lambda i: (model.pairs.order.get(parts[i] + parts[i + 1], float("inf")), i), default=None)
+        if at is None or parts[at] + parts[at + 1] not in model.pairs.order:
+            return parts
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+
+def test_bpe_has_one_finite_path_and_it_is_what_merging_makes(models):
+    own = models[0]
+    for t in ("other", "aaaaaaa", "the ni", "xé▁", "10100"):
+        text = own.normalised(t)
+        finite = [p for w, p in paths(own, text) if w < float("inf")]
+        assert finite == [merged(own, text)] == [[p for p, _ in own.path(text)[1]]]
+
+
+def small_unigram():
+    """A unigram model put together by hand, with byte fallback and an identity normaliser."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = 1, True
+    m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.escape_whitespaces = True, False, True
+    m.normalizer_spec.name = "identity"
+    for piece, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+        m.pieces.add(piece=piece, score=0.0, type=kind)
+    for b in range(256):
+        m.pieces.add(piece=f"<0x{b:02X}>", score=0.0, type=6)
+    words = {"▁": -3.1, "a": -2.3, "b": -2.9, "c": -3.3, "ab": -3.7, "bc": -4.0, "abc": -6.1, "▁a": -2.7, "▁ab": -5.2, "ca": -4.4, "aa": -4.1, "cab": -5.9}
+    for k, (piece, score) in enumerate(words.items()):
+        m.pieces.add(piece=piece, score=score - 0.0137 * 1.7**k / 100, type=1)  # no two paths weigh the same
+    return m.SerializeToString()
+
+
+def test_unigram_paths_are_the_least_and_equal_the_library():
+    proto = small_unigram()
+    own, library = sentencepiece_fst.Model(None, proto), sentencepiece.SentencePieceProcessor(model_proto=proto)
+    rng = random.Random(2)
+    for _ in range(300):
+        t = "".join(rng.choice("aabbcc x") for _ in range(rng.randint(1, 9)))
+        ids = own.encode(t)
+        assert ids.tolist() == library.encode(t) and own.decode(ids) == t
+        text = own.normalised(t)
+        assert own.path(text)[0] == pytest.approx(min(w for w, _ in paths(own, text)))
 
 
 @pytest.mark.parametrize("where", ["small", "odd_dir", "empty_dir"])
@@ -152,6 +229,31 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in last.collect()} == set(after) and last.where("not round_trip").count() == 0
 
 
+def test_pipeline_on_odd_and_empty_tables(spark, odd_docs, tmp_path):
+    for name, docs in (("odd", odd_docs.unionByName(odd_docs.where("doc_id = 9"))), ("empty", odd_docs.limit(0))):
+        d = str(tmp_path / name)
+        docs.write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(3, 1, 0), (2, 0, 0), (None, 1, 1), (9, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([(1, "gap after this id gap after this id"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, d).collect()
+        ids = [r.doc_id for r in got]
+        assert len(ids) == len(set(ids)) and all(r.round_trip for r in got)
+        assert (50 in ids, ids == []) == (False, name == "empty")
+
+
+def test_near_dedup_keeps_recall_on_whole_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, "").collect()}
+    sets = {r.doc_id: frozenset(grams(r.text)) for r in docs.collect()}
+    where = {}
+    for i, s in sets.items():
+        for g in s:
+            where.setdefault(g, []).append(i)
+    both = {(i, j) for ids in where.values() for i in ids for j in ids if i < j}
+    near = [(i, j) for i, j in both if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(near) > 20 and sum(not (i in kept and j in kept) for i, j in near) >= 0.9 * len(near)
+
+
 def test_masking(spark):
     from wayfold.llm import secret_scan
 

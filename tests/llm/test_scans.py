@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from functools import reduce
 
 import pytest
 import xxhash
@@ -182,6 +183,47 @@ def test_ownership_judges_base_secrets_and_counts_repositories(spark):
     assert [verdict(out[i]) for i in (0, 3, 4, 100)] == [(1, 0, 0, 0, 1), (3, 0, 0, 2, 1), (1, 0, 0, 1, 0), (0, 0, 1, 0, 0)]
 
 
+def slow_ownership(rows, max_owners=2, max_repositories=20):
+    """(doc, n_live, n_copied, n_base_live, n_base_copied, spans) of (doc, text, owner) rows, by counting sets."""
+    found = []
+    for doc, t, owner in rows:
+        base = [(m.start(), m.end(), "assign", m[2]) for m in ASSIGN.finditer(t) if len(m[2]) >= 8]
+        base += [(m.start(), m.end(), "access", m[0]) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        base += [(m.start(), m.end(), "hex", m[0]) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        keys = [(m.start(), m.end(), "key", m[0]) for m in re.finditer(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}", t) if re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0])]
+        keys = [k for k in keys if not any(b[0] < k[1] and k[0] < b[1] for b in base)]
+        found.append((doc, owner or "", base, keys))
+    owners, docs = defaultdict(set), defaultdict(set)
+    for doc, owner, base, keys in found:
+        for *_, v in base + keys:
+            owners[v].add(owner)
+            docs[v].add((owner, doc))
+    live = lambda s: len(owners[s[3]]) <= max_owners and len(docs[s[3]]) <= max_repositories
+    for doc, _, base, keys in found:
+        yield doc, sum(map(live, keys)), sum(not live(k) for k in keys), sum(map(live, base)), sum(not live(b) for b in base), len(base) + sum(map(live, keys))
+
+
+def test_ownership_equals_brute_force(spark):
+    rng = random.Random(4)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(12)]
+    keys = ["".join(rng.choice("abcXYZ0189_-") for _ in range(24)) for _ in range(12)]
+    rows = []
+    for i in range(400):
+        parts = [rng.choice(["words", rng.choice(hexes[: 1 + i % 12]), rng.choice(keys[: 1 + i % 12]), f"token={rng.choice(keys)}", f"secret: {rng.choice(hexes)}"]) for _ in range(rng.randint(0, 6))]
+        rows.append((i, " ".join(parts), rng.choice([None, "", "a", "b", "c"]) if i % 3 else "hot"))
+    rows += [(1000 + i, f"use {hexes[0]} {keys[0]}", "hot") for i in range(40)] + [(2000, f"own {'ab01' * 8} {'Zz9' * 8}", "a")]
+    got = secret_scan.secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    have = sorted((r.doc_id, r.n_live, r.n_copied, r.n_base_live, r.n_base_copied, len(r.spans)) for r in got)
+    want = sorted(slow_ownership([(d, t, o) for d, t, o in rows]))
+    assert have == want and sum(w[1] for w in want) and sum(w[4] for w in want)
+
+
+def test_very_many_matches_in_one_text(spark):
+    t = " é ".join(f"token={i:08d}" for i in range(1500))
+    got = secret_scan.secrets(spark.createDataFrame([(1, t, "s")], "doc_id long, text string, source string")).first()
+    assert [(s.start, s.end) for s in got.base] == [(m.start(), m.end()) for m in ASSIGN.finditer(t)] and got.n_assign == 1500
+
+
 def slow_base_pii(t):
     out = [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
@@ -222,6 +264,34 @@ def test_pii_long_runs_are_linear_and_context_counts():
     assert pii.redacted(t, pii.find(t)) == "write to <email> now"
 
 
+def slow_sketch(text):
+    """All shingle hashes of a text and those below the fraction, hashed as Spark does: each value seeded by the one before."""
+    chain = lambda values: reduce(lambda seed, v: xxhash.xxh64_intdigest(v.to_bytes(8, "little"), seed), values, 42)
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.findall(r"(?:[^\W_]|[\u0300-\u036f])+", text.lower())]
+    shingles = [words[i : i + 5] for i in range(len(words) - 4)] or ([words] if words else [])
+    hashes = sorted({chain(s) % 2**63 for s in shingles})
+    return hashes, [h for h in hashes if h < fingerprint.FRACTION * 2**63], chain(hashes)
+
+
+def as_text(sketch):
+    return f"{sketch[2]:X}:{','.join(f'{h:X}' for h in sketch[1])}".lower()
+
+
+def slow_likeness(a, b):
+    size = min(len(a[1]), len(b[1]))
+    return 1.0 if a[0] == b[0] else len(set(a[1]) & set(b[1])) / size if size else 0.0
+
+
+def test_neighbours_by_id_whatever_the_spread(spark, monkeypatch):
+    """Dense ids and one far away, negative and null ids: each row gets the text of the next lower id, and ranges stay even."""
+    ids = [*range(500), 2**40, -7, None]
+    docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
+    got = {r.doc_id: r.next_text for r in fingerprint.with_next(docs, "doc_id", "text").collect()}
+    order = [2**40, *range(499, -1, -1), -7, None]
+    assert got == {i: f"t{order[(k + 1) % len(order)]}" for k, i in enumerate(order)}
+    assert fingerprint.with_next(docs.limit(0), "doc_id", "text").count() == 0
+
+
 @pytest.mark.parametrize("where", ["small", "odd_dir", "empty_dir"])
 def test_fingerprints(spark, where, request):
     d = request.getfixturevalue(where)
@@ -239,6 +309,14 @@ def test_fingerprints(spark, where, request):
     for r in got:
         prints[by_id[r.doc_id]].add(r.fingerprint)
     assert all(len(x) == 1 for x in prints.values())
+    plain = [slow_sketch(t) for _, t in rows]
+    edited = [slow_sketch(t[: len(t) - len(t) // 3] + rows[(k + 1) % len(rows)][1][: len(t) // 3]) for k, (_, t) in enumerate(rows)]
+    of = defaultdict(list)
+    for r in got:
+        of[r.doc_id].append((r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)))
+    for k, (i, _) in enumerate(rows):
+        a, b, c = plain[k], edited[k], plain[(k + 1) % len(rows)]
+        assert (as_text(a), as_text(b), round(slow_likeness(a, b), 9), round(slow_likeness(a, c), 9)) in of[i]
     if where == "small":
         long = [r for r in got if r.n_chars > 500]
         assert sum(r.near_edited > 0.4 for r in long) > 0.9 * len(long)
@@ -252,6 +330,6 @@ def test_sketch_likeness_follows_true_containment_and_merges(spark):
         df = fingerprint.with_sketch(df, x, f"s_{x}")
     row = df.select(fingerprint.likeness("s_a", "s_b").alias("in_"), fingerprint.likeness("s_a", "s_c").alias("out_")).first()
     assert row.in_ > 0.9 and row.out_ == 0
-    two = df.selectExpr("g", "s_a sketch", "s_a_limit sketch_limit").union(df.selectExpr("g", "s_c sketch", "s_c_limit sketch_limit"))
+    two = df.selectExpr("g", "s_a sketch").union(df.selectExpr("g", "s_c sketch"))
     merged = fingerprint.merged(two, ["g"]).first()
     assert set(merged.sketch) == set(df.first().s_a) | set(df.first().s_c)
