@@ -6,36 +6,39 @@ read back as the next one's docs. All but the last keep the columns of ``documen
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfold.llm import decontaminate, secret_scan, sentencepiece_fst, simhash, toxicity
 from wayfold.llm.common import cut, table
-from wayfold.llm.queries import TOKENIZERS
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores below 0.5. It learns from the labels of the documents here."""
+    """Documents that the classifier scores below 0.5. It learns from the labels of the documents here.
+
+    Without labels of both kinds, or without documents, every text has the same score, below 0.5, and stays; null texts count as empty.
+    """
     return toxicity.keep_clean(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the least doc_id, of each group of near-duplicates."""
+    """One document, the one with the least doc_id, of each group of near-duplicates; of repeated rows one. Null and empty texts are one group."""
     return simhash.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item; null texts contain none, and without items all stay."""
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each secret in their texts replaced by its kind in angle brackets."""
+    """All documents, each secret in their texts replaced by its kind in angle brackets; null texts stay null."""
     return secret_scan.masked(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows (doc_id, n_tokens, ids, decoded_sha256, round_trip) of the SentencePiece model."""
-    return sentencepiece_fst.encoded(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+    """Rows (doc_id, n_tokens, ids, decoded_sha256, round_trip) of the SentencePiece model; a null text has no ids."""
+    return sentencepiece_fst.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [
