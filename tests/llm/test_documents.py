@@ -172,7 +172,7 @@ def small_unigram():
         m.pieces.add(piece=piece, score=0.0, type=kind)
     for b in range(256):
         m.pieces.add(piece=f"<0x{b:02X}>", score=0.0, type=6)
-    words = {"▁": -3.1, "a": -2.3, "b": -2.9, "c": -3.3, "ab": -3.7, "bc": -4.0, "abc": -6.1, "▁a": -2.7, "▁ab": -5.2, "ca": -4.4, "aa": -4.1, "cab": -5.9}
+    words = {"▁": -3.1, "a": -2.3, "b": -2.9, "c": -3.3, "ab": -3.7, "bc": -4.0, "abc": -6.1, "▁a": -2.7, "▁ab": -5.2, "ca": -4.4, "cab": -5.9}
     for k, (piece, score) in enumerate(words.items()):
         m.pieces.add(piece=piece, score=score - 0.0137 * 1.7**k / 100, type=1)  # no two paths weigh the same
     return m.SerializeToString()

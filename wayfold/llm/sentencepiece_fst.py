@@ -13,8 +13,10 @@ tropical weight (paths add weights, the least path counts):
   one is finite.
 
 An input is composed with the normaliser, and what that writes with pieces and byte fallback,
-which gives a lattice of arcs between places of the text; its shortest path, found by
-relaxation in order of places (and of the last piece, where there are pairs), is the encoding.
+which gives a lattice of arcs between places of the text; its shortest path is the encoding.
+States are places (with the last piece, where there are pairs). No weight is negative, so they
+are settled in order of their weight, and arcs are composed only where a settled state has
+them: the lattice is never built whole.
 
 Two characters that never stand next to each other inside a piece part the lattice: what
 lies on either side is composed by itself, and kept for the next time it comes.
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -36,7 +39,7 @@ SPACE = "▁"
 #: Label of an arc that reads any character which no other arc of its state reads, and writes it.
 ANY = None
 #: Entries of each of a worker's tables of words, segments and pairs; past it a table starts anew.
-CACHE = 100_000
+CACHE = 300_000
 #: What a unigram model takes off its least score for a character without a piece; a fixed value.
 UNKNOWN_PENALTY = 10.0
 
@@ -75,41 +78,43 @@ def normaliser(prefix: str) -> Machine:
     return m
 
 
-class Pieces(Machine):
-    """The trie of pieces; ``ends[state]`` is (id, weight) of the piece that the way from the root to a state spells."""
+class Pieces:
+    """The trie of pieces: ``arcs[state][character]`` is the next state, at no weight and without output.
+
+    ``ends[state]`` is (id, weight) of the arc that returns to the root, for a state that
+    spells a piece, else null.
+    """
 
     def __init__(self, weights: dict[str, tuple[int, float]]):
-        super().__init__()
-        self.ends: dict[int, tuple[int, float]] = {}
-        self.final = {0}
+        self.arcs: list[dict[str, int]] = [{}]
+        self.ends: list[tuple[int, float] | None] = [None]
         for piece, end in weights.items():
             at = 0
             for c in piece:
-                found = self.arcs[at].get(c)
-                if not found:
-                    found = ("", 0.0, self.state())
-                    self.arcs[at][c] = found
-                at = found[2]
+                if c not in self.arcs[at]:
+                    self.arcs[at][c] = len(self.arcs)
+                    self.arcs.append({})
+                    self.ends.append(None)
+                at = self.arcs[at][c]
             self.ends[at] = end
 
-    def lattice(self, text: str, fallback) -> list[list[tuple[int, float, object]]]:
-        """Composition with a text: for each place its arcs (next place, weight, output).
+    def starting(self, text: str, i: int, fallback) -> list[tuple[int, float, object]]:
+        """Arcs of the composition with a text that leave a place: (next place, weight, output), the shortest first.
 
         A character that is no piece has an arc of byte fallback, at that arc's weight.
         """
-        out, arcs, ends = [], self.arcs, self.ends
-        for i in range(len(text)):
-            here, state = [], 0
-            for j in range(i, len(text)):
-                found = arcs[state].get(text[j])
-                if not found:
-                    break
-                state = found[2]
-                if state in ends:
-                    here.append((j + 1, ends[state][1], ends[state][0]))
-            if not here or here[0][0] > i + 1:
-                here.append((i + 1, *fallback(text[i])))
-            out.append(here)
+        out, arcs, ends, state, j = [], self.arcs, self.ends, 0, i
+        n = len(text)
+        while j < n:
+            state = arcs[state].get(text[j])
+            if state is None:
+                break
+            j += 1
+            end = ends[state]
+            if end:
+                out.append((j, end[1], end[0]))
+        if not out or out[0][0] > i + 1:
+            out.insert(0, (i + 1, *fallback(text[i])))
         return out
 
 
@@ -127,6 +132,7 @@ class Pairs:
         self.order = {p: -s for p, (_, s) in pieces.items()}
         self.parts: dict[str, tuple[str, str] | None] = {}
         self.known: dict[tuple[str, str], float] = {}
+        self.edges: tuple[dict, dict] = ({}, {})
 
     def split(self, piece: str) -> tuple[str, str] | None:
         """The two pieces whose merge makes a piece, null for a character and for a piece that merging never makes."""
@@ -148,12 +154,14 @@ class Pairs:
 
     def _edge(self, piece: str, side: int) -> list[tuple[str, float, float]]:
         """Pieces at an edge with the times from which and until which they are there, the whole piece first."""
-        out, until = [], math.inf
-        while True:
-            out.append((piece, self.time(piece), until))
-            if len(piece) == 1:
-                return out
-            until, piece = self.time(piece), self.split(piece)[side]
+        found = self.edges[side].get(piece)
+        if found is None:
+            found = [(piece, self.time(piece), math.inf)]
+            if len(piece) > 1:
+                first, *rest = self._edge(self.split(piece)[side], side)
+                found += [(first[0], first[1], self.time(piece)), *rest]
+            self.edges[side][piece] = found
+        return found
 
     def _apart(self, a: str, b: str, before: float) -> bool:
         """Whether no merge across the border of two pieces comes before a time; of equal merges the left one comes first."""
@@ -177,35 +185,64 @@ class Pairs:
         return found
 
 
-def shortest_path(lattice: list[list[tuple[int, float, object]]], text: str, pair=None) -> tuple[float, list[tuple[str, object]]]:
-    """Weight and (piece, output) arcs of the least path through a lattice, the first of equals.
+def shortest_path(pieces: Pieces, text: str, fallback) -> tuple[float, list[tuple[str, object]]]:
+    """Weight and (piece, output) arcs of the least path that reads a text; states are places.
 
-    Relaxes all arcs place by place. With ``pair``, a weight between neighbouring pieces, a
-    state is a place and the piece that ends there; without, a place.
+    Settles places in order of weight, the farthest first among equals.
     """
-    n = len(lattice)
-    best: list[dict[str, tuple[float, str | None, int, object]]] = [{} for _ in range(n + 1)]
-    best[0][""] = (0.0, None, 0, None)
-    for i, arcs in enumerate(lattice):
-        for end, weight, output in arcs:
-            piece = text[i:end]
-            key = piece if pair else ""
-            least, came = math.inf, None
-            for last, (so_far, *_) in best[i].items():
-                total = so_far + weight + (pair(last, piece) if pair and last else 0.0)
-                if total < least:
-                    least, came = total, last
-            if came is not None and least < best[end].get(key, (math.inf,))[0]:
-                best[end][key] = (least, came, i, output)
-    if not best[n]:
-        raise ValueError("no path")
-    key = min(best[n], key=lambda k: best[n][k][0])
-    total, at, out = best[n][key][0], n, []
+    agenda: list[tuple] = [(0.0, 0, 0, None, None)]  # weight, minus the place, turn, place before, output
+    settled: dict[int, tuple] = {}
+    turn = 0
+    while True:
+        weight, at, _, before, output = heapq.heappop(agenda)
+        at = -at
+        if at in settled:
+            continue
+        settled[at] = (before, output)
+        if at == len(text):
+            break
+        for end, cost, output in pieces.starting(text, at, fallback):
+            turn += 1
+            heapq.heappush(agenda, (weight + cost, -end, turn, at, output))
+    out = []
     while at:
-        _, came, i, output = best[at][key]
-        out.append((text[i:at], output))
-        at, key = i, came
-    return total, out[::-1]
+        before, output = settled[at]
+        out.append((text[before:at], output))
+        at = before
+    return weight, out[::-1]
+
+
+def only_path(pieces: Pieces, pairs: Pairs, text: str, fallback) -> list[tuple[str, object]]:
+    """The (piece, output) arcs of the path of weight zero where all others are infinite; states are (place, last piece).
+
+    All states that can be reached have one weight, so they may be settled in any order: the
+    last one found first, the longest piece before shorter ones.
+    """
+    n, known, weight, starting = len(text), pairs.known, pairs.weight, pieces.starting
+    path: list[tuple[str, object]] = []
+    ways, places, settled = [starting(text, 0, fallback)], [0], set()
+    while True:
+        arcs, at = ways[-1], places[-1]
+        last = path[-1][0] if path else ""
+        while arcs:
+            end, _, output = arcs.pop()
+            piece = text[at:end]
+            if last:
+                found = known.get((last, piece))
+                if (weight(last, piece) if found is None else found) or (end, piece) in settled:
+                    continue
+            path.append((piece, output))
+            if end == n:
+                return path
+            settled.add((end, piece))
+            ways.append(starting(text, end, fallback))
+            places.append(end)
+            break
+        else:
+            # A settled state that leads nowhere stays settled.
+            ways.pop()
+            places.pop()
+            path.pop()
 
 
 class Model:
@@ -253,7 +290,9 @@ class Model:
 
     def path(self, normalised: str) -> tuple[float, list[tuple[str, object]]]:
         """Weight and arcs of the least path for a normalised text."""
-        return shortest_path(self.pieces.lattice(normalised, self.fallback), normalised, self.pairs and self.pairs.weight)
+        if self.pairs:
+            return 0.0, only_path(self.pieces, self.pairs, normalised, self.fallback)
+        return shortest_path(self.pieces, normalised, self.fallback)
 
     def normalised(self, text: str) -> str:
         return self.normaliser.write(text)
