@@ -51,8 +51,13 @@ def is_core(t: Column, tags: Column) -> Column:
 
 def reach(a: Column, b: Column) -> Column:
     """Kilometres up to which two objects (structs t, tags) may be one feature."""
-    far = F.greatest(F.coalesce(linear_km(a["t"], a["tags"]), F.lit(CLUSTER_KM)), F.coalesce(linear_km(b["t"], b["tags"]), F.lit(CLUSTER_KM)))
-    return F.when(is_core(a["t"], a["tags"]) & is_core(b["t"], b["tags"]), F.lit(CORE_KM)).otherwise(far)
+    return reach_of(is_core(a["t"], a["tags"]), linear_km(a["t"], a["tags"]), is_core(b["t"], b["tags"]), linear_km(b["t"], b["tags"]))
+
+
+def reach_of(core_a: Column, linear_a: Column, core_b: Column, linear_b: Column) -> Column:
+    """The same from what is known of both: settlement nodes, and kilometres of linear features (null: none)."""
+    far = F.greatest(F.coalesce(linear_a, F.lit(CLUSTER_KM)), F.coalesce(linear_b, F.lit(CLUSTER_KM)))
+    return F.when(core_a & core_b, F.lit(CORE_KM)).otherwise(far)
 
 
 def same_feature(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import FOLDED, NAME_RANKS, SPELT_OUT, TYPE_WORDS
+from ..constants import FOLDED, NAME_RANKS, PUNCTUATION, REFERENCE, SPELT_OUT, SUFFIX_PATTERNS, TYPE_WORDS
 
 
 def _col(c: Column | str) -> Column:
@@ -57,7 +57,7 @@ def norm(c: Column | str) -> Column:
     c = F.lower(strip(F.coalesce(_col(c), F.lit(""))))
     for a, b in SPELT_OUT.items():
         c = F.replace(c, F.lit(a), F.lit(b))
-    c = F.regexp_replace(_plain(c), r"[\-–—_/.'`’]+", " ")
+    c = F.regexp_replace(_plain(c), PUNCTUATION, " ")
     c = F.regexp_replace(c, r"(?U)[^\w ]+", "")
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
@@ -94,12 +94,12 @@ def split_variants(c: Column | str) -> Column:
 
 
 def parts(c: Column | str) -> Column:
-    """Variants of a cell as array of struct(name, remark): bracketed remarks joined, a closing ``?`` dropped, nameless ones left out."""
+    """Variants of a cell as array of struct(name, remark): bracketed remarks joined, empty ones and closing ``?`` dropped, nameless ones left out."""
 
     def part(v: Column) -> Column:
-        name = F.regexp_replace(strip(F.regexp_replace(v, r"\([^()]*\)", " ")), r"(?U)\s+", " ")
-        remark = F.array_join(F.transform(F.regexp_extract_all(v, F.lit(r"\(([^()]*)\)"), F.lit(1)), strip), "; ")
-        return F.struct(strip(F.regexp_replace(name, r"\?+$", "")).alias("name"), remark.alias("remark"))
+        name = strip(F.regexp_replace(strip(F.regexp_replace(v, r"\([^()]*\)", "")), r"\?+$", ""))
+        remarks = F.filter(F.transform(F.regexp_extract_all(v, F.lit(r"\(([^()]*)\)"), F.lit(1)), strip), lambda r: r != "")
+        return F.struct(name.alias("name"), F.array_join(remarks, "; ").alias("remark"))
 
     return F.filter(F.transform(split_variants(c), part), lambda p: p["name"] != "")
 
@@ -133,7 +133,8 @@ def name_values(c: Column | str) -> Column:
     v = F.coalesce(_col(c), F.lit(""))
     none = F.array().cast("array<string>")
     plain = F.concat(F.array(v), F.when(v.contains(" / "), F.transform(F.split(v, " / "), strip)).otherwise(none), F.when(v.contains(";"), F.transform(F.split(v, ";"), strip)).otherwise(none))
-    patterns = (r"^(.+?)\s*\([^()]*\)\s*$", rf"^(?:{'|'.join(TYPE_WORDS)})\s+(.+)$", r"^(.+?)\s+auf\s+\S.*$")
+    bracket, island = SUFFIX_PATTERNS
+    patterns = (bracket, rf"^(?:{'|'.join(TYPE_WORDS)})\s+(.+)$", island)
     derived = F.flatten(F.transform(plain, lambda x: F.array(*[strip(F.regexp_extract(x, p, 1)) for p in patterns])))
     tagged = F.concat(F.transform(plain, lambda x: F.struct(x.alias("value"), F.lit(0).alias("penalty"))), F.transform(derived, lambda x: F.struct(x.alias("value"), F.lit(2).alias("penalty"))))
     return F.filter(tagged, lambda x: x["value"] != "")
@@ -154,7 +155,7 @@ def parse_refs(c: Column | str) -> Column:
         kind, rest = F.substring_index(x, "/", 1), F.regexp_replace(x, "^[a-z]+/", "")
         return F.struct(letter[kind].alias("t"), F.when(kind != "local", rest.try_cast("bigint")).alias("id"), F.when(kind == "local", rest).alias("slug"))
 
-    good = F.forall(pieces, lambda x: x.rlike("^((node|way|relation)/[1-9][0-9]*|local/[a-z0-9]+(-[a-z0-9]+)*)$"))
+    good = F.forall(pieces, lambda x: x.rlike(REFERENCE))
     alone = (F.size(pieces) <= 1) | ~F.exists(pieces, lambda x: x.startswith("local/"))
     return F.when(good & alone, F.transform(pieces, ref))
 
@@ -222,14 +223,39 @@ def tag_problem(c: Column | str) -> Column:
 
 
 def cell_problem(c: Column | str) -> Column:
-    """The first rule of name cells that a cell breaks, or null."""
+    """The first thing that is wrong with how a name cell is written, or null; a null cell is empty.
+
+    Brackets neither nest nor stay open; variants are parted by a semicolon and one space; a
+    variant is a name, then remarks after one space each; names have no stray spaces and no
+    question mark, and none comes twice.
+    """
     c = F.coalesce(_col(c), F.lit(""))
-    rules = [
-        (c != strip(c), "white space at an end"), (c.rlike(r"(?U)\s\s"), "white space in a row"), (c.rlike(r"[\n\t\r]"), "a control character"),
-        (F.length(F.regexp_replace(c, r"[^(]", "")) != F.length(F.regexp_replace(c, r"[^)]", "")), "brackets do not match"), (c.rlike(r"\([^()]*\("), "nested brackets"),
-        (c.rlike(r"\(\s*\)"), "an empty remark"), (F.exists(split_variants(c), lambda v: strip(v) == "") & (c != ""), "an empty variant"), (c.rlike(r"^\("), "a remark without a name"),
-    ]
+    depths = F.aggregate(F.split(F.regexp_replace(c, "[^()]", ""), ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("least"), F.lit(0).alias("most")), lambda d, m: _deeper(d, F.when(m == "(", 1).when(m == ")", -1).otherwise(0)))
+    each = F.transform(split_variants(c), strip)
+    name = lambda v: F.regexp_extract(v, r"^([^()]*?)(?: \([^()]*\))*$", 1)
+    fits = lambda v: v.rlike(r"^[^()]*?(?: \([^()]*\))*$")
+    told = F.filter(F.transform(each, lambda v: _first([
+        (~fits(v), F.concat(F.lit("text after a remark in '"), v, F.lit("'"))), (name(v) == "", F.lit("an empty variant")),
+        ((name(v) != strip(name(v))) | name(v).contains("  "), F.concat(F.lit("stray spaces in '"), name(v), F.lit("'"))),
+        (name(v).contains("?"), F.concat(F.lit("`?` in '"), name(v), F.lit("' -- say `uncertain` in `note` instead"))),
+    ])), lambda m: m.isNotNull())
+    names = F.transform(parts(c), lambda p: p["name"])
+    twice = F.filter(names, lambda n, i: F.array_position(names, n) <= i)
+    return _first([
+        (c == "", F.lit(None).cast("string")), ((depths["least"] < 0) | (depths["most"] > 1), F.lit("unbalanced or nested brackets")), (depths["now"] != 0, F.lit("unbalanced brackets")),
+        (c.rlike(r"(?U)\s;|;(?! \S)"), F.lit("variants are separated by `; ` (no space before, one after)")), (F.size(told) > 0, F.get(told, F.lit(0))),
+        (F.size(twice) > 0, F.concat(F.array_join(twice, ", "), F.lit(" twice"))),
+    ])
+
+
+def _deeper(d: Column, by: Column) -> Column:
+    now = d["now"] + by
+    return F.struct(now.alias("now"), F.least(d["least"], now).alias("least"), F.greatest(d["most"], now).alias("most"))
+
+
+def _first(rules: list[tuple[Column, Column]]) -> Column:
+    """The message of the first rule that is broken, null for none."""
     out = F.lit(None).cast("string")
     for test, what in reversed(rules):
-        out = F.when(test, F.lit(what)).otherwise(out)
+        out = F.when(test, what).otherwise(out)
     return out

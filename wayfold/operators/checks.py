@@ -58,11 +58,11 @@ def shared_names(rows: DataFrame, key: str, names: Column) -> DataFrame:
     return each.groupBy("name").agg(F.array_sort(F.collect_set(key)).alias("keys")).where(F.size("keys") > 1)
 
 
-def offending_blocks(labels: DataFrame, text: str, available: list[str]) -> DataFrame:
-    """The first label of each block of 256 code points that is not available."""
+def offending_blocks(labels: DataFrame, text: str, available: list[str], label: str | None = None) -> DataFrame:
+    """The first label (the text itself, or another column) of each block of 256 code points that is not available."""
     from ..functions.text import block_of
 
-    each = labels.select(F.col(text).alias("label"), F.explode(F.array_distinct(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long")))).alias("code"))
+    each = labels.select(F.col(label or text).alias("label"), F.explode(F.array_distinct(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long")))).alias("code"))
     return each.withColumn("block", block_of("code")).where(~F.col("block").isin(*available)).groupBy("block").agg(F.min("label").alias("label"))
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graphs import connected
+
 
 def first_holder(claims: DataFrame, claim: list[str], line: str) -> DataFrame:
     """The first line of each claim; ties by all other columns, so that the result is fixed."""
@@ -23,25 +24,18 @@ def claim_problems(claims: DataFrame, claim: list[str], line: str) -> DataFrame:
     return out.where((F.col("holder") < F.col(line)) | F.col("repeated"))
 
 
-def conflict_groups(cands: DataFrame, row: str, thing: str, rounds: int = 50) -> DataFrame:
-    """Rows (row, conflict): rows that share candidates, directly or over others, have one conflict id.
+def conflict_groups(cands: DataFrame, row: str, thing: str) -> DataFrame:
+    """Rows (row, conflict): rows that share candidates, directly or over others, have one conflict, the least of them.
 
-    Labels are the least row of a group, spread over shared things until none changes; each
-    round is two sums and joins on keys and is checkpointed.
+    Each thing links its rows to the least of them, so a thing that very many rows share
+    makes as many links as rows. A row that shares nothing is its own conflict; null things
+    are shared by none.
     """
-    context = cands.sparkSession.sparkContext
-    if not context.getCheckpointDir():  # only where the cluster names none, as in tests
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="wayfold-"))
     pairs = cands.select(row, thing).distinct()
-    labels = pairs.select(row).distinct().withColumn("conflict", F.col(row))
-    for _ in range(rounds):
-        by_thing = pairs.join(labels, row).groupBy(thing).agg(F.min("conflict").alias("least"))
-        near = pairs.join(by_thing, thing).groupBy(row).agg(F.min("least").alias("least"))
-        new = labels.join(near, row, "left").select(row, F.least("conflict", F.coalesce("least", "conflict")).alias("conflict"), F.col("conflict").alias("was")).checkpoint()
-        labels = new.select(row, "conflict")
-        if not new.where("conflict <> was").limit(1).count():
-            return labels
-    raise RuntimeError("conflict groups did not settle")
+    hub = pairs.where(F.col(thing).isNotNull()).groupBy(thing).agg(F.min(row).alias("b"))
+    edges = pairs.join(hub, thing).select(F.col(row).alias("a"), "b")
+    roots = connected(edges).withColumnRenamed("node", row)
+    return pairs.select(row).distinct().join(roots, row, "left").select(row, F.coalesce("root", row).alias("conflict"))
 
 
 def resolve_in_order(cands: DataFrame, row: str, line: str, thing: str, order: list[str], decide: Callable[[pd.DataFrame], object] | None = None) -> DataFrame:

@@ -2,41 +2,60 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
+class _Ends:
+    """Which unused pieces begin or end at a node, the least place first."""
+
+    def __init__(self, pieces: dict[int, list[int]]):
+        self.pieces = pieces
+        self.at: dict[int, list[int]] = {}
+        for place, nodes in pieces.items():  # ascending, so each list is a heap
+            for node in {nodes[0], nodes[-1]}:
+                self.at.setdefault(node, []).append(place)
+
+    def least(self, node: int) -> int | None:
+        places = self.at.get(node, [])
+        while places and places[0] not in self.pieces:
+            heapq.heappop(places)
+        return places[0] if places else None
+
+
 def chains(pieces: list[list[int]]) -> Iterator[list[int]]:
-    """Join node lists end to end, always with the first piece left that fits either end, until closed or nothing fits."""
-    left = [list(p) for p in pieces if len(p) >= 2]
+    """Lines that node lists make when joined end to end.
+
+    A line starts with the first piece left and grows, until it closes, by the first piece
+    left that has one of the line's ends as an end of its own; a piece that has both goes to
+    the line's last node. Time grows with the nodes and the logarithm of the pieces.
+    """
+    left = {place: list(map(int, nodes)) for place, nodes in enumerate(pieces) if len(nodes) >= 2}
+    ends = _Ends(left)
     while left:
-        line = left.pop(0)
+        line = deque(left.pop(next(iter(left))))
         while line[0] != line[-1]:
-            for at, piece in enumerate(left):
-                head, tail = line[0], line[-1]
-                if tail in (piece[0], piece[-1]):
-                    more = piece if piece[0] == tail else piece[::-1]
-                    line = line + more[1:]
-                elif head in (piece[0], piece[-1]):
-                    more = piece if piece[-1] == head else piece[::-1]
-                    line = more[:-1] + line
-                else:
-                    continue
-                del left[at]
+            fitting = [(place, side) for side, node in enumerate((line[-1], line[0])) if (place := ends.least(node)) is not None]
+            if not fitting:
                 break
+            place, side = min(fitting)
+            more = left.pop(place)
+            if side == 0:
+                line.extend(more[1:] if more[0] == line[-1] else more[-2::-1])
             else:
-                break
-        yield line
+                line.extendleft(more[-2::-1] if more[-1] == line[0] else more[1:])
+        yield list(line)
 
 
 def rings(pieces: list[list[int]]) -> tuple[list[list[int]], list[list[int]]]:
     """Closed rings (four ids or more, the first again at the end), and what does not close."""
-    closed, open_ = [], []
-    for line in chains(pieces):
-        (closed if line[0] == line[-1] and len(line) >= 4 else open_).append(line)
-    return closed, open_
+    lines = list(chains(pieces))
+    whole = [line[0] == line[-1] and len(line) > 3 for line in lines]
+    return [x for x, w in zip(lines, whole, strict=True) if w], [x for x, w in zip(lines, whole, strict=True) if not w]
 
 
 def assembled(ways: DataFrame, key: str = "relation_id") -> DataFrame:

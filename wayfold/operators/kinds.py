@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import geo, tags
+from ..constants import ISLANDS, SETTLEMENTS, WARFT_PLACES
+from ..functions import tags
 
 Test = tuple[str, str, tuple[str, ...]]
 
@@ -21,8 +22,8 @@ def test(types: str, key: str, *values: str) -> Test:
 
 
 def passes(obj: Column, tests: tuple[Test, ...]) -> Column:
-    """Whether an object (struct t, tags) passes any of the tests."""
-    each = [tags.on(obj["t"], t, tags.tag(obj["tags"], k, *v)) for t, k, v in tests]
+    """Whether an object (struct t, tags) passes any of the tests; a test without a key asks for the type alone."""
+    each = [tags.on(obj["t"], t, *([tags.tag(obj["tags"], k, *v)] if k else [])) for t, k, v in tests]
     return F.greatest(*each, F.lit(False)) if each else F.lit(False)
 
 
@@ -30,17 +31,16 @@ def _passing(tests: tuple[Test, ...]):
     return lambda obj: passes(obj, tests)
 
 
-# Settlement and island classes, and for each group of kinds which object fits how well.
-SETTLEMENTS = ("city", "town", "village", "hamlet", "isolated_dwelling", "farm", "suburb", "quarter", "neighbourhood")
-ISLANDS = ("island", "islet", "archipelago")
+# For each group of kinds which object fits how well.
 _ISLAND = (test("nwr", "place", *ISLANDS), test("nwr", "natural", *ISLANDS, "peninsula"))
+_ISLAND_AREA = (test("wr", "place", *ISLANDS), test("wr", "natural", *ISLANDS, "peninsula"))
 FITS: dict[str, tuple[tuple[tuple[tuple[Test, ...], int], ...], int]] = {
     "place": ((((test("n", "place"),), 30), ((test("r", "boundary", "administrative"),), 12), ((test("w", "place"),), 8)), 2),
-    "outline": ((((test("wr", "place", *ISLANDS), test("wr", "natural", *ISLANDS, "peninsula")), 30), ((test("n", "place"),), 18)), 4),
+    "outline": (((_ISLAND_AREA, 30), ((test("n", "place"),), 18)), 4),
     "water": ((((test("wr", "natural"), test("wr", "water"), test("wr", "place", "sea")), 25), ((test("nwr", "waterway"),), 20)), 6),
     "landscape": ((((test("r", "boundary"), test("r", "place")), 25), ((test("n", "place"), test("n", "natural")), 22)), 6),
-    "road": ((((test("w", "highway"),), 20),), 4),
-    "node": ((((test("n", "name"),), 10),), 6),
+    "road": ((((test("w", ""),), 20),), 4),
+    "node": ((((test("n", ""),), 10),), 6),
 }
 
 
@@ -48,21 +48,31 @@ FITS: dict[str, tuple[tuple[tuple[tuple[Test, ...], int], ...], int]] = {
 class Kind:
     """accepted: any of these makes an object a candidate, and so do administrative levels;
     canonic: tests that narrow candidates, the likeliest first; fit: key of FITS;
+    whole: tests of an object that is a whole feature though it is no candidate by its tags;
     boundary: what a bare administrative boundary is: feature, yields, or yields to node;
-    home_only: a match outside the home region is wrong."""
+    home_only: a match outside the home region is wrong; by_item: found by its item, not as
+    an object; point_place: class of a point made for it; area: it can be a square."""
 
     name: str
     accepted: tuple[Test, ...]
     levels: tuple[int, ...] = ()
     canonic: tuple[tuple[Test, ...], ...] = ()
     fit: str = "node"
+    whole: tuple[Test, ...] = ()
     boundary: str = "feature"
     home_only: bool = False
+    by_item: bool = False
+    point_place: str | None = None
+    area: bool = False
 
     def accepts(self, obj: Column) -> Column:
-        admin = tags.tag(obj["tags"], "boundary", "administrative") & geo.admin_level(obj["tags"]).isin(*self.levels) if self.levels else F.lit(False)
+        admin = tags.tag(obj["tags"], "boundary", "administrative") & tags.tag(obj["tags"], "admin_level", *map(str, self.levels)) if self.levels else F.lit(False)
         return passes(obj, self.accepted) | admin
 
+    def covers(self, obj: Column) -> Column:
+        """Whether an object can be a feature of the kind, or a part of one."""
+        return self.accepts(obj) | passes(obj, self.whole)
+
     def bonus(self, obj: Column) -> Column:
         """Points of the first test of the fit that the object passes."""
         cases, otherwise = FITS[self.fit]
@@ -83,33 +93,50 @@ class Kind:
         """An array of objects without bare administrative boundaries, where the kind says so; never empty for that reason."""
         if self.boundary == "feature":
             return members
-        bare = lambda m: tags.tag(m["tags"], "boundary", "administrative") & ~tags.tag(m["tags"], "place")
-        kept = F.filter(members, lambda m: ~bare(m))
+        kept = F.filter(members, lambda m: ~bare_boundary(m["tags"]))
         done = F.when(F.size(kept) > 0, kept).otherwise(members)
         if self.boundary == "yields":
             return done
         return F.when(F.exists(members, lambda m: tags.on(m["t"], "n", tags.tag(m["tags"], "place"))), done).otherwise(members)
 
 
-_place = ((test("n", "place"),), (test("wr", "place"),))
-_outline = ((*((("wr"), k, v) for _, k, v in _ISLAND),), (test("n", "place"),))
+def bare_boundary(tag_map: Column) -> Column:
+    """An administrative boundary without a place of its own."""
+    return tags.tag(tag_map, "boundary", "administrative") & ~tags.tag(tag_map, "place")
+
+
+_place = ((test("nwr", "place"),),)
+_outline = (_ISLAND_AREA,)
+_river = test("r", "type", "waterway")
+_settled = test("nwr", "place", *SETTLEMENTS)
 # Kinds in the order in which they are worked through.
 KINDS = (
-    Kind("settlement", (test("nwr", "place", *SETTLEMENTS),), tuple(range(6, 12)), _place, "place", "yields"),
-    Kind("island", _ISLAND, tuple(range(8, 12)), _outline, "outline", "yields"),
-    Kind("hallig", (*_ISLAND, test("nwr", "place", *SETTLEMENTS)), tuple(range(8, 12)), _outline, "outline", "yields", True),
-    Kind("sand", (test("nwr", "natural", "sand", "shoal", "beach", "mud", "reef", "wetland"), test("nwr", "place", *ISLANDS, "locality")), (), _outline, "outline", "yields", True),
-    Kind("landscape", (test("nwr", "place", "region", "county", "state", "district", "province", "island", "archipelago"), test("nwr", "natural", "peninsula", "ridge", "hill", "archipelago"), test("nwr", "boundary", "administrative", "historic", "political")), (), (), "landscape", "yields to node"),
-    Kind("water", (test("nwr", "natural", "water", "bay", "strait", "wetland", "spring", "sand"), test("nwr", "water"), test("nwr", "waterway"), test("nwr", "place", "sea"), test("nwr", "boundary", "maritime", "place"), test("r", "type", "waterway")), (), (), "water"),
-    Kind("harde", (test("nwr", "boundary", "historic", "political", "administrative"), test("nwr", "place", "region")), home_only=True),
+    Kind("settlement", (_settled,), tuple(range(6, 12)), _place, "place", boundary="yields", point_place="hamlet"),
+    Kind("island", _ISLAND, tuple(range(8, 12)), _outline, "outline", boundary="yields", point_place="island", area=True),
+    Kind("hallig", (*_ISLAND, _settled), tuple(range(8, 12)), _outline, "outline", boundary="yields", home_only=True, point_place="island", area=True),
+    Kind("helgoland", tuple(test("nwr", k) for k in ("place", "natural", "man_made", "historic", "water", "waterway")), boundary="yields"),
+    Kind("sand", (test("nwr", "natural", "sand", "shoal", "beach", "mud", "reef", "wetland"), test("nwr", "place", *ISLANDS, "locality")), (), _outline, "outline", boundary="yields", home_only=True, area=True),
+    Kind("landscape", (test("nwr", "place", "region", "county", "state", "district", "province", "island", "archipelago"), test("nwr", "natural", "peninsula", "ridge", "hill", "archipelago"), test("nwr", "boundary", "administrative", "historic", "political")), (), (), "landscape", boundary="yields to node", area=True),
+    Kind("water", (test("nwr", "natural", "water", "bay", "strait", "wetland", "spring", "sand"), test("nwr", "water"), test("nwr", "waterway"), test("nwr", "place", "sea"), test("nwr", "boundary", "maritime", "place")), (), ((_river, test("nwr", "place", "sea")), (test("wr", "natural", "water"), test("wr", "water"))), "water", whole=(_river,)),
+    Kind("harde", (test("nwr", "boundary", "historic", "political", "administrative"), test("nwr", "place", "region")), home_only=True, area=True),
     Kind("road", (test("nwr", "highway"),), fit="road"),
-    Kind("country", (), (2,)),
-    Kind("koog", (test("nwr", "place", *SETTLEMENTS, "polder"), test("nwr", "boundary", "administrative", "protected_area"), test("nwr", "landuse"), test("nwr", "natural", "water", "wetland")), (), _place, "place", "yields", True),
-    Kind("warft", (test("nwr", "place", *SETTLEMENTS, "locality"), test("nwr", "landuse", "residential", "farmyard", "meadow"), test("nwr", "man_made"), test("nwr", "historic")), (), _place, "place", "yields", True),
+    Kind("country", (), (2,), by_item=True),
+    Kind("koog", (test("nwr", "place", *SETTLEMENTS, "polder"), test("nwr", "boundary", "administrative", "protected_area"), test("nwr", "landuse"), test("nwr", "natural", "water", "wetland")), (), _place, "place", boundary="yields", home_only=True, area=True),
+    Kind("warft", (test("nwr", "place", *WARFT_PLACES), test("nwr", "landuse", "residential", "farmyard", "meadow"), test("nwr", "man_made"), test("nwr", "historic")), (), _place, "place", boundary="yields", home_only=True, point_place="hamlet"),
+    Kind("not_a_place", (test("nwr", ""),)),
 )
 BY_NAME = {k.name: k for k in KINDS}
 
 
+def by_kind(kind: Column, value, otherwise=None) -> Column:
+    """What ``value`` gives for the kind that a column names; ``otherwise`` for an unknown one."""
+    out = F.lit(otherwise)
+    for k in reversed(KINDS):
+        found = value(k)
+        out = F.when(kind == k.name, found if isinstance(found, Column) else F.lit(found)).otherwise(out)
+    return out
+
+
 def kind_order(kind: Column) -> Column:
     """The place of a kind in the order of work; unknown kinds last."""
     return F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(k.name) for k in KINDS]), kind), F.lit(0)), F.lit(len(KINDS) + 1))

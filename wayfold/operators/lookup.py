@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import HINT_KM, UNPLACED_KM
+from ..constants import HINT_CIRCLES, HINT_KM, ISLAND_POINTS, ISLANDS, LARGE_HINTS, VILLAGE_POINTS, VILLAGES
 from ..functions import geo, tags
+from ..functions.text import norm
 
 #: Keys any of which makes an object place-like, besides being a waterway relation.
 PLACE_KEYS = ("place", "natural", "boundary", "waterway", "landuse")
@@ -42,21 +43,48 @@ def row_for(objects: DataFrame, by_ref: DataFrame, by_item: DataFrame, members:
     return out.select(*objects.columns, row.alias("row"), how.alias("how"))
 
 
+def is_island(tag_map: Column) -> Column:
+    """An island, or the peninsula that one has become."""
+    return tags.tag(tag_map, "place", *ISLANDS) | tags.tag(tag_map, "natural", *ISLANDS, "peninsula")
+
+
+def is_a_place(tag_map: Column) -> Column:
+    return tags.has_any(tag_map, "place", "natural") | tags.tag(tag_map, "boundary", "administrative")
+
+
 def plausibility(lon: Column, lat: Column, tag_map: Column) -> Column:
     """Nearness to the centre, and points for islands and villages."""
-    far = -geo.km_or(geo.from_centre(lon, lat), UNPLACED_KM)
-    island = tags.tag(tag_map, "place", "island", "islet", "archipelago") | tags.tag(tag_map, "natural", "peninsula")
-    return far + F.when(island, 40.0).otherwise(0.0) + F.when(tags.tag(tag_map, "place", "village", "hamlet"), 30.0).otherwise(0.0)
+    far = -geo.km_or(geo.from_centre(lon, lat), float("inf"))
+    return far + F.when(is_island(tag_map), ISLAND_POINTS).otherwise(0.0) + F.when(tags.tag(tag_map, "place", *VILLAGES), VILLAGE_POINTS).otherwise(0.0)
+
 
+def circle_km(key: Column, tag_map: Column) -> Column:
+    """The radius of a hint's circle: large ones by their normalised name, then islands and regions, then the rest."""
+    wide = is_island(tag_map) | tags.tag(tag_map, "place", "region")
+    return F.when(key.isin(*LARGE_HINTS), HINT_KM["large"]).when(wide, HINT_KM["island"]).otherwise(HINT_KM["place"])
 
-def hint_circles(hits: DataFrame, hint: str = "hint", order: str = "id", large: tuple[str, ...] = ()) -> DataFrame:
+
+def hint_circles(hits: DataFrame, hint: str = "hint", order: str | list[str] = "id") -> DataFrame:
     """Rows (hint, lon, lat, km): the most plausible placed hit (hint, id, lon, lat, tags) of each hint, the first among equals."""
-    placed = hits.where(F.col("lon").isNotNull() & F.col("lat").isNotNull() & tags.has_any(F.col("tags"), "place", "natural", "boundary"))
+    placed = hits.where(F.col("lon").isNotNull() & F.col("lat").isNotNull() & is_a_place(F.col("tags")))
     best = placed.withColumn("__p", plausibility(F.col("lon"), F.col("lat"), F.col("tags")))
-    best = best.withColumn("__n", F.row_number().over(Window.partitionBy(hint).orderBy(F.col("__p").desc(), order))).where("__n = 1")
-    wide = tags.tag(F.col("tags"), "place", "island", "islet", "archipelago", "region") | tags.tag(F.col("tags"), "natural", "peninsula")
-    km = F.when(F.col(hint).isin(*large), HINT_KM["island"]) if large else F.when(F.lit(False), 0.0)
-    return best.select(hint, "lon", "lat", km.when(wide, HINT_KM["sea"]).otherwise(HINT_KM["place"]).alias("km"))
+    best = best.withColumn("__n", F.row_number().over(Window.partitionBy(hint).orderBy(F.col("__p").desc(), *([order] if isinstance(order, str) else order)))).where("__n = 1")
+    return best.select(hint, "lon", "lat", circle_km(norm(hint), F.col("tags")).alias("km"))
+
+
+def resolved_hints(rows: DataFrame, index: DataFrame, objects: DataFrame, hint: str = "hint") -> DataFrame:
+    """Rows (hint, lon, lat, km): where each distinct hint of ``rows`` lies; hints that no place has are left out.
+
+    Only what stands before a first semicolon counts. A fixed circle goes before what the
+    index (key, src, t, id) finds.
+    """
+    hints = rows.select(hint).where(F.col(hint).isNotNull()).distinct().withColumn("key", norm(F.substring_index(hint, ";", 1))).where("key <> ''")
+    fixed = F.create_map(*[x for k, (lon, lat, km) in HINT_CIRCLES.items() for x in (F.lit(k), F.struct(F.lit(lon).alias("lon"), F.lit(lat).alias("lat"), F.lit(km).alias("km")))])
+    known = hints.withColumn("c", fixed[F.col("key")])
+    hits = known.where("c IS NULL").select("key").distinct().join(index, "key").join(objects.select("src", "t", "id", "lon", "lat", "tags"), ["src", "t", "id"])
+    found = hint_circles(hits, "key", ["src", "t", "id"])
+    out = known.join(found.withColumnsRenamed({c: f"f_{c}" for c in ("lon", "lat", "km")}), "key", "left")
+    return out.select(hint, *[F.coalesce(F.col("c")[c], F.col(f"f_{c}")).alias(c) for c in ("lon", "lat", "km")]).where("km IS NOT NULL")
 
 
 def in_circle(lon: Column, lat: Column, circle: Column) -> Column:

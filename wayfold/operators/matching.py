@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import NAME_RANKS
+from ..constants import BYNAMES, NAME_RANKS
 from ..functions import geo, tags
 from ..functions.text import name_rank, name_values, norm
 
@@ -14,13 +14,14 @@ def name_index(objects: DataFrame) -> DataFrame:
     """Rows (key, src, t, id, rank, byname): every variant of every name tag of objects (src, t, id, tags).
 
     Of several tags that give one object the same key the best rank counts; byname says
-    that only derived or lesser names did. Objects without a name do not appear.
+    that each of them tells only what the object also goes by. Objects without a name do
+    not appear.
     """
     keys = F.array(*[F.lit(k) for k in NAME_RANKS])
     named = objects.select("src", "t", "id", "tags", F.explode(keys).alias("tag")).where(F.col("tags")[F.col("tag")].isNotNull())
-    each = named.select("src", "t", "id", name_rank("tag").alias("base"), F.explode(name_values(F.col("tags")[F.col("tag")])).alias("v"))
-    each = each.select(norm(F.col("v.value")).alias("key"), "src", "t", "id", (F.col("base") + F.col("v.penalty")).alias("rank")).where("key <> ''")
-    return each.groupBy("key", "src", "t", "id").agg(F.min("rank").alias("rank"), F.min(F.col("rank") > 0).alias("byname"))
+    each = named.select("src", "t", "id", name_rank("tag").alias("base"), F.col("tag").isin(*BYNAMES).alias("byname"), F.explode(name_values(F.col("tags")[F.col("tag")])).alias("v"))
+    each = each.select(norm(F.col("v.value")).alias("key"), "src", "t", "id", (F.col("base") + F.col("v.penalty")).alias("rank"), "byname").where("key <> ''")
+    return each.groupBy("key", "src", "t", "id").agg(F.min("rank").alias("rank"), F.bool_and("byname").alias("byname"))
 
 
 def lookup(queries: DataFrame, index: DataFrame, by: str = "name") -> DataFrame:
@@ -46,9 +47,15 @@ def listed(cands: DataFrame, row: str = "row_id") -> DataFrame:
 
 
 def top_with_more(rows: DataFrame, by: list[str], order: list[Column], n: int = 20) -> DataFrame:
-    """The first ``n`` of each group in order, with ``more``: how many are left out."""
-    w = Window.partitionBy(*by)
-    return rows.withColumn("place", F.row_number().over(w.orderBy(*order))).withColumn("more", F.greatest(F.count("*").over(w) - n, F.lit(0))).where(F.col("place") <= n)
+    """The first ``n`` of each group in order, with ``more``: how many are left out.
+
+    Groups are counted apart from their order, so that the window plans to a group limit
+    before the shuffle and no hot group is sorted whole. Rows with a null key form a group.
+    """
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= n)
+    counts = rows.groupBy(*by).agg(F.count("*").alias("__n")).withColumnsRenamed({c: f"__{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    return first.join(counts, same).withColumn("more", F.greatest(F.col("__n") - n, F.lit(0))).drop("__n", *[f"__{c}" for c in by])
 
 
 def taken_and_free(cands: DataFrame, claimed: DataFrame, on: list[str]) -> DataFrame:
@@ -66,30 +73,13 @@ def first_source_wins(sources: list[DataFrame], keys: list[str]) -> DataFrame:
     return whole.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("source_place"))).where("__n = 1").drop("__n")
 
 
-def member_score(fit: Column, c: Column) -> Column:
-    """Points for carrying a name: fit, an own item, an own German name, and nearness to the centre."""
-    from ..constants import ITEM_BONUS, KM_PER_POINT, OWN_NAME_BONUS, UNPLACED_KM
-
-    km = geo.km_or(geo.from_centre(c["lon"], c["lat"]), UNPLACED_KM)
-    own = lambda k, points: F.when(tags.tag(c["tags"], k), F.lit(points)).otherwise(F.lit(0.0))
-    return fit + own("wikidata", ITEM_BONUS) + own("name:de", OWN_NAME_BONUS) - km / KM_PER_POINT
-
-
-def place_fit(t: Column, tag_map: Column) -> Column:
-    """Fit of an object to carry a settlement's name: node 30, administrative relation 12, way 8, else 2."""
-    place = tags.tag(tag_map, "place")
-    return F.when((t == "n") & place, 30.0).when((t == "r") & tags.tag(tag_map, "boundary", "administrative"), 12.0).when((t == "w") & place, 8.0).otherwise(2.0)
+def ref_text(t: Column | str, ident: Column | str) -> Column:
+    """``way/12`` of a type letter and a number."""
+    t, ident = (F.col(c) if isinstance(c, str) else c for c in (t, ident))
+    return F.concat(F.when(t == "n", "node/").when(t == "w", "way/").otherwise("relation/"), ident.cast("string"))
 
 
 def best_member(members: Column, score) -> Column:
     """The member with the greatest score, the first among equals."""
     scored = F.transform(members, lambda m, i: F.struct(score(m).alias("s"), (-i).alias("i"), m.alias("m")))
     return F.get(F.sort_array(F.transform(scored, lambda x: F.struct(x["s"], x["i"])), asc=False), F.lit(0))["i"] * -1
-
-
-def needs_review(in_home: Column, home_only: Column, minor: Column, km: Column, hinted: Column, weaker_home: Column) -> Column:
-    """Whether a clear winner is still for a human: implausible place, or outside while a weaker hit lies inside and no hint speaks for it."""
-    from ..constants import MINOR_PLACE_KM
-
-    suspicious = ~in_home & (home_only | (minor & (geo.km_or(km, float("inf")) > MINOR_PLACE_KM)))
-    return suspicious | (~hinted & ~in_home & weaker_home)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,11 +51,23 @@ def resolved(rows: DataFrame, varieties: list[Variety], area: str = "area") -> D
     return rows.withColumn("names", F.map_filter(pairs, lambda k, v: v != "")).withColumn("local_name", local_name(varieties, F.col(area)))
 
 
-def label_chain(view: str, in_home: bool, varieties: list[Variety]) -> list[str]:
-    """Properties to try in order for a view; outside the home region the generic name comes first for other languages."""
-    own = [f"name:{view}"] if view else []
-    home = ["name:local", *[f"name:{v.tag}" for v in varieties if v.tag != view]]
-    return [*own, *home, "name", "name:de"] if in_home else [*own, "name", "name:de", "name:da"]
+#: Property that holds the name which the people of a place use themselves, and the view that shows it.
+LOCAL = "name:local"
+LOCAL_VIEW = "local"
+
+
+def label_chain(view: str, in_area: bool, varieties: list[Variety], language: str = "frr") -> list[str]:
+    """Properties to try in order for a view, inside or outside the areas of the registry's language.
+
+    The local view shows no variety's name: local, then the majority languages. A variety's
+    view tries its own name, local if inside, the other varieties, the language itself,
+    local if outside, then the majority languages and the generic names.
+    """
+    if view == LOCAL_VIEW:
+        return [LOCAL, "name:nds", "name:latin", "name", "name:de"]
+    others = [f"name:{v.tag}" for v in varieties if v.language == language and v.tag != view]
+    local = [LOCAL]
+    return [f"name:{view}", *(local if in_area else []), *others, f"name:{language}", *([] if in_area else local), "name:nds", "name:de", "name:latin", "name"]
 
 
 def shown(chain: list[str]) -> Column:
@@ -62,17 +75,43 @@ def shown(chain: list[str]) -> Column:
     return F.coalesce(*[F.when(present(f"`{c}`").isNotNull(), F.struct(F.col(f"`{c}`").alias("name"), F.lit(c).alias("source"))) for c in chain])
 
 
-def new_ids(rows: DataFrame, name: str, line: str, taken: DataFrame | None = None) -> DataFrame:
-    """Rows with ``id``: the slug of the name, with -2, -3 ... for later rows of one slug.
+def new_ids(rows: DataFrame, names: str | list[str], line: str, taken: DataFrame | None = None) -> DataFrame:
+    """Rows with ``id``: the slug of the first name along the columns, with -2, -3 ... where that is taken.
 
-    Suffixes count on from those that ``taken`` (id) holds already. An empty slug is ``place``.
+    Rows are given ids in order of ``line`` (distinct); ``taken`` (id) holds ids that others
+    have. Rows without a usable name are called ``row``. Only ids that are alike up to
+    numbers at their end can meet: where all rows of such a family have one slug and none is
+    taken they are numbered by a window; the other families are folded one by one.
     """
-    s = rows.withColumn("__s", F.coalesce(present(slug(name)), F.lit("place")))
-    s = s.withColumn("__n", F.row_number().over(Window.partitionBy("__s").orderBy(line)))
-    if taken is not None:
-        used = taken.select(F.regexp_replace("id", "-[0-9]+$", "").alias("__s"), F.coalesce(F.regexp_extract("id", "-([0-9]+)$", 1).try_cast("int"), F.lit(1)).alias("k")).groupBy("__s").agg(F.max("k").alias("__k"))
-        s = s.join(used, "__s", "left").withColumn("__n", F.col("__n") + F.coalesce("__k", F.lit(0))).drop("__k")
-    return s.withColumn("id", F.when(F.col("__n") == 1, F.col("__s")).otherwise(F.concat("__s", F.lit("-"), F.col("__n").cast("string")))).drop("__s", "__n")
+    columns = [names] if isinstance(names, str) else names
+    base = F.coalesce(*[present(slug(primary(c))) for c in columns], F.lit("row"))
+    stem = lambda c: F.regexp_replace(c, "(-[0-9]+)+$", "")
+    s = rows.withColumn("__s", base).withColumn("__stem", stem("__s"))
+    held = rows.sparkSession.createDataFrame([], "id string") if taken is None else taken.select("id").where("id <> ''").distinct()
+    held = held.select(stem("id").alias("__stem"), "id")
+    several = s.groupBy("__stem").agg(F.min("__s").alias("a"), F.max("__s").alias("b")).where("a <> b").select("__stem")
+    mixed = several.unionByName(held.select("__stem")).distinct().withColumn("__mixed", F.lit(True))
+    marked = s.join(mixed, "__stem", "left")
+    n = F.row_number().over(Window.partitionBy("__s").orderBy(line))
+    alone = marked.where("__mixed IS NULL").withColumn("__n", n)
+    alone = alone.select(*rows.columns, F.when(F.col("__n") == 1, F.col("__s")).otherwise(F.concat("__s", F.lit("-"), F.col("__n").cast("string"))).alias("id"))
+
+    def fold(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        used, next_of, out = set(theirs["id"]), {}, []
+        for at, slug_ in mine.sort_values("line")[["line", "base"]].itertuples(index=False):
+            n = next_of.get(slug_, 1)
+            while (ident := slug_ if n == 1 else f"{slug_}-{n}") in used:
+                n += 1
+            used.add(ident)
+            next_of[slug_] = n
+            out.append((at, ident))
+        return pd.DataFrame(out, columns=["line", "id"])
+
+    met = marked.where("__mixed").select("__stem", F.col(line).alias("line"), F.col("__s").alias("base")).groupBy("__stem")
+    kind = rows.schema[line].dataType.simpleString()
+    given = met.cogroup(held.groupBy("__stem")).applyInPandas(fold, f"line {kind}, id string").withColumnRenamed("line", "__line")
+    folded = marked.where("__mixed").join(given, F.col(line) == F.col("__line")).select(*rows.columns, "id")
+    return alone.unionByName(folded)
 
 
 def row_state(kind: Column, status: Column, named: Column, local: Column, refers: Column) -> Column:

@@ -1,65 +1,246 @@
-"""The flagship plan: names of rows resolved to objects."""
+"""The flagship plan: names of rows resolved to objects, in the order of the rows.
+
+A pass decides all rows at once, as joins, windows and sums: candidates by name, those that
+the row's kind accepts, boundaries set aside, the canonical ones, clusters of the best name
+hits, the winner by hint or by its place, the member that suits best to carry the name.
+
+What a row gets is not for a later row to get. A pass decides rows as if none before them got
+anything; that stands for the rows of a conflict group (``claims.conflict_groups``) up to the
+first whose candidates or items an earlier row of the group gets. The next pass goes on there,
+with what is settled as claims. So passes are as many as the longest chain of rows that take
+from each other, not as many as there are rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import MINOR_PLACES, SEPARATION_KM
+from ..constants import BOUNDARY_KM, GERMAN_NAME_POINTS, ITEM_POINTS, KM_PER_POINT, MINOR_PLACE_KM, MINOR_PLACES, SEPARATION_KM, UNPLACED_KM
 from ..functions import geo, tags
-from ..operators import clustering, lookup, matching
+from ..functions.text import norm, variants
+from ..operators import claims, clustering, kinds, lookup, matching
+from ..sources.tables import cut
+
+FAR = float("inf")
+#: What another row holds: an object (t, id) or an item, the row, and whether the run itself gave it out.
+CLAIMS = "t string, id long, item string, holder string, given boolean"
+RESULT = "row_id string, line long, result string, why string, refs array<struct<t:string,id:bigint>>, wikidata string, match_name string, match_tags string, lon double, lat double, n_candidates long"
+
+
+def query_names(de: Column | str, da: Column | str) -> Column:
+    """The German names of a row; the Danish ones where there is none."""
+    german = variants(de)
+    return F.when(F.size(german) > 0, german).otherwise(variants(da))
+
+
+def candidates(rows: DataFrame, objects: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """Rows (row_id, line, kind, hint, t, id, rank, byname, place, ...): what each row's names find, and what its kind says of it.
+
+    ``rows`` has row_id, line, kind, de, da and hint. ``place`` is the order in which the
+    row's names find objects. Of an object that several sources have the last one counts.
+    """
+    index = matching.name_index(objects) if index is None else index
+    asked = rows.select("row_id", "line", "kind", F.posexplode(query_names("de", "da")).alias("q", "name")).withColumn("key", norm("name")).where("key <> ''")
+    hits = asked.join(index, "key").groupBy("row_id", "line", "kind", "t", "id").agg(
+        F.min("rank").alias("rank"), F.bool_and("byname").alias("byname"), F.min(F.struct("q", "src")).alias("first"), F.max("src").alias("src")
+    )
+    found = hits.join(objects.select("src", "t", "id", "lon", "lat", "tags"), ["src", "t", "id"])
+    o = F.struct("t", "tags")
+    canonic = lambda i: kinds.by_kind(F.col("kind"), lambda k: kinds.passes(o, k.canonic[i]) if len(k.canonic) > i else False, False)
+    item = F.coalesce(F.col("tags")["wikidata"], F.lit(""))
+    km = geo.km_or(geo.from_centre("lon", "lat"), UNPLACED_KM)
+    own = F.when(item != "", ITEM_POINTS).otherwise(0) + F.when(tags.tag(F.col("tags"), "name:de"), GERMAN_NAME_POINTS).otherwise(0)
+    return found.select(
+        "row_id", "line", "kind", "t", "id", "rank", "byname", "lon", "lat", F.struct("first.q", "src", "t", "id").alias("place"), item.alias("item"),
+        kinds.by_kind(F.col("kind"), lambda k: k.accepts(o), False).alias("accepted"), kinds.by_kind(F.col("kind"), lambda k: k.covers(o), False).alias("covers"),
+        kinds.bare_boundary(F.col("tags")).alias("bare"), ((F.col("t") == "n") & tags.tag(F.col("tags"), "place")).alias("place_node"), canonic(0).alias("canon0"), canonic(1).alias("canon1"),
+        tags.tag(F.col("tags"), "place", *MINOR_PLACES).alias("minor"), geo.linear_km(F.col("t"), F.col("tags")).alias("linear"), geo.is_core(F.col("t"), F.col("tags")).alias("core"),
+        (kinds.by_kind(F.col("kind"), lambda k: k.bonus(o), 0) + own - km / KM_PER_POINT).alias("score"), geo.admin_level(F.col("tags")).alias("level"),
+        tags.name_of(F.col("tags")).alias("name"), norm(F.coalesce(F.col("tags")["name"], F.lit(""))).alias("plain"), tags.decisive(F.col("tags")).alias("says"),
+    )
+
+
+def _same(a, b) -> Column:
+    """Whether two candidates (structs lon, lat, core, linear) describe one feature."""
+    return F.coalesce(geo.haversine(a["lon"], a["lat"], b["lon"], b["lat"]) <= geo.reach_of(a["core"], a["linear"], b["core"], b["linear"]), F.lit(False))
+
+
+def _tiers(plausible: DataFrame) -> DataFrame:
+    """Clusters (row_id, tier, cluster, lon, lat, members) of the best name hits (tier 0) and, where there are weaker ones, of all (tier 1)."""
+    both = F.when(F.col("best"), F.when(F.col("n_all") > F.col("n_best"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).otherwise(F.array(F.lit(1)))
+    member = F.struct("place", "t", "id", "lon", "lat", "core", "linear", "minor")
+    packed = plausible.select("row_id", F.explode(both).alias("tier"), member.alias("m")).groupBy("row_id", "tier").agg(F.array_sort(F.collect_list("m")).alias("all"))
+    each = packed.select("row_id", "tier", F.posexplode(clustering.greedy(F.col("all"), _same)).alias("cluster", "members"))
+    return each.withColumn("c", clustering.centred(F.col("members"))).select("row_id", "tier", "cluster", "members", "c.lon", "c.lat")
+
+
+def _winners(clusters: DataFrame, rows: DataFrame) -> DataFrame:
+    """For each row and tier: the winner's cluster (null for none), n clusters and whether the winner is implausible for the row's kind."""
+    k = clusters.join(rows.select("row_id", "kind", "circle"), "row_id")
+    near = F.coalesce(geo.haversine("lon", "lat", F.col("circle.lon"), F.col("circle.lat")) <= F.col("circle.km"), F.lit(False))
+    minor = F.exists("members", lambda m: m["minor"])
+    k = k.select("row_id", "tier", "cluster", "kind", "lon", "lat", F.col("circle").isNotNull().alias("hinted"), near.alias("near"), geo.in_box("lon", "lat").alias("home"), minor.alias("minor"), geo.from_centre("lon", "lat").alias("km"))
+    w = Window.partitionBy("row_id", "tier")
+    k = k.withColumn("inside", F.min(F.when(F.col("home"), F.struct("cluster", "lon", "lat"))).over(w))
+    close = (F.col("cluster") != F.col("inside.cluster")) & (geo.km_or(geo.haversine("lon", "lat", F.col("inside.lon"), F.col("inside.lat")), FAR) <= SEPARATION_KM)
+    k = k.withColumn("close", F.coalesce(close, F.lit(False)))
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    got = k.groupBy("row_id", "tier", "hinted").agg(
+        F.count("*").alias("n"), count(F.col("near")).alias("n_near"), F.min(F.when(F.col("near"), F.col("cluster"))).alias("near"), count(F.col("home")).alias("n_home"),
+        F.min(F.when(F.col("home"), F.col("cluster"))).alias("home"), F.bool_or("close").alias("close"), F.min("cluster").alias("one"),
+    )
+    alone = F.when(F.col("n") == 1, F.col("one")).when((F.col("n_home") == 1) & ~F.col("close"), F.col("home"))
+    winner = F.when(F.col("hinted"), F.when(F.col("n_near") == 1, F.col("near"))).otherwise(alone)
+    reason = F.when(F.col("hinted"), "location hint").when(F.col("n") == 1, "single cluster").otherwise("only candidate in North Frisia")
+    got = got.select("row_id", "tier", winner.alias("cluster"), F.col("n").alias("n_clusters"), reason.alias("reason"))
+    home_only = kinds.by_kind(F.col("kind"), lambda x: x.home_only, False)
+    suspicious = ~F.col("home") & (home_only | (F.col("minor") & (geo.km_or(F.col("km"), FAR) > MINOR_PLACE_KM)))
+    facts = k.select("row_id", "tier", "cluster", "home", "km", suspicious.alias("suspicious"))
+    return got.join(facts, ["row_id", "tier", "cluster"], "left")
+
+
+def decide(rows: DataFrame, found: DataFrame, held: DataFrame) -> DataFrame:
+    """One pass: rows (RESULT) for ``rows`` (row_id, line, kind, circle, named, hint) among their ``candidates``, given what others hold."""
+    objects = held.where("t IS NOT NULL").groupBy("t", "id").agg(F.min("holder").alias("holder"), F.bool_and("given").alias("given"))
+    cands = found.join(rows.select("row_id"), "row_id", "left_semi").join(objects, ["t", "id"], "left")
+    by_row = Window.partitionBy("row_id")
+    free = F.col("holder").isNull()
+    cands = cands.withColumns({"free": free, "plaus": free & F.col("accepted"), "yields": kinds.by_kind(F.col("kind"), lambda k: k.boundary, "feature")})
+    node = F.max(F.col("plaus") & F.col("place_node")).over(by_row)
+    cands = cands.withColumn("node", node).withColumn("aside", F.col("plaus") & F.col("bare") & ((F.col("yields") == "yields") | ((F.col("yields") == "yields to node") & F.col("node"))))
+    cands = cands.withColumn("rest", F.max(F.col("plaus") & ~F.col("aside")).over(by_row))
+    cands = cands.withColumn("in1", F.col("plaus") & (~F.col("aside") | ~F.col("rest")))
+    cands = cands.withColumns({f"any{i}": F.max(F.col("in1") & F.col(f"canon{i}")).over(by_row) for i in (0, 1)})
+    cands = cands.withColumn("in2", F.col("in1") & F.when(F.col("any0"), F.col("canon0")).when(F.col("any1"), F.col("canon1")).otherwise(F.lit(True)))
+    cands = cands.withColumn("top", F.min(F.when(F.col("in2"), F.col("rank"))).over(by_row)).withColumn("best", F.col("in2") & (F.col("rank") == F.col("top")))
+    count = lambda c: F.count(F.when(F.col(c), 1)).over(by_row)
+    cands = cut(cands.withColumns({"n_found": F.count("*").over(by_row), "n_free": count("free"), "n_all": count("in2"), "n_best": count("best")}), "match-candidates")
+    clusters = cut(_tiers(cands.where("in2")), "match-clusters")
+    tiers = _winners(clusters, rows)
+    tier = lambda i: tiers.where(F.col("tier") == i).select("row_id", *[F.col(c).alias(f"{c}{i}") for c in ("cluster", "n_clusters", "reason", "home", "km", "suspicious")])
+    sizes = cands.groupBy("row_id").agg(*[F.max(c).alias(c) for c in ("n_found", "n_free", "n_all", "n_best")])
+    out = rows.join(sizes, "row_id", "left").join(tier(0), "row_id", "left").join(tier(1), "row_id", "left")
+    again = F.col("cluster0").isNotNull() & F.col("suspicious0") & F.col("cluster1").isNotNull() & ~F.col("suspicious1")
+    out = out.withColumn("tier", F.when(F.coalesce(again, F.lit(False)), 1).otherwise(0))
+    pick = lambda c: F.when(F.col("tier") == 1, F.col(f"{c}1")).otherwise(F.col(f"{c}0")).alias(c)
+    out = out.select("row_id", "line", "kind", "hint", "named", "circle", "tier", "n_found", "n_free", "n_all", "n_best", *[pick(c) for c in ("cluster", "n_clusters", "reason", "home", "km", "suspicious")])
+    out = cut(out.join(clusters.select("row_id", "tier", "cluster", "members"), ["row_id", "tier", "cluster"], "left"), "match-winners")
+
+    # What speaks against a winner: a weaker hit at home that is no part of it, or a part of it that another row holds.
+    inside = F.exists("members", lambda m: (m["t"] == F.col("t")) & (m["id"] == F.col("id")))
+    weak = cands.where("in2 and not best").where(geo.in_box("lon", "lat")).select("row_id", "t", "id").join(out.select("row_id", "members"), "row_id").where(~inside)
+    me = F.struct("lon", "lat", "core", "linear")
+    part = F.exists("members", lambda m: _same(me, m))
+    taken = cands.where("holder IS NOT NULL").withColumn("note", F.concat(matching.ref_text("t", "id"), F.lit(" is taken by row "), "holder"))
+    note = lambda df: df.groupBy("row_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "note"))), lambda x: x["note"]), "; ").alias("note"))
+    parts = note(taken.where("covers and not (given and byname)").join(out.select("row_id", "members"), "row_id").where(part).select("row_id", "place", "note"))
+    out = out.join(weak.select("row_id").distinct().withColumn("weak", F.lit(True)), "row_id", "left").join(parts.withColumnRenamed("note", "held_note"), "row_id", "left").join(note(taken).withColumnRenamed("note", "taken_note"), "row_id", "left")
+    none, won = F.coalesce("n_free", F.lit(0)) == 0, F.col("cluster").isNotNull()
+    review = F.col("suspicious") | (F.col("circle").isNull() & ~F.col("home") & F.coalesce("weak", F.lit(False)))
+    where = F.when(F.col("km").isNull(), "has no known position").otherwise(F.concat(F.lit("is "), F.format_string("%.0f", "km"), F.lit(" km from North Frisia")))
+    cases = [
+        (~F.col("named"), "not found", F.lit("no German/Danish name to match on")),
+        (none, "not found", F.coalesce("taken_note", F.lit("no name match in OSM"))),
+        (F.col("n_all") == 0, "not found", F.concat(F.col("n_free").cast("string"), F.lit(" name match(es), none compatible with kind="), "kind")),
+        (~won & F.col("circle").isNotNull(), "ambiguous", F.concat(F.lit("location hint '"), "hint", F.lit("' matched no cluster"))),
+        (~won, "ambiguous", F.concat(F.col("n_clusters").cast("string"), F.lit(" plausible candidates"))),
+        (review & F.col("suspicious"), "ambiguous", F.concat(F.lit("only match "), where, F.lit(" ("), "kind", F.lit(") -- verify by hand"))),
+        (review, "ambiguous", F.concat(F.lit("best name hit "), where, F.lit(", a weaker one lies inside -- verify by hand"))),
+        (F.col("held_note").isNotNull(), "not found", F.col("held_note")),
+    ]
+    said = F.concat("reason", F.when(F.col("tier") == 1, " (weaker name hit)").otherwise(""))
+    result, why = F.lit("matched"), F.when(said == "single cluster", "").otherwise(F.concat(F.lit("auto: "), said))
+    for test, what, text in reversed(cases):
+        result, why = F.when(F.coalesce(test, F.lit(False)), what).otherwise(result), F.when(F.coalesce(test, F.lit(False)), text).otherwise(why)
+    out = out.withColumns({"result": result, "why": why})
+    shown = F.when(F.col("result") == "matched", F.when((F.size("members") > 1) | (F.col("n_clusters") > 1), F.when(F.col("tier") == 1, F.col("n_all")).otherwise(F.col("n_best"))).otherwise(0))
+    shown = F.coalesce(shown, F.when(~F.col("named") | none, 0).when(F.col("n_all") == 0, F.col("n_free")).otherwise(F.col("n_all")))
+    out = cut(out.select("row_id", "line", "result", "why", "members", shown.cast("long").alias("n_candidates")), "match-decisions")
+    return _without_held_items(out.drop("members").join(_carriers(out.where("result = 'matched'"), cands), "row_id", "left"), held)
+
+
+def _carriers(won: DataFrame, cands: DataFrame) -> DataFrame:
+    """Rows (row_id, refs, wikidata, match_name, match_tags, lon, lat) of winners: the member that carries the name, and its item."""
+    fields = ("t", "id", "lon", "lat", "score", "item", "linear", "plain", "name", "says", "place")
+    members = won.select("row_id", F.explode("members").alias("m")).select("row_id", "m.t", "m.id").join(cands.select("row_id", *fields), ["row_id", "t", "id"])
+    # The best score; of equals the first found.
+    best = members.withColumn("n", F.row_number().over(Window.partitionBy("row_id").orderBy(F.col("score").desc(), "place"))).where("n = 1").select("row_id", F.struct(*fields).alias("b"))
+    with_best = members.join(best, "row_id")
+    piece = F.col("linear").isNotNull() & (F.col("t") == F.col("b.t")) & (F.col("plain") == F.col("b.plain"))
+    of = with_best.groupBy("row_id", "b").agg(F.collect_set(F.when(piece, F.col("id"))).alias("pieces"), F.min(F.when(F.col("item") != "", F.struct("place", "item"))).alias("sibling"))
+    aside = cands.where("aside and item <> ''").select("row_id", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), "level", F.col("item").alias("its"))
+    near = aside.join(best, "row_id").withColumn("km", geo.haversine(F.col("b.lon"), F.col("b.lat"), "lon2", "lat2")).where(F.col("km") <= BOUNDARY_KM)
+    near = near.groupBy("row_id").agg(F.min(F.struct((-F.col("level")).alias("l"), "km", "its")).alias("boundary"))
+    refs = F.when(F.col("b.linear").isNull(), F.array("b.id")).otherwise(F.array_sort("pieces"))
+    item = F.coalesce(F.nullif("b.item", F.lit("")), F.col("sibling.item"), F.col("boundary.its"), F.lit(""))
+    both = of.join(near, "row_id", "left")
+    placed = F.col("b.lon").isNotNull() & F.col("b.lat").isNotNull()
+    return both.select(
+        "row_id", F.transform(refs, lambda i: F.struct(F.col("b.t").alias("t"), i.alias("id"))).alias("refs"), item.alias("wikidata"), F.col("b.name").alias("match_name"), F.col("b.says").alias("match_tags"),
+        *[F.when(placed, F.col(f"b.{c}")).alias(c) for c in ("lon", "lat")],
+    )
+
+
+def _without_held_items(results: DataFrame, held: DataFrame) -> DataFrame:
+    """Results without items that another row holds; a row matched by its item alone is then not found."""
+    items = held.where("item <> ''").groupBy(F.col("item").alias("wikidata")).agg(F.min("holder").alias("holder"))
+    out = results.join(items, "wikidata", "left")
+    lost, bare = (F.col("result") == "matched") & F.col("holder").isNotNull(), F.coalesce(F.size("refs"), F.lit(0)) <= 0
+    note = F.concat("wikidata", F.lit(" is taken by row "), "holder")
+    why = F.when(lost & ~bare, F.concat_ws("; ", F.nullif("why", F.lit("")), note)).when(lost, note).otherwise(F.col("why"))
+    out = out.withColumns({"why": why, "result": F.when(lost & bare, "not found").otherwise(F.col("result")), "wikidata": F.when(lost, "").otherwise(F.coalesce("wikidata", F.lit("")))})
+    return out.select("row_id", "line", "result", "why", F.coalesce("refs", F.array().cast("array<struct<t:string,id:bigint>>")).alias("refs"), "wikidata", F.coalesce("match_name", F.lit("")).alias("match_name"), F.coalesce("match_tags", F.lit("")).alias("match_tags"), "lon", "lat", "n_candidates")
 
 
-def _winner(g: Column, circle: Column) -> Column:
-    """The clear one of a row's clusters, else null: the only one in the hint's circle; without a hint the only one, or the only one at home that stands apart from all others."""
-    near = F.filter(g, lambda c: lookup.in_circle(c["lon"], c["lat"], circle))
-    home = F.filter(g, lambda c: c["home"])
-    first = F.get(home, F.lit(0))
-    apart = F.forall(g, lambda c: (c["cluster"] == first["cluster"]) | (geo.km_or(geo.haversine(c["lon"], c["lat"], first["lon"], first["lat"]), float("inf")) > SEPARATION_KM))
-    return F.when(circle.isNotNull(), F.when(F.size(near) == 1, F.get(near, F.lit(0)))).when(F.size(g) == 1, F.get(g, F.lit(0))).when((F.size(home) == 1) & apart, first)
+def match_countries(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows (RESULT) of rows found by their item: ``items`` has name and item, empty for a name that is no country's, null for no answer."""
+    asked = rows.withColumn("name", F.coalesce(F.get(variants("de"), F.lit(0)), F.lit(""))).join(items.select("name", "item", F.lit(True).alias("asked")), "name", "left")
+    failed, none = F.col("asked") & F.col("item").isNull(), F.coalesce("item", F.lit("")) == ""
+    result = F.when(failed, "lookup failed").when(none, "not found").otherwise("matched")
+    why = F.when(failed, "Wikidata lookup failed -- row left unchanged").when(none, "no Wikidata country item found").otherwise("auto: wikidata")
+    return asked.select(
+        "row_id", "line", result.alias("result"), why.alias("why"), F.array().cast("array<struct<t:string,id:bigint>>").alias("refs"), F.coalesce("item", F.lit("")).alias("wikidata"),
+        F.when(none, "").otherwise(F.col("name")).alias("match_name"), F.when(none, "").otherwise(F.lit("wikidata")).alias("match_tags"), F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat"), F.lit(0).cast("long").alias("n_candidates"),
+    )
 
 
-def match(rows: DataFrame, objects: DataFrame, taken: DataFrame | None = None, circles: DataFrame | None = None) -> DataFrame:
-    """Rows (row_id, result, n_best, n_clusters, cluster, t, id, lon, lat) for rows (row_id, name).
+def match(rows: DataFrame, objects: DataFrame, held: DataFrame | None = None, countries: DataFrame | None = None) -> DataFrame:
+    """Rows (RESULT) for rows (row_id, line, kind, de, da, hint), distinct in row_id and line, and objects (src, t, id, lon, lat, tags).
 
-    Candidates are objects with an equal normalised name that no claim (t, id) holds. Those
-    of the best rank are grouped; one group, or one that alone lies in the home region, is
-    matched, several are ambiguous, none is not found. A column ``hint`` of the rows names a
-    circle (hint, lon, lat, km) that the one group must lie in, and ``home_only`` tells that
-    a match elsewhere is implausible. If the winner is implausible, all candidates are
-    grouped; a winner still for review is ambiguous. t, id, lon and lat are those of the
-    group's object that suits best to carry the name.
+    ``held`` (CLAIMS) is what other rows hold and ``countries`` (name, item) the items of
+    rows that are found by item. Empty tables give an empty result; null cells count as
+    empty; a row of an unknown kind accepts nothing.
     """
-    hits = matching.lookup(rows.select("row_id", "name"), matching.name_index(objects)).join(objects.select("src", "t", "id", "lon", "lat", "tags"), ["src", "t", "id"])
-    cands = matching.ranked_candidates(hits)
-    if taken is not None:
-        cands = cands.join(taken.select("t", "id").distinct(), ["t", "id"], "left_anti")
-    ranked = matching.split_by_rank(cands)
-    more = ranked.where("not best").select("row_id").distinct()
-    tiers = ranked.where("best").withColumn("tier", F.lit(0)).unionByName(ranked.join(more, "row_id", "left_semi").withColumn("tier", F.lit(1)))
-    groups = clustering.clusters(tiers, ["row_id", "tier"], ["t", "id"])
-    minor = F.exists("members", lambda m: F.coalesce(m["tags"]["place"].isin(*MINOR_PLACES), F.lit(False)))
-    one = F.struct("cluster", "lon", "lat", geo.in_box("lon", "lat").alias("home"), minor.alias("minor"), "members")
-    packed = groups.groupBy("row_id", "tier").agg(F.collect_list(one).alias("g"))
-    weaker = ranked.where(~F.col("best") & geo.in_box("lon", "lat")).groupBy("row_id").agg(F.collect_list(F.struct("t", "id")).alias("weaker"))
-    home_only = F.coalesce(F.col("home_only"), F.lit(False)) if "home_only" in rows.columns else F.lit(False)
-    out = rows.select("row_id", home_only.alias("home_only"), *[c for c in ("hint",) if c in rows.columns])
-    if circles is not None:
-        out = out.join(circles.select("hint", F.struct("lon", "lat", "km").alias("circle")), "hint", "left")
-    else:
-        out = out.withColumn("circle", F.lit(None).cast("struct<lon:double,lat:double,km:double>"))
-    for k in (0, 1):
-        out = out.join(packed.where(F.col("tier") == k).select("row_id", F.col("g").alias(f"g{k}")), "row_id", "left")
-    out = out.join(weaker, "row_id", "left").withColumns({f"w{k}": _winner(F.col(f"g{k}"), F.col("circle")) for k in (0, 1)})
-    km = lambda w: geo.from_centre(w["lon"], w["lat"])
-    review = lambda w, hinted, lower: F.coalesce(matching.needs_review(w["home"], F.col("home_only"), w["minor"], km(w), hinted, lower), F.lit(False))
-    doubtful = lambda w: review(w, F.lit(True), F.lit(False))
-    again = F.col("w0").isNotNull() & doubtful(F.col("w0")) & F.col("w1").isNotNull() & ~doubtful(F.col("w1"))
-    out = out.withColumns({"w": F.when(again, F.col("w1")).otherwise(F.col("w0")), "g": F.when(again, F.col("g1")).otherwise(F.col("g0"))})
-    others = F.exists(F.coalesce("weaker", F.array().cast("array<struct<t:string,id:bigint>>")), lambda x: ~F.exists(F.col("w.members"), lambda m: (m["t"] == x["t"]) & (m["id"] == x["id"])))
-    clear = F.col("w").isNotNull() & ~review(F.col("w"), F.col("circle").isNotNull(), F.coalesce(others, F.lit(False)))
-    best = F.get("w.members", matching.best_member(F.col("w.members"), lambda m: matching.member_score(matching.place_fit(m["t"], m["tags"]), m)).cast("int"))
-    out = out.withColumn("clear", clear).withColumn("m", F.when(F.col("clear"), best))
-    result = F.when(F.col("g0").isNull(), "not found").when(F.col("clear"), "matched").otherwise("ambiguous")
-    n_best = F.aggregate("g0", F.lit(0).cast("long"), lambda s, c: s + F.size(c["members"]))
-    return out.select("row_id", result.alias("result"), F.coalesce(n_best, F.lit(0)).alias("n_best"), F.when(F.col("g").isNull(), F.lit(0)).otherwise(F.size("g")).cast("long").alias("n_clusters"), F.when(F.col("clear"), F.col("w.cluster")).alias("cluster"), *[F.col(f"m.{c}").alias(c) for c in ("t", "id", "lon", "lat")])
+    spark = rows.sparkSession
+    held = spark.createDataFrame([], CLAIMS) if held is None else held.select("t", "id", "item", "holder", "given")
+    countries = spark.createDataFrame([], "name string, item string") if countries is None else countries
+    by_item = F.coalesce(kinds.by_kind(F.col("kind"), lambda k: k.by_item, False), F.lit(False))
+    index = cut(matching.name_index(objects), "name-index")
+    circles = lookup.resolved_hints(rows, index, objects).select(F.col("hint").alias("__h"), F.struct("lon", "lat", "km").alias("circle"))
+    full = cut(rows.join(circles, F.col("hint") == F.col("__h"), "left").drop("__h").withColumn("named", F.size(query_names("de", "da")) > 0), "match-rows")
+    found = cut(candidates(full.where(~by_item), objects, index), "match-found")
+    shared = found.select("row_id", matching.ref_text("t", "id").alias("thing")).unionByName(found.where("item <> ''").select("row_id", F.col("item").alias("thing")))
+    shared = shared.unionByName(full.where(by_item).join(countries, F.get(variants("de"), F.lit(0)) == F.col("name")).where("item <> ''").select("row_id", F.col("item").alias("thing")))
+    groups = claims.conflict_groups(shared, "row_id", "thing").withColumnRenamed("row_id", "__r")
+    waiting = cut(full.join(groups, F.col("row_id") == F.col("__r"), "left").drop("__r").withColumn("conflict", F.coalesce("conflict", F.col("row_id"))), "match-waiting")
+    things = cut(shared.distinct().join(waiting.select("row_id", "line", "conflict"), "row_id").select("thing", "line", "conflict"), "match-things")
+    done = None
+    while waiting.limit(1).count():
+        decided = decide(waiting.where(~by_item), found, held).unionByName(_without_held_items(match_countries(waiting.where(by_item), countries), held))
+        decided = cut(decided.join(waiting.select("row_id", "conflict"), "row_id"), "match-pass")
+        won = decided.where("result = 'matched'")
+        takes = won.select("line", F.explode(F.concat(F.transform("refs", lambda r: matching.ref_text(r["t"], r["id"])), F.array("wikidata"))).alias("thing"))
+        first = takes.groupBy("thing").agg(F.min("line").alias("taken"))
+        # From the first row of a group on that an earlier one takes something from, nothing is settled yet.
+        ahead = decided.select("line", "conflict").join(things, ["line", "conflict"]).join(first, "thing").where(F.col("line") > F.col("taken"))
+        stop = ahead.groupBy("conflict").agg(F.min("line").alias("stop"))
+        settled = cut(decided.join(stop, "conflict", "left").where(F.col("stop").isNull() | (F.col("line") < F.col("stop"))).drop("stop"), "match-settled")
+        won = settled.where("result = 'matched'")
+        given = won.select(F.explode("refs").alias("r"), F.lit(None).cast("string").alias("item"), F.col("row_id").alias("holder")).select("r.t", "r.id", "item", "holder", F.lit(True).alias("given"))
+        items = won.where("wikidata <> ''").select(F.lit(None).cast("string").alias("t"), F.lit(None).cast("long").alias("id"), F.col("wikidata").alias("item"), F.col("row_id").alias("holder"), F.lit(True).alias("given"))
+        held = cut(held.unionByName(given).unionByName(items), "match-held")
+        waiting = cut(waiting.join(settled.select("row_id"), "row_id", "left_anti"), "match-waiting")
+        part = settled.drop("conflict")
+        done = part if done is None else done.unionByName(part)
+    return done if done is not None else spark.createDataFrame([], RESULT)

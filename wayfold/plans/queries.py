@@ -95,25 +95,82 @@ def name_exact_match(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_KINDS = ("settlement", "island", "koog", "water", "road", "landscape", "warft", "country", "harde")
+_PLACES = ("village", "hamlet", "town", "island", "", "locality", "region", "")
+
+
+def _tagged_places(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as objects with what the match decision reads: classes, levels, items and German names."""
+    p = placed(table(spark, d, "part"), "p_partkey")
+    k = F.col("p_partkey")
+    t = F.element_at(F.array(F.lit("n"), F.lit("w"), F.lit("r")), (k % 3 + 1).cast("int"))
+    of = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i % len(values) + 1).cast("int"))
+    name = F.when(k % 5 == 0, F.concat("p_name", F.lit(" ("), F.col("p_brand"), F.lit(")"))).otherwise(F.col("p_name"))
+    pairs = [
+        ("name", F.when(k % 17 == 0, F.concat(F.lit("Old "), F.col("p_name"))).otherwise(name)), ("alt_name", F.when(k % 17 == 0, F.col("p_name")).otherwise("")), ("place", F.when(t != "r", of(_PLACES, k)).otherwise("")),
+        ("boundary", F.when((t == "r") & (k % 2 == 0), "administrative").otherwise("")), ("admin_level", F.when(t == "r", (F.col("p_size") % 12).cast("string")).otherwise("")), ("natural", F.when(k % 8 == 4, "water").otherwise("")),
+        ("waterway", F.when((t == "w") & (k % 8 == 7), "river").otherwise("")), ("type", F.when((t == "r") & (k % 2 == 1), "waterway").otherwise("")), ("highway", F.when((t == "w") & (k % 8 == 4), "residential").otherwise("")),
+        ("wikidata", F.when(k % 4 == 0, F.concat(F.lit("Q"), (k % 1500).cast("string"))).otherwise("")), ("name:de", F.when(k % 6 == 0, F.col("p_name")).otherwise("")),
+    ]
+    entries = F.filter(F.array(*[F.struct(F.lit(a).alias("k"), v.alias("v")) for a, v in pairs]), lambda e: e["v"] != "")
+    return p.select(F.lit("part").alias("src"), t.alias("t"), k.alias("id"), "lon", "lat", F.map_from_entries(entries).alias("tags"))
+
+
+def _wanted_names(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a name list: all distinct part names, alone and with their brands, and all supplier names."""
+    p = table(spark, d, "part").select("p_name", "p_brand", "p_partkey")
+    whole = F.concat("p_name", F.lit(" ("), F.col("p_brand"), F.lit(")"))
+    names = p.select(F.col("p_name").alias("row_id"), F.col("p_name").alias("de"), (F.col("p_partkey") * 2).alias("line"))
+    # Brackets are remarks in a cell, so the name with its brand is written without them.
+    names = names.unionByName(p.select(whole.alias("row_id"), F.concat_ws(" ", "p_name", "p_brand").alias("de"), (F.col("p_partkey") * 2 + 1).alias("line")))
+    names = names.groupBy("row_id", "de").agg(F.min("line").alias("line"))
+    s = table(spark, d, "supplier").select(F.col("s_name").alias("row_id"), F.col("s_name").alias("de"), (-1 - F.col("s_suppkey")).alias("line"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (F.pmod("line", F.lit(len(_KINDS))) + 1).cast("int"))
+    hint = F.when(F.pmod("line", F.lit(13)) == 0, F.lit("Uthlande; x")).when(F.pmod("line", F.lit(13)) == 1, F.substring_index("row_id", " (", 1)).when(F.pmod("line", F.lit(13)) == 2, "nowhere").otherwise("")
+    return names.unionByName(s).select("row_id", "line", kind.alias("kind"), "de", F.when(F.pmod("line", F.lit(10)) == 0, F.col("de")).otherwise("").alias("da"), hint.alias("hint"))
+
+
+def _held_claims(spark: SparkSession, d: str) -> DataFrame:
+    """What rows outside the run hold: each fiftieth part as an object, and the items of the first suppliers."""
+    p = table(spark, d, "part").where("p_partkey % 50 = 0")
+    t = F.element_at(F.array(F.lit("n"), F.lit("w"), F.lit("r")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    held = p.select(t.alias("t"), F.col("p_partkey").alias("id"), F.lit("").alias("item"), F.concat(F.lit("held"), F.col("p_partkey").cast("string")).alias("holder"), F.lit(False).alias("given"))
+    s = table(spark, d, "supplier").where("s_suppkey % 4 = 0 AND s_suppkey < 40")
+    return held.unionByName(s.select(F.lit(None).cast("string").alias("t"), F.lit(None).cast("long").alias("id"), F.concat(F.lit("Q"), F.col("s_suppkey").cast("string")).alias("item"), F.concat(F.lit("held"), F.col("s_suppkey").cast("string")).alias("holder"), F.lit(False).alias("given")))
+
+
+def _countries(spark: SparkSession, d: str) -> DataFrame:
+    """What a lookup said of names: an item, none, or no answer."""
+    p = _wanted_names(spark, d).where("kind = 'country'").select(F.col("de").alias("name"), "line")
+    m = F.pmod("line", F.lit(4))
+    return p.groupBy("name").agg(F.min(m).alias("m"), F.min("line").alias("line")).select("name", F.when(F.col("m") == 0, "").when(F.col("m") == 1, F.concat(F.lit("Q"), F.abs("line") % 90)).when(F.col("m") == 2, "Q7").alias("item"))
+
+
 @query()
 def match_names(spark: SparkSession, d: str) -> DataFrame:
-    """The whole match plan for all distinct part names, alone and with their brands, and supplier names; row_id is the name."""
-    p = table(spark, d, "part")
-    names = p.select(F.col("p_name").alias("name")).unionByName(p.select(F.concat("p_name", F.lit(" ("), F.col("p_brand"), F.lit(")")).alias("name")))
-    names = names.unionByName(table(spark, d, "supplier").select(F.col("s_name").alias("name"))).distinct()
-    return match_plan.match(names.withColumn("row_id", F.col("name")), _places(spark, d))
+    """WIN01, WIN03, JN01-JN04, JN13-JN19, FLT06, FLT07, FLT17-FLT24, AGG09-AGG11, PRJ47, PRJ48, UDF02, UDF09: the whole match plan
+    for all distinct part names, alone and with their brands, and all supplier names, in the order of their lines."""
+    got = match_plan.match(_wanted_names(spark, d), _tagged_places(spark, d), _held_claims(spark, d), _countries(spark, d))
+    refs = F.array_join(F.transform("refs", lambda r: matching.ref_text(r["t"], r["id"])), "; ")
+    return got.select("row_id", "line", "result", "why", refs.alias("refs"), "wikidata", "match_name", "match_tags", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "n_candidates")
 
 
-@query("""
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(array_to_string(w[1:5], '|'), '') AS head FROM (
-    SELECT doc_id, list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace(
-        translate(replace(replace(replace(replace(lower(left(text, 200)), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), 'àâçéèêëîïíñóôùûúá', 'aaceeeeiiinoouuua'),
-        '[\\-–—_/.''`’]+', ' ', 'g'), '[^\\w\\s]+', '', 'g'), '[\\t\\n\\r\\f]+', '', 'g'), ' +'), lambda x: x <> '') AS w FROM documents)
+_SPELT = """replace(replace(replace(replace(replace(replace(replace(lower({c}), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), 'å', 'aa'), 'ø', 'oe'), 'æ', 'ae')"""
+_NAMES = """names AS (SELECT DISTINCT name FROM (SELECT 'Sankt ' || p_name || '-Straße / Östliche ' || p_brand || '.' AS name FROM part UNION ALL SELECT '  ' || c_name || ' (Ærø; Långö)_' || c_mktsegment || '’s' FROM customer
+    UNION ALL SELECT s_name || ' – Ñandú, Çà!' FROM supplier UNION ALL SELECT n_name || ' & Co.' FROM nation UNION ALL SELECT r_name FROM region))"""
+
+
+@query(f"""
+WITH {_NAMES}
+SELECT name, trim(regexp_replace(regexp_replace(regexp_replace(translate({_SPELT.format(c="trim(name)")}, 'ñúçà', 'nuca'), '[\\-–—_/.''`’]+', ' ', 'g'), '[^\\w ]+', '', 'g'), ' +', ' ', 'g')) AS norm FROM names
 """)
 def norm_names(spark: SparkSession, d: str) -> DataFrame:
-    """STR01 over the opening of each document, a name-like field of 200 characters."""
-    words = F.filter(F.split(text.norm(F.left("text", F.lit(200))), " "), lambda w: w != "")
-    return table(spark, d, "documents").select("doc_id", F.size(words).cast("long").alias("n_words"), F.array_join(F.slice(words, 1, 5), "|").alias("head"))
+    """STR01: the names of all tables, with letters to spell out, accents and punctuation, in the form in which they are matched."""
+    t = lambda n: table(spark, d, n)
+    names = t("part").select(F.concat(F.lit("Sankt "), F.col("p_name"), F.lit("-Straße / Östliche "), F.col("p_brand"), F.lit(".")).alias("name"))
+    names = names.unionByName(t("customer").select(F.concat(F.lit("  "), F.col("c_name"), F.lit(" (Ærø; Långö)_"), F.col("c_mktsegment"), F.lit("’s")).alias("name")))
+    names = names.unionByName(t("supplier").select(F.concat("s_name", F.lit(" – Ñandú, Çà!")).alias("name"))).unionByName(t("nation").select(F.concat("n_name", F.lit(" & Co.")).alias("name"))).unionByName(t("region").select(F.col("r_name").alias("name")))
+    return names.distinct().select("name", text.norm("name").alias("norm"))
 
 
 @query("""
@@ -151,17 +208,19 @@ def slug_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, coalesce(nullif(CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus END, ''), nullif(c_mktsegment, ''), '') AS class,
-    'place=' || c_mktsegment || CASE WHEN o_orderstatus = 'P' THEN '' ELSE ';natural=' || o_orderstatus END AS decisive
+SELECT o_orderkey, coalesce(nullif(CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus END, ''), CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END, CASE WHEN c_custkey % 2 = 0 THEN 'wreck' END, '') AS class,
+    'place=' || c_mktsegment || CASE WHEN o_orderstatus = 'P' THEN '' ELSE ';natural=' || o_orderstatus END || ';historic=' || o_orderpriority AS decisive, coalesce(nullif(CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END, ''), 'de ' || c_custkey) AS name
 FROM orders JOIN customer ON c_custkey = o_custkey
 """)
 def class_of_coalesce(spark: SparkSession, d: str) -> DataFrame:
     """PRJ02-PRJ04: first value along a list of keys, and all of them in order."""
     j = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     status = F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderstatus"))
-    m = F.create_map(F.lit("natural"), status, F.lit("waterway"), F.col("c_mktsegment"))
-    m2 = F.map_from_entries(F.filter(F.array(F.struct(F.lit("place"), F.col("c_mktsegment").alias("v")), F.struct(F.lit("natural"), status.alias("v"))), lambda e: e["v"] != ""))
-    return j.select("o_orderkey", tags.class_of(m).alias("class"), tags.decisive(m2).alias("decisive"))
+    wreck, water = F.when(F.col("c_custkey") % 2 == 0, "wreck").otherwise(""), F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")).otherwise("")
+    m = F.create_map(F.lit("natural"), status, F.lit("waterway"), water, F.lit("historic"), wreck, F.lit("leisure"), F.lit("park"))
+    m2 = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k), v.alias("v")) for k, v in (("place", F.col("c_mktsegment")), ("natural", status), ("historic", F.col("o_orderpriority")), ("leisure", F.lit("park")))]), lambda e: e["v"] != ""))
+    named = F.create_map(F.lit("name"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(""), F.lit("name:de"), F.concat(F.lit("de "), F.col("c_custkey").cast("string")))
+    return j.select("o_orderkey", tags.class_of(m).alias("class"), tags.decisive(m2).alias("decisive"), tags.name_of(named).alias("name"))
 
 
 @query("""
@@ -452,14 +511,32 @@ def resolved_names(spark: SparkSession, d: str) -> DataFrame:
     return got.select("n_nationkey", F.col("names")["frr-x-a"].alias("first"), "local_name")
 
 
-@query("""
-SELECT doc_id, coalesce(CASE WHEN lang = 'de' THEN 'de ' || doc_id END, CASE WHEN doc_id % 4 = 0 THEN source END, nullif(lang, '')) AS name,
-    CASE WHEN lang = 'de' THEN 'name:de-x' WHEN doc_id % 4 = 0 THEN 'name' ELSE 'name:de' END AS source FROM documents
+_SHOWN = [("de-x", "CASE WHEN lang = 'en' AND doc_id % 3 = 0 THEN 'own ' || doc_id END"), ("name:local", "CASE WHEN doc_id % 4 = 0 THEN 'local ' || source END"), ("name:frr-x-b", "CASE WHEN lang = 'de' THEN 'b ' || doc_id ELSE '' END"),
+          ("name:frr", "CASE WHEN doc_id % 5 = 0 THEN 'frr' END"), ("name:nds", "CASE WHEN doc_id % 7 = 0 THEN 'nds' END"), ("name:de", "CASE WHEN doc_id % 11 = 0 THEN 'de' END"), ("name:latin", "CASE WHEN doc_id % 13 = 0 THEN '' ELSE 'latin' END"), ("name", "lang")]
+_SHOWN[0] = ("name:frr-x-a", _SHOWN[0][1])
+_IN_AREA, _OUTSIDE, _LOCALLY = (
+    ("name:frr-x-a", "name:local", "name:frr-x-b", "name:frr", "name:nds", "name:de", "name:latin", "name"),
+    ("name:frr-x-a", "name:frr-x-b", "name:frr", "name:local", "name:nds", "name:de", "name:latin", "name"),
+    ("name:local", "name:nds", "name:latin", "name", "name:de"),
+)
+
+
+def _chain_sql(chain: tuple[str, ...]) -> str:
+    cases = " ".join(f"WHEN coalesce(\"{c}\", '') <> '' THEN '{c}'" for c in chain)
+    return f"CASE {cases} END"
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, {", ".join(f'{sql} AS "{name}"' for name, sql in _SHOWN)} FROM documents),
+s AS (SELECT *, {_chain_sql(_IN_AREA)} AS inside, {_chain_sql(_OUTSIDE)} AS outside, {_chain_sql(_LOCALLY)} AS local_source FROM p)
+SELECT doc_id, inside, outside, local_source, CASE local_source {" ".join(f"WHEN '{c}' THEN " + '"' + c + '"' for c in _LOCALLY)} END AS local_name FROM s
 """)
 def label_chain(spark: SparkSession, d: str) -> DataFrame:
-    """PRJ35-PRJ37: the first name along a chain, and where it comes from."""
-    docs = table(spark, d, "documents").select("doc_id", F.when(F.col("lang") == "de", F.concat(F.lit("de "), F.col("doc_id").cast("string"))).alias("name:de-x"), F.when(F.col("doc_id") % 4 == 0, F.col("source")).otherwise("").alias("name"), F.col("lang").alias("name:de"), F.lit("").alias("name:da"))
-    return docs.withColumn("s", naming.shown(naming.label_chain("de-x", False, _VARIETIES))).select("doc_id", "s.name", "s.source")
+    """PRJ35-PRJ37: the first name along the chains of a variety's view, inside its areas and outside, and of the local view."""
+    docs = table(spark, d, "documents").select("doc_id", *[F.expr(sql).alias(name) for name, sql in _SHOWN])
+    of = lambda view, inside: naming.shown(naming.label_chain(view, inside, _VARIETIES))
+    got = docs.select("doc_id", of("frr-x-a", True).alias("i"), of("frr-x-a", False).alias("o"), of("local", True).alias("l"))
+    return got.select("doc_id", F.col("i.source").alias("inside"), F.col("o.source").alias("outside"), F.col("l.source").alias("local_source"), F.col("l.name").alias("local_name"))
 
 
 @query("""
@@ -534,15 +611,14 @@ def id_constraints(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT CASE WHEN code < 256 THEN '0-255' ELSE (code // 256 * 256)::VARCHAR || '-' || (code // 256 * 256 + 255)::VARCHAR END AS block, min(text) AS label
-FROM (SELECT text, unnest(list_transform(list_distinct(string_split(text, '')), lambda c: unicode(c))) AS code FROM (SELECT 'doc ' || lang || ' ' || source AS text FROM documents UNION SELECT regexp_extract(text, '[^ -~\\n]+') FROM documents) WHERE text <> '')
+SELECT CASE WHEN code < 256 THEN '0-255' ELSE (code // 256 * 256)::VARCHAR || '-' || (code // 256 * 256 + 255)::VARCHAR END AS block, min(label) AS label
+FROM (SELECT 'doc ' || doc_id AS label, unnest(list_transform(list_distinct(string_split(text, '')), lambda c: unicode(c))) AS code FROM documents WHERE text <> '')
 WHERE code // 256 <> 1 GROUP BY 1
 """)
 def glyph_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """AGG19, STR25: the first label of each block of letters that is not there."""
-    docs = table(spark, d, "documents")
-    labels = docs.select(F.concat_ws(" ", F.lit("doc"), "lang", "source").alias("text")).unionByName(docs.select(F.regexp_extract("text", r"[^ -~\n]+", 0).alias("text")))
-    return checks.offending_blocks(labels, "text", ["256-511"])
+    """AGG19, STR25: the first document of each block of letters that is not there, of all letters of all texts."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("label"), "text")
+    return checks.offending_blocks(docs, "text", ["256-511"], "label")
 
 
 @query("""
@@ -605,13 +681,16 @@ def _extract(spark: SparkSession, d: str) -> extracts.Extract:
 
 @query(f"""
 WITH n AS (SELECT p_partkey AS id, {_pos('p_partkey')} FROM part), k AS (SELECT l_orderkey AS id, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS m FROM lineitem),
-w AS (SELECT k.id, avg(n.lon) AS lon, avg(n.lat) AS lat, count(*) AS used FROM k JOIN n ON n.id = l_partkey WHERE i % greatest(1, m // 12) = 0 GROUP BY 1)
+w AS (SELECT k.id, avg(n.lon) AS lon, avg(n.lat) AS lat, count(*) AS used FROM k JOIN n ON n.id = l_partkey WHERE i % greatest(1, m // 12) = 0 GROUP BY 1),
+firsts AS (SELECT l_orderkey, CAST(n.lon AS FLOAT) AS lon, CAST(n.lat AS FLOAT) AS lat FROM lineitem JOIN n ON n.id = l_partkey QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = 1),
+means AS (SELECT o_custkey AS id, avg(CAST(lon AS DOUBLE)) AS lon, avg(CAST(lat AS DOUBLE)) AS lat FROM orders JOIN firsts ON l_orderkey = o_orderkey GROUP BY 1)
 SELECT 'n' AS t, count(*) AS n, CAST(sum(CAST(round(lon * 1000000) AS BIGINT)) AS BIGINT) AS lon, CAST(sum(CAST(round(lat * 1000000) AS BIGINT)) AS BIGINT) AS lat FROM n
 UNION ALL SELECT 'w', count(*), CAST(sum(CAST(round(lon * 1000000) AS BIGINT)) AS BIGINT), CAST(sum(CAST(round(lat * 1000000) AS BIGINT)) AS BIGINT) FROM w JOIN orders ON o_orderkey = w.id WHERE lon BETWEEN 7.8 AND 9.55 AND lat BETWEEN 54.15 AND 55.12
+UNION ALL SELECT 'r', count(*), CAST(sum(CAST(round(lon * 1000000) AS BIGINT)) AS BIGINT), CAST(sum(CAST(round(lat * 1000000) AS BIGINT)) AS BIGINT) FROM means JOIN customer ON c_custkey = id
 """)
 def candidate_scan(spark: SparkSession, d: str) -> DataFrame:
     """SRC01-SRC09, SRC13, FLT01-FLT03, AGG04-AGG07, PRJ01: named objects of a kept class, with positions."""
-    got = extracts.candidates(_extract(spark, d)).where("t <> 'r'")
+    got = extracts.candidates(_extract(spark, d))
     micro = lambda c: F.sum(F.round(F.col(c) * 1_000_000).cast("long")).alias(c)
     return got.groupBy("t").agg(F.count("*").alias("n"), micro("lon"), micro("lat"))
 
@@ -698,15 +777,15 @@ def set_union_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT p_partkey, ['n', 'w', 'r'][p_partkey % 3 + 1] AS t, CASE WHEN p_size % 2 = 0 THEN ['village', 'island', 'sea'][p_size % 3 + 1] ELSE '' END AS place, CASE WHEN p_size % 5 = 0 THEN 'administrative' ELSE '' END AS boundary, p_size % 12 AS level FROM part)
-SELECT p_partkey, place = 'village' OR (boundary = 'administrative' AND level BETWEEN 6 AND 11) AS settlement, place = 'island' OR (boundary = 'administrative' AND level BETWEEN 8 AND 11) AS island,
+WITH o AS (SELECT p_partkey, ['n', 'w', 'r'][p_partkey % 3 + 1] AS t, CASE WHEN p_size % 2 = 0 THEN ['village', 'island', 'sea', 'municipality', 'locality'][p_size % 5 + 1] ELSE '' END AS place, CASE WHEN p_size % 5 = 0 THEN 'administrative' ELSE '' END AS boundary, p_size % 12 AS level FROM part)
+SELECT p_partkey, place IN ('village', 'municipality', 'locality') OR (boundary = 'administrative' AND level BETWEEN 6 AND 11) AS settlement, place = 'island' OR (boundary = 'administrative' AND level BETWEEN 8 AND 11) AS island,
     boundary = 'administrative' AND level = 2 AS country, CASE WHEN t = 'n' AND place <> '' THEN 30 WHEN t = 'r' AND boundary = 'administrative' THEN 12 WHEN t = 'w' AND place <> '' THEN 8 ELSE 2 END AS points FROM o
 """)
 def kind_rules(spark: SparkSession, d: str) -> DataFrame:
     """FLT03-FLT09, GEO09, UDF01, UDF02: kinds as data."""
     from ..operators.kinds import BY_NAME
 
-    place = F.when(F.col("p_size") % 2 == 0, F.element_at(F.array(F.lit("village"), F.lit("island"), F.lit("sea")), F.col("p_size") % 3 + 1)).otherwise("")
+    place = F.when(F.col("p_size") % 2 == 0, F.element_at(F.array(*[F.lit(x) for x in ("village", "island", "sea", "municipality", "locality")]), F.col("p_size") % 5 + 1)).otherwise("")
     m = F.create_map(F.lit("place"), place, F.lit("boundary"), F.when(F.col("p_size") % 5 == 0, "administrative").otherwise(""), F.lit("admin_level"), (F.col("p_size") % 12).cast("string"))
     t = F.element_at(F.array(F.lit("n"), F.lit("w"), F.lit("r")), (F.col("p_partkey") % 3 + 1).cast("int"))
     o = table(spark, d, "part").select("p_partkey", F.struct(t.alias("t"), m.alias("tags")).alias("o"))
@@ -751,18 +830,20 @@ def claim_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH c AS (SELECT c_nationkey::VARCHAR AS hint, c_custkey AS id, {_pos('c_custkey')}, ['village', 'island', 'town'][c_custkey % 3 + 1] AS place FROM customer),
-s AS (SELECT *, -{_km('lon', 'lat', '8.9::DOUBLE', '54.7::DOUBLE')} + CASE place WHEN 'island' THEN 40 WHEN 'village' THEN 30 ELSE 0 END AS p FROM c)
-SELECT hint, round(lon, 6) AS lon, round(lat, 6) AS lat, CASE WHEN hint = '3' THEN 25.0 WHEN place = 'island' THEN 10.0 ELSE 8.0 END::DOUBLE AS km FROM s QUALIFY row_number() OVER (PARTITION BY hint ORDER BY p DESC, id) = 1
+WITH c AS (SELECT CASE WHEN c_nationkey = 3 THEN 'Föhr' ELSE 'h' || c_nationkey END AS hint, c_custkey AS id, {_pos('c_custkey')}, ['village', 'island', 'town', 'region', 'farm', 'none'][c_custkey % 6 + 1] AS place FROM customer),
+s AS (SELECT *, -{_km('lon', 'lat', '8.9::DOUBLE', '54.7::DOUBLE')} + CASE WHEN place = 'island' THEN 40 WHEN place IN ('village', 'town') THEN 30 ELSE 0 END AS p FROM c WHERE place <> 'none')
+SELECT hint, round(lon, 6) AS lon, round(lat, 6) AS lat, CASE WHEN hint = 'Föhr' THEN 25.0 WHEN place IN ('island', 'region') THEN 10.0 ELSE 8.0 END::DOUBLE AS km FROM s QUALIFY row_number() OVER (PARTITION BY hint ORDER BY p DESC, id) = 1
 """)
 def hint_circles(spark: SparkSession, d: str) -> DataFrame:
     """JN18, JN19, GEO06-GEO08: where a hint points."""
     from ..operators import lookup
 
     c = placed(table(spark, d, "customer"), "c_custkey")
-    kind = F.element_at(F.array(F.lit("village"), F.lit("island"), F.lit("town")), (F.col("c_custkey") % 3 + 1).cast("int"))
-    hits = c.select(F.col("c_nationkey").cast("string").alias("hint"), F.col("c_custkey").alias("id"), "lon", "lat", F.create_map(F.lit("place"), kind).alias("tags"))
-    return lookup.hint_circles(hits, large=("3",)).select("hint", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "km")
+    n = (F.col("c_custkey") % 6 + 1).cast("int")
+    m = F.create_map(F.lit("place"), F.element_at(F.array(*[F.lit(x) for x in ("village", "", "town", "region", "farm", "")]), n), F.lit("natural"), F.when(n == 2, "island").otherwise(""), F.lit("boundary"), F.lit("maritime"))
+    hint = F.when(F.col("c_nationkey") == 3, "Föhr").otherwise(F.concat(F.lit("h"), F.col("c_nationkey").cast("string")))
+    hits = c.select(hint.alias("hint"), F.col("c_custkey").alias("id"), "lon", "lat", m.alias("tags"))
+    return lookup.hint_circles(hits).select("hint", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "km")
 
 
 @query("""

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import CLASS_KEYS, DETAIL_KEYS, NAME_RANKS
+from ..constants import CLASS_KEYS, KEPT_KEYS, NAME_RANKS
 from ..functions import geo, tags
+from .tables import cut
 
 NODES = "id bigint, lon double, lat double, tags map<string,string>"
 WAYS = "id bigint, nodes array<bigint>, tags map<string,string>"
@@ -71,14 +72,16 @@ def candidates(x: Extract) -> DataFrame:
     its member ways' first usable nodes (in single precision). Roads count only inside the
     home region. Tags are cut to those that later steps read; positions have six decimals.
     """
-    kept = F.array(*[F.lit(k) for k in (*CLASS_KEYS, *DETAIL_KEYS, "wikidata", *NAME_RANKS)])
+    kept = F.array(*[F.lit(k) for k in KEPT_KEYS])
     named = lambda t: tags.has_any(t, *NAME_RANKS)
-    spots = x.ways.select("id", F.posexplode("nodes").alias("k", "node")).join(x.nodes.select(F.col("id").alias("node"), "lon", "lat"), "node", "left")
-    lines = spots.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "lon", "lat"))), lambda p: F.struct(p["lon"], p["lat"])).alias("points"))
-    nodes = x.nodes.where(named(F.col("tags"))).select(F.lit("n").alias("t"), "id", "lon", "lat", "tags")
-    ways = x.ways.where(named(F.col("tags"))).join(lines, "id", "left").withColumn("c", geo.centroid(F.col("points"))).select(F.lit("w").alias("t"), "id", "c.lon", "c.lat", "tags")
+    # Only ways that are named or belong to a named relation are joined with their nodes.
     wanted = x.relations.where(named(F.col("tags")))
     parts = wanted.select("id", F.explode("members").alias("m")).where("m.type = 'w'").select("id", F.col("m.ref").alias("way"))
+    asked = x.ways.where(named(F.col("tags"))).select("id").unionByName(parts.select(F.col("way").alias("id"))).distinct()
+    spots = x.ways.join(asked, "id", "left_semi").select("id", F.posexplode("nodes").alias("k", "node")).join(x.nodes.select(F.col("id").alias("node"), "lon", "lat"), "node", "left")
+    lines = cut(spots.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "lon", "lat"))), lambda p: F.struct(p["lon"], p["lat"])).alias("points")), "way-points")
+    nodes = x.nodes.where(named(F.col("tags"))).select(F.lit("n").alias("t"), "id", "lon", "lat", "tags")
+    ways = x.ways.where(named(F.col("tags"))).join(lines, "id", "left").withColumn("c", geo.centroid(F.col("points"))).select(F.lit("w").alias("t"), "id", "c.lon", "c.lat", "tags")
     firsts = parts.join(lines.withColumn("p", geo.first_position(F.col("points"))).select(F.col("id").alias("way"), "p"), "way").where("p IS NOT NULL")
     means = firsts.groupBy("id").agg(F.avg(F.col("p.lon").cast("float")).alias("lon"), F.avg(F.col("p.lat").cast("float")).alias("lat"))
     relations = wanted.join(means, "id", "left").select(F.lit("r").alias("t"), "id", "lon", "lat", "tags")

@@ -4,12 +4,41 @@ from __future__ import annotations
 
 import csv
 import io
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    In local mode a fresh local folder is set where the session has none, as in tests; on a
+    cluster, whose executors would not see such a folder, that is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="wayfold-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    This ends the lineage: a lost executor costs a reread, not a recomputation, and what
+    follows sees the true size of the table.
+    """
+    path = f"{shared_dir(df.sparkSession)}/wayfold/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path, compression=codec)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class TableError(ValueError):
     """All problems of a table at once."""
 
