@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfold.operators import checks, claims, clustering, decisions, geometry, matching, naming, search, spatial, stats
-from wayfold.plans import match as match_plan
 
 OBJECTS = "src string, t string, id long, lon double, lat double, tags map<string,string>"
 
@@ -18,7 +17,7 @@ def test_index_keeps_best_rank_and_ignores_nameless(spark):
     ]
     index = matching.name_index(spark.createDataFrame(rows, OBJECTS))
     got = {(r.src, r.id): (r["rank"], r.byname) for r in index.where("key = 'kampen'").collect()}
-    assert got == {("a", 1): (2, True), ("a", 2): (0, False), ("a", 3): (4, True), ("b", 1): (0, False)}
+    assert got == {("a", 1): (2, False), ("a", 2): (0, False), ("a", 3): (4, True), ("b", 1): (0, False)}
     hits = matching.lookup(spark.createDataFrame([("r", "KAMPEN"), ("s", None)], "row_id string, name string"), index)
     cands = {r.id: (r["rank"], r.byname, r.src) for r in matching.ranked_candidates(hits).collect()}
     assert cands == {1: (0, False, "b"), 2: (0, False, "a"), 3: (4, True, "a")}
@@ -114,15 +113,28 @@ def test_checks(spark):
 
 def test_ids_names_and_states(spark):
     rows = spark.createDataFrame([(1, "Ö b"), (2, "ö-B"), (3, "!")], "line int, name string")
-    assert [r.id for r in naming.new_ids(rows, "name", "line").orderBy("line").collect()] == ["o-b", "o-b-2", "place"]
-    taken = spark.createDataFrame([("o-b-3",)], "id string")
-    assert [r.id for r in naming.new_ids(rows, "name", "line", taken).orderBy("line").collect()] == ["o-b-4", "o-b-5", "place"]
+    assert [r.id for r in naming.new_ids(rows, "name", "line").orderBy("line").collect()] == ["o-b", "o-b-2", "row"]
+    ids = lambda names, taken: [r.id for r in naming.new_ids(spark.createDataFrame(list(enumerate(names)), "line int, name string"), ["name"], "line", spark.createDataFrame([(t,) for t in taken], "id string")).orderBy("line").collect()]
+    assert ids(["Ö b", "ö-B", "!"], ["o-b-2", ""]) == ["o-b", "o-b-3", "row"]
+    assert ids(["Foo"], ["foo", "foo-5"]) == ["foo-2"]
+    rng = random.Random(6)
+    for _ in range(4):
+        names = [rng.choice(["Foo", "Foo 2", "foo-2-2", "Bar", "Bar 3", "(r)", "Baz"]) for _ in range(12)]
+        taken = {x for x in ("foo", "foo-3", "bar-2", "row") if rng.random() < 0.5}
+        want, used = [], set(taken)
+        for n in names:
+            base = {"Foo": "foo", "Foo 2": "foo-2", "foo-2-2": "foo-2-2", "Bar": "bar", "Bar 3": "bar-3", "(r)": "row", "Baz": "baz"}[n]
+            want.append(next(i for i in itertools.chain([base], (f"{base}-{k}" for k in itertools.count(2))) if i not in used))
+            used.add(want[-1])
+        assert ids(names, taken) == want
     v = [naming.Variety("x", "one", "frr"), naming.Variety("y", "two", "frr")]
     assert naming.name_columns(v) == ["one", "local", "two", "de", "da"]
     df = spark.createDataFrame([("A (r); B", "L", "", "y"), ("", "", "C", "y"), ("", "", "", None)], "one string, local string, two string, area string")
     got = naming.resolved(df, v).collect()
     assert [r.names for r in got] == [{"x": "A", "y": "L"}, {"y": "C"}, {}] and [r.local_name for r in got] == ["L", "C", ""]
-    assert naming.label_chain("x", True, v) == ["name:x", "name:local", "name:y", "name", "name:de"]
+    assert naming.label_chain("x", True, v) == ["name:x", "name:local", "name:y", "name:frr", "name:nds", "name:de", "name:latin", "name"]
+    assert naming.label_chain("x", False, [*v, naming.Variety("z", "three", "nds")])[1:4] == ["name:y", "name:frr", "name:local"]
+    assert naming.label_chain("local", True, v) == ["name:local", "name:nds", "name:latin", "name", "name:de"]
 
 
 def test_search_and_stats(spark):
@@ -153,32 +165,6 @@ def test_assembled_by_relation(spark):
     assert got == [(1, [1, 2, 3, 4, 1], True), (2, [7, 8], False)]
 
 
-def test_match_results(spark):
-    objects = spark.createDataFrame([("a", "n", 1, 8.9, 54.7, {"name": "One"}), ("a", "n", 2, 8.9, 54.7, {"name": "Two"}), ("a", "n", 3, 11.0, 53.0, {"name": "Two"}), ("a", "n", 4, 8.0, 54.3, {"name": "Many"}), ("a", "n", 5, 9.0, 54.9, {"name": "Many"})], OBJECTS)
-    rows = spark.createDataFrame([("1", "one"), ("2", "TWO"), ("3", "many"), ("4", "none")], "row_id string, name string")
-    got = {r.row_id: (r.result, r.n_clusters) for r in match_plan.match(rows, objects).collect()}
-    assert got == {"1": ("matched", 1), "2": ("matched", 2), "3": ("ambiguous", 2), "4": ("not found", 0)}
-    taken = spark.createDataFrame([("n", 1)], "t string, id long")
-    assert {r.row_id: r.result for r in match_plan.match(rows, objects, taken).collect()}["1"] == "not found"
-
-
-def test_match_applies_hints_members_and_review(spark):
-    far = {"place": "hamlet"}
-    objects = spark.createDataFrame([
-        ("a", "w", 1, 8.9, 54.7, {"name": "One", "place": "village"}), ("a", "n", 2, 8.9, 54.7001, {"name": "One", "place": "village"}),
-        ("a", "n", 3, 11.0, 53.0, {"name": "Far"} | far),
-        ("a", "n", 4, 11.0, 53.0, {"name": "Weak", "place": "town"}), ("a", "n", 5, 8.9, 54.7, {"name": "x", "alt_name": "Weak", "place": "town"}),
-        ("a", "n", 6, 8.0, 54.3, {"name": "Many", "place": "town"}), ("a", "n", 7, 9.0, 54.9, {"name": "Many", "place": "town"}),
-        ("a", "n", 8, 9.54, 54.7, {"name": "Edge", "place": "town"}), ("a", "n", 9, 9.7, 54.7, {"name": "Edge", "place": "town"}),
-        ("a", "n", 10, 11.0, 53.0, {"name": "Again"} | far), ("a", "n", 11, 8.9, 54.7, {"name": "y", "alt_name": "Again", "place": "town"}),
-    ], OBJECTS)
-    rows = [("1", "one", None, False), ("2", "far", None, False), ("3", "weak", None, False), ("4", "many", "north", False), ("5", "many", None, False), ("6", "edge", None, False), ("7", "one", "north", False), ("8", "weak", "south", True), ("9", "again", None, False)]
-    circles = spark.createDataFrame([("north", 9.0, 54.9, 8.0), ("south", 11.0, 53.0, 8.0)], "hint string, lon double, lat double, km double")
-    got = {r.row_id: (r.result, r.id) for r in match_plan.match(spark.createDataFrame(rows, "row_id string, name string, hint string, home_only boolean"), objects, None, circles).collect()}
-    review = ("ambiguous", None)
-    assert got == {"1": ("matched", 2), "2": review, "3": review, "4": ("matched", 7), "5": review, "6": review, "7": review, "8": review, "9": ("matched", 11)}
-
-
 def test_kinds_narrow_and_absorb(spark):
     from wayfold.operators.kinds import BY_NAME
 
@@ -191,7 +177,9 @@ def test_kinds_narrow_and_absorb(spark):
     assert run("settlement", [("r", 1, admin)], "absorb") == [1]
     assert run("harde", [("r", 1, admin), ("n", 2, village)], "absorb") == [1, 2]
     assert run("landscape", [("r", 1, admin), ("w", 2, village)], "absorb") == [1, 2]
-    assert run("settlement", [("w", 1, village), ("n", 2, village)], "canonical") == [2]
+    assert run("settlement", [("w", 1, village), ("n", 2, village), ("r", 3, admin)], "canonical") == [1, 2]
+    assert run("island", [("w", 1, {"place": "island"}), ("n", 2, {"place": "island"})], "canonical") == [1]
+    assert run("water", [("w", 1, {"water": "lake"}), ("r", 2, {"type": "waterway"}), ("w", 3, {"waterway": "river"})], "canonical") == [2]
     assert run("settlement", [("w", 1, {})], "canonical") == [1]
 
 

@@ -42,7 +42,6 @@ def test_queries_without_sql(spark, tmp_path):
     assert all(r.closed and r.n == 8 for r in plans.ring_assembly(spark, D).collect())
     got = [r.thing for r in plans.sequential_claims(spark, D).collect() if r.thing is not None]
     assert len(got) == len(set(got)) > 0
-    assert {r.result for r in plans.match_names(spark, D).collect()} <= {"matched", "ambiguous", "not found"}
 
 
 def test_glyph_blocks_reads_all_runs_of_a_text(spark, tmp_path):
@@ -68,20 +67,6 @@ def test_relations_of_the_scan_equal_brute_force(spark):
         assert got[i] == (pytest.approx(np.mean([float(x) for x, _ in p]) * 1e6, abs=0.6), pytest.approx(np.mean([float(y) for _, y in p]) * 1e6, abs=0.6))
 
 
-def test_match_names_covers_all_names(spark):
-    parts = [(r.p_name, r.p_brand, r.p_partkey) for r in spark.read.parquet(f"{D}/part.parquet").collect()]
-    suppliers = {r.s_name for r in spark.read.parquet(f"{D}/supplier.parquet").collect()}
-    got = {r.row_id: r for r in plans.match_names(spark, D).collect()}
-    whole = lambda n, b: f"{n} ({b})"
-    assert set(got) == {n for n, _, _ in parts} | {whole(n, b) for n, b, _ in parts} | suppliers
-    for name, r in got.items():
-        full = [k for n, b, k in parts if (whole(n, b) if k % 5 == 0 else n) == name]
-        stripped = [k for n, _, k in parts if k % 5 == 0 and n == name]
-        best = full or stripped
-        assert r.n_best == len(best) and (r.result == "not found") == (not best)
-        assert r.result != "matched" or r.id in full + stripped
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(plans.SQL) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
