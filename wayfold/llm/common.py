@@ -3,45 +3,20 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graphs import connected  # noqa: F401
 from ..ship import ship
+from ..sources.tables import cut, shared_dir  # noqa: F401
 
 
 #: Rows of one Arrow batch that goes to a Python worker, where the session has Spark's default of 10,000.
 BATCH_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    In local mode a fresh local folder is set where the session has none, as in tests; on a
-    cluster, whose executors would not see such a folder, that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="wayfold-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This ends the lineage: a lost executor costs a reread, not a recomputation, and what
-    follows sees the true size of the table.
-    """
-    path = f"{shared_dir(df.sparkSession)}/wayfold/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def sized(df: DataFrame, rows: int = 200_000, size: Column | None = None, most: int = 64 << 20) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is (a shuffled join).
 
@@ -56,17 +31,22 @@ def sized(df: DataFrame, rows: int = 200_000, size: Column | None = None, most:
 _LIVE: dict[str, object] = {}
 
 
-def living(key: str, model: object) -> object:
-    """The first copy of a model that this worker got, with its words; only the latest model is kept.
+def living(key: str, make: Callable[[], object]) -> object:
+    """What ``make`` gave when this worker first asked for the key, with the words it keeps; only the latest model stays.
 
-    What a model keeps is bounded by a constant of its module, a few MB.
+    What a model keeps is bounded by a constant of its module, a few dozen MB.
     """
     if key not in _LIVE:
-        _LIVE.clear()
-        _LIVE[key] = model
+        release()
+        _LIVE[key] = make()
     return _LIVE[key]
 
 
+def release() -> None:
+    """Drop this worker's model; for operators that need none but run in workers of one that did."""
+    _LIVE.clear()
+
+
 def least_hashes(rows: DataFrame, n: int, k: int, id_col: str = "doc_id") -> DataFrame:
     """The ``k`` rows of ``n`` whose ids have the least hashes; all rows if there are no more than k.
 
@@ -104,39 +84,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the fifth of the documents that no model learns from; false for a null id."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(5)) == 0, F.lit(False)).alias("held_out")
-
-
-def connected(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """Connected components of ``edges`` (a, b: long): rows (node, root), root the least node.
-
-    Alternates large-star and small-star steps until a round changes nothing. Each step is
-    an aggregate with map-side combine and an equi-join, so a node with very many
-    neighbours is summed before the shuffle and split by the adaptive skew join after it.
-    Self-links and null ends are ignored; nodes without a link do not appear. The rounds grow
-    with the logarithm of the longest chain; as many as the bound would take more nodes than
-    there are ids, so reaching it is an error.
-    """
-    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = cut(pairs, "links")
-    seen = _checksum(pairs)
-    for _ in range(rounds if seen[0] else 0):
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        pairs = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "links")
-        now = _checksum(pairs)
-        if now == seen:
-            break
-        seen = now
-    else:
-        if seen[0]:
-            raise RuntimeError(f"components did not settle in {rounds} rounds")
-    roots = pairs.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-
-
-def _checksum(pairs: DataFrame) -> tuple:
-    row = pairs.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
-    return row["n"], row["x"]

@@ -147,7 +147,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kept = living(key, model)
+        kept = living(key, lambda: model)
         for texts in batches:
             got = [kept.predict(t.as_py() or "") for t in texts]
             yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["lang_pred", "score"])

@@ -24,7 +24,6 @@ lies on either side is composed by itself, and kept for the next time it comes.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import math
@@ -35,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import living
+
 SPACE = "▁"
 #: Label of an arc that reads any character which no other arc of its state reads, and writes it.
 ANY = None
 #: Entries of each of a worker's tables of words, segments and pairs; past it a table starts anew.
-CACHE = 300_000
+CACHE = 200_000
 #: What a unigram model takes off its least score for a character without a piece; a fixed value.
 UNKNOWN_PENALTY = 10.0
 
@@ -340,10 +341,9 @@ class Model:
         return got[1:] if self.prefix and got.startswith(" ") else got
 
 
-@functools.cache
 def loaded(path: str) -> Model:
-    """The compiled model of a file, kept with its tables as long as the worker lives."""
-    return Model(path)
+    """The compiled model of a file, kept with its tables until the worker needs another one."""
+    return living(f"sentencepiece {path}", lambda: Model(path))
 
 
 def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, cut, sized
+from .common import connected, cut, release, sized
 from .fingerprint import with_shingles
 
 SEED = 42
@@ -243,6 +243,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = SH
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for whole in batches:
             for k in range(0, len(whole), 256):
                 batch = whole.slice(k, 256)
@@ -261,7 +262,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = SH
     nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()), "distinct-texts")
     searched = nodes.where("fp IS NOT NULL").select("id", "fp", "bands")
     near = with_neighbours(searched.drop("bands"), 5).unionByName(with_common_bands(searched)).distinct()
-    close = sized(cut(nodes.select("t1", "t2", "id").join(near, "id", "left_semi"), "close-texts"), 500_000)
+    close = sized(cut(nodes.select("t1", "t2", "id").join(near, "id", "left_semi"), "close-texts"))
     texts = docs.select(*_text_keys(text), "text").join(close, ["t1", "t2"]).dropDuplicates(["id"])
     sets = cut(with_shingles(texts, "text", "s", words).select("id", "s"), "shingle-sets")
     # Shingles that no other of these texts has are in no intersection: what is left bounds the likeness from above.

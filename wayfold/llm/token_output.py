@@ -9,7 +9,6 @@ ascending order of document: part by part, and within a part block by block.
 
 from __future__ import annotations
 
-import functools
 import json
 import struct
 import unicodedata
@@ -22,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, sized
+from .common import cut, living, shared_dir, sized
 
 #: Ids after which a block is closed; a longer document makes a longer block.
 BLOCK_IDS = 1 << 20
@@ -32,7 +31,7 @@ MAGIC = b"EFTB"
 #: Magic, bytes of an id, select interval, documents, those of null doc_id, token ids, least doc_id; then of each sequence: low bits, bytes of the low and of the high part.
 _HEAD = struct.Struct("<4sBHIIQq BII BII")
 #: Words of one worker's cache; past it the cache starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 #: The characters that byte-level BPE writes for bytes: printable ones stand for themselves, the others for 256 and up in turn.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LEVEL = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
@@ -203,9 +202,12 @@ class WordEncoder:
         return out
 
 
-@functools.cache
 def encoder(path: str, end_id: int) -> tuple[int, bytes, WordEncoder]:
-    """Width of ids, the end id's bytes and the encoder, kept with its words as long as the worker lives."""
+    """Width of ids, the end id's bytes and the encoder, kept with its words until the worker needs another model."""
+    return living(f"tokens {end_id} {path}", lambda: _encoder(path, end_id))
+
+
+def _encoder(path: str, end_id: int) -> tuple[int, bytes, WordEncoder]:
     from tokenizers import Tokenizer
 
     width = 2 if max(Tokenizer.from_file(path).get_vocab_size(True) - 1, end_id) < 1 << 16 else 4
