@@ -51,7 +51,7 @@ def test_cells(spark):
     assert one(spark, text.naive_names("c"), c="a (b; c)") == ["a (b", "c)"]
     assert one(spark, text.cell_problem("c"), c="A; B (c)") is None
     parted = "variants are separated by `; ` (no space before, one after)"
-    for cell, what in [("A (b", "unbalanced brackets"), ("A (b (c))", "unbalanced or nested brackets"), ("A) b (c", "unbalanced or nested brackets"), ("A;;B", parted), ("A ; B", parted), ("A (b) c", "text after a remark in 'A (b) c'"), ("(b)", "an empty variant"), ("A  b", "stray spaces in 'A  b'"), ("A?", "`?` in 'A?' -- say `uncertain` in `note` instead"), ("A; B; A", "A twice"), ("A (r; s) (t); B", None), ("", None)]:
+    for cell, what in [("A (b", "unbalanced brackets"), ("A (b (c))", "unbalanced or nested brackets"), ("A) b (c", "unbalanced or nested brackets"), ("A;;B", parted), ("A ; B", parted), ("A (b) c", "text after a remark in 'A (b) c'"), ("A  b", "stray spaces in 'A  b'"), ("A?", "`?` in 'A?' -- say `uncertain` in `note` instead"), ("A; B; A", "A twice"), ("A (r; s) (t); B", None), ("", None)]:
         assert one(spark, text.cell_problem("c"), c=cell) == what, cell
     assert [tuple(p) for p in one(spark, text.parts("c"), c="A(x)B ( ) ?; C")] == [("AB", "x"), ("C", "")]
 

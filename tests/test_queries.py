@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from wayfold.plans import list_queries  # noqa: F401  registers its queries
 from wayfold.plans import queries as plans
 
 D = "/root/testdata/sf0.001"
@@ -70,3 +71,34 @@ def test_relations_of_the_scan_equal_brute_force(spark):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(plans.SQL) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_clusters_claims_and_rings_equal_plain_python(spark):
+    read = lambda n: spark.read.parquet(f"{D}/{n}.parquet").collect()
+    pos = lambda k: (7.8 + k * 7919 % 1750 / 1000, 54.15 + k * 104729 % 970 / 1000)
+
+    def km(a, b):
+        p, q = math.radians(a[1]), math.radians(b[1])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[0] - a[0]) / 2) ** 2
+        return 12742 * math.asin(math.sqrt(h))
+
+    def same(a, b):
+        core, far = (a % 3 == 0) and (b % 3 == 0), 30 if a % 3 == 2 or b % 3 == 2 else 3
+        return km(pos(a), pos(b)) <= (1 if core else far)
+
+    want, nations = {}, {}
+    for r in sorted(read("supplier"), key=lambda r: r.s_suppkey):
+        groups = want.setdefault(r.s_nationkey, [])
+        home = next((g for g in groups if any(same(r.s_suppkey, m) for m in g)), None)
+        home.append(r.s_suppkey) if home else groups.append([r.s_suppkey])
+        for n in (r.s_nationkey, (r.s_nationkey + 1) % 25):
+            nations.setdefault(n, []).append(r.s_suppkey)
+    got = {}
+    for r in sorted(plans.greedy_clusters(spark, D).collect(), key=lambda r: r.cluster):
+        got.setdefault(r.s_nationkey, []).append(r.ids)
+    assert got == want
+    taken, given = set(), {}
+    for n in sorted(nations):
+        given[n] = next((s for s in sorted(nations[n]) if s not in taken), None)
+        taken.add(given[n])
+    assert {r.row: r.thing for r in plans.sequential_claims(spark, D).collect()} == given
