@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from wayfold.plans import list_queries  # noqa: F401  registers its queries
+from wayfold.plans import list_queries, small_queries  # noqa: F401  register their queries
 from wayfold.plans import queries as plans
 
 D = "/root/testdata/sf0.001"

@@ -128,7 +128,7 @@ def circle_ring(lon, lat, km, points: int = 48) -> Column:
     """A closed circle of ``points`` + 1 points, as array of struct(lon, lat)."""
     lon, lat, r = _col(lon), _col(lat), _col(km) / KM_PER_DEGREE
     turn = lambda i: F.lit(2 * math.pi / points) * i
-    return F.transform(F.sequence(F.lit(0), F.lit(points)), lambda i: F.struct((lon + r * F.cos(turn(i)) / F.cos(F.radians(lat))).alias("lon"), (lat + r * F.sin(turn(i))).alias("lat")))
+    return F.transform(F.sequence(F.lit(0), F.lit(points)), lambda i: F.struct((lon + r * F.cos(turn(i)) / F.greatest(F.lit(0.1), F.cos(F.radians(lat)))).alias("lon"), (lat + r * F.sin(turn(i))).alias("lat")))
 
 
 def centroid(points: Column) -> Column:

@@ -270,7 +270,7 @@ SELECT c_custkey, s_suppkey FROM c JOIN s ON {_km('c.lon', 'c.lat', 's.lon', 's.
 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY -s_nationkey, {_km('c.lon', 'c.lat', 's.lon', 's.lat')}, s_suppkey) = 1
 """)
 def nearest_with_priority(spark: SparkSession, d: str) -> DataFrame:
-    """JN13, JN14: of those within 10 km the most local, the nearest among equals."""
+    """JN12: of those within 10 km the most local, the nearest among equals."""
     c, s = placed(table(spark, d, "customer"), "c_custkey").select("c_custkey", "lon", "lat"), placed(table(spark, d, "supplier"), "s_suppkey").select("s_suppkey", "s_nationkey", "lon", "lat")
     return spatial.nearest(c, s, ["c_custkey"], 10.0, [-F.col("s_nationkey"), F.col("km"), F.col("s_suppkey")]).select("c_custkey", "s_suppkey")
 
@@ -341,7 +341,7 @@ def claim_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def sequential_claims(spark: SparkSession, d: str) -> DataFrame:
-    """WIN01: nations choose suppliers of their own in order; suppliers of a nation are its candidates and its neighbour's."""
+    """WIN01, WIN02: nations choose suppliers of their own in order; suppliers of a nation are its candidates and its neighbour's."""
     s = table(spark, d, "supplier").select("s_suppkey", F.explode(F.array("s_nationkey", (F.col("s_nationkey") + 1) % 25)).alias("row"))
     s = s.select("row", F.col("row").cast("long").alias("line"), F.col("s_suppkey").alias("thing"))
     return claims.resolve_in_order(s, "row", "line", "thing", ["thing"])
@@ -373,7 +373,7 @@ def crosstab_totals(spark: SparkSession, d: str) -> DataFrame:
 SELECT reason, count(*) AS n FROM (SELECT unnest(list_distinct(['flag ' || l_returnflag, 'status ' || l_linestatus, CASE WHEN l_quantity > 40 THEN 'large' ELSE 'flag ' || l_returnflag END])) AS reason FROM lineitem) GROUP BY reason
 """)
 def key_counts(spark: SparkSession, d: str) -> DataFrame:
-    """AGG01, AGG04: a row counts under each of its reasons."""
+    """AGG04: a row counts under each of its reasons."""
     flag = F.concat(F.lit("flag "), F.col("l_returnflag"))
     reasons = F.array(flag, F.concat(F.lit("status "), F.col("l_linestatus")), F.when(F.col("l_quantity") > 40, "large").otherwise(flag))
     return stats.count_of_each(table(spark, d, "lineitem"), reasons)
@@ -438,7 +438,7 @@ SELECT c_custkey::VARCHAR AS id, CASE WHEN action = 'osm' AND NOT refused THEN r
     CASE WHEN action = 'osm' AND NOT refused THEN 'ok' WHEN action = 'skip' THEN 'skip' ELSE '' END AS status, coalesce(refused, false) AS refused FROM customer LEFT JOIN judged ON key = c_custkey::VARCHAR
 """)
 def apply_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """STM05-STM12: a log applied to rows; references that another holds are refused."""
+    """STM05, STM10, STM12: a log applied to rows; references that another holds are refused."""
     rows = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.lit("").alias("osm"), F.lit("").alias("status"))
     held = table(spark, d, "supplier").select(F.concat(F.lit("way/"), F.col("s_suppkey").cast("string")).alias("claim"), (F.col("s_suppkey") + 1).cast("string").alias("holder"))
     return decisions.apply(rows, _log(spark, d).select("line", "id", "action", "ref"), held).select("id", "osm", "status", "refused")
@@ -489,7 +489,7 @@ SELECT p_partkey, 'price' AS field, p_retailprice::VARCHAR AS a FROM part WHERE
 UNION ALL SELECT p_partkey, 'brand', p_brand FROM part WHERE p_partkey % 10 = 0
 """)
 def field_compare(spark: SparkSession, d: str) -> DataFrame:
-    """JN25, JN35, CPX08: fields of two versions, numbers within a tolerance."""
+    """JN25, CPX08: fields of two versions, numbers within a tolerance."""
     p = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price"))
     q = p.select("p_partkey", F.when(F.col("p_partkey") % 10 == 0, None).otherwise(F.col("brand")).alias("brand"), (F.col("price") + F.col("p_partkey") % 3 * F.lit(0.0001)).alias("price"))
     return checks.field_differences(p, q, "p_partkey", ["brand", "price"], {"price": 0.00015}).select("p_partkey", "field", "a")
@@ -503,7 +503,7 @@ SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN n_name WHEN n_regionkey =
 FROM (SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey END AS n_regionkey FROM nation)
 """)
 def resolved_names(spark: SparkSession, d: str) -> DataFrame:
-    """PRJ06, PRJ09-PRJ12, PRJ20-PRJ24: names of a place by columns that the registry lays out."""
+    """PRJ21, PRJ23: names of a place by columns that the registry lays out."""
     n = table(spark, d, "nation")
     cols = {"one": F.when(F.col("n_nationkey") % 3 == 0, F.col("n_name")).otherwise(""), "two": F.lit(""), "three": F.lit(""), "local": F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("L"), F.col("n_nationkey").cast("string"))).otherwise("")}
     rows = n.withColumns(cols).withColumn("area", F.when((F.col("n_nationkey") % 2 == 0) & (F.col("n_regionkey") == 1), "frr-x-a"))
@@ -594,7 +594,7 @@ def duplicates_overlap(spark: SparkSession, d: str) -> DataFrame:
 SELECT c_custkey AS line, unnest(list_filter([CASE WHEN c_acctbal < 0 THEN 'negative balance' END, CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN 'unknown segment' END, CASE WHEN c_nationkey % 5 = 0 AND c_acctbal > 5000 THEN 'balance not allowed' END], lambda x: x IS NOT NULL)) AS message FROM customer
 """)
 def constraint_problems(spark: SparkSession, d: str) -> DataFrame:
-    """DQ01-DQ13: every rule that a row breaks."""
+    """DQ14: rules as data, every one that a row breaks."""
     rules = [(F.col("c_acctbal") < 0, "negative balance"), (~F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "unknown segment"), ((F.col("c_nationkey") % 5 == 0) & (F.col("c_acctbal") > 5000), "balance not allowed")]
     return checks.problems(table(spark, d, "customer"), "c_custkey", rules)
 
@@ -636,7 +636,7 @@ def glyph_blocks_whole_texts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT doc_id, sha1(encode('blob ' || octet_length(encode(text)) || chr(0)) || encode(text)) AS blob FROM documents""")
 def git_blob_hash(spark: SparkSession, d: str) -> DataFrame:
-    """STR26, SNK04."""
+    """STR26."""
     return table(spark, d, "documents").select("doc_id", text.blob_hash("text").alias("blob"))
 
 
@@ -689,7 +689,7 @@ UNION ALL SELECT 'w', count(*), CAST(sum(CAST(round(lon * 1000000) AS BIGINT)) A
 UNION ALL SELECT 'r', count(*), CAST(sum(CAST(round(lon * 1000000) AS BIGINT)) AS BIGINT), CAST(sum(CAST(round(lat * 1000000) AS BIGINT)) AS BIGINT) FROM means JOIN customer ON c_custkey = id
 """)
 def candidate_scan(spark: SparkSession, d: str) -> DataFrame:
-    """SRC01-SRC09, SRC13, FLT01-FLT03, AGG04-AGG07, PRJ01: named objects of a kept class, with positions."""
+    """SRC01-SRC04, SRC13, FLT01-FLT03, AGG05-AGG07, PRJ01: named objects of a kept class, with positions."""
     got = extracts.candidates(_extract(spark, d))
     micro = lambda c: F.sum(F.round(F.col(c) * 1_000_000).cast("long")).alias(c)
     return got.groupBy("t").agg(F.count("*").alias("n"), micro("lon"), micro("lat"))
@@ -702,7 +702,7 @@ means AS (SELECT o_custkey AS id, avg(CAST(lon AS DOUBLE)) AS lon, avg(CAST(lat
 SELECT c_custkey AS id, CAST(round(lon * 1000000) AS BIGINT) AS lon, CAST(round(lat * 1000000) AS BIGINT) AS lat FROM customer LEFT JOIN means ON id = c_custkey WHERE c_custkey IN (SELECT o_custkey FROM orders)
 """)
 def relation_positions(spark: SparkSession, d: str) -> DataFrame:
-    """SRC01-SRC09, AGG04-AGG07: the relations of the candidate scan, each at the mean of its member ways' first usable nodes."""
+    """SRC02, AGG06, AGG07: the relations of the candidate scan, each at the mean of its member ways' first usable nodes."""
     got = extracts.candidates(_extract(spark, d)).where("t = 'r'")
     return got.select("id", *[F.round(F.col(c) * 1_000_000).cast("long").alias(c) for c in ("lon", "lat")])
 
@@ -755,7 +755,7 @@ WITH p AS (SELECT DISTINCT p_name AS name FROM part), c AS (SELECT DISTINCT p_na
 SELECT name, answer, answer IS NULL AS todo FROM p LEFT JOIN c USING (name)
 """)
 def cached_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """SRC31, SRC33, JN17: what a cache knows, and what is left to ask."""
+    """SRC31, SRC33: what a cache knows, and what is left to ask."""
     p = table(spark, d, "part").select(F.col("p_name").alias("name"), "p_partkey")
     cache = p.where("p_partkey % 2 = 0").groupBy("name").agg(F.min("p_partkey").alias("answer"))
     known, todo = tables.cached_lookup(p, cache)
@@ -779,17 +779,17 @@ def set_union_ids(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH o AS (SELECT p_partkey, ['n', 'w', 'r'][p_partkey % 3 + 1] AS t, CASE WHEN p_size % 2 = 0 THEN ['village', 'island', 'sea', 'municipality', 'locality'][p_size % 5 + 1] ELSE '' END AS place, CASE WHEN p_size % 5 = 0 THEN 'administrative' ELSE '' END AS boundary, p_size % 12 AS level FROM part)
 SELECT p_partkey, place IN ('village', 'municipality', 'locality') OR (boundary = 'administrative' AND level BETWEEN 6 AND 11) AS settlement, place = 'island' OR (boundary = 'administrative' AND level BETWEEN 8 AND 11) AS island,
-    boundary = 'administrative' AND level = 2 AS country, CASE WHEN t = 'n' AND place <> '' THEN 30 WHEN t = 'r' AND boundary = 'administrative' THEN 12 WHEN t = 'w' AND place <> '' THEN 8 ELSE 2 END AS points FROM o
+    boundary = 'administrative' AND level = 2 AS country, place = 'sea' OR (t = 'r' AND p_partkey % 2 = 0) AS water, CASE WHEN t = 'n' AND place <> '' THEN 30 WHEN t = 'r' AND boundary = 'administrative' THEN 12 WHEN t = 'w' AND place <> '' THEN 8 ELSE 2 END AS points FROM o
 """)
 def kind_rules(spark: SparkSession, d: str) -> DataFrame:
     """FLT03-FLT09, GEO09, UDF01, UDF02: kinds as data."""
     from ..operators.kinds import BY_NAME
 
     place = F.when(F.col("p_size") % 2 == 0, F.element_at(F.array(*[F.lit(x) for x in ("village", "island", "sea", "municipality", "locality")]), F.col("p_size") % 5 + 1)).otherwise("")
-    m = F.create_map(F.lit("place"), place, F.lit("boundary"), F.when(F.col("p_size") % 5 == 0, "administrative").otherwise(""), F.lit("admin_level"), (F.col("p_size") % 12).cast("string"))
+    m = F.create_map(F.lit("place"), place, F.lit("boundary"), F.when(F.col("p_size") % 5 == 0, "administrative").otherwise(""), F.lit("admin_level"), (F.col("p_size") % 12).cast("string"), F.lit("type"), F.when(F.col("p_partkey") % 2 == 0, "waterway").otherwise("x"))
     t = F.element_at(F.array(F.lit("n"), F.lit("w"), F.lit("r")), (F.col("p_partkey") % 3 + 1).cast("int"))
     o = table(spark, d, "part").select("p_partkey", F.struct(t.alias("t"), m.alias("tags")).alias("o"))
-    return o.select("p_partkey", *[BY_NAME[k].accepts(F.col("o")).alias(k) for k in ("settlement", "island", "country")], BY_NAME["settlement"].bonus(F.col("o")).alias("points"))
+    return o.select("p_partkey", *[BY_NAME[k].accepts(F.col("o")).alias(k) for k in ("settlement", "island", "country")], BY_NAME["water"].covers(F.col("o")).alias("water"), BY_NAME["settlement"].bonus(F.col("o")).alias("points"))
 
 
 @query("""
@@ -798,7 +798,7 @@ k AS (SELECT *, boundary = 'administrative' AND place = '' AS bare FROM m), g AS
 SELECT s_nationkey, count(*) FILTER (NOT bare OR NOT other) AS n_settlement, count(*) FILTER (NOT node OR NOT bare OR NOT other) AS n_landscape, count(*) AS n_harde FROM k JOIN g USING (s_nationkey) GROUP BY 1
 """)
 def absorb_boundaries(spark: SparkSession, d: str) -> DataFrame:
-    """FLT22, FLT23: three ways with bare boundaries, none of which empties a set."""
+    """FLT22: three ways with bare boundaries, none of which empties a set."""
     from ..operators.kinds import BY_NAME
 
     m = F.create_map(F.lit("boundary"), F.when(F.col("s_suppkey") % 3 == 0, "administrative").otherwise(""), F.lit("place"), F.when(F.col("s_suppkey") % 4 == 0, "village").otherwise(""))
@@ -835,7 +835,7 @@ s AS (SELECT *, -{_km('lon', 'lat', '8.9::DOUBLE', '54.7::DOUBLE')} + CASE WHEN
 SELECT hint, round(lon, 6) AS lon, round(lat, 6) AS lat, CASE WHEN hint = 'Föhr' THEN 25.0 WHEN place IN ('island', 'region') THEN 10.0 ELSE 8.0 END::DOUBLE AS km FROM s QUALIFY row_number() OVER (PARTITION BY hint ORDER BY p DESC, id) = 1
 """)
 def hint_circles(spark: SparkSession, d: str) -> DataFrame:
-    """JN18, JN19, GEO06-GEO08: where a hint points."""
+    """FLT09, FLT18, JN19, GEO07, GEO08: where a hint points."""
     from ..operators import lookup
 
     c = placed(table(spark, d, "customer"), "c_custkey")
@@ -871,7 +871,7 @@ SELECT n_nationkey, coalesce(nullif(CASE WHEN n_nationkey % 2 = 0 THEN n_name EL
 FROM nation JOIN region ON n_regionkey = r_regionkey
 """)
 def card_names(spark: SparkSession, d: str) -> DataFrame:
-    """PRJ32, PRJ33, PRJ38-PRJ41: a headline and the names besides it."""
+    """PRJ33, PRJ39: a headline and the names besides it."""
     from ..operators import cards
 
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).withColumn("own", F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(""))
