@@ -137,9 +137,9 @@ def spelled(model):
     todo = [("", 0)]
     while todo:
         word, state = todo.pop()
-        if state in model.pieces.ends:
+        if model.pieces.ends[state]:
             yield word, model.pieces.ends[state][1]
-        todo += [(word + c, a[2]) for c, a in model.pieces.arcs[state].items()]
+        todo += [(word + c, to) for c, to in model.pieces.arcs[state].items()]
 
 
 def merged(model, text):

@@ -39,8 +39,9 @@ from .common import living
 SPACE = "▁"
 #: Label of an arc that reads any character which no other arc of its state reads, and writes it.
 ANY = None
-#: Entries of each of a worker's tables of words, segments and pairs; past it a table starts anew.
+#: Entries of each of a worker's tables of words and pairs, and of segments; past it a table starts anew.
 CACHE = 200_000
+CACHE_SEGMENTS = 60_000
 #: What a unigram model takes off its least score for a character without a piece; a fixed value.
 UNKNOWN_PENALTY = 10.0
 
@@ -82,13 +83,13 @@ def normaliser(prefix: str) -> Machine:
 class Pieces:
     """The trie of pieces: ``arcs[state][character]`` is the next state, at no weight and without output.
 
-    ``ends[state]`` is (id, weight) of the arc that returns to the root, for a state that
-    spells a piece, else null.
+    ``ends[state]`` is (id, weight, piece) of the arc that returns to the root, for a state
+    that spells a piece, else null.
     """
 
     def __init__(self, weights: dict[str, tuple[int, float]]):
         self.arcs: list[dict[str, int]] = [{}]
-        self.ends: list[tuple[int, float] | None] = [None]
+        self.ends: list[tuple[int, float, str] | None] = [None]
         for piece, end in weights.items():
             at = 0
             for c in piece:
@@ -97,10 +98,10 @@ class Pieces:
                     self.arcs.append({})
                     self.ends.append(None)
                 at = self.arcs[at][c]
-            self.ends[at] = end
+            self.ends[at] = (*end, piece)
 
-    def starting(self, text: str, i: int, fallback) -> list[tuple[int, float, object]]:
-        """Arcs of the composition with a text that leave a place: (next place, weight, output), the shortest first.
+    def starting(self, text: str, i: int, fallback) -> list[tuple[int, float, object, str]]:
+        """Arcs of the composition with a text that leave a place: (next place, weight, output, piece), the shortest first.
 
         A character that is no piece has an arc of byte fallback, at that arc's weight.
         """
@@ -113,9 +114,9 @@ class Pieces:
             j += 1
             end = ends[state]
             if end:
-                out.append((j, end[1], end[0]))
+                out.append((j, end[1], end[0], end[2]))
         if not out or out[0][0] > i + 1:
-            out.insert(0, (i + 1, *fallback(text[i])))
+            out.insert(0, (i + 1, *fallback(text[i]), text[i]))
         return out
 
 
@@ -202,7 +203,7 @@ def shortest_path(pieces: Pieces, text: str, fallback) -> tuple[float, list[tupl
         settled[at] = (before, output)
         if at == len(text):
             break
-        for end, cost, output in pieces.starting(text, at, fallback):
+        for end, cost, output, _ in pieces.starting(text, at, fallback):
             turn += 1
             heapq.heappush(agenda, (weight + cost, -end, turn, at, output))
     out = []
@@ -223,11 +224,10 @@ def only_path(pieces: Pieces, pairs: Pairs, text: str, fallback) -> list[tuple[s
     path: list[tuple[str, object]] = []
     ways, places, settled = [starting(text, 0, fallback)], [0], set()
     while True:
-        arcs, at = ways[-1], places[-1]
+        arcs = ways[-1]
         last = path[-1][0] if path else ""
         while arcs:
-            end, _, output = arcs.pop()
-            piece = text[at:end]
+            end, _, output, piece = arcs.pop()
             if last:
                 found = known.get((last, piece))
                 if (weight(last, piece) if found is None else found) or (end, piece) in settled:
@@ -314,7 +314,7 @@ class Model:
             segment = text[start:end]
             ids = known.get(segment)
             if ids is None:
-                if len(known) > CACHE:
+                if len(known) > CACHE_SEGMENTS:
                     known.clear()
                 ids = known[segment] = self._ids(segment)
             out.append(ids)

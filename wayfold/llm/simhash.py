@@ -35,6 +35,8 @@ SHINGLE = 5
 BANDS = 40
 BAND_ROWS = 5
 LEAST_BANDS = 2
+#: Bands by which a text is first compared with the central text that has them; the others are asked only where these left two texts apart.
+FIRST_BANDS = 2
 #: Value of ``seg`` of an index row that holds a band.
 _BAND = len(SEGMENTS)
 _WORD = re.compile(r"\w+")
@@ -132,7 +134,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, central: Column | None = None,
     in one component. A dense group of n nodes so leaves about n links, not n squared.
 
     Nodes with an array ``bands`` are also compared where they share one of its values,
-    whatever their distance.
+    whatever their distance: first by few of them, then, with the central holder of each,
+    where that left them in different components.
 
     ``bound`` is a condition on columns of nodes, named a_ and b_, that every link meets, and
     ``verify`` keeps of candidate rows those that are links.
@@ -149,9 +152,15 @@ def links(nodes: DataFrame, radius: int = RADIUS, central: Column | None = None,
     salts = range(PIVOTS) if central is None else [0]
     pivots = index.groupBy("seg", "key").agg(*[F.min(ranked(i)).alias(f"p{i}") for i in salts], F.count("*").alias("n"))
     kept = F.array_distinct(F.transform(F.array(*[f"p{i}" for i in salts]), lambda p: F.struct(*[p[c].alias(c) for c in fields])))
-    crowded = pivots.where("n > 1").select("seg", "key", F.explode(kept).alias("p")).select("seg", "key", "p.*")
-    left, right = _sides(_probes(index, False, banded) if central is not None else index.drop("width"), crowded)
+    crowded = cut(pivots.where("n > 1").select("seg", "key", F.explode(kept).alias("p")).select("seg", "key", "p.*"), "pivots")
+    few = _index(nodes.withColumn("bands", F.slice("bands", 1, FIRST_BANDS))) if banded else index
+    left, right = _sides(_probes(few, False, banded) if central is not None else few.drop("width"), crowded)
     first = checked(_pairs(left.join(right, found)), "pivot-links")
+    if banded:
+        roots = cut(connected(first).withColumnRenamed("node", "id"), "first-roots")
+        rooted = lambda df: df.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        left, right = _sides(_index(rooted(nodes)).where(F.col("seg") == _BAND).drop("width"), rooted(crowded.where(F.col("seg") == _BAND)))
+        first = first.unionByName(checked(_pairs(left.join(right, found & (F.col("a_root") != F.col("b_root")))), "band-links"))
     root = connected(first)
     known = cut(nodes.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "pivot-roots")
     index = _index(known)
