@@ -218,16 +218,16 @@ def match(rows: DataFrame, objects: DataFrame, held: DataFrame | None = None, co
     by_item = F.coalesce(kinds.by_kind(F.col("kind"), lambda k: k.by_item, False), F.lit(False))
     index = cut(matching.name_index(objects), "name-index")
     circles = lookup.resolved_hints(rows, index, objects).select(F.col("hint").alias("__h"), F.struct("lon", "lat", "km").alias("circle"))
-    full = cut(rows.join(circles, F.col("hint") == F.col("__h"), "left").drop("__h").withColumn("named", F.size(query_names("de", "da")) > 0), "match-rows")
-    found = cut(candidates(full.where(~by_item), objects, index), "match-found")
+    full = cut(rows.join(circles, F.col("hint") == F.col("__h"), "left").drop("__h").withColumns({"named": F.size(query_names("de", "da")) > 0, "by_item": by_item}), "match-rows")
+    found = cut(candidates(full.where("not by_item"), objects, index), "match-found")
     shared = found.select("row_id", matching.ref_text("t", "id").alias("thing")).unionByName(found.where("item <> ''").select("row_id", F.col("item").alias("thing")))
-    shared = shared.unionByName(full.where(by_item).join(countries, F.get(variants("de"), F.lit(0)) == F.col("name")).where("item <> ''").select("row_id", F.col("item").alias("thing")))
+    shared = shared.unionByName(full.where("by_item").join(countries, F.get(variants("de"), F.lit(0)) == F.col("name")).where("item <> ''").select("row_id", F.col("item").alias("thing")))
     groups = claims.conflict_groups(shared, "row_id", "thing").withColumnRenamed("row_id", "__r")
     waiting = cut(full.join(groups, F.col("row_id") == F.col("__r"), "left").drop("__r").withColumn("conflict", F.coalesce("conflict", F.col("row_id"))), "match-waiting")
     things = cut(shared.distinct().join(waiting.select("row_id", "line", "conflict"), "row_id").select("thing", "line", "conflict"), "match-things")
     done = None
     while waiting.limit(1).count():
-        decided = decide(waiting.where(~by_item), found, held).unionByName(_without_held_items(match_countries(waiting.where(by_item), countries), held))
+        decided = decide(waiting.where("not by_item"), found, held).unionByName(_without_held_items(match_countries(waiting.where("by_item"), countries), held))
         decided = cut(decided.join(waiting.select("row_id", "conflict"), "row_id"), "match-pass")
         won = decided.where("result = 'matched'")
         takes = won.select("line", F.explode(F.concat(F.transform("refs", lambda r: matching.ref_text(r["t"], r["id"])), F.array("wikidata"))).alias("thing"))
