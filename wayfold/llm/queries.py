@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fingerprint, language_id, pii, secret_scan, sentencepiece_fst, simhash, token_output, toxicity
+from . import byte_bpe, centroids, chat_format, decontaminate, fingerprint, language_id, pii, secret_scan, sentencepiece_fst, simhash, token_output, toxicity, whitening
 from .common import held_out, table
 
 def _listed(spans: Column) -> Column:
@@ -83,6 +83,21 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    read = byte_bpe.decoded(byte_bpe.encoded(table(spark, sf_dir, "documents"), path), path)
+    return read.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -126,5 +141,31 @@ FROM c GROUP BY conv_id
 """
 
 
+def _op13_sql(k: int = centroids.CLUSTERS, rounds: int = centroids.ROUNDS, dim: int = centroids.DIM, seed: int = centroids.SEED) -> str:
+    """A common table for each round: squared distances entry by entry, the least (distance, number), floors of means."""
+    nearest = """
+a{r} AS MATERIALIZED (
+    SELECT id, min(struct_pack(d := d, c := c)) AS best FROM (
+        SELECT v.id, m.c, sum((v.x - m.x) * (v.x - m.x))::BIGINT AS d FROM v JOIN c{r} m USING (pos) GROUP BY 1, 2) GROUP BY id),"""
+    move = """
+c{n} AS MATERIALIZED (
+    SELECT m.c, pos, coalesce(s.x, m.x) AS x FROM c{r} m LEFT JOIN (
+        SELECT best.c AS c, pos, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS x
+        FROM v JOIN a{r} USING (id) GROUP BY 1, 2) s USING (c, pos)),"""
+    steps = "".join(nearest.format(r=r) + (move.format(r=r, n=r + 1) if r < rounds else "") for r in range(rounds + 1))
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+v AS MATERIALIZED (SELECT id, unnest(range(1, {dim + 1})) AS pos, unnest(v) AS x FROM kept),
+first AS (SELECT id, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, v) - 1 AS c FROM kept QUALIFY c < {k}),
+c0 AS MATERIALIZED (SELECT first.c, pos, x FROM v JOIN first USING (id)),{steps}
+last AS (SELECT kept.vec_id, best.c AS cluster, best.d AS distance FROM a{rounds} JOIN kept USING (id))
+SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+    (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM last JOIN (SELECT c AS cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY pos)) AS centroid_sha256 FROM c{rounds} GROUP BY c) USING (cluster)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": OP1_SQL, "op2_chat_formatting": OP2_SQL}
+    return {"op1_benchmark_decontamination": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op13_centroid_clustering": _op13_sql()}
