@@ -333,3 +333,49 @@ def test_sketch_likeness_follows_true_containment_and_merges(spark):
     two = df.selectExpr("g", "s_a sketch").union(df.selectExpr("g", "s_c sketch"))
     merged = fingerprint.merged(two, ["g"]).first()
     assert set(merged.sketch) == set(df.first().s_a) | set(df.first().s_c)
+
+
+def test_buckets_bound_what_texts_share_from_above(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    rows, want = [], []
+    for size in (0, 1, 5, 150, 1000, 5000):
+        for keep in (0.0, 0.7, 0.95, 1.0):
+            a = rng.integers(0, 1 << 63, size, np.uint64)
+            b = np.concatenate([a[: int(size * keep)], rng.integers(0, 1 << 63, int(size * (1.1 - keep)), np.uint64)])
+            rows.append((len(rows), len(a), len(b), len(a), len(b), simhash.signature(a).tolist(), simhash.signature(b).tolist()))
+            want.append(len(np.intersect1d(a, b)))
+    df = spark.createDataFrame(rows, "i int, a_n int, b_n int, a_common int, b_common int, a_sig array<long>, b_sig array<long>")
+    got = [r.most for r in df.orderBy("i").select(simhash.most_shared().alias("most")).collect()]
+    assert all(g >= w for g, w in zip(got, want, strict=True))
+    assert all(g <= w + 0.25 * r[1] for g, w, r in zip(got, want, rows, strict=True) if r[1] == 150)
+
+
+def test_copies_of_a_text_that_is_not_there_stay(spark):
+    """Each is like the absent text, but no two of them are near copies, except for some that are made so."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for i in range(240):
+        t = list(base)
+        for k in rng.sample(range(0, 150, 6), 4):
+            t[k] = f"x{i}y{k}"
+        texts.append(" ".join(t))
+    texts += [f"{t} more{k}" for k, t in enumerate(texts[:20])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    assert got == {find(i) for i in range(len(texts))}

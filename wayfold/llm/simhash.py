@@ -37,6 +37,8 @@ BAND_ROWS = 5
 LEAST_BANDS = 2
 #: Bands by which a text is first compared with the central text that has them; the others are asked only where these left two texts apart.
 FIRST_BANDS = 2
+#: Buckets of a text's shingles that bound from above what two texts share, before a pair is made.
+SIGNATURE_BITS = 1024
 #: Value of ``seg`` of an index row that holds a band.
 _BAND = len(SEGMENTS)
 _WORD = re.compile(r"\w+")
@@ -114,10 +116,17 @@ def _sides(probes: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _found(radius: int, banded: bool = False) -> Column:
-    """Condition of the search: an equal band, or equal segment values and complete distances within the radius."""
+    """Condition of the search: an equal band, or equal segment values and complete distances within the radius.
+
+    A pair within the radius counts in the first of its segments that are one bit apart or less, and in no band, so it is made once.
+    """
     same = (F.col("a_seg") == F.col("b_seg")) & (F.col("a_key") == F.col("b_key")) & (F.col("a_id") != F.col("b_id"))
-    near = F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= radius
-    return same & ((F.col("a_seg") == _BAND) | near if banded else near)
+    apart = F.col("a_fp").bitwiseXOR(F.col("b_fp"))
+    near = F.bit_count(apart) <= radius
+    first = F.lit(True)
+    for i, (shift, width) in enumerate(SEGMENTS[:-1]):
+        first &= (F.col("a_seg") <= i) | (F.bit_count(F.shiftrightunsigned(apart, shift).bitwiseAND(F.lit((1 << width) - 1))) > 1)
+    return same & (((F.col("a_seg") == _BAND) & ~near) | ((F.col("a_seg") != _BAND) & near & first) if banded else near & first)
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
@@ -224,6 +233,20 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return mixed.reshape(BANDS, BAND_ROWS).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """SIGNATURE_BITS bits as signed longs: which of so many buckets a text's shingles fall into."""
+    bits = np.zeros(SIGNATURE_BITS, np.uint8)
+    bits[(hashes % np.uint64(SIGNATURE_BITS)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+def most_shared() -> Column:
+    """At most so many shingles do texts a and b share: a bucket that only one of them uses has a shingle that the other lacks."""
+    words = range(SIGNATURE_BITS // 64)
+    only = lambda x, y: sum((F.bit_count(F.get(F.col(x), F.lit(i)).bitwiseAND(F.bitwise_not(F.get(F.col(y), F.lit(i))))) for i in words), F.lit(0))
+    return F.least(F.col("a_n") - only("a_sig", "b_sig"), F.col("b_n") - only("b_sig", "a_sig"), "a_common", "b_common")
+
+
 def with_common_bands(nodes: DataFrame, least: int = LEAST_BANDS) -> DataFrame:
     """Rows (id) of nodes (id, bands) of whose bands so many are also another's. No pairs are made."""
     each = nodes.select("id", F.explode("bands").alias("key"))
@@ -245,7 +268,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = SH
     bits, and texts that share bands of minima of their shingles, which finds cut, extended
     and heavily edited copies as well; linked are those of them whose sets of word shingles
     have the Jaccard ``similarity`` or more, exactly. Texts too many of whose shingles are
-    theirs alone are left out before any pair is made, and the most ordinary text of each
+    theirs alone are left out before any pair is made, pairs whose shingles can't overlap enough
+    (``most_shared``) are not made, and the most ordinary text of each
     segment value is compared with first: it is the one that the others are copies of. A
     text without words is grouped with its equals only; null counts as empty. Of a group
     without any doc_id the text of the least hash is kept.
@@ -262,15 +286,16 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = SH
                 hashes = batch.column(4).values.to_numpy().view(np.uint64)
                 each = [bands(hashes[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 of = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, each)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *each])))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], signed, of], names=["doc_id", "t1", "t2", "fp", "bands"])
+                marks = pa.array([signature(hashes[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], signed, of, marks], names=["doc_id", "t1", "t2", "fp", "bands", "sig"])
 
     text = F.coalesce(F.col("text"), F.lit(""))
     hashed = with_shingles(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_text_keys(text), text.alias("text")), "text", "s", words)
-    marked = hashed.select("doc_id", "t1", "t2", "text", "s").mapInArrow(run, "doc_id long, t1 long, t2 long, fp long, bands array<long>")
-    nodes = marked.groupBy("t1", "t2").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
+    marked = hashed.select("doc_id", "t1", "t2", "text", "s").mapInArrow(run, "doc_id long, t1 long, t2 long, fp long, bands array<long>, sig array<long>")
+    nodes = marked.groupBy("t1", "t2").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()), "distinct-texts")
-    searched = nodes.where("fp IS NOT NULL").select("id", "fp", "bands")
-    near = with_neighbours(searched.drop("bands"), 5).unionByName(with_common_bands(searched)).distinct()
+    searched = nodes.where("fp IS NOT NULL").select("id", "fp", "bands", "sig")
+    near = with_neighbours(searched.select("id", "fp"), 5).unionByName(with_common_bands(searched)).distinct()
     close = sized(cut(nodes.select("t1", "t2", "id").join(near, "id", "left_semi"), "close-texts"))
     texts = docs.select(*_text_keys(text), "text").join(close, ["t1", "t2"]).dropDuplicates(["id"])
     sets = cut(with_shingles(texts, "text", "s", words).select("id", "s"), "shingle-sets")
@@ -279,7 +304,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = SH
     lone = lone.groupBy("id").agg(F.count("*").alias("lone"))
     sizes = sets.select("id", F.size("s").alias("n")).join(lone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common"))
     able = cut(searched.join(sizes.where(F.col("common") >= similarity * F.col("n")), "id"), "able-texts")
-    bound = F.least("a_common", "b_common") * (1 + similarity) >= similarity * (F.col("a_n") + F.col("b_n"))
+    bound = most_shared() * (1 + similarity) >= similarity * (F.col("a_n") + F.col("b_n"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
