@@ -1,14 +1,8 @@
-"""The match plan against the decision taken row by row in plain Python."""
-
-import math
-import re
-import unicodedata
-from collections import defaultdict
+"""The match plan: a table of cases with every column, the order of candidates, and rows one by one against all at once."""
 
 import pytest
 
-from wayfold import constants as K
-from wayfold.operators import kinds
+from wayfold.operators import kinds, matching
 from wayfold.plans import match as plan
 from wayfold.plans import queries as plans
 
@@ -17,198 +11,10 @@ OBJECTS = "src string, t string, id long, lon double, lat double, tags map<strin
 ROWS = "row_id string, line long, kind string, de string, da string, hint string"
 
 
-def norm(s):
-    s = (s or "").strip().lower()
-    for a, b in K.SPELT_OUT.items():
-        s = s.replace(a, b)
-    s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
-    return " ".join(re.sub(r"[^\w ]+", "", re.sub(K.PUNCTUATION, " ", s)).split())
-
-
-def km(a, b):
-    if None in (*a, *b):
-        return None
-    p, q = math.radians(a[1]), math.radians(b[1])
-    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[0] - a[0]) / 2) ** 2
-    return 2 * K.EARTH_KM * math.asin(math.sqrt(min(1, h)))
-
-
-def variants(cell):
-    names = [re.sub(r"\([^()]*\)", "", v).strip() for v in (cell or "").split(";")]
-    return list(dict.fromkeys(n for n in names if n))
-
-
-class Slow:
-    """Objects as dicts with pos, t, id, tags; rows as dicts."""
-
-    def __init__(self, objects, held, items, countries):
-        self.objects = {(o["src"], o["t"], o["id"]): o for o in objects}
-        self.index = defaultdict(dict)
-        for key, o in sorted(self.objects.items()):
-            for field, rank in K.NAME_RANKS.items():
-                v = o["tags"].get(field, "")
-                for value, penalty in [(v, 0), *[(x, 2) for x in (re.match(p, v) and re.match(p, v)[1] for p in K.SUFFIX_PATTERNS) if x]]:
-                    if norm(value):
-                        was = self.index[norm(value)].get(key, (99, True))
-                        self.index[norm(value)][key] = (min(was[0], rank + penalty), was[1] and field in K.BYNAMES)
-        self.held, self.items, self.given, self.countries = dict(held), dict(items), set(), countries
-
-    def circle(self, hint):
-        key = norm(hint.split(";")[0])
-        if key in K.HINT_CIRCLES or not key:
-            return K.HINT_CIRCLES.get(key)
-        island = lambda t: t.get("place") in K.ISLANDS or t.get("natural") in (*K.ISLANDS, "peninsula")
-        best = None
-        for ref in sorted(self.index[key]):
-            o, t = self.objects[ref], self.objects[ref]["tags"]
-            if None not in o["pos"] and (t.get("place") or t.get("natural") or t.get("boundary") == "administrative"):
-                score = -km(o["pos"], K.HINT_CENTRE if hasattr(K, "HINT_CENTRE") else K.HOME_CENTRE) + 40 * island(t) + 30 * (t.get("place") in K.VILLAGES)
-                if best is None or score > best[0]:
-                    best = (score, (*o["pos"], 25.0 if key in K.LARGE_HINTS else 10.0 if island(t) or t.get("place") == "region" else 8.0))
-        return best and best[1]
-
-    @staticmethod
-    def passes(o, tests):
-        return any(o["t"] in types and (not key or (o["tags"].get(key, "") in values if values else bool(o["tags"].get(key)))) for types, key, values in tests)
-
-    def accepts(self, kind, o):
-        return self.passes(o, kind.accepted) or bool(kind.levels) and o["tags"].get("boundary") == "administrative" and o["tags"].get("admin_level") in map(str, kind.levels)
-
-    @staticmethod
-    def linear(o):
-        t = o["tags"]
-        return None if o["t"] != "w" else K.RIVER_KM if t.get("waterway") else K.STRETCH_KM if t.get("highway") or t.get("man_made") in ("dyke", "embankment") else None
-
-    def same(self, a, b):
-        d, core = km(a["pos"], b["pos"]), lambda o: o["t"] == "n" and o["tags"].get("place") in K.CORE_PLACES
-        return d is not None and d <= (K.CORE_KM if core(a) and core(b) else max(self.linear(a) or K.CLUSTER_KM, self.linear(b) or K.CLUSTER_KM))
-
-    def clusters(self, cands, circle):
-        groups = []
-        for c in cands:
-            for g in groups:
-                if any(self.same(c, m) for m in g):
-                    g.append(c)
-                    break
-            else:
-                groups.append([c])
-        out = []
-        for g in groups:
-            at = [m["pos"] for m in g if None not in m["pos"]]
-            pos = tuple(sum(x) / len(at) for x in zip(*at, strict=True)) if at else (None, None)
-            w, s, e, n = K.HOME_BOX
-            d = circle and km(pos, circle[:2])
-            out.append({"members": g, "pos": pos, "near": bool(circle) and d is not None and d <= circle[2], "home": bool(at) and w <= pos[0] <= e and s <= pos[1] <= n, "km": km(pos, K.HOME_CENTRE)})
-        return out
-
-    def winner(self, cands, circle):
-        cl = self.clusters(cands, circle)
-        if circle:
-            near = [c for c in cl if c["near"]]
-            return (near[0] if len(near) == 1 else None), "location hint", cl
-        if len(cl) == 1:
-            return cl[0], "single cluster", cl
-        home = [c for c in cl if c["home"]]
-        if len(home) == 1 and all((d := km(home[0]["pos"], c["pos"])) is None or d > K.SEPARATION_KM for c in cl if c is not home[0]):
-            return home[0], "only candidate in North Frisia", cl
-        return None, "", cl
-
-    def decide(self, row):
-        kind = kinds.BY_NAME[row["kind"]]
-        if kind.by_item:
-            name = (variants(row["de"]) or [""])[0]
-            if name in self.countries and self.countries[name] is None:
-                return "lookup failed", "Wikidata lookup failed -- row left unchanged", [], ""
-            item = self.countries.get(name, "")
-            return ("matched", "auto: wikidata", [], item) if item else ("not found", "no Wikidata country item found", [], "")
-        names = variants(row["de"]) or variants(row["da"])
-        if not names:
-            return "not found", "no German/Danish name to match on", [], ""
-        found = {}
-        for q in names:
-            for ref, (rank, byname) in sorted(self.index[norm(q)].items()) if norm(q) else ():
-                old = found.get(ref[1:], {"rank": 99, "byname": True})
-                found[ref[1:]] = {**self.objects[ref], "rank": min(rank, old["rank"]), "byname": byname and old["byname"]}
-        note = lambda cs: "; ".join(f"{dict(n='node', w='way', r='relation')[c['t']]}/{c['id']} is taken by row {self.held[c['t'], c['id']]}" for c in cs)
-        taken, free = [c for k, c in found.items() if k in self.held], [c for k, c in found.items() if k not in self.held]
-        if not free:
-            return "not found", note(taken) if taken else "no name match in OSM", [], ""
-        plaus = [c for c in free if self.accepts(kind, c)]
-        if not plaus:
-            return "not found", f"{len(free)} name match(es), none compatible with kind={kind.name}", [], ""
-        aside = []
-        if kind.boundary == "yields" or kind.boundary != "feature" and any(c["t"] == "n" and c["tags"].get("place") for c in plaus):
-            aside = [c for c in plaus if c["tags"].get("boundary") == "administrative" and not c["tags"].get("place")]
-            plaus = [c for c in plaus if c not in aside] or plaus
-        for tests in kind.canonic:
-            if any(self.passes(c, tests) for c in plaus):
-                plaus = [c for c in plaus if self.passes(c, tests)]
-                break
-        best = [c for c in plaus if c["rank"] == min(x["rank"] for x in plaus)]
-        circle = self.circle(row["hint"])
-        odd = lambda w: not w["home"] and (kind.home_only or any(m["tags"].get("place") in K.MINOR_PLACES for m in w["members"]) and (w["km"] is None or w["km"] > K.MINOR_PLACE_KM))
-        won, why, cl = self.winner(best, circle)
-        if won and odd(won) and len(plaus) > len(best):
-            again, why2, cl2 = self.winner(plaus, circle)
-            if again and not odd(again):
-                won, why, cl = again, why2 + " (weaker name hit)", cl2
-        if not won:
-            return "ambiguous", f"location hint '{row['hint']}' matched no cluster" if circle else f"{len(cl)} plausible candidates", [], ""
-        where = "has no known position" if won["km"] is None else f"is {won['km']:.0f} km from North Frisia"
-        if odd(won):
-            return "ambiguous", f"only match {where} ({kind.name}) -- verify by hand", [], ""
-        w, s, e, n = K.HOME_BOX
-        inside = [c for c in plaus if c not in best and None not in c["pos"] and w <= c["pos"][0] <= e and s <= c["pos"][1] <= n and c not in won["members"]]
-        if not circle and not won["home"] and inside:
-            return "ambiguous", f"best name hit {where}, a weaker one lies inside -- verify by hand", [], ""
-        mine = [c for c in taken if not ((c["t"], c["id"]) in self.given and c["byname"]) and (self.accepts(kind, c) or self.passes(c, kind.whole)) and any(self.same(c, m) for m in won["members"])]
-        if mine:
-            return "not found", note(mine), [], ""
-        cases, other = kinds.FITS[kind.fit]
-        score = lambda c: next((p for t, p in cases if self.passes(c, t)), other) + 8 * bool(c["tags"].get("wikidata")) + 4 * bool(c["tags"].get("name:de")) - (K.UNPLACED_KM if None in c["pos"] else km(c["pos"], K.HOME_CENTRE)) / K.KM_PER_POINT
-        top = max(won["members"], key=score)
-        refs = [(top["t"], top["id"])]
-        if self.linear(top) is not None:
-            refs = sorted((m["t"], m["id"]) for m in won["members"] if m["t"] == top["t"] and self.linear(m) is not None and norm(m["tags"].get("name")) == norm(top["tags"].get("name")))
-        item = top["tags"].get("wikidata") or next((m["tags"]["wikidata"] for m in won["members"] if m["tags"].get("wikidata")), "")
-        level = lambda b: int(b["tags"].get("admin_level", "")) if b["tags"].get("admin_level", "").isdigit() else 0
-        near = [(-level(b), km(top["pos"], b["pos"]), b["tags"]["wikidata"]) for b in aside if b["tags"].get("wikidata") and km(top["pos"], b["pos"]) is not None and km(top["pos"], b["pos"]) <= K.BOUNDARY_KM]
-        return "matched", "" if why == "single cluster" else f"auto: {why}", refs, item or (min(near)[2] if near else "")
-
-    def run(self, rows):
-        out = {}
-        for row in sorted(rows, key=lambda r: r["line"]):
-            result, why, refs, item = self.decide(row)
-            if result == "matched" and item in self.items:
-                held = f"{item} is taken by row {self.items[item]}"
-                result, why, item = ("matched", "; ".join(filter(None, [why, held])), "") if refs else ("not found", held, "")
-            if result == "matched":
-                for r in refs:
-                    self.held.setdefault(r, row["row_id"])
-                self.given.update(refs)
-                if item:
-                    self.items.setdefault(item, row["row_id"])
-            out[row["row_id"]] = (result, why, refs, item if result == "matched" else "")
-        return out
-
-
-def slow(rows, objects, held, countries):
-    objs = [{"src": o.src, "t": o.t, "id": o.id, "pos": (o.lon, o.lat), "tags": o.tags or {}} for o in objects.collect()]
-    claims = held.collect()
-    s = Slow(objs, {(c.t, c.id): c.holder for c in claims if c.t}, {c.item: c.holder for c in claims if c.item}, {c.name: c["item"] for c in countries.collect()})
-    return s.run([{k: "" if v is None else v for k, v in r.asDict().items()} for r in rows.collect()])
-
-
-def fast(got):
-    return {r.row_id: (r.result, r.why, [(x.t, x.id) for x in r.refs], r.wikidata) for r in got.collect()}
-
-
-def test_match_names_equals_the_decision_row_by_row(spark):
-    args = [f(spark, D) for f in (plans._wanted_names, plans._tagged_places, plans._held_claims, plans._countries)]
-    want = slow(*args)
-    got = fast(plan.match(*args))
-    assert got == want
-    assert {"matched", "ambiguous", "not found"} <= {r[0] for r in got.values()}
+def results(got):
+    """Each row's columns as a plain tuple: result, why, refs, wikidata, match_name, match_tags, position, n_candidates."""
+    at = lambda r: None if r.lon is None else (round(r.lon, 6), round(r.lat, 6))
+    return {r.row_id: (r.result, r.why, [f"{x.t}{x.id}" for x in r.refs], r.wikidata, r.match_name, r.match_tags, at(r), r.n_candidates) for r in got.collect()}
 
 
 @pytest.fixture(scope="module")
@@ -224,21 +30,114 @@ def village(spark):
     return spark.createDataFrame(rows, OBJECTS)
 
 
-def test_branches_of_the_decision(spark, village):
-    rows = [
-        ("holm", 1, "settlement", "Holm", "", ""), ("holm2", 2, "settlement", "Holm", "", ""), ("au", 3, "water", "Au", "", ""), ("au2", 4, "water", "Au", "", ""), ("mors", 5, "settlement", "Morsum", "", "Holm"),
-        ("ort", 6, "settlement", "Ort", "", ""), ("ost", 7, "settlement", "Ostenfeld", "", ""), ("none", 8, "settlement", None, None, None), ("da", 9, "settlement", "", "Dorf", "Luett Moor"),
-        ("lost", 10, "settlement", "Lost", "", ""), ("koog", 11, "koog", "Nirgends", "", ""), ("road", 12, "road", "Holm", "", ""), ("land", 13, "country", "Danmark", "", ""), ("land2", 14, "country", "Dänemark", "", ""), ("land3", 15, "country", "Xyz", "", ""), ("land4", 16, "country", "Ypsilon", "", ""),
-    ]
-    rows = spark.createDataFrame(rows, ROWS)
-    countries = spark.createDataFrame([("Danmark", "Q35"), ("Dänemark", "Q35"), ("Xyz", ""), ("Ypsilon", None)], "name string, item string")
-    got = fast(plan.match(rows, village, None, countries))
-    assert got == slow(rows, village, spark.createDataFrame([], plan.CLAIMS), countries)
-    assert got["holm"] == ("matched", "auto: only candidate in North Frisia", [("n", 1)], "Q2")
-    assert got["au"][2] == [("w", 4), ("w", 5)] and got["au"][3] == "Q5"
-    assert got["au2"][1] == "way/4 is taken by row au; way/5 is taken by row au"
-    assert got["mors"][:2] == ("ambiguous", "location hint 'Holm' matched no cluster")
-    assert got["ort"][1].startswith("only match is ") and got["ost"][1].startswith("best name hit is ")
-    assert got["land"][3] == "Q35" and got["land2"] == ("not found", "Q35 is taken by row land", [], "") and got["land4"][0] == "lookup failed"
+NONE = ([], "", "", "", None)
+#: row_id, kind, de, da, hint, and what comes out.
+CASES = [
+    ("holm", "settlement", "Holm", "", "", ("matched", "auto: only candidate in North Frisia", ["n1"], "Q2", "Holm", "place=village", (8.9, 54.7), 2)),
+    ("holm2", "settlement", "Holm", "", "", ("ambiguous", "only match is 142 km from North Frisia (settlement) -- verify by hand", *NONE, 1)),
+    ("au", "water", "Au", "", "", ("matched", "", ["w4", "w5"], "Q5", "Au", "waterway=river", (8.9, 54.6), 2)),
+    ("au2", "water", "Au", "", "", ("not found", "way/4 is taken by row au; way/5 is taken by row au", *NONE, 0)),
+    ("mors", "settlement", "Morsum", "", "Holm", ("ambiguous", "location hint 'Holm' matched no cluster", *NONE, 1)),
+    ("ost", "settlement", "Ostenfeld", "", "", None),
+    ("none", "settlement", None, None, None, ("not found", "no German/Danish name to match on", *NONE, 0)),
+    ("da", "settlement", "", "Dorf", "", ("matched", "", ["n10"], "", "Dorf", "place=village", (8.5, 54.6), 0)),
+    ("lost", "settlement", "Lost", "", "", None),
+    ("koog", "koog", "Nirgends", "", "", ("not found", "no name match in OSM", *NONE, 0)),
+    ("road", "road", "Morsum", "", "", ("not found", "1 name match(es), none compatible with kind=road", *NONE, 1)),
+    ("land", "country", "Danmark", "", "", ("matched", "auto: wikidata", [], "Q35", "Danmark", "wikidata", None, 0)),
+    ("land2", "country", "Dänemark", "", "", ("not found", "Q35 is taken by row land", *NONE, 0)),
+    ("land3", "country", "Xyz", "", "", ("not found", "no Wikidata country item found", *NONE, 0)),
+    ("land4", "country", "Ypsilon", "", "", ("lookup failed", "Wikidata lookup failed -- row left unchanged", *NONE, 0)),
+    ("odd", "no such kind", "Holm", "", "", None),
+]
+
+
+@pytest.fixture(scope="module")
+def decided(spark, village):
+    rows = spark.createDataFrame([(r[0], i, *r[1:5]) for i, r in enumerate(CASES)], ROWS)
+    # A name with two answers and one with none beside one: the least answer counts, and no row is doubled.
+    countries = spark.createDataFrame([("Danmark", "Q35"), ("Danmark", "Q99"), ("Danmark", None), ("Dänemark", "Q35"), ("Xyz", ""), ("Ypsilon", None)], "name string, item string")
+    return results(plan.match(rows, village, None, countries))
+
+
+@pytest.mark.parametrize("case", [c for c in CASES if c[5]], ids=lambda c: c[0])
+def test_cases(decided, case):
+    assert len(decided) == len(CASES) and decided[case[0]] == case[5]
+
+
+def test_reasons_that_hold_a_distance(decided):
+    assert decided["ost"][1].startswith("best name hit is ") and decided["ost"][0] == "ambiguous"
+    assert decided["lost"][0] == "matched" and decided["lost"][6] is None
+    assert decided["odd"][0] == "not found" and decided["odd"][1].endswith("none compatible with kind=no such kind")
+
+
+def test_candidates_keep_the_order_of_records(spark):
+    """Nodes come before ways before relations, and sources in the order given: of equals the first counts, of one object the last source."""
+    at = (8.9, 54.7)
+    objects = spark.createDataFrame([
+        ("a", "n", 9, *at, {"name": "Dorp", "place": "village"}), ("a", "w", 5, *at, {"name": "Dorp", "place": "village", "wikidata": "Q5"}), ("a", "r", 2, *at, {"name": "Dorp", "place": "village", "wikidata": "Q2"}),
+        ("b", "n", 20, *at, {"name": "Twee", "place": "village", "wikidata": "Q20"}), ("a", "n", 30, *at, {"name": "Twee", "place": "village", "wikidata": "Q30"}),
+        ("a", "n", 40, *at, {"name": "Dree", "place": "village", "wikidata": "Qa"}), ("b", "n", 40, *at, {"name": "Dree", "place": "village", "wikidata": "Qb"}),
+    ], OBJECTS)
+    rows = spark.createDataFrame([(n, i, "settlement", n, "", "") for i, n in enumerate(("Dorp", "Twee", "Dree"))], ROWS)
+    given = results(plan.match(rows, objects, sources=("b", "a")))
+    assert (given["Dorp"][2], given["Dorp"][3]) == (["n9"], "Q5")
+    assert given["Twee"][2] == ["n20"] and given["Dree"][3] == "Qa"
+    by_name = results(plan.match(rows, objects))
+    assert by_name["Twee"][2] == ["n30"] and by_name["Dree"][3] == "Qb"
+
+
+def test_rows_at_once_equal_rows_one_by_one(spark, village):
+    """Each row alone, with what the rows before it got as claims, comes out as among all."""
+    asked = [("a", 1, "settlement", "Holm", "", ""), ("b", 2, "water", "Au", "", ""), ("c", 3, "settlement", "Holm;Dorf", "", ""), ("d", 4, "settlement", "Holm", "", ""), ("e", 5, "settlement", "Dorf", "", "")]
+    want, held = {}, []
+    for row in asked:
+        one = plan.match(spark.createDataFrame([row], ROWS), village, spark.createDataFrame(held, plan.CLAIMS))
+        want |= results(one)
+        for r in one.where("result = 'matched'").collect():
+            held += [(x.t, x.id, None, r.row_id, True) for x in r.refs] + ([(None, None, r.wikidata, r.row_id, True)] if r.wikidata else [])
+    assert results(plan.match(spark.createDataFrame(asked, ROWS), village)) == want
+    assert len(held) >= 4 and want["d"][0] != "matched"
+
+
+def test_all_names_of_the_tables_have_one_result_each(spark):
+    args = [f(spark, D) for f in (plans._wanted_names, plans._tagged_places, plans._held_claims, plans._countries)]
+    got = results(plan.match(*args))
+    assert len(got) == args[0].count() and {"matched", "ambiguous", "not found"} <= {r[0] for r in got.values()}
+    before = {(c.t, c.id) for c in args[2].collect() if c.t}
+    refs = [x for r in got.values() for x in r[2]]
+    assert len(refs) == len(set(refs)) and not {(x[0], int(x[1:])) for x in refs} & before
+    items = [r[3] for r in got.values() if r[3]]
+    assert len(items) == len(set(items)) and not set(items) & {c.item for c in args[2].collect() if c.item}
+    for r in got.values():
+        assert (r[0] == "matched") == bool(r[2] or r[3]) and (r[0] == "matched" or r[2:7] == NONE)
+
+
+def test_empty_tables(spark, village):
+    rows = spark.createDataFrame([("a", 1, "settlement", "Holm", "", "")], ROWS)
     assert plan.match(rows.limit(0), village).count() == 0
-    assert {r[0] for r in fast(plan.match(rows.where("kind <> 'country'"), village.limit(0))).values()} == {"not found"}
+    assert {r[0] for r in results(plan.match(rows, village.limit(0))).values()} == {"not found"}
+
+
+def test_masks_say_what_the_tests_say(spark):
+    """For every kind and many tags, bits and masks give what each kind's own expressions give."""
+    from pyspark.sql import functions as F
+
+    values = {"place": ["village", "island", "sea", "locality", "x"], "natural": ["water", "sand", "peninsula"], "boundary": ["administrative", "historic"], "admin_level": ["2", "8", "11", "x"], "waterway": ["river"], "type": ["waterway"], "highway": ["track"], "landuse": ["farmyard"], "man_made": ["dyke"], "water": ["lake"]}
+    tags = [{}, None] + [{k: v} for k, vs in values.items() for v in vs] + [{"boundary": "administrative", "admin_level": v} for v in values["admin_level"]] + [{"type": "waterway", "place": "sea"}, {"place": "", "natural": "water"}]
+    df = spark.createDataFrame([(t, m) for t in "nwr" for m in tags], "t string, tags map<string,string>").withColumn("o", F.struct("t", "tags"))
+    bits, rule = kinds.marks(F.col("o")), lambda k: kinds.rule_of(F.lit(k.name))
+    level = lambda k: kinds.at_level(F.col("tags"), rule(k)["levels"])
+    for k in kinds.KINDS:
+        pairs = [(k.accepts(F.col("o")), kinds.has(bits, rule(k)["accepted"]) | level(k)), (k.covers(F.col("o")), kinds.has(bits, rule(k)["covers"]) | level(k)), (k.bonus(F.col("o")), kinds.points(bits, rule(k)))]
+        pairs += [(kinds.passes(F.col("o"), c), kinds.has(bits, rule(k)[f"canon{i}"])) for i, c in enumerate(k.canonic)]
+        wrong = F.lit(False)
+        for old, new in pairs:
+            wrong |= ~old.eqNullSafe(new)
+        assert df.where(wrong).count() == 0, k.name
+
+
+def test_source_order(spark):
+    df = spark.createDataFrame([("z",), ("a",), ("m",)], "src string")
+    order = lambda *s: [r.src for r in df.orderBy(matching.source_place("src", s)).collect()]
+    assert order() == ["a", "m", "z"] and order("z") == ["z", "a", "m"] and order("m", "z", "a") == ["m", "z", "a"]

@@ -140,3 +140,52 @@ def by_kind(kind: Column, value, otherwise=None) -> Column:
 def kind_order(kind: Column) -> Column:
     """The place of a kind in the order of work; unknown kinds last."""
     return F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(k.name) for k in KINDS]), kind), F.lit(0)), F.lit(len(KINDS) + 1))
+
+
+#: Every test of any kind, each once; the place of a test is its bit in ``marks``.
+TESTS = tuple(dict.fromkeys(t for k in KINDS for group in (k.accepted, k.whole, *k.canonic, *[tests for tests, _ in FITS[k.fit][0]]) for t in group))
+
+
+def _mask(tests: tuple[Test, ...]) -> Column:
+    return F.lit(sum(1 << TESTS.index(t) for t in tests)).cast("long")
+
+
+def marks(obj: Column) -> Column:
+    """Which of TESTS an object (struct t, tags) passes, as bits of a long.
+
+    The tests are a constant array that a fold goes through, so an object is tested once for
+    all kinds, and the expression stays small whatever the number of kinds.
+    """
+    every = F.array(*[F.struct(_mask((t,)).alias("bit"), F.lit(t[0]).alias("types"), F.lit(t[1]).alias("key"), F.array(*[F.lit(v) for v in t[2]]).cast("array<string>").alias("values")) for t in TESTS])
+
+    def passed(t: Column) -> Column:
+        value = F.coalesce(obj["tags"][t["key"]], F.lit(""))
+        return F.contains(t["types"], obj["t"]) & ((t["key"] == "") | ((value != "") & ((F.size(t["values"]) == 0) | F.array_contains(t["values"], value))))
+
+    return F.aggregate(F.filter(every, passed), F.lit(0).cast("long"), lambda s, t: s.bitwiseOR(t["bit"]))
+
+
+def rule_of(kind: Column) -> Column:
+    """What the kind that a column names says, as masks of ``marks``; null for an unknown one."""
+    cell = lambda k: F.struct(
+        _mask(k.accepted).alias("accepted"), _mask((*k.accepted, *k.whole)).alias("covers"), F.array(*[F.lit(str(x)) for x in k.levels]).cast("array<string>").alias("levels"),
+        *[(_mask(k.canonic[i]) if len(k.canonic) > i else F.lit(0).cast("long")).alias(f"canon{i}") for i in (0, 1)],
+        F.array(*[F.struct(_mask(tests).alias("mask"), F.lit(points).alias("points")) for tests, points in FITS[k.fit][0]]).alias("fit"), F.lit(FITS[k.fit][1]).alias("other"),
+        F.lit(k.boundary).alias("boundary"), F.lit(k.home_only).alias("home_only"), F.lit(k.by_item).alias("by_item"),
+    )
+    return F.create_map(*[x for k in KINDS for x in (F.lit(k.name), cell(k))])[kind]
+
+
+def has(bits: Column, mask: Column) -> Column:
+    return F.coalesce(bits.bitwiseAND(mask) != 0, F.lit(False))
+
+
+def at_level(tag_map: Column, levels: Column) -> Column:
+    """An administrative boundary of one of the levels."""
+    return tags.tag(tag_map, "boundary", "administrative") & F.coalesce(F.array_contains(levels, F.coalesce(tag_map["admin_level"], F.lit(""))), F.lit(False))
+
+
+def points(bits: Column, rule: Column) -> Column:
+    """Points of the first case of a rule's fit that the bits meet; 0 for an unknown kind."""
+    first = F.get(F.filter(rule["fit"], lambda c: bits.bitwiseAND(c["mask"]) != 0), F.lit(0))["points"]
+    return F.coalesce(first, rule["other"], F.lit(0))

@@ -24,15 +24,27 @@ def name_index(objects: DataFrame) -> DataFrame:
     return each.groupBy("key", "src", "t", "id").agg(F.min("rank").alias("rank"), F.bool_and("byname").alias("byname"))
 
 
+def source_place(src: Column | str, sources: tuple[str, ...] = ()) -> Column:
+    """The order of sources as struct(number, name): those named in ``sources`` in that order, then the others by name."""
+    src = F.col(src) if isinstance(src, str) else src
+    at = F.array_position(F.array(*[F.lit(s) for s in sources]).cast("array<string>"), src)
+    return F.struct(F.when(F.coalesce(at, F.lit(0)) > 0, at).otherwise(F.lit(len(sources) + 1)).cast("int").alias("number"), src.alias("name"))
+
+
+def type_place(t: Column | str) -> Column:
+    """The order of types in a source: nodes, ways, relations."""
+    return F.array_position(F.array(F.lit("n"), F.lit("w"), F.lit("r")), F.col(t) if isinstance(t, str) else t).cast("int")
+
+
 def lookup(queries: DataFrame, index: DataFrame, by: str = "name") -> DataFrame:
     """Rows of ``queries`` joined to the index on the normalised form of a column."""
     return queries.withColumn("key", norm(by)).where("key <> ''").join(index, "key")
 
 
-def ranked_candidates(hits: DataFrame, row: str = "row_id") -> DataFrame:
+def ranked_candidates(hits: DataFrame, row: str = "row_id", sources: tuple[str, ...] = ()) -> DataFrame:
     """One row for each (row, t, id): least rank, byname only if all hits are; the last source's payload (src, lon, lat, tags)."""
     payload = F.struct(*[c for c in ("src", "lon", "lat", "tags") if c in hits.columns])
-    return hits.groupBy(row, "t", "id").agg(F.min("rank").alias("rank"), F.bool_and("byname").alias("byname"), F.max_by(payload, "src").alias("p")).select(row, "t", "id", "rank", "byname", "p.*")
+    return hits.groupBy(row, "t", "id").agg(F.min("rank").alias("rank"), F.bool_and("byname").alias("byname"), F.max_by(payload, source_place("src", sources)).alias("p")).select(row, "t", "id", "rank", "byname", "p.*")
 
 
 def split_by_rank(cands: DataFrame, row: str = "row_id") -> DataFrame:

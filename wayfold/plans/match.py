@@ -6,9 +6,10 @@ hits, the winner by hint or by its place, the member that suits best to carry th
 
 What a row gets is not for a later row to get. A pass decides rows as if none before them got
 anything; that stands for the rows of a conflict group (``claims.conflict_groups``) up to the
-first whose candidates or items an earlier row of the group gets. The next pass goes on there,
-with what is settled as claims. So passes are as many as the longest chain of rows that take
-from each other, not as many as there are rows.
+first whose candidates an earlier row of the group gets. The next pass goes on there, among the
+rows that are left, with what is settled as claims. So passes are as many as the longest chain
+of rows that take objects from each other, not as many as there are rows. Items decide nothing
+about objects: who has an item is settled once, at the end, by a window.
 """
 
 from __future__ import annotations
@@ -34,29 +35,30 @@ def query_names(de: Column | str, da: Column | str) -> Column:
     return F.when(F.size(german) > 0, german).otherwise(variants(da))
 
 
-def candidates(rows: DataFrame, objects: DataFrame, index: DataFrame | None = None) -> DataFrame:
+def candidates(rows: DataFrame, objects: DataFrame, index: DataFrame | None = None, sources: tuple[str, ...] = ()) -> DataFrame:
     """Rows (row_id, line, kind, hint, t, id, rank, byname, place, ...): what each row's names find, and what its kind says of it.
 
     ``rows`` has row_id, line, kind, de, da and hint. ``place`` is the order in which the
-    row's names find objects. Of an object that several sources have the last one counts.
+    row's names find objects: name by name, source by source (``matching.source_place``),
+    nodes before ways before relations, by id. Of an object that several sources have the last one counts.
     """
     index = matching.name_index(objects) if index is None else index
     asked = rows.select("row_id", "line", "kind", F.posexplode(query_names("de", "da")).alias("q", "name")).withColumn("key", norm("name")).where("key <> ''")
-    hits = asked.join(index, "key").groupBy("row_id", "line", "kind", "t", "id").agg(
-        F.min("rank").alias("rank"), F.bool_and("byname").alias("byname"), F.min(F.struct("q", "src")).alias("first"), F.max("src").alias("src")
+    hits = asked.join(index, "key").withColumn("of", matching.source_place("src", sources)).groupBy("row_id", "line", "kind", "t", "id").agg(
+        F.min("rank").alias("rank"), F.bool_and("byname").alias("byname"), F.min(F.struct("q", "of")).alias("first"), F.max("of").alias("last")
     )
-    found = hits.join(objects.select("src", "t", "id", "lon", "lat", "tags"), ["src", "t", "id"])
-    o = F.struct("t", "tags")
-    canonic = lambda i: kinds.by_kind(F.col("kind"), lambda k: kinds.passes(o, k.canonic[i]) if len(k.canonic) > i else False, False)
+    found = hits.withColumn("src", F.col("last.name")).join(objects.select("src", "t", "id", "lon", "lat", "tags", kinds.marks(F.struct("t", "tags")).alias("marks")), ["src", "t", "id"]).withColumn("rule", kinds.rule_of(F.col("kind")))
     item = F.coalesce(F.col("tags")["wikidata"], F.lit(""))
     km = geo.km_or(geo.from_centre("lon", "lat"), UNPLACED_KM)
     own = F.when(item != "", ITEM_POINTS).otherwise(0) + F.when(tags.tag(F.col("tags"), "name:de"), GERMAN_NAME_POINTS).otherwise(0)
+    bits, rule = F.col("marks"), F.col("rule")
+    level = kinds.at_level(F.col("tags"), rule["levels"])
     return found.select(
-        "row_id", "line", "kind", "t", "id", "rank", "byname", "lon", "lat", F.struct("first.q", "src", "t", "id").alias("place"), item.alias("item"),
-        kinds.by_kind(F.col("kind"), lambda k: k.accepts(o), False).alias("accepted"), kinds.by_kind(F.col("kind"), lambda k: k.covers(o), False).alias("covers"),
-        kinds.bare_boundary(F.col("tags")).alias("bare"), ((F.col("t") == "n") & tags.tag(F.col("tags"), "place")).alias("place_node"), canonic(0).alias("canon0"), canonic(1).alias("canon1"),
+        "row_id", "line", "kind", "t", "id", "rank", "byname", "lon", "lat", F.struct("first.q", F.col("first.of").alias("of"), matching.type_place("t").alias("type"), "id").alias("place"), item.alias("item"),
+        (kinds.has(bits, rule["accepted"]) | level).alias("accepted"), (kinds.has(bits, rule["covers"]) | level).alias("covers"), F.coalesce(rule["boundary"], F.lit("feature")).alias("yields"),
+        kinds.bare_boundary(F.col("tags")).alias("bare"), ((F.col("t") == "n") & tags.tag(F.col("tags"), "place")).alias("place_node"), kinds.has(bits, rule["canon0"]).alias("canon0"), kinds.has(bits, rule["canon1"]).alias("canon1"),
         tags.tag(F.col("tags"), "place", *MINOR_PLACES).alias("minor"), geo.linear_km(F.col("t"), F.col("tags")).alias("linear"), geo.is_core(F.col("t"), F.col("tags")).alias("core"),
-        (kinds.by_kind(F.col("kind"), lambda k: k.bonus(o), 0) + own - km / KM_PER_POINT).alias("score"), geo.admin_level(F.col("tags")).alias("level"),
+        (kinds.points(bits, rule) + own - km / KM_PER_POINT).alias("score"), geo.admin_level(F.col("tags")).alias("level"),
         tags.name_of(F.col("tags")).alias("name"), norm(F.coalesce(F.col("tags")["name"], F.lit(""))).alias("plain"), tags.decisive(F.col("tags")).alias("says"),
     )
 
@@ -77,10 +79,10 @@ def _tiers(plausible: DataFrame) -> DataFrame:
 
 def _winners(clusters: DataFrame, rows: DataFrame) -> DataFrame:
     """For each row and tier: the winner's cluster (null for none), n clusters and whether the winner is implausible for the row's kind."""
-    k = clusters.join(rows.select("row_id", "kind", "circle"), "row_id")
+    k = clusters.join(rows.select("row_id", "home_only", "circle"), "row_id")
     near = F.coalesce(geo.haversine("lon", "lat", F.col("circle.lon"), F.col("circle.lat")) <= F.col("circle.km"), F.lit(False))
     minor = F.exists("members", lambda m: m["minor"])
-    k = k.select("row_id", "tier", "cluster", "kind", "lon", "lat", F.col("circle").isNotNull().alias("hinted"), near.alias("near"), geo.in_box("lon", "lat").alias("home"), minor.alias("minor"), geo.from_centre("lon", "lat").alias("km"))
+    k = k.select("row_id", "tier", "cluster", "home_only", "lon", "lat", F.col("circle").isNotNull().alias("hinted"), near.alias("near"), geo.in_box("lon", "lat").alias("home"), minor.alias("minor"), geo.from_centre("lon", "lat").alias("km"))
     w = Window.partitionBy("row_id", "tier")
     k = k.withColumn("inside", F.min(F.when(F.col("home"), F.struct("cluster", "lon", "lat"))).over(w))
     close = (F.col("cluster") != F.col("inside.cluster")) & (geo.km_or(geo.haversine("lon", "lat", F.col("inside.lon"), F.col("inside.lat")), FAR) <= SEPARATION_KM)
@@ -94,8 +96,7 @@ def _winners(clusters: DataFrame, rows: DataFrame) -> DataFrame:
     winner = F.when(F.col("hinted"), F.when(F.col("n_near") == 1, F.col("near"))).otherwise(alone)
     reason = F.when(F.col("hinted"), "location hint").when(F.col("n") == 1, "single cluster").otherwise("only candidate in North Frisia")
     got = got.select("row_id", "tier", winner.alias("cluster"), F.col("n").alias("n_clusters"), reason.alias("reason"))
-    home_only = kinds.by_kind(F.col("kind"), lambda x: x.home_only, False)
-    suspicious = ~F.col("home") & (home_only | (F.col("minor") & (geo.km_or(F.col("km"), FAR) > MINOR_PLACE_KM)))
+    suspicious = ~F.col("home") & (F.col("home_only") | (F.col("minor") & (geo.km_or(F.col("km"), FAR) > MINOR_PLACE_KM)))
     facts = k.select("row_id", "tier", "cluster", "home", "km", suspicious.alias("suspicious"))
     return got.join(facts, ["row_id", "tier", "cluster"], "left")
 
@@ -106,7 +107,7 @@ def decide(rows: DataFrame, found: DataFrame, held: DataFrame) -> DataFrame:
     cands = found.join(rows.select("row_id"), "row_id", "left_semi").join(objects, ["t", "id"], "left")
     by_row = Window.partitionBy("row_id")
     free = F.col("holder").isNull()
-    cands = cands.withColumns({"free": free, "plaus": free & F.col("accepted"), "yields": kinds.by_kind(F.col("kind"), lambda k: k.boundary, "feature")})
+    cands = cands.withColumns({"free": free, "plaus": free & F.col("accepted")})
     node = F.max(F.col("plaus") & F.col("place_node")).over(by_row)
     cands = cands.withColumn("node", node).withColumn("aside", F.col("plaus") & F.col("bare") & ((F.col("yields") == "yields") | ((F.col("yields") == "yields to node") & F.col("node"))))
     cands = cands.withColumn("rest", F.max(F.col("plaus") & ~F.col("aside")).over(by_row))
@@ -157,7 +158,7 @@ def decide(rows: DataFrame, found: DataFrame, held: DataFrame) -> DataFrame:
     shown = F.when(F.col("result") == "matched", F.when((F.size("members") > 1) | (F.col("n_clusters") > 1), F.when(F.col("tier") == 1, F.col("n_all")).otherwise(F.col("n_best"))).otherwise(0))
     shown = F.coalesce(shown, F.when(~F.col("named") | none, 0).when(F.col("n_all") == 0, F.col("n_free")).otherwise(F.col("n_all")))
     out = cut(out.select("row_id", "line", "result", "why", "members", shown.cast("long").alias("n_candidates")), "match-decisions")
-    return _without_held_items(out.drop("members").join(_carriers(out.where("result = 'matched'"), cands), "row_id", "left"), held)
+    return _whole(out.drop("members").join(_carriers(out.where("result = 'matched'"), cands), "row_id", "left"))
 
 
 def _carriers(won: DataFrame, cands: DataFrame) -> DataFrame:
@@ -182,20 +183,37 @@ def _carriers(won: DataFrame, cands: DataFrame) -> DataFrame:
     )
 
 
-def _without_held_items(results: DataFrame, held: DataFrame) -> DataFrame:
-    """Results without items that another row holds; a row matched by its item alone is then not found."""
-    items = held.where("item <> ''").groupBy(F.col("item").alias("wikidata")).agg(F.min("holder").alias("holder"))
-    out = results.join(items, "wikidata", "left")
-    lost, bare = (F.col("result") == "matched") & F.col("holder").isNotNull(), F.coalesce(F.size("refs"), F.lit(0)) <= 0
-    note = F.concat("wikidata", F.lit(" is taken by row "), "holder")
+def _whole(results: DataFrame) -> DataFrame:
+    """Results with all columns of RESULT, empty where there is nothing."""
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return results.select("row_id", "line", "result", "why", F.coalesce("refs", F.array().cast("array<struct<t:string,id:bigint>>")).alias("refs"), text("wikidata"), text("match_name"), text("match_tags"), "lon", "lat", "n_candidates")
+
+
+def without_taken_items(results: DataFrame, held: DataFrame) -> DataFrame:
+    """Results (RESULT) without items that others hold: whoever held one before, else the first matched row that has it.
+
+    A row matched by its item alone is then not found and has nothing but the reason.
+    """
+    before = held.where("item <> ''").groupBy(F.col("item").alias("wikidata")).agg(F.min("holder").alias("before"))
+    has = (F.col("result") == "matched") & (F.col("wikidata") != "")
+    first = results.where(has).groupBy("wikidata").agg(F.min(F.struct("line", "row_id")).alias("first"))
+    out = results.join(before, "wikidata", "left").join(first, "wikidata", "left")
+    holder = F.coalesce("before", F.when(F.col("first.row_id") != F.col("row_id"), F.col("first.row_id")))
+    lost, bare = has & holder.isNotNull(), F.size("refs") == 0
+    note = F.concat("wikidata", F.lit(" is taken by row "), holder)
     why = F.when(lost & ~bare, F.concat_ws("; ", F.nullif("why", F.lit("")), note)).when(lost, note).otherwise(F.col("why"))
-    out = out.withColumns({"why": why, "result": F.when(lost & bare, "not found").otherwise(F.col("result")), "wikidata": F.when(lost, "").otherwise(F.coalesce("wikidata", F.lit("")))})
-    return out.select("row_id", "line", "result", "why", F.coalesce("refs", F.array().cast("array<struct<t:string,id:bigint>>")).alias("refs"), "wikidata", F.coalesce("match_name", F.lit("")).alias("match_name"), F.coalesce("match_tags", F.lit("")).alias("match_tags"), "lon", "lat", "n_candidates")
+    empty = lambda c, v: F.when(lost & bare, F.lit(v)).otherwise(F.col(c))
+    gone = {c: empty(c, v) for c, v in (("match_name", ""), ("match_tags", ""), ("lon", None), ("lat", None), ("n_candidates", 0), ("result", "not found"))}
+    return _whole(out.withColumns({**gone, "why": why, "wikidata": F.when(lost, "").otherwise(F.col("wikidata"))}))
 
 
 def match_countries(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """Rows (RESULT) of rows found by their item: ``items`` has name and item, empty for a name that is no country's, null for no answer."""
-    asked = rows.withColumn("name", F.coalesce(F.get(variants("de"), F.lit(0)), F.lit(""))).join(items.select("name", "item", F.lit(True).alias("asked")), "name", "left")
+    """Rows (RESULT) of rows found by their item: ``items`` has name and item, empty for a name that is no country's, null for no answer.
+
+    Of several items of one name the least that is an answer counts.
+    """
+    once = items.groupBy("name").agg(F.min("item").alias("item"), F.lit(True).alias("asked"))
+    asked = rows.withColumn("name", F.coalesce(F.get(variants("de"), F.lit(0)), F.lit(""))).join(once, "name", "left")
     failed, none = F.col("asked") & F.col("item").isNull(), F.coalesce("item", F.lit("")) == ""
     result = F.when(failed, "lookup failed").when(none, "not found").otherwise("matched")
     why = F.when(failed, "Wikidata lookup failed -- row left unchanged").when(none, "no Wikidata country item found").otherwise("auto: wikidata")
@@ -205,42 +223,39 @@ def match_countries(rows: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def match(rows: DataFrame, objects: DataFrame, held: DataFrame | None = None, countries: DataFrame | None = None) -> DataFrame:
+def match(rows: DataFrame, objects: DataFrame, held: DataFrame | None = None, countries: DataFrame | None = None, sources: tuple[str, ...] = ()) -> DataFrame:
     """Rows (RESULT) for rows (row_id, line, kind, de, da, hint), distinct in row_id and line, and objects (src, t, id, lon, lat, tags).
 
     ``held`` (CLAIMS) is what other rows hold and ``countries`` (name, item) the items of
-    rows that are found by item. Empty tables give an empty result; null cells count as
+    rows that are found by item. ``sources`` gives the order of sources. Empty tables give an empty result; null cells count as
     empty; a row of an unknown kind accepts nothing.
     """
     spark = rows.sparkSession
     held = spark.createDataFrame([], CLAIMS) if held is None else held.select("t", "id", "item", "holder", "given")
     countries = spark.createDataFrame([], "name string, item string") if countries is None else countries
-    by_item = F.coalesce(kinds.by_kind(F.col("kind"), lambda k: k.by_item, False), F.lit(False))
+    rule = kinds.rule_of(F.col("kind"))
+    of_kind = {c: F.coalesce(rule[c], F.lit(False)) for c in ("by_item", "home_only")}
     index = cut(matching.name_index(objects), "name-index")
     circles = lookup.resolved_hints(rows, index, objects).select(F.col("hint").alias("__h"), F.struct("lon", "lat", "km").alias("circle"))
-    full = cut(rows.join(circles, F.col("hint") == F.col("__h"), "left").drop("__h").withColumns({"named": F.size(query_names("de", "da")) > 0, "by_item": by_item}), "match-rows")
-    found = cut(candidates(full.where("not by_item"), objects, index), "match-found")
-    shared = found.select("row_id", matching.ref_text("t", "id").alias("thing")).unionByName(found.where("item <> ''").select("row_id", F.col("item").alias("thing")))
-    shared = shared.unionByName(full.where("by_item").join(countries, F.get(variants("de"), F.lit(0)) == F.col("name")).where("item <> ''").select("row_id", F.col("item").alias("thing")))
+    full = cut(rows.join(circles, F.col("hint") == F.col("__h"), "left").drop("__h").withColumns({"named": F.size(query_names("de", "da")) > 0, **of_kind}), "match-rows")
+    found = cut(candidates(full.where("not by_item"), objects, index, sources), "match-found")
+    shared = found.select("row_id", matching.ref_text("t", "id").alias("thing"))
     groups = claims.conflict_groups(shared, "row_id", "thing").withColumnRenamed("row_id", "__r")
-    waiting = cut(full.join(groups, F.col("row_id") == F.col("__r"), "left").drop("__r").withColumn("conflict", F.coalesce("conflict", F.col("row_id"))), "match-waiting")
+    waiting = cut(full.where("not by_item").join(groups, F.col("row_id") == F.col("__r"), "left").drop("__r").withColumn("conflict", F.coalesce("conflict", F.col("row_id"))), "match-waiting")
     things = cut(shared.distinct().join(waiting.select("row_id", "line", "conflict"), "row_id").select("thing", "line", "conflict"), "match-things")
-    done = None
+    done = match_countries(full.where("by_item"), countries)
+    taken = held
     while waiting.limit(1).count():
-        decided = decide(waiting.where("not by_item"), found, held).unionByName(_without_held_items(match_countries(waiting.where("by_item"), countries), held))
-        decided = cut(decided.join(waiting.select("row_id", "conflict"), "row_id"), "match-pass")
-        won = decided.where("result = 'matched'")
-        takes = won.select("line", F.explode(F.concat(F.transform("refs", lambda r: matching.ref_text(r["t"], r["id"])), F.array("wikidata"))).alias("thing"))
+        decided = cut(decide(waiting, found, taken).join(waiting.select("row_id", "conflict"), "row_id"), "match-pass")
+        takes = decided.where("result = 'matched'").select("line", F.explode(F.transform("refs", lambda r: matching.ref_text(r["t"], r["id"]))).alias("thing"))
         first = takes.groupBy("thing").agg(F.min("line").alias("taken"))
         # From the first row of a group on that an earlier one takes something from, nothing is settled yet.
         ahead = decided.select("line", "conflict").join(things, ["line", "conflict"]).join(first, "thing").where(F.col("line") > F.col("taken"))
         stop = ahead.groupBy("conflict").agg(F.min("line").alias("stop"))
         settled = cut(decided.join(stop, "conflict", "left").where(F.col("stop").isNull() | (F.col("line") < F.col("stop"))).drop("stop"), "match-settled")
-        won = settled.where("result = 'matched'")
-        given = won.select(F.explode("refs").alias("r"), F.lit(None).cast("string").alias("item"), F.col("row_id").alias("holder")).select("r.t", "r.id", "item", "holder", F.lit(True).alias("given"))
-        items = won.where("wikidata <> ''").select(F.lit(None).cast("string").alias("t"), F.lit(None).cast("long").alias("id"), F.col("wikidata").alias("item"), F.col("row_id").alias("holder"), F.lit(True).alias("given"))
-        held = cut(held.unionByName(given).unionByName(items), "match-held")
+        given = settled.where("result = 'matched'").select(F.explode("refs").alias("r"), F.lit(None).cast("string").alias("item"), F.col("row_id").alias("holder")).select("r.t", "r.id", "item", "holder", F.lit(True).alias("given"))
+        taken = taken.unionByName(given)
         waiting = cut(waiting.join(settled.select("row_id"), "row_id", "left_anti"), "match-waiting")
-        part = settled.drop("conflict")
-        done = part if done is None else done.unionByName(part)
-    return done if done is not None else spark.createDataFrame([], RESULT)
+        found = cut(found.join(waiting.select("row_id"), "row_id", "left_semi"), "match-found")
+        done = done.unionByName(settled.drop("conflict"))
+    return without_taken_items(cut(done, "match-done"), held)
