@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,23 +9,37 @@ from ..constants import KM_PER_DEGREE
 from ..functions.geo import covers, haversine, ring_km2
 
 
+#: Latitude up to which pairs are found; beyond it a degree of longitude is next to nothing.
+MOST_LATITUDE = 88.0
+
+
 def _cells(lon: Column, lat: Column, km: float, around: bool) -> Column:
-    """The cell of a point, or that and its neighbours, as packed longs. Cells are wide enough at 60 degrees of latitude."""
-    high = km / KM_PER_DEGREE
-    wide = high / math.cos(math.radians(60))
-    x, y = F.floor(lon / wide), F.floor(lat / high)
-    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)] if around else [(0, 0)]
-    return F.array(*[(x + a) * F.lit(1 << 32) + (y + b) for a, b in steps])
+    """The cell of a point, or all cells that points within ``km`` of it can be in, as packed longs.
+
+    Rows of cells are as high as the distance. A row's cells are as wide as the distance is at
+    the latitude that its neighbours reach on the side of the pole, so of each of three rows three cells are enough.
+    """
+    high = km / KM_PER_DEGREE * 1.001
+    row = F.floor(lat / high)
+
+    def cells(y: Column, steps: tuple[int, ...]) -> list[Column]:
+        reach = F.least(F.greatest(F.abs(y * high), F.abs((y + 1) * high)) + high, F.lit(89.5))
+        x = F.floor(lon / (high / F.cos(F.radians(reach))))
+        return [(x + a) * F.lit(1 << 32) + y for a in steps]
+
+    return F.array(*[c for b in (-1, 0, 1) for c in cells(row + b, (-1, 0, 1))]) if around else F.array(*cells(row, (0,)))
 
 
 def within(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     """Pairs of rows at most ``km`` apart, with ``km``; both sides have lon and lat, and no other name in common.
 
     The right side is put into the nine cells around each row, the left into its own. Rows
-    without a position pair with none; the latitude is at most 60 degrees.
+    without a position pair with none. A latitude beyond MOST_LATITUDE is an error, as is a
+    distance that reaches beyond; pairs across the 180th meridian are not looked for.
     """
-    a = left.withColumn("__cell", F.explode(_cells(F.col("lon"), F.col("lat"), km, False)))
-    b = right.withColumnsRenamed({"lon": "lon2", "lat": "lat2"}).withColumn("__cell", F.explode(_cells(F.col("lon2"), F.col("lat2"), km, True)))
+    far = lambda c: F.when(F.abs(c) + km / KM_PER_DEGREE > MOST_LATITUDE, F.raise_error(F.lit("too near to a pole")).cast("double")).otherwise(c)
+    a = left.withColumn("__cell", F.explode(_cells(F.col("lon"), far(F.col("lat")), km, False)))
+    b = right.withColumnsRenamed({"lon": "lon2", "lat": "lat2"}).withColumn("__cell", F.explode(_cells(F.col("lon2"), far(F.col("lat2")), km, True)))
     return a.join(b, "__cell").withColumn("km", haversine("lon", "lat", "lon2", "lat2")).where(F.col("km") <= km).drop("__cell")
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import areas
+from ..operators import areas, covering
 from .queries import query, table
 
 #: Cells in a row; cells of a degree of longitude and of latitude.
@@ -96,3 +96,22 @@ SELECT tag, 8 + (x + next) / 2 / {PER_LON} AS lon, 54 + y / {PER_LAT} AS lat, (n
 def inside_points(spark: SparkSession, d: str) -> DataFrame:
     """GEO17: the middle of the widest stretch inside each segment's area."""
     return areas.inside_points(areas.dissolved(*_grid(spark, d)), "tag")
+
+
+@query(f"""
+{_SQL}, size AS (SELECT root, count(*) - count(*) FILTER (holed) / 4.0::DOUBLE AS size FROM piece JOIN cells USING (k) GROUP BY root),
+o AS (SELECT o_orderkey, (o_orderkey * 37 % 688) / 16.0::DOUBLE - 1.5 AS px, (o_orderkey * 101 % 640) / 16.0::DOUBLE - 1 AS py, o_orderkey % 11 = 0 AS above, o_orderkey % 3 = 0 AS outlined FROM orders),
+points AS (SELECT o_orderkey, 1 AS which, px, py FROM o WHERE NOT above UNION ALL SELECT o_orderkey, 2, px + 1.5, py + 1 FROM o WHERE NOT above AND outlined),
+hit AS (SELECT o_orderkey, which, tag, size FROM points JOIN cells ON px BETWEEN x AND x + 1 AND py BETWEEN y AND y + 1 AND NOT (holed AND px > x + 0.25 AND px < x + 0.75 AND py > y + 0.25 AND py < y + 0.75) JOIN piece USING (k) JOIN size USING (root)),
+best AS (SELECT o_orderkey, tag FROM hit QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY which, size, tag) = 1)
+SELECT o_orderkey, tag FROM o LEFT JOIN best USING (o_orderkey)
+""")
+def area_cells(spark: SparkSession, d: str) -> DataFrame:
+    """JN10, JN11, SRC27: the smallest area around each order's point, else around its outline point, edges included and holes not, by cells; none above municipality level."""
+    k = F.col("o_orderkey")
+    at = lambda x, y: [((x / PER_LON) + 8), ((y / PER_LAT) + 54)]
+    px, py = (k * 37 % 688) / 16 - 1.5, (k * 101 % 640) / 16 - 1
+    (lon, lat), (lon2, lat2) = at(px, py), at(px + 1.5, py + 1)
+    level = F.when(k % 11 == 0, 6).when(k % 11 == 1, 8)
+    o = table(spark, d, "orders").select("o_orderkey", lon.alias("lon"), lat.alias("lat"), F.when(k % 3 == 0, lon2).alias("lon2"), F.when(k % 3 == 0, lat2).alias("lat2"), level.alias("admin_level"))
+    return covering.variety_of(o, areas.dissolved(*_grid(spark, d)), ["o_orderkey"]).select("o_orderkey", "tag")
