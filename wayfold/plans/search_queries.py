@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ranked
+from ..operators import nested, ranked
 from .queries import query, table
 
 
@@ -31,3 +31,26 @@ def ranked_search(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.substring(first, 1, 1), F.substr(first, F.lit(3)), F.lit(" "), F.substring(last, 1, 3), F.lit(" "), F.lower("p_brand"))
     asked = table(spark, d, "supplier").join(p, F.col("s_suppkey") == F.col("p_partkey")).select(F.col("s_suppkey").alias("query_id"), text.alias("query"))
     return ranked.search(ix, asked)
+
+
+#: Expressions by the remainder of a part's key; %b is its brand, %k its key.
+_EXPRESSIONS = (
+    '"{name:%b} ({ref}) {}"', '["get", "name:%b"]',
+    '["case", ["==", ["get", "kind"], "x"], "{a%k}", ["has", "h"], ["concat", ["get", "f"], "-", ["case", ["get", "no"], ["get", "inner%k"], "{tail}"]], ["get", "fallback"]]',
+    '["coalesce", ["get", "g%k"], [["format", ["get", ["get", "nested"]], {"x": ["get", "none"]}], 5, null, true], []]',
+)
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT p_partkey AS k, replace(replace([{', '.join("'" + x + "'" for x in _EXPRESSIONS)}][p_partkey % 4 + 1], '%b', p_brand), '%k', p_partkey::VARCHAR)::JSON AS v FROM part),
+tree AS (SELECT k, v FROM e UNION ALL SELECT k, el FROM (
+    SELECT k, v, n, unnest(range(n)) AS place, unnest(json_extract(v, '$[*]')) AS el FROM (SELECT k, v, json_array_length(v)::BIGINT AS n FROM tree WHERE json_type(v) = 'ARRAY' AND NOT coalesce(json_extract_string(v, '$[0]') = 'get' AND json_type(v, '$[1]') = 'VARCHAR', false)))
+    WHERE coalesce(json_extract_string(v, '$[0]') <> 'case', true) OR (place > 0 AND (place % 2 = 0 OR place = n - 1)))
+SELECT DISTINCT k AS p_partkey, unnest(CASE WHEN json_type(v) = 'VARCHAR' THEN regexp_extract_all(v ->> '$', '\\{{([^}}]+)\\}}', 1) WHEN json_type(v) = 'ARRAY' AND json_extract_string(v, '$[0]') = 'get' AND json_type(v, '$[1]') = 'VARCHAR' THEN [json_extract_string(v, '$[1]')] ELSE []::VARCHAR[] END) AS field FROM tree
+""")
+def shown_fields(spark: SparkSession, d: str) -> DataFrame:
+    """STR24: the fields that nested label expressions show, one expression for each part."""
+    p = table(spark, d, "part")
+    text = F.element_at(F.array(*[F.lit(x) for x in _EXPRESSIONS]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    said = F.replace(F.replace(text, F.lit("%b"), F.col("p_brand")), F.lit("%k"), F.col("p_partkey").cast("string"))
+    return nested.shown_keys(p.select("p_partkey", said.alias("expression")), "p_partkey", "expression")
