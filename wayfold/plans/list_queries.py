@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import namelist
+from ..operators import namelist, tiles
 from ..operators.naming import Variety
 from .queries import _km, _pos, lat_of, lon_of, query, table
 
@@ -382,18 +382,18 @@ def telling_problems(spark: SparkSession, d: str) -> DataFrame:
 SELECT event_id AS line, coalesce(c_custkey, 0) AS row_line, CAST(row_number() OVER (ORDER BY coalesce(c_custkey, 0), event_id) AS BIGINT) AS place FROM events LEFT JOIN customer ON c_custkey = user_id AND c_custkey % 2 = 0
 """)
 def patch_order(spark: SparkSession, d: str) -> DataFrame:
-    """SRT08, SET07: lines of a log in order of their rows, then their own."""
+    """SRT08: lines of a log in order of their rows, then their own, numbered by ranges."""
     rows = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col(_K).cast("string").alias("id"), F.col(_K).alias("line"))
     log = namelist.with_added_columns(table(spark, d, "events").select(F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("line")), ["line", "note", "id"])
-    ordered = namelist.patch_order(log, rows)
-    return ordered.rdd.zipWithIndex().map(lambda x: (x[0].line, x[0].row_line, x[1] + 1)).toDF("line long, row_line long, place long")
+    ordered = namelist.patch_order(log, rows).withColumn("order", F.struct("row_line", "line"))
+    return tiles.running(ordered, "order", F.lit(1), "before").select("line", "row_line", (F.col("before") + 1).alias("place"))
 
 
 @query("""
 SELECT n_nationkey, d AS label, 'v' || n_nationkey AS digest FROM (SELECT n_nationkey, 'a' || n_regionkey AS d FROM nation) WHERE n_nationkey % 2 = 0
 """)
 def stamps(spark: SparkSession, d: str) -> DataFrame:
-    """CPX09, CPX11, SRC12: a stamp written as JSON inside JSON, and read back."""
+    """CPX09, CPX11: a stamp written as JSON inside JSON, and read back."""
     n = table(spark, d, "nation").where("n_nationkey % 2 = 0").select("n_nationkey", F.concat(F.lit("a"), F.col("n_regionkey").cast("string")).alias("label"), F.concat(F.lit("v"), F.col("n_nationkey").cast("string")).alias("digest"))
     made = n.groupBy("n_nationkey").agg(namelist.stamp_json().alias("j")).select("n_nationkey", F.to_json(F.struct(F.from_json("j", "map<string,string>").alias("built_from"), F.lit("x").alias("other"))).alias("description"))
     return made.select("n_nationkey", F.explode(namelist.parse_built_from(F.col("description"))).alias("label", "digest"))

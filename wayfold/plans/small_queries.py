@@ -92,7 +92,7 @@ SELECT slug, CAST(1000 + row_number() OVER (ORDER BY slug) AS INTEGER) AS id, CA
     CASE WHEN k % 3 = 0 OR (k % 3 = 1 AND k % 2 = 0) THEN slug END AS name, CASE WHEN k % 3 = 0 OR (k % 3 = 1 AND k % 2 = 0) THEN 'F' || k END AS own FROM p
 """)
 def made_points(spark: SparkSession, d: str) -> DataFrame:
-    """WIN15, PRJ30, PRJ31, STM04: points for places that are not there, with ids above all others, and their tags."""
+    """PRJ30, STM04: points for places that are not there, with ids above all others, and their tags."""
     k = F.col("k")
     s = table(spark, d, "supplier").select(F.col("s_name").alias("slug"), F.col("s_suppkey").alias("k"))
     place = kinds.by_kind(F.when(k % 3 == 0, "settlement").otherwise("koog"), lambda x: x.point_place, None)
