@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import namelist, tiles
 from ..operators.naming import Variety
+from ..sources import reports
 from .queries import _km, _pos, lat_of, lon_of, query, table
 
 VARIETIES = [Variety("frr-x-a", "one", "frr"), Variety("frr-x-b", "two", "frr"), Variety("nds", "nds", "nds")]
@@ -219,6 +220,27 @@ def worklist_summary(spark: SparkSession, d: str) -> DataFrame:
     return namelist.work_summary(_work(spark, d))
 
 
+_REPORT = "r AS (SELECT row_id, line, kind, name, name_de, why, CASE WHEN fate <> 'kept' THEN 'by hand' WHEN result = 'ambiguous' THEN 'ambiguous' ELSE 'not found' END AS state FROM w WHERE line IS NOT NULL)"
+
+
+@query(f"""
+WITH {_LIST}, {_MATCHES}, {_WORK}, {_REPORT},
+c AS (SELECT kind, min(line) AS first, {', '.join(f"count(*) FILTER (state = '{s}') AS s{i}" for i, s in enumerate(reports.STATES))}, count(*) AS n FROM r GROUP BY kind)
+SELECT 1 AS section, CAST(first AS BIGINT) AS place, '| ' || concat_ws(' | ', kind, {', '.join(f's{i}' for i in range(len(reports.STATES)))}, n) || ' |' AS text FROM c
+UNION ALL SELECT 1, 9223372036854775807, '| ' || concat_ws(' | ', '**total**', {', '.join(f"'**' || coalesce(sum(s{i}), 0)::BIGINT || '**'" for i in range(len(reports.STATES)))}, '**' || coalesce(sum(n), 0)::BIGINT || '**') || ' |' FROM c
+UNION ALL SELECT 2, line, '| ' || concat_ws(' | ', row_id, line, kind, name, name_de, '', why, '`' || row_id || '`') || ' |' FROM r WHERE state = 'ambiguous'
+UNION ALL SELECT 3, line, '| ' || concat_ws(' | ', row_id, line, kind, name, name_de, '', '`' || row_id || '`') || ' |' FROM r WHERE state = 'not found'
+UNION ALL VALUES (1, -2, '| kind | {' | '.join(reports.STATES)} | total |'), (1, -1, '|---|{'---:|' * (len(reports.STATES) + 1)}'),
+    (2, -2, '| id | line | kind | Frisian | German | hint | why | candidates |'), (2, -1, '|---|---:|---|---|---|---|---|---|'), (3, -2, '| id | line | kind | Frisian | German | note | near misses |'), (3, -1, '|---|---:|---|---|---|---|---|')
+""")
+def match_report(spark: SparkSession, d: str) -> DataFrame:
+    """SNK14, AGG02, AGG03: the lines of a report on a match run: counts by kind and state, rows to decide, rows not found."""
+    w = _work(spark, d).where("line IS NOT NULL")
+    state = F.when(F.col("fate") != "kept", "by hand").when(F.col("result") == "ambiguous", "ambiguous").otherwise("not found")
+    rows = w.select("row_id", "line", "kind", "name", F.col("name_de").alias("german"), state.alias("state"), F.lit("").alias("hint"), "why", F.col("row_id").alias("candidates"), F.lit("").alias("note"))
+    return reports.report_lines(rows)
+
+
 @query(f"""
 SELECT p_partkey, p_name AS name, coalesce(nullif(CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_brand END, ''), '-') AS class, CASE WHEN p_partkey % 5 > 0 THEN CAST(round_even({_km('lon', 'lat', '8.9::DOUBLE', '54.7::DOUBLE')}, 0) AS INTEGER) END AS km FROM (SELECT *, {_pos('p_partkey')} FROM part)
 """)
