@@ -61,7 +61,7 @@ def made(before: DataFrame, after: DataFrame, points: DataFrame, squares: DataFr
     was = before.select("src", F.col("way_at").alias("had_way"), F.col("relation_at").alias("had_relation"))
     due = after.join(was, "src", "left")
     count = points.groupBy("src").agg(F.count("*").alias("n_points"))
-    due = F.broadcast(due.join(count, "src", "left").withColumn("n_points", F.coalesce("n_points", F.lit(0))))
+    due = due.join(count, "src", "left").withColumn("n_points", F.coalesce("n_points", F.lit(0)))
     nodes, ways = due.where("way_at IS NOT NULL AND had_way IS NULL"), due.where("relation_at IS NOT NULL AND had_relation IS NULL")
     none = F.lit(None).cast("array<long>")
     point = points.join(nodes, "src").select(F.col("place").cast("int").alias("part"), "src", F.col("way_at").alias("seq"), F.lit("n").alias("t"), (F.col("base_n") + F.col("place")).alias("id"), "lon", "lat", none.alias("nodes"), "tags")
