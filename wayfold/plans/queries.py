@@ -594,7 +594,7 @@ def duplicates_overlap(spark: SparkSession, d: str) -> DataFrame:
 SELECT c_custkey AS line, unnest(list_filter([CASE WHEN c_acctbal < 0 THEN 'negative balance' END, CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN 'unknown segment' END, CASE WHEN c_nationkey % 5 = 0 AND c_acctbal > 5000 THEN 'balance not allowed' END], lambda x: x IS NOT NULL)) AS message FROM customer
 """)
 def constraint_problems(spark: SparkSession, d: str) -> DataFrame:
-    """DQ14: rules as data, every one that a row breaks."""
+    """Rules as data, every one that a row breaks."""
     rules = [(F.col("c_acctbal") < 0, "negative balance"), (~F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "unknown segment"), ((F.col("c_nationkey") % 5 == 0) & (F.col("c_acctbal") > 5000), "balance not allowed")]
     return checks.problems(table(spark, d, "customer"), "c_custkey", rules)
 
