@@ -72,8 +72,9 @@ def by_line(found: DataFrame) -> DataFrame:
 
 def cell_problems(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Rows (line, column, message) of name cells that are not written as they should be."""
-    each = F.array(*[F.struct(F.lit(c).alias("column"), text.cell_problem(c).alias("message")) for c in columns])
-    return rows.select("line", F.explode(each).alias("p")).select("line", "p.column", "p.message").where("message IS NOT NULL")
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])
+    filled = rows.select("line", F.explode(each).alias("p")).select("line", "p.column", "p.value").where("value <> ''")
+    return filled.select("line", "column", F.explode(F.array_compact(F.array(text.cell_problem("value")))).alias("message"))
 
 
 def registry_problems(rows: DataFrame, language: str = "frr") -> DataFrame:

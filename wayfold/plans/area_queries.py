@@ -98,6 +98,16 @@ def inside_points(spark: SparkSession, d: str) -> DataFrame:
     return areas.inside_points(areas.dissolved(*_grid(spark, d)), "tag")
 
 
+def spots(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with a point, for some an outline point, and for some a level."""
+    k = F.col("o_orderkey")
+    at = lambda x, y: [((x / PER_LON) + 8), ((y / PER_LAT) + 54)]
+    px, py = (k * 37 % 688) / 16 - 1.5, (k * 101 % 640) / 16 - 1
+    (lon, lat), (lon2, lat2) = at(px, py), at(px + 1.5, py + 1)
+    level = F.when(k % 11 == 0, 6).when(k % 11 == 1, 8)
+    return table(spark, d, "orders").select("o_orderkey", lon.alias("lon"), lat.alias("lat"), F.when(k % 3 == 0, lon2).alias("lon2"), F.when(k % 3 == 0, lat2).alias("lat2"), level.alias("admin_level"))
+
+
 @query(f"""
 {_SQL}, size AS (SELECT root, count(*) - count(*) FILTER (holed) / 4.0::DOUBLE AS size FROM piece JOIN cells USING (k) GROUP BY root),
 o AS (SELECT o_orderkey, (o_orderkey * 37 % 688) / 16.0::DOUBLE - 1.5 AS px, (o_orderkey * 101 % 640) / 16.0::DOUBLE - 1 AS py, o_orderkey % 11 = 0 AS above, o_orderkey % 3 = 0 AS outlined FROM orders),
@@ -108,10 +118,4 @@ SELECT o_orderkey, tag FROM o LEFT JOIN best USING (o_orderkey)
 """)
 def area_cells(spark: SparkSession, d: str) -> DataFrame:
     """JN10, JN11, SRC27: the smallest area around each order's point, else around its outline point, edges included and holes not, by cells; none above municipality level."""
-    k = F.col("o_orderkey")
-    at = lambda x, y: [((x / PER_LON) + 8), ((y / PER_LAT) + 54)]
-    px, py = (k * 37 % 688) / 16 - 1.5, (k * 101 % 640) / 16 - 1
-    (lon, lat), (lon2, lat2) = at(px, py), at(px + 1.5, py + 1)
-    level = F.when(k % 11 == 0, 6).when(k % 11 == 1, 8)
-    o = table(spark, d, "orders").select("o_orderkey", lon.alias("lon"), lat.alias("lat"), F.when(k % 3 == 0, lon2).alias("lon2"), F.when(k % 3 == 0, lat2).alias("lat2"), level.alias("admin_level"))
-    return covering.variety_of(o, areas.dissolved(*_grid(spark, d)), ["o_orderkey"]).select("o_orderkey", "tag")
+    return covering.variety_of(spots(spark, d), areas.dissolved(*_grid(spark, d)), ["o_orderkey"]).select("o_orderkey", "tag")

@@ -770,7 +770,7 @@ def bounding_box(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT c_custkey AS k, c_custkey IN (SELECT s_suppkey FROM supplier) AS in_both FROM customer UNION SELECT s_suppkey, s_suppkey IN (SELECT c_custkey FROM customer) FROM supplier""")
 def set_union_ids(spark: SparkSession, d: str) -> DataFrame:
-    """SET01, SET03, SET05, SET08: keys of two tables and whether both have them."""
+    """Keys of two tables and whether both have them."""
     a, b = table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
     both = a.intersect(b).withColumn("in_both", F.lit(True))
     return a.union(b).distinct().join(both, "k", "left").select("k", F.coalesce("in_both", F.lit(False)).alias("in_both"))
