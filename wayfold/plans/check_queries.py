@@ -14,11 +14,11 @@ from .queries import SQL, _pos, lat_of, lon_of, query, table
 # Tiles against entries: a customer is an entry, an order a feature of it.
 
 _ENTRY = {
-    "id": "'c' || c_custkey", "osm": "CASE c_custkey % 4 WHEN 0 THEN 'way/' || c_custkey || '; node/7' WHEN 1 THEN 'local/p-' || c_custkey WHEN 2 THEN 'node/' || c_custkey ELSE '' END", "kind": "CASE WHEN c_custkey % 2 = 0 THEN 'island' ELSE 'koog' END",
+    "id": "'c' || c_custkey", "osm": "CASE c_custkey % 4 WHEN 0 THEN 'way/' || (c_custkey + 1) || '; node/7' WHEN 1 THEN 'local/p-' || c_custkey WHEN 2 THEN 'node/' || (c_custkey + 1) ELSE '' END", "kind": "CASE WHEN c_custkey % 2 = 0 THEN 'island' ELSE 'koog' END",
     "name_de": "CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'de ' || c_custkey END", "n_a": "CASE WHEN c_custkey % 5 < 3 THEN 'A' || c_custkey END",
 }
 _FEATURE = {
-    "ref": "CASE WHEN o_orderkey % 17 = 0 THEN 'gone' ELSE 'c' || o_custkey END", "osm": "CASE o_orderkey % 5 WHEN 0 THEN 'way/' || o_custkey WHEN 1 THEN 'node/' || o_custkey WHEN 2 THEN CAST(NULL AS VARCHAR(9)) WHEN 3 THEN 'relation/' || o_custkey ELSE 'way/' || o_custkey END",
+    "ref": "CASE WHEN o_orderkey % 17 = 0 THEN 'gone' ELSE 'c' || o_custkey END", "osm": "CASE o_orderkey % 5 WHEN 0 THEN 'way/' || (o_custkey + 1) WHEN 1 THEN 'node/' || (o_custkey + 1) WHEN 2 THEN NULL WHEN 3 THEN 'relation/' || (o_custkey + 1) ELSE 'way/' || (o_custkey + 1) END",
     "square": "CASE WHEN o_orderkey % 7 = 0 THEN 'yes' ELSE '' END", "kind": "CASE WHEN o_custkey % 2 = 0 AND o_orderkey % 6 <> 0 THEN 'island' ELSE 'koog' END", "name_de": "'de ' || o_custkey", "n_a": "CASE WHEN o_orderkey % 9 <> 0 THEN 'A' || o_custkey END",
 }
 
