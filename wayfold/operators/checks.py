@@ -16,8 +16,9 @@ def problems(rows: DataFrame, line: str, rules: list[tuple[Column, str]], first_
 def id_problems(rows: DataFrame, id_col: str, line: str, pattern: str = "^[a-z0-9]+(-[a-z0-9]+)*$") -> DataFrame:
     """Missing, malformed or repeated ids."""
     ident = F.coalesce(F.col(id_col), F.lit(""))
-    before = F.min(F.when(ident != "", F.col(line))).over(Window.partitionBy(id_col))
-    marked = rows.withColumn("__first", before)
+    # Ids that several rows have, merged before the shuffle; rows without an id meet nowhere.
+    several = rows.where(ident != "").groupBy(F.col(id_col).alias("__id")).agg(F.min(line).alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    marked = rows.join(several, F.nullif(ident, F.lit("")) == F.col("__id"), "left")
     return problems(marked, line, [(ident == "", "no id"), (~ident.rlike(pattern), "malformed id"), (F.col("__first") < F.col(line), "id of an earlier line")], True)
 
 

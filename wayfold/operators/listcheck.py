@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import local_of, parse_refs
@@ -33,9 +33,11 @@ def unplaced(rows: DataFrame, typed: DataFrame) -> DataFrame:
 def claim_problems(rows: DataFrame) -> DataFrame:
     """Rows (line, seq, message) of claims that an earlier line has, in order of the row, then of claims that a row has twice."""
     each = rows.select("line", F.posexplode(namelist.claim_keys(namelist.claims())).alias("at", "key"))
-    marked = each.withColumns({"first": F.min("line").over(Window.partitionBy("key")), "n": F.row_number().over(Window.partitionBy("key", "line").orderBy("at"))})
-    taken = marked.where("first < line").select("line", F.col("at").alias("seq"), F.concat("key", F.lit(" is held by line "), F.col("first").cast("string"), F.lit(" already")).alias("message"))
-    return taken.unionByName(marked.where("n = 2").select("line", (F.col("at") + F.lit(1000)).alias("seq"), F.concat("key", F.lit(" twice in `osm`")).alias("message")))
+    # A key that very many rows hold is merged before the shuffle, and a join on it can be split.
+    shared = each.groupBy("key").agg(F.min("line").alias("first"), F.max("line").alias("last")).where("first < last").select("key", "first")
+    taken = each.join(shared, "key").where("first < line").select("line", F.col("at").alias("seq"), F.concat("key", F.lit(" is held by line "), F.col("first").cast("string"), F.lit(" already")).alias("message"))
+    twice = each.groupBy("line", "key").agg(F.sort_array(F.collect_list("at")).alias("at")).where(F.size("at") > 1).withColumn("at", F.get("at", F.lit(1)))
+    return taken.unionByName(twice.select("line", (F.col("at") + F.lit(1000)).alias("seq"), F.concat("key", F.lit(" twice in `osm`")).alias("message")))
 
 
 def place_problems(names: DataFrame, typed: DataFrame, varieties: list[Variety]) -> DataFrame:
