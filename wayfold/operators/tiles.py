@@ -7,6 +7,8 @@ up by an equi-join on its stretch and then by range within the leaf.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ def tile_number(z: Column | str, x: Column | str, y: Column | str) -> Column:
 
 
 def running(df: DataFrame, order: str, value: Column, name: str) -> DataFrame:
-    """``df`` with ``name``: the sum of ``value`` over all rows before each in ``order`` (distinct values).
+    """``df`` with ``name``: the sum of ``value`` over all rows before each in ``order``; rows of one value count each other, but not themselves.
 
     Rows are dealt by range and written with their part; parts are summed, and rows count on from the parts before theirs. Only
     the sums of parts meet in one task.
@@ -47,20 +49,22 @@ def running(df: DataFrame, order: str, value: Column, name: str) -> DataFrame:
     return dealt.withColumn("__within", within).join(F.broadcast(base), "__part").withColumn(name, F.col("__base") + F.col("__within")).drop("__v", "__part", "__within", "__base")
 
 
-def directory(tiles: DataFrame, leaf_bits: int = LEAF_BITS) -> DataFrame:
-    """Entries (leaf, first, run, offset, length) of tiles (z, x, y, digest, length), distinct in position.
+def directory(tiles: DataFrame, leaf_bits: int = LEAF_BITS, keys: Sequence[str] = ()) -> DataFrame:
+    """Entries (keys, leaf, first, run, offset, length) of tiles (keys, z, x, y, digest, length).
 
+    ``keys`` tell the sheets of a map apart: numbers and payloads are common to all sheets, an entry is of one. Tiles are distinct
+    in keys and position for ``located``; a tile there more than once is that often in entries.
     A payload is stored where its first tile comes, once; ``offset`` is the bytes of all
     payloads before it. An entry stands for ``run`` tiles from number ``first`` on, all in one leaf.
     Tiles outside the map are left out. A payload that very many tiles share is split by leaf before runs are found.
     """
-    numbered = tiles.select(tile_number("z", "x", "y").alias("number"), "digest", "length").where("number IS NOT NULL")
+    numbered = tiles.select(*keys, tile_number("z", "x", "y").alias("number"), "digest", "length").where("number IS NOT NULL")
     numbered = cut(numbered.withColumn("leaf", F.shiftright("number", leaf_bits)), "tile-numbers")
     once = numbered.groupBy("digest").agg(F.min("number").alias("at"), F.max("length").alias("length"))
-    placed = cut(running(once, "at", F.col("length"), "offset").select("digest", "offset"), "tile-payloads")
-    place = F.row_number().over(Window.partitionBy("leaf", "digest").orderBy("number"))
-    runs = numbered.withColumn("island", F.col("number") - place).groupBy("leaf", "digest", "island").agg(F.min("number").alias("first"), F.count("*").alias("run"), F.max("length").alias("length"))
-    return runs.join(placed, "digest").select("leaf", "first", "run", "offset", "length")
+    placed = cut(running(once, "at", F.col("length"), "offset").select("digest", "offset", "length"), "tile-payloads")
+    place = F.row_number().over(Window.partitionBy(*keys, "leaf", "digest").orderBy("number"))
+    runs = numbered.withColumn("island", F.col("number") - place).groupBy(*keys, "leaf", "digest", "island").agg(F.min("number").alias("first"), F.count("*").alias("run"))
+    return runs.join(placed, "digest").select(*keys, "leaf", "first", "run", "offset", "length")
 
 
 def root(entries: DataFrame) -> DataFrame:
@@ -68,9 +72,11 @@ def root(entries: DataFrame) -> DataFrame:
     return entries.groupBy("leaf").agg(F.min("first").alias("first"), F.count("*").alias("entries"), F.sum("run").alias("tiles"))
 
 
-def located(wanted: DataFrame, entries: DataFrame, leaf_bits: int = LEAF_BITS) -> DataFrame:
-    """``wanted`` (z, x, y and others) with offset and length of their payloads; null for a tile that is not there."""
+def located(wanted: DataFrame, entries: DataFrame, leaf_bits: int = LEAF_BITS, keys: Sequence[str] = ()) -> DataFrame:
+    """``wanted`` (keys, z, x, y and others) with offset and length of their payloads; null for a tile that is not there."""
     asked = wanted.withColumn("number", tile_number("z", "x", "y")).withColumn("leaf", F.shiftright("number", leaf_bits))
-    e = entries.select(F.col("leaf").alias("__leaf"), "first", "run", "offset", "length")
+    e = entries.select(*[F.col(k).alias(f"__key_{k}") for k in keys], F.col("leaf").alias("__leaf"), "first", "run", "offset", "length")
     held = (F.col("leaf") == F.col("__leaf")) & (F.col("number") >= F.col("first")) & (F.col("number") < F.col("first") + F.col("run"))
-    return asked.join(e, held, "left").drop("number", "leaf", "__leaf", "first", "run")
+    for k in keys:
+        held &= F.col(k) == F.col(f"__key_{k}")
+    return asked.join(e, held, "left").drop(*[f"__key_{k}" for k in keys], "number", "leaf", "__leaf", "first", "run")
