@@ -30,3 +30,7 @@ SHEETS = "SELECT s * 524288 + k AS o_orderkey FROM range(0, 3000, 7) r(k), (VALU
 
 def test_located_tiles_beyond_the_map(same):
     assert same("located_tiles", orders=SHEETS)
+
+
+def test_leaves_of_tiles_beyond_the_map(same):
+    assert same("tile_leaves", orders=SHEETS)
