@@ -1,9 +1,13 @@
 """Queries on keys and shapes that the given tables reach only in larger copies, held against their SQL."""
 
+import time
+
 import duckdb
+import numpy as np
 import pytest
 
 from tests.test_queries import rows
+from wayfold.operators import areas
 from wayfold.plans import area_queries, check_queries, list_queries, schema_queries, search_queries, small_queries, tile_queries  # noqa: F401  register their queries
 from wayfold.plans import queries as plans
 
@@ -34,3 +38,31 @@ def test_located_tiles_beyond_the_map(same):
 
 def test_leaves_of_tiles_beyond_the_map(same):
     assert same("tile_leaves", orders=SHEETS)
+
+
+#: A pair of cells of T over a pair of U, all else V: the straight border of T and U and the way around have common ends.
+TWINS = "SELECT k AS c_custkey, CASE WHEN k IN (410, 411, 140) THEN 'T' WHEN k IN (370, 371, 147) THEN 'U' ELSE 'V' END AS c_mktsegment FROM range(1200) r(k)"
+
+
+def test_a_straight_border_beside_a_way_around_keeps_no_point(same):
+    assert same("area_simplified", customer=TWINS)
+
+
+def test_inside_points_of_twins(same):
+    assert same("inside_points", customer=TWINS)
+
+
+def test_holes_find_their_rings_without_trying_all():
+    ring = lambda x, y, a: np.array([(x, y), (x + a, y), (x + a, y + a), (x, y + a), (x, y)])
+    outers = [ring(2.0 * (k % 100), 2.0 * (k // 100), 1.0) for k in range(12_000)]
+    holes = [ring(2.0 * (k % 100) + 0.25, 2.0 * (k // 100) + 0.25, 0.5)[::-1] for k in range(12_000)]
+    start = time.process_time()
+    assert areas.nested(outers + holes) == [(k, 0) for k in range(12_000)] + [(k, 1) for k in range(12_000)]
+    assert time.process_time() - start < 8
+
+
+def test_small_areas_cost_no_group_each(spark):
+    ways = spark.createDataFrame([(k, "outer", 0, [k, k + 1, k + 2, k]) for k in range(0, 30, 3)], "area long, role string, place int, nodes array<long>")
+    nodes = spark.createDataFrame([(k, k % 3 % 2 * 1.0, k % 3 // 2 * 1.0) for k in range(30)], "id long, lon double, lat double")
+    got = areas.of_ways(ways, nodes)
+    assert got.count() == 10 and "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()

@@ -11,11 +11,15 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .geometry import assembled, simplified
 
@@ -27,10 +31,8 @@ def directed_edges(ways: DataFrame, nodes: DataFrame, key: str = "area") -> Data
     joined to rings by role in order of place; a ring that does not close, or one of whose
     nodes is not there, is left out.
     """
-    parts = ways.select(F.struct(F.col(key).alias("area"), "role").alias("ring_of"), F.col("place").alias("role_place"), "nodes")
-    closed = assembled(parts.withColumn("relation_id", F.xxhash64("ring_of")), "relation_id").where("closed").select("relation_id", "ring")
-    of = parts.select(F.xxhash64("ring_of").alias("relation_id"), "ring_of.area", "ring_of.role").distinct()
-    rings = closed.join(of, "relation_id").withColumn("ring_id", F.xxhash64("relation_id", "ring"))
+    parts = ways.select(F.col(key).alias("area"), "role", F.col("place").alias("role_place"), "nodes")
+    rings = assembled(parts, ["area", "role"]).where("closed").withColumn("ring_id", F.xxhash64("area", "role", "ring"))
     steps = rings.select("area", "role", "ring_id", F.posexplode(F.arrays_zip(F.slice("ring", F.lit(1), F.size("ring") - 1).alias("u"), F.slice("ring", F.lit(2), F.size("ring") - 1).alias("v"))).alias("place", "e"))
     ends = lambda i: nodes.select(F.col("id").alias("u" if i == 1 else "v"), F.col("lon").alias(f"x{i}"), F.col("lat").alias(f"y{i}"))
     whole = Window.partitionBy("area", "role", "ring_id")
@@ -88,12 +90,16 @@ def traced(edges: list[tuple[int, int]], place: dict[int, tuple[float, float]])
         while (u, v) in left:
             left.discard((u, v))
             walk.append(v)
-            came = angle(v, u)
-            ahead = [w for w in leaving[v] if (v, w) in left]
+            ahead = leaving[v]
+            if len(ahead) > 1:
+                ahead = [w for w in ahead if (v, w) in left]
+            if len(ahead) > 1:
+                came = angle(v, u)
+                # Clockwise from the way back; straight back counts as a whole turn.
+                ahead = [min(ahead, key=lambda w: ((came - angle(v, w)) % (2 * math.pi) or 2 * math.pi, w))]
             if not ahead:
                 break
-            # Clockwise from the way back; straight back counts as a whole turn.
-            u, v = v, min(ahead, key=lambda w: ((came - angle(v, w)) % (2 * math.pi) or 2 * math.pi, w))
+            u, v = v, ahead[0]
         out += _loops(walk)
     return out
 
@@ -111,26 +117,52 @@ def _inside(x: float, y: float, ring: np.ndarray) -> bool:
     return bool(np.count_nonzero(a[:, 0] + (y - a[:, 1]) / (b[:, 1] - a[:, 1]) * (b[:, 0] - a[:, 0]) > x) % 2)
 
 
-def nested(rings: list[np.ndarray]) -> list[tuple[int, int]]:
+class _Boxes:
+    """Boxes in grids of several sizes, each in the grid whose cells are just as large as it, so in at most four cells; a point looks into one cell of each grid."""
+
+    def __init__(self, boxes: dict[int, tuple[float, float, float, float]]):
+        self.boxes, self.cells = boxes, {}
+        # Degrees of longitude and latitude are weighed by the mean width and height of boxes.
+        self.wide = sum(b[2] - b[0] for b in boxes.values()) / max(len(boxes), 1) or 1.0
+        self.high = sum(b[3] - b[1] for b in boxes.values()) / max(len(boxes), 1) or 1.0
+        for i, (w, s, e, n) in boxes.items():
+            size = max((e - w) / self.wide, (n - s) / self.high)
+            level = math.frexp(size)[1] if size > 0 else -60
+            (x1, y1), (x2, y2) = self._cell(w, s, level), self._cell(e, n, level)
+            grid = self.cells.setdefault(level, {})
+            for x in range(x1, x2 + 1):
+                for y in range(y1, y2 + 1):
+                    grid.setdefault((x, y), []).append(i)
+
+    def _cell(self, x: float, y: float, level: int) -> tuple[int, int]:
+        size = 2.0**level
+        return math.floor(x / self.wide / size), math.floor(y / self.high / size)
+
+    def around(self, x: float, y: float) -> list[int]:
+        near = (i for level, grid in self.cells.items() for i in grid.get(self._cell(x, y, level), ()))
+        return [i for i in near if self.boxes[i][0] <= x <= self.boxes[i][2] and self.boxes[i][1] <= y <= self.boxes[i][3]]
+
+
+def nested(rings: list[np.ndarray], size: list[float] | None = None) -> list[tuple[int, int]]:
     """For each ring (polygon, hole): outer rings are hole 0 of a polygon of their own, holes belong to the smallest outer ring around them.
 
-    Polygons are numbered as their rings come; so an island within a hole is a polygon of its own, at any depth.
+    Polygons are numbered as their rings come; so an island within a hole is a polygon of its own, at any depth. A hole is held
+    only against the outer rings whose boxes have it, which a grid finds.
     """
-    size = [_doubled(r) for r in rings]
+    size = [_doubled(r) for r in rings] if size is None else size
     outers = [i for i, s in enumerate(size) if s > 0]
     number, count = {i: k for k, i in enumerate(outers)}, [0] * len(outers)
-    by_size = sorted(outers, key=lambda i: size[i])
-    boxes = {i: (*rings[i].min(axis=0), *rings[i].max(axis=0)) for i in outers}
+    index = None if len(outers) == len(rings) else _Boxes({i: (*rings[i].min(axis=0).tolist(), *rings[i].max(axis=0).tolist()) for i in outers})
     out = []
     for i, ring in enumerate(rings):
         if i in number:
             out.append((number[i], 0))
             continue
         # A point just outside the hole, where its area is: left of the middle of an edge.
-        (x1, y1), (x2, y2) = ring[0], ring[1]
+        (x1, y1), (x2, y2) = ring[:2].tolist()
         step = 1e-7
         x, y = (x1 + x2) / 2 - (y2 - y1) * step, (y1 + y2) / 2 + (x2 - x1) * step
-        home = next((o for o in by_size if boxes[o][0] <= x <= boxes[o][2] and boxes[o][1] <= y <= boxes[o][3] and _inside(x, y, rings[o])), None)
+        home = next((o for o in sorted(index.around(x, y), key=lambda o: (size[o], o)) if _inside(x, y, rings[o])), None)
         if home is None:
             out.append((-1, 0))
             continue
@@ -139,28 +171,74 @@ def nested(rings: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
+#: Points of rings that a task hands on at once.
+MOST_POINTS = 100_000
 RINGS = "polygon int, hole int, ring array<long>, points array<struct<lon:double,lat:double>>, doubled double"
 
 
+def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
+    """(key, nodes, positions) of rows that come in order of key: one key's edges at a time, however many batches they are in."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = batch.schema.names
+        col = lambda c: batch.column(names.index(c))
+        nodes, at = np.column_stack([col(c).to_numpy() for c in ("u", "v")]), np.column_stack([col(c).to_numpy() for c in ("x1", "y1", "x2", "y2")])
+        runs = pc.run_end_encode(col(key))
+        start = 0
+        for k, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+            if held and k != now:
+                yield now, *(np.concatenate(x) for x in zip(*held, strict=True))
+                held = []
+            now = k
+            held.append((nodes[start:end], at[start:end]))
+            start = end
+    if held:
+        yield now, *(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def polygons(border: DataFrame, key: str = "area") -> DataFrame:
     """Rows (key, polygon, hole, ring, points, doubled) of boundary edges: each ring with its nodes, the first again at the end.
 
     hole is 0 for an outer ring, holes are numbered from 1. doubled is twice the signed area
     in square degrees, negative for holes, so a key's sum is its area without holes. An
-    area's rings are found in one task: they are its result.
+    area's rings are found in one task: they are its result. A task gets its areas one after the other, in order of key.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        place = {}
-        for u, v, x1, y1, x2, y2 in zip(pdf.u, pdf.v, pdf.x1, pdf.y1, pdf.x2, pdf.y2, strict=True):
-            place[u], place[v] = (x1, y1), (x2, y2)
-        rings = traced(list(zip(map(int, pdf.u), map(int, pdf.v), strict=True)), place)
-        points = [np.array([place[n] for n in r]) for r in rings]
-        rows = [(pdf[key].iloc[0], p, h, r, [{"lon": x, "lat": y} for x, y in q.tolist()], _doubled(q)) for r, q, (p, h) in zip(rings, points, nested(points), strict=True) if p >= 0]
-        return pd.DataFrame(rows, columns=[key, "polygon", "hole", "ring", "points", "doubled"])
+    def run(batches):
+        rows: list[tuple] = []
+        kept = 0
+        for k, nodes, at in _by_key(batches, key):
+            ends, starts = nodes[:, 1].tolist(), nodes[:, 0].tolist()
+            place = dict(zip(starts, zip(at[:, 0].tolist(), at[:, 1].tolist(), strict=True), strict=True))
+            place.update(zip(ends, zip(at[:, 2].tolist(), at[:, 3].tolist(), strict=True), strict=True))
+            rings = traced(list(zip(starts, ends, strict=True)), place)
+            points = [np.array([place[n] for n in r]) for r in rings]
+            size = [_doubled(q) for q in points]
+            for r, q, d, (p, h) in zip(rings, points, size, nested(points, size), strict=True):
+                if p >= 0:
+                    rows.append((k, p, h, r, q, d))
+                    kept += len(r)
+                if kept > MOST_POINTS:
+                    yield batch(rows)
+                    rows, kept = [], 0
+        if rows:
+            yield batch(rows)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        k, p, h, r, q, d = zip(*rows, strict=True)
+        offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in r])]), pa.int32())
+        flat = np.concatenate(q)
+        at = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["lon", "lat"])
+        ring = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(r), pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(k, key_type), pa.array(p, pa.int32()), pa.array(h, pa.int32()), ring, pa.ListArray.from_arrays(offsets, at), pa.array(d, pa.float64())], [key, "polygon", "hole", "ring", "points", "doubled"])
 
     kind = dict(border.dtypes)[key]
-    return border.groupBy(key).applyInPandas(run, f"{key} {kind}, {RINGS}")
+    key_type = to_arrow_type(border.schema[key].dataType)
+    edges = border.select(key, F.col("u").cast("long"), F.col("v").cast("long"), "x1", "y1", "x2", "y2")
+    return edges.repartition(key).sortWithinPartitions(key).mapInArrow(run, f"{key} {kind}, {RINGS}")
 
 
 def of_ways(ways: DataFrame, nodes: DataFrame, key: str = "area") -> DataFrame:
@@ -199,10 +277,10 @@ def _arcs(ring: list[int], marked: set[int]) -> list[tuple[list[int], bool]]:
     return out
 
 
-def _kept(points: list[tuple[float, float]], tolerance: float, twin: bool) -> list[tuple[float, float]]:
-    """An arc with fewer points. A closed arc keeps three corners, one with a twin between the same ends keeps one point between, so that no ring collapses."""
+def _kept(points: list[tuple[float, float]], tolerance: float) -> tuple[list[tuple[float, float]], tuple[float, float] | None]:
+    """An arc with fewer points, and the point to keep besides if that leaves only its ends and they are another arc's as well. A closed arc keeps three corners, so that no ring collapses."""
     if len(points) < 3:
-        return points
+        return points, None
     away = lambda a, b: max(range(1, len(points) - 1), key=lambda i: (abs((b[0] - a[0]) * (a[1] - points[i][1]) - (a[0] - points[i][0]) * (b[1] - a[1])) if a != b else math.dist(a, points[i]), -i))
     if points[0] == points[-1]:
         far = away(points[0], points[0])
@@ -210,12 +288,10 @@ def _kept(points: list[tuple[float, float]], tolerance: float, twin: bool) -> li
         first, second = (simplified(h, tolerance) for h in halves)
         if len(first) + len(second) < 5:  # a needle: take the corner farthest from it
             k = away(points[0], points[far])
-            return [points[0], *(points[i] for i in sorted({far, k})), points[-1]]
-        return first[:-1] + second
+            return [points[0], *(points[i] for i in sorted({far, k})), points[-1]], None
+        return first[:-1] + second, None
     out = simplified(points, tolerance)
-    if twin and len(out) < 3:
-        out = [points[0], points[away(points[0], points[-1])], points[-1]]
-    return out
+    return out, points[away(points[0], points[-1])] if len(out) < 3 else None
 
 
 def simplified_rings(rings: DataFrame, tolerance: float, key: str = "area") -> DataFrame:
@@ -242,19 +318,24 @@ def simplified_rings(rings: DataFrame, tolerance: float, key: str = "area") -> D
     def thin(batches):
         for pdf in batches:
             rows = []
-            for arc, points, twins in zip(pdf["arc"], pdf["points"], pdf["twins"], strict=True):
+            for arc, points in zip(pdf["arc"], pdf["points"], strict=True):
                 line, at = [(q["lon"], q["lat"]) for q in points], {}
                 for n, q in zip(map(int, arc), line, strict=True):
                     at.setdefault(q, n)
-                rows.append((list(map(int, arc)), [{"node": at[q], "lon": q[0], "lat": q[1]} for q in _kept(line, tolerance, twins > 1)]))
-            yield pd.DataFrame(rows, columns=["arc", "kept"])
+                spot = lambda q: {"node": at[q], "lon": q[0], "lat": q[1]}
+                out, spare = _kept(line, tolerance)
+                rows.append((list(map(int, arc)), [spot(q) for q in out], None if spare is None else spot(spare)))
+            yield pd.DataFrame(rows, columns=["arc", "kept", "spare"])
 
     kind = dict(rings.dtypes)[key]
     arcs = whole.join(met, [key, "polygon", "hole"], "left").mapInPandas(cut, f"{key} {kind}, polygon int, hole int, place int, back boolean, arc array<long>, points array<struct<lon:double,lat:double>>")
     once = arcs.groupBy("arc").agg(F.first("points").alias("points"))
     ends = [F.least(F.get("arc", F.lit(0)), F.element_at("arc", -1)), F.greatest(F.get("arc", F.lit(0)), F.element_at("arc", -1))]
-    twins = once.withColumn("twins", F.count("*").over(Window.partitionBy(*ends)))
-    fewer = twins.mapInPandas(thin, "arc array<long>, kept array<struct<node:long,lon:double,lat:double>>")
+    spot = "struct<node:long,lon:double,lat:double>"
+    # Arcs of which nothing but common ends is left would lie on each other: only those keep one point more.
+    thinned = once.mapInPandas(thin, f"arc array<long>, kept array<{spot}>, spare {spot}").withColumn("straight", F.count(F.when(F.size("kept") == 2, 1)).over(Window.partitionBy(*ends)))
+    more = F.array(F.get("kept", F.lit(0)), F.col("spare"), F.element_at("kept", -1))
+    fewer = thinned.select("arc", F.when((F.col("straight") > 1) & F.col("spare").isNotNull(), more).otherwise(F.col("kept")).alias("kept"))
     turned = arcs.drop("points").join(fewer, "arc").withColumn("kept", F.when(F.col("back"), F.reverse("kept")).otherwise(F.col("kept")))
     inner = F.transform(F.array_sort(F.collect_list(F.struct("place", "kept"))), lambda s: F.slice(s["kept"], F.lit(1), F.size(s["kept"]) - 1))
     joined = turned.groupBy(key, "polygon", "hole").agg(F.flatten(inner).alias("open"))

@@ -1,4 +1,4 @@
-"""Outlines: rings out of pieces, areas out of rings. Works in pandas by group, as Spark has no polygons here."""
+"""Outlines: rings out of pieces, areas out of rings. Works in pandas by batches of groups, as Spark has no polygons here."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class _Ends:
@@ -58,15 +59,25 @@ def rings(pieces: list[list[int]]) -> tuple[list[list[int]], list[list[int]]]:
     return [x for x, w in zip(lines, whole, strict=True) if w], [x for x, w in zip(lines, whole, strict=True) if not w]
 
 
-def assembled(ways: DataFrame, key: str = "relation_id") -> DataFrame:
-    """Rows (key, ring, closed) of ways (key, role_place, nodes) joined in order of role_place for each relation."""
+def assembled(ways: DataFrame, key: str | list[str] = "relation_id") -> DataFrame:
+    """Rows (key, ring, closed) of ways (key, role_place, nodes) joined in order of role_place for each relation, of one place in order of nodes.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lists = [list(map(int, n)) for n in pdf.sort_values("role_place", kind="stable")["nodes"]]
-        closed, open_ = rings(lists)
-        return pd.DataFrame([(pdf[key].iloc[0], r, r in closed) for r in [*closed, *open_]], columns=[key, "ring", "closed"])
-
-    return ways.groupBy(key).applyInPandas(run, f"{key} long, ring array<long>, closed boolean")
+    Relations are gathered by an aggregate and worked on in batches, so that very many small ones cost no start each.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    kinds = dict(ways.dtypes)
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for *own, lists in zip(*(pdf[k] for k in keys), pdf["lists"], strict=True):
+                closed, open_ = rings([list(map(int, n)) for n in lists])
+                rows += [(*own, r, True) for r in closed] + [(*own, r, False) for r in open_]
+            yield pd.DataFrame(rows, columns=[*keys, "ring", "closed"])
+
+    parts = F.array_sort(F.collect_list(F.struct(F.col("role_place").isNull().alias("last"), "role_place", "nodes")))
+    gathered = ways.groupBy(*keys).agg(parts.alias("p")).select(*keys, F.transform("p", lambda w: w["nodes"]).alias("lists"))
+    return gathered.mapInPandas(run, f"{', '.join(f'{k} {kinds[k]}' for k in keys)}, ring array<long>, closed boolean")
 
 
 def simplified(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
