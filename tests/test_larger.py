@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tests.test_queries import rows
-from wayfold.operators import areas
+from wayfold.operators import areas, covering
 from wayfold.plans import area_queries, check_queries, list_queries, schema_queries, search_queries, small_queries, tile_queries  # noqa: F401  register their queries
 from wayfold.plans import queries as plans
 
@@ -66,3 +66,9 @@ def test_small_areas_cost_no_group_each(spark):
     nodes = spark.createDataFrame([(k, k % 3 % 2 * 1.0, k % 3 // 2 * 1.0) for k in range(30)], "id long, lon double, lat double")
     got = areas.of_ways(ways, nodes)
     assert got.count() == 10 and "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+
+
+def test_cells_carry_the_box_of_their_polygon(spark):
+    points = [(8.0, 54.0), (8.5, 54.0), (8.5, 54.2), (8.0, 54.2), (8.0, 54.0)]
+    rings = spark.createDataFrame([("a", 0, 0, points, 0.2)], "tag string, polygon int, hole int, points array<struct<lon:double,lat:double>>, doubled double")
+    assert {(r.west, r.south, r.east, r.north) for r in covering.covering(rings).collect()} == {(8.0, 54.0, 8.5, 54.2)}

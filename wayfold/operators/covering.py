@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 MOST_CELLS, DEEPEST = 256, 24
 #: Fixed value: the level of municipalities; areas above it have no variety of their own.
 MUNICIPALITY_LEVEL = 8
-CELLS = "polygon int, level int, cell long, full boolean"
+CELLS = "polygon int, level int, cell long, full boolean, west double, south double, east double, north double"
 
 
 def _touching(edges: np.ndarray, west: float, south: float, east: float, north: float) -> np.ndarray:
@@ -35,11 +35,22 @@ def _odd(edges: np.ndarray, x: float, y: float) -> bool:
     return bool(np.count_nonzero(x1 + (y - y1) / (y2 - y1) * (x2 - x1) > x) % 2)
 
 
+def _home(edges: np.ndarray, deepest: int) -> tuple[int, int, int]:
+    """The smallest cell (level, column, row) that has all edges well inside."""
+    x, y = edges[:, ::2], edges[:, 1::2]
+    low = int((x.min() - 1e-9 + 180) / 360 * 2**deepest // 1), int((y.min() - 1e-9 + 90) / 180 * 2**deepest // 1)
+    high = int((x.max() + 1e-9 + 180) / 360 * 2**deepest // 1), int((y.max() + 1e-9 + 90) / 180 * 2**deepest // 1)
+    if min(low) < 0 or max(high) >= 2**deepest:
+        return 0, 0, 0
+    up = max((a ^ b).bit_length() for a, b in zip(low, high, strict=True))
+    return deepest - up, low[0] >> up, low[1] >> up
+
+
 def cells_of(edges: np.ndarray, most: int = MOST_CELLS, deepest: int = DEEPEST) -> list[tuple[int, int, int, bool]]:
     """Cells (level, column, row, full) that cover a polygon of edges; the largest cells at a border are cut first, as long as the number allows."""
     box = lambda level, i, j: (-180 + i * 360 / 2**level, -90 + j * 180 / 2**level, -180 + (i + 1) * 360 / 2**level, -90 + (j + 1) * 180 / 2**level)
     full: list[tuple[int, int, int, bool]] = []
-    border = [(0, 0, 0, edges)]
+    border = [(*_home(edges, deepest), edges)]
     most = max(4, min(most, len(edges) + 8))
     while border:
         level = border[0][0]
@@ -60,15 +71,26 @@ def cells_of(edges: np.ndarray, most: int = MOST_CELLS, deepest: int = DEEPEST)
 
 
 def covering(rings: DataFrame, key: str = "tag", most: int = MOST_CELLS) -> DataFrame:
-    """Rows (key, polygon, level, cell, full) that cover each polygon of ``rings`` (see ``areas.polygons``): ``most`` cells a polygon, four at least."""
+    """Rows (key, polygon, level, cell, full, west, south, east, north: the box of the polygon) that cover each polygon of ``rings`` (see ``areas.polygons``): ``most`` cells a polygon, four at least."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for tag, polygon, *ends in zip(*(pdf[c] for c in (key, "polygon", "x1", "y1", "x2", "y2")), strict=True):
+                edges = np.column_stack(ends)
+                box = (*edges[:, :2].min(axis=0).tolist(), *edges[:, :2].max(axis=0).tolist())
+                rows += [(tag, polygon, level, (i << 32) + j, full, *box) for level, i, j, full in cells_of(edges, most)]
+            yield pd.DataFrame(rows, columns=[key, "polygon", "level", "cell", "full", "west", "south", "east", "north"])
+
+    whole = with_edges(rings, key).select(key, "polygon", *[F.col(f"edges.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return whole.mapInPandas(run, f"{key} {dict(rings.dtypes)[key]}, {CELLS}")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lines = [np.array([(q["lon"], q["lat"]) for q in points]) for points in pdf["points"]]
-        edges = np.concatenate([np.hstack([p[:-1], p[1:]]) for p in lines])
-        rows = [(pdf[key].iloc[0], pdf["polygon"].iloc[0], level, (i << 32) + j, full) for level, i, j, full in cells_of(edges, most)]
-        return pd.DataFrame(rows, columns=[key, "polygon", "level", "cell", "full"])
 
-    return rings.select(key, "polygon", "points").groupBy(key, "polygon").applyInPandas(run, f"{key} {dict(rings.dtypes)[key]}, {CELLS}")
+def with_edges(rings: DataFrame, key: str) -> DataFrame:
+    """Rows (key, polygon, edges, size) of rings: each polygon's edges (structs x1, y1, x2, y2), those of holes among them, and twice its area."""
+    steps = F.arrays_zip(F.slice("points", F.lit(1), F.size("points") - 1).alias("a"), F.slice("points", F.lit(2), F.size("points") - 1).alias("b"))
+    edges = F.transform(steps, lambda e: F.struct(e["a"]["lon"].alias("x1"), e["a"]["lat"].alias("y1"), e["b"]["lon"].alias("x2"), e["b"]["lat"].alias("y2")))
+    return rings.groupBy(key, "polygon").agg(F.flatten(F.collect_list(edges)).alias("edges"), F.sum("doubled").alias("size"))
 
 
 def _cell(lon: Column, lat: Column, level: Column) -> Column:
@@ -80,9 +102,11 @@ def _cell(lon: Column, lat: Column, level: Column) -> Column:
 def _inside(edges: Column, x: Column, y: Column) -> Column:
     """Whether edges (structs x1, y1, x2, y2) hold a point, those of holes among them; a point on an edge counts."""
     side = lambda e: (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
-    on = F.exists(edges, lambda e: (side(e) == 0) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
-    crossed = F.size(F.filter(edges, lambda e: ((e["y1"] > y) != (e["y2"] > y)) & F.when(e["y2"] > e["y1"], side(e) > 0).otherwise(side(e) < 0)))
-    return on | (crossed % 2 == 1)
+    on = lambda e: (side(e) == 0) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
+    crossed = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & F.when(e["y2"] > e["y1"], side(e) > 0).otherwise(side(e) < 0)
+    # Most edges are above or below the point: they go first, by the cheapest test. One on the point makes the sum negative for good.
+    level = F.filter(edges, lambda e: ((e["y1"] <= y) & (e["y2"] >= y)) | ((e["y2"] <= y) & (e["y1"] >= y)))
+    return F.aggregate(level, F.lit(0).cast("long"), lambda s, e: F.when(on(e), s - (1 << 40)).when(crossed(e), s + 1).otherwise(s), lambda s: (s < 0) | (s % 2 == 1))
 
 
 def covered_by(points: DataFrame, rings: DataFrame, keys: list[str], tag: str = "tag", cover: DataFrame | None = None) -> DataFrame:
@@ -90,10 +114,8 @@ def covered_by(points: DataFrame, rings: DataFrame, keys: list[str], tag: str =
     cover = covering(rings, tag) if cover is None else cover
     levels = [r["level"] for r in cover.select("level").distinct().collect()]
     at = points.where("lon IS NOT NULL AND lat IS NOT NULL").select(*keys, "lon", "lat", F.explode(F.array(*[F.lit(x) for x in sorted(levels)]).cast("array<int>")).alias("level"))
-    hits = at.withColumn("cell", _cell(F.col("lon"), F.col("lat"), F.col("level"))).join(cover, ["level", "cell"])
-    steps = F.arrays_zip(F.slice("points", F.lit(1), F.size("points") - 1).alias("a"), F.slice("points", F.lit(2), F.size("points") - 1).alias("b"))
-    edges = F.transform(steps, lambda e: F.struct(e["a"]["lon"].alias("x1"), e["a"]["lat"].alias("y1"), e["b"]["lon"].alias("x2"), e["b"]["lat"].alias("y2")))
-    whole = rings.groupBy(tag, "polygon").agg(F.flatten(F.collect_list(edges)).alias("edges"), F.sum("doubled").alias("size"))
+    hits = at.withColumn("cell", _cell(F.col("lon"), F.col("lat"), F.col("level"))).join(cover, ["level", "cell"]).where("lon BETWEEN west AND east AND lat BETWEEN south AND north")
+    whole = with_edges(rings, tag)
     sizes = whole.select(tag, "polygon", "size")
     sure = hits.where("full").select(*keys, tag, "polygon").join(sizes, [tag, "polygon"])
     tested = hits.where("NOT full").join(whole, [tag, "polygon"]).where(_inside(F.col("edges"), F.col("lon"), F.col("lat")))
