@@ -49,3 +49,12 @@ def test_a_tree_that_is_too_deep_is_an_error(spark):
 
 def test_no_expressions(spark):
     assert shown_keys(spark.createDataFrame([], "k int, e string"), "k", "e").count() == 0
+
+
+def test_nodes_are_not_limited_by_the_limit_of_recursive_queries(spark):
+    spark.conf.set("spark.sql.cteRecursionRowLimit", 20)
+    try:
+        rows = [(k, '["concat", ["get", "a"], "{b}"]') for k in range(30)]
+        assert shown_keys(spark.createDataFrame(rows, "k int, e string"), "k", "e").count() == 60
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")

@@ -1,12 +1,12 @@
-"""Keys that a nested expression shows, found by a recursive query over its tree."""
+"""Keys that a nested expression shows, found by a walk over its tree, level by level."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+
 #: Levels of an expression at most; a deeper one is an error.
 DEEPEST = 100
 
@@ -18,24 +18,24 @@ def shown_keys(expressions: DataFrame, key: str, expression: str) -> DataFrame:
     condition, output, ..., fallback]`` what its outputs and its fallback show, any other array
     what its elements show; other values show nothing. All expressions are walked level by
     level at once, so a query has as many steps as the deepest has levels. Text that is no JSON
-    counts as empty. A tree of more than DEEPEST levels is an error, as are more nodes than
-    ``spark.sql.cteRecursionRowLimit`` allows.
+    counts as empty. A tree of more than DEEPEST levels is an error. Levels are written to the
+    shared folder, so there may be any number of nodes; a recursive query would allow a fixed number.
     """
-    spark = expressions.sparkSession
-    name = f"expressions_{uuid.uuid4().hex}"
-    expressions.select(F.col(key).alias("id"), F.try_parse_json(expression).alias("v")).createOrReplaceTempView(name)
     is_array = "startswith(schema_of_variant(v), 'ARRAY')"
     first = "try_variant_get(v, '$[0]', 'string')"
     get = f"({first} <=> 'get' AND schema_of_variant(try_variant_get(v, '$[1]', 'variant')) <=> 'STRING')"
-    walked = spark.sql(f"""
-        WITH RECURSIVE tree(id, depth, text) MAX RECURSION LEVEL {DEEPEST} AS (
-            SELECT id, 0, to_json(v) FROM {name} WHERE v IS NOT NULL
-            UNION ALL
-            SELECT id, depth + 1, to_json(element) FROM (
-                SELECT id, depth, v, posexplode(try_variant_get(v, '$', 'array<variant>')) AS (place, element), size(try_variant_get(v, '$', 'array<variant>')) AS n
-                FROM (SELECT id, depth, parse_json(text) AS v FROM tree) WHERE {is_array} AND NOT {get})
-            WHERE NOT ({first} <=> 'case') OR (place > 0 AND (place % 2 = 0 OR place = n - 1)))
-        SELECT id, text FROM tree""")
+    level = cut(expressions.select(F.col(key).alias("id"), F.to_json(F.try_parse_json(expression)).alias("text")).where("text IS NOT NULL"), "expressions")
+    walked = level
+    for depth in range(DEEPEST + 1):
+        parents = level.select("id", F.parse_json("text").alias("v")).where(f"{is_array} AND NOT {get}")
+        if parents.isEmpty():
+            break
+        if depth == DEEPEST:
+            raise RecursionError(f"RECURSION: an expression has more than {DEEPEST} levels")
+        places = parents.selectExpr("id", "v", "posexplode(try_variant_get(v, '$', 'array<variant>')) AS (place, element)", "size(try_variant_get(v, '$', 'array<variant>')) AS n")
+        below = places.where(f"NOT ({first} <=> 'case') OR (place > 0 AND (place % 2 = 0 OR place = n - 1))")
+        level = cut(below.select("id", F.to_json("element").alias("text")), "expressions")
+        walked = walked.unionByName(level)
     v = F.parse_json("text")
     said = walked.select("id", v.alias("v")).withColumn("kind", F.schema_of_variant("v"))
     template = F.regexp_extract_all(F.try_variant_get("v", "$", "string"), F.lit(r"\{([^}]+)\}"), F.lit(1))
