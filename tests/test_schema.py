@@ -127,3 +127,12 @@ def test_null_values_and_the_telling_error(spark):
 def test_schemas_that_cannot_be_compiled(spark, schema):
     with pytest.raises(SchemaError):
         schema_errors(schema, F.col("v"))
+
+
+def test_a_schema_within_schemas_is_worked_out_once(spark):
+    deep = {"type": "string"}
+    for n in range(8):
+        deep = {"if": deep, "then": {"maxLength": n + 3}}
+    df = spark.createDataFrame([('"abcdefgh"',), ("5",)], "j string").select(schema_errors(deep, F.parse_json("j")).alias("e"))
+    assert len(df._jdf.queryExecution().analyzed().toString()) < 60_000
+    assert all(r.e is not None for r in df.collect())

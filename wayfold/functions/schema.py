@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column
@@ -19,79 +20,109 @@ class SchemaError(ValueError):
     """A schema that cannot be compiled."""
 
 
+RESULT = f"struct<errors:{ERRORS},seen:array<string>>"
+
+
 def _none() -> Column:
     return F.array().cast(ERRORS)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """What ``body`` makes of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _kind(v: Column) -> Column:
     """The JSON type of a variant: object, array, string, integer, number, boolean or null; null for no value.
 
     A number without a fraction is an integer, however it is written.
     """
-    said = F.schema_of_variant(v)
-    whole = F.when(said.startswith("BIGINT"), "integer").when(said.startswith("DECIMAL") | said.startswith("DOUBLE") | said.startswith("FLOAT"), F.when(F.try_variant_get(v, "$", "double") % 1 == 0, "integer").otherwise("number"))
-    for start, kind in (("OBJECT", "object"), ("ARRAY", "array"), ("STRING", "string"), ("BOOLEAN", "boolean"), ("VOID", "null")):
-        whole = F.when(said.startswith(start), kind).otherwise(whole)
-    return whole
+
+    def of(said: Column) -> Column:
+        whole = F.when(said.startswith("BIGINT"), "integer").when(said.startswith("DECIMAL") | said.startswith("DOUBLE") | said.startswith("FLOAT"), F.when(F.try_variant_get(v, "$", "double") % 1 == 0, "integer").otherwise("number"))
+        for start, kind in (("OBJECT", "object"), ("ARRAY", "array"), ("STRING", "string"), ("BOOLEAN", "boolean"), ("VOID", "null")):
+            whole = F.when(said.startswith(start), kind).otherwise(whole)
+        return whole
+
+    return _let(F.schema_of_variant(v), of)
+
+
+def _part(errors: Column, seen: Column | None = None) -> Column:
+    return F.struct(errors.alias("errors"), (_names([]) if seen is None else seen).alias("seen")).cast(RESULT)
+
+
+def _ok(result: Column) -> Column:
+    return F.size(result["errors"]) == 0
+
+
+def _seen_if(when: Column, result: Column) -> Column:
+    return F.when(when, result["seen"]).otherwise(_names([]))
 
 
-def _all(parts: list[Column]) -> Column:
-    return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else _none()
+#: Words that ask what the others have looked at.
+LATE = ("additionalProperties", "unevaluatedProperties")
+
+
+def _result(root: dict, schema: Any, value: Column, path: Column, depth: int = 0) -> Column:
+    """What a schema says of a value: struct(errors, seen), the keys it has looked at; each part of a schema is worked out once."""
+    if depth > DEPTH:
+        raise SchemaError(f"references are nested more than {DEPTH} deep")
+
+    def body(facts: Column) -> Column:
+        one = _Schema(root, facts, path, depth)
+        one.read(schema, False)
+
+        def finish(parts: Column) -> Column:
+            one.parts, one.looked = [], F.flatten(F.transform(parts, lambda p: p["seen"]))
+            one.read(schema, True)
+            errors = F.flatten(F.transform(parts, lambda p: p["errors"]))
+            return F.struct(F.concat(errors, *[p["errors"] for p in one.parts]).alias("errors"), one.looked.alias("seen"))
+
+        return _let(F.array(_part(_none()), *one.parts), finish)
+
+    return _let(F.struct(value.alias("value"), _kind(value).alias("kind"), F.try_variant_get(value, "$", "map<string,variant>").alias("members")), body)
 
 
 class _Schema:
-    """What one schema says of one value: its errors, and which keys it has looked at, each list of keys under a condition."""
+    """What the words of one schema say of one value, part by part."""
 
-    def __init__(self, root: dict, schema: Any, value: Column, path: Column, depth: int = 0):
-        if depth > DEPTH:
-            raise SchemaError(f"references are nested more than {DEPTH} deep")
-        self.root, self.value, self.path, self.depth = root, value, path, depth
+    def __init__(self, root: dict, facts: Column, path: Column, depth: int):
+        self.root, self.path, self.depth = root, path, depth
+        self.value, self.kind, self.members = facts["value"], facts["kind"], facts["members"]
+        self.keys = F.map_keys(self.members)
         self.parts: list[Column] = []
-        self.seen: list[tuple[Column, list[str]]] = []
-        self.kind = _kind(value)
-        self.keys = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+        self.looked = _names([])
+
+    def read(self, schema: Any, late: bool) -> None:
         if schema is True:
             schema = {}
         if schema is False:
-            self.fail(F.lit(True), "false", "no value is allowed here")
+            if not late:
+                self.fail(F.lit(True), "false", "no value is allowed here")
             schema = {}
-        late = ("additionalProperties", "unevaluatedProperties")
-        for word in sorted(schema, key=lambda w: w in late):
-            if word in SILENT:
+        for word in schema:
+            if word in SILENT or (word in LATE) != late:
                 continue
             rule = getattr(self, "_" + word.replace("$", "").lower(), None)
             if rule is None:
                 raise SchemaError(f"unknown keyword {word}")
             rule(schema[word], schema)
 
-    @property
-    def errors(self) -> Column:
-        return _all(self.parts)
-
-    @property
-    def ok(self) -> Column:
-        return F.size(self.errors) == 0
-
     def fail(self, when: Column, word: str, message: Column | str, path: Column | None = None) -> None:
         text = message if isinstance(message, Column) else F.lit(message)
         one = F.array(F.struct((self.path if path is None else path).alias("path"), F.lit(word).alias("keyword"), text.alias("message")))
-        self.parts.append(F.when(F.coalesce(when, F.lit(False)), one).otherwise(_none()))
+        self.parts.append(_part(F.when(F.coalesce(when, F.lit(False)), one).otherwise(_none())))
 
-    def under(self, schema: Any, value: Column | None = None, path: Column | None = None) -> _Schema:
-        return _Schema(self.root, schema, self.value if value is None else value, self.path if path is None else path, self.depth + 1)
+    def under(self, schema: Any, value: Column | None = None, path: Column | None = None) -> Column:
+        return _result(self.root, schema, self.value if value is None else value, self.path if path is None else path, self.depth + 1)
 
-    def take(self, other: _Schema, when: Column | None = None) -> None:
-        """Another schema of the same value holds, where ``when`` does; what it looked at counts only if it found no error."""
-        self.parts.append(other.errors if when is None else F.when(when, other.errors).otherwise(_none()))
-        for cond, names in other.seen:
-            self.seen.append((cond & other.ok if when is None else cond & other.ok & when, names))
+    def take(self, schema: Any) -> None:
+        """Another schema of the same value holds; what it looked at counts only if it found no error."""
+        self.parts.append(_let(self.under(schema), lambda r: _part(r["errors"], _seen_if(_ok(r), r))))
 
     def shown(self) -> Column:
         return F.to_json(self.value)
 
-    def inner(self, name: str) -> Column:
-        return F.try_variant_get(self.value, "$", "map<string,variant>")[name]
-
     def child(self, name: Column | str) -> Column:
         text = F.lit(name) if isinstance(name, str) else name
         return F.concat(self.path, F.when(self.path == "", "").otherwise("/"), text)
@@ -105,7 +136,7 @@ class _Schema:
                 found = found[step.replace("~1", "/").replace("~0", "~")]
             except (KeyError, TypeError) as e:
                 raise SchemaError(f"{ref} is not there") from e
-        self.take(self.under(found))
+        self.take(found)
 
     def _type(self, types: str | list[str], _: dict) -> None:
         types = [types] if isinstance(types, str) else types
@@ -167,27 +198,28 @@ class _Schema:
     def _properties(self, each: dict, _: dict) -> None:
         for name, schema in each.items():
             there = (self.kind == "object") & F.array_contains(self.keys, name)
-            self.parts.append(F.when(there, self.under(schema, self.inner(name), self.child(name)).errors).otherwise(_none()))
-        self.seen.append((F.lit(True), list(each)))
+            self.parts.append(_part(F.when(there, self.under(schema, self.members[name], self.child(name))["errors"]).otherwise(_none())))
+        self.parts.append(_part(_none(), _names(list(each))))
 
     def _items(self, schema: Any, _: dict) -> None:
         elements = F.try_variant_get(self.value, "$", "array<variant>")
-        each = F.transform(elements, lambda v, i: self.under(schema, v, self.child(i.cast("string"))).errors)
-        self.parts.append(F.when(self.kind == "array", F.flatten(each)).otherwise(_none()))
+        each = F.transform(elements, lambda v, i: self.under(schema, v, self.child(i.cast("string")))["errors"])
+        self.parts.append(_part(F.when(self.kind == "array", F.flatten(each)).otherwise(_none())))
 
     def _minitems(self, n: int, _: dict) -> None:
         self.fail((self.kind == "array") & (F.size(F.try_variant_get(self.value, "$", "array<variant>")) < n), "minItems", F.concat(self.shown(), F.lit(" is too short")))
 
     def _allof(self, schemas: list, _: dict) -> None:
         for s in schemas:
-            self.take(self.under(s))
+            self.take(s)
 
     def _choice(self, word: str, schemas: list, good, says: str) -> None:
-        each = [self.under(s) for s in schemas]
-        passed = sum((F.when(s.ok, 1).otherwise(0) for s in each), F.lit(0))
-        self.fail(~good(passed), word, F.concat(self.shown(), F.lit(f" is valid under {says} of the given schemas")))
-        for s in each:
-            self.seen += [(cond & s.ok, names) for cond, names in s.seen]
+        def chosen(each: Column) -> Column:
+            passed = F.filter(each, _ok)
+            one = F.array(F.struct(self.path.alias("path"), F.lit(word).alias("keyword"), F.concat(self.shown(), F.lit(f" is valid under {says} of the given schemas")).alias("message")))
+            return _part(F.when(good(F.size(passed)), _none()).otherwise(one), F.flatten(F.transform(passed, lambda r: r["seen"])))
+
+        self.parts.append(_let(F.array(*[self.under(s).cast(RESULT) for s in schemas]), chosen))
 
     def _oneof(self, schemas: list, _: dict) -> None:
         self._choice("oneOf", schemas, lambda n: n == 1, "none or several")
@@ -196,14 +228,15 @@ class _Schema:
         self._choice("anyOf", schemas, lambda n: n >= 1, "none")
 
     def _not(self, schema: Any, _: dict) -> None:
-        self.fail(self.under(schema).ok, "not", F.concat(self.shown(), F.lit(" should not be valid under the given schema")))
+        self.fail(_ok(self.under(schema)), "not", F.concat(self.shown(), F.lit(" should not be valid under the given schema")))
 
     def _if(self, schema: Any, whole: dict) -> None:
-        test = self.under(schema)
-        self.seen += [(cond & test.ok, names) for cond, names in test.seen]
-        for word, when in (("then", test.ok), ("else", ~test.ok)):
-            if word in whole:
-                self.take(self.under(whole[word]), when)
+        def judged(test: Column) -> Column:
+            of = {w: self.under(whole[w]) if w in whole else F.struct(_none().alias("errors"), _names([]).alias("seen")) for w in ("then", "else")}
+            held = F.when(_ok(test), of["then"].cast(RESULT)).otherwise(of["else"].cast(RESULT))
+            return _let(held, lambda r: _part(r["errors"], F.concat(_seen_if(_ok(test), test), _seen_if(_ok(r), r))))
+
+        self.parts.append(_let(self.under(schema), judged))
 
     def _beyond(self, word: str, allowed: Any, known: list[Column]) -> None:
         if allowed is True:
@@ -220,7 +253,7 @@ class _Schema:
         self._beyond("additionalProperties", allowed, [_names(list(whole.get("properties", {})))])
 
     def _unevaluatedproperties(self, allowed: Any, _: dict) -> None:
-        self._beyond("unevaluatedProperties", allowed, [F.when(cond, _names(names)).otherwise(_names([])) for cond, names in self.seen])
+        self._beyond("unevaluatedProperties", allowed, [self.looked])
 
 
 def _names(names: list[str]) -> Column:
@@ -237,7 +270,7 @@ def schema_errors(schema: dict | bool, value: Column) -> Column:
     the value itself. Patterns are regular expressions of Java.
     """
     root = schema if isinstance(schema, dict) else {}
-    return F.when(value.isNotNull(), _Schema(root, schema, value, F.lit("")).errors)
+    return F.when(value.isNotNull(), _result(root, schema, value, F.lit(""))["errors"])
 
 
 def first_problem(errors: Column, label: str = "") -> Column:
