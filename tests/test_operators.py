@@ -1,6 +1,8 @@
 import itertools
+import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -197,3 +199,32 @@ def test_made_points(spark):
     df = spark.createDataFrame([("b", "hamlet", {"name:frr": "F"}, {"place": ""}), ("a", "hamlet", {}, {"name": "N"}), ("c", None, {}, None)], "slug string, place string, names map<string,string>, changes map<string,string>")
     got = {r.slug: (r.id, r.t) for r in tuning.made_objects(df, 100).withColumn("t", tuning.point_tags(F.col("place"), F.col("slug"), F.col("names"), F.col("changes"))).collect()}
     assert got == {"a": (101, {"place": "hamlet", "name": "N"}), "b": (102, None), "c": (103, None)}
+
+
+def test_many_members_are_grouped_as_one_by_one(spark):
+    import random
+    import time
+
+    from wayfold.operators.clustering import first_fit
+
+    rng = random.Random(4)
+    rows = [(0, i, rng.choice("nw"), 8 + rng.random() / 3, 54 + rng.random() / 3, rng.choice([{"place": "village"}, {"waterway": "river"}, {"highway": "path"}, {}, {}])) for i in range(120)]
+
+    def km(a, b):
+        p, q = math.radians(a[4]), math.radians(b[4])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[3] - a[3]) / 2) ** 2
+        return 12742 * math.asin(math.sqrt(h))
+
+    core = lambda r: r[2] == "n" and "place" in r[5]
+    far = lambda r: (30 if "waterway" in r[5] else 5 if "highway" in r[5] else 3) if r[2] == "w" else 3
+    want = []
+    for r in rows:
+        home = next((g for g in want if any(km(r, m) <= (1 if core(r) and core(m) else max(far(r), far(m))) for m in g)), None)
+        home.append(r) if home else want.append([r])
+    df = spark.createDataFrame(rows, "g int, id int, t string, lon double, lat double, tags map<string,string>")
+    got = clustering.clusters(df, ["g"], ["id"]).orderBy("cluster").collect()
+    assert [[m.id for m in r.members] for r in got] == [[m[1] for m in g] for g in want]
+    # A long list takes a moment, not minutes.
+    lon, lat = (np.random.default_rng(1).uniform(a, a + 1, 8000) for a in (8, 54))
+    start = time.process_time()
+    assert len(first_fit(lon, lat, np.zeros(8000, bool), np.full(8000, np.nan))) == 8000 and time.process_time() - start < 10

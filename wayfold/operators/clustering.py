@@ -2,27 +2,62 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import same_feature
+from ..constants import CLUSTER_KM, CORE_KM, EARTH_KM
+from ..functions.geo import is_core, linear_km
 
 
-def greedy(members: Column, same=same_feature) -> Column:
-    """Group an array, in order: each joins the first group with any member it is the same as.
+def first_fit(lon: np.ndarray, lat: np.ndarray, core: np.ndarray, linear: np.ndarray) -> np.ndarray:
+    """The number of each place's group: each joins the first group with any member within their reach (``geo.reach_of``).
 
-    Groups are never merged, so the order counts. The result is an array of arrays. The
-    fold keeps to codegen-free array functions, in time of the square of the array; it is
-    meant for the candidates of one name.
+    Groups are never merged, so the order counts. Unknown positions and lengths are nan; a place without
+    a position is a group of its own. Distances are compared as chords, and only those
+    next to the reach as great circles.
     """
-    empty = F.slice(F.array(members), F.lit(1), F.lit(0))
+    p, q = np.radians(lat), np.radians(lon)
+    at = np.stack([np.cos(p) * np.cos(q), np.cos(p) * np.sin(q), np.sin(p)])
+    far = np.where(np.isnan(linear), CLUSTER_KM, linear)
+    chord = lambda km: 4 * np.sin(km / (2 * EARTH_KM)) ** 2
+    limit, close, numbers, groups = chord(far), chord(CORE_KM), np.zeros(len(lon), dtype=np.int32), 0
+    for i in range(len(lon)):
+        d = (at[0, :i] - at[0, i]) ** 2 + (at[1, :i] - at[1, i]) ** 2 + (at[2, :i] - at[2, i]) ** 2
+        most = np.maximum(limit[:i], limit[i])
+        if core[i]:
+            most = np.where(core[:i], close, most)
+        near = np.flatnonzero(d <= most * (1 + 1e-9))
+        doubt = d[near] >= most[near] * (1 - 1e-9)
+        if doubt.any():
+            j = near[doubt]
+            a = np.sin((p[j] - p[i]) / 2) ** 2 + np.cos(p[i]) * np.cos(p[j]) * np.sin(np.radians(lon[j] - lon[i]) / 2) ** 2
+            reach = np.where(core[j] & core[i], CORE_KM, np.maximum(far[j], far[i]))
+            near = np.concatenate([near[~doubt], j[2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(a, 1))) <= reach]])
+        if len(near):
+            numbers[i] = numbers[near].min()
+        else:
+            numbers[i], groups = groups, groups + 1
+    return numbers
 
-    def place(groups: Column, m: Column) -> Column:
-        at = F.array_position(F.transform(groups, lambda g: F.exists(g, lambda x: same(m, x))), F.lit(True))
-        grown = F.transform(groups, lambda g, i: F.when(i + 1 == at, F.concat(g, F.array(m))).otherwise(g))
-        return F.when(at > 0, grown).otherwise(F.concat(groups, F.array(F.array(m))))
 
-    return F.aggregate(members, empty, place)
+def group_numbers(lon: pd.Series, lat: pd.Series, core: pd.Series, linear: pd.Series) -> pd.Series:
+    floats = lambda x: np.asarray(x, dtype=np.float64)
+    return pd.Series([first_fit(floats(a), floats(b), np.asarray(c, dtype=bool), floats(d)) for a, b, c, d in zip(lon, lat, core, linear, strict=True)])
+
+
+def greedy(packed: DataFrame, by: list[str], members: str, core, linear) -> DataFrame:
+    """Rows (by..., cluster, members): the array ``members`` of each row grouped greedily, in order; ``core`` and ``linear`` tell of a member what ``geo.reach_of`` asks.
+
+    The members of a row are held by one task, as each looks at all before it.
+    """
+    of = lambda f: F.transform(members, f)
+    numbers = F.pandas_udf(group_numbers, "array<int>")(of(lambda m: m["lon"].cast("double")), of(lambda m: m["lat"].cast("double")), of(lambda m: F.coalesce(core(m), F.lit(False))), of(lambda m: linear(m).cast("double")))
+    each = packed.withColumn("__n", numbers).select(*by, F.posexplode(F.arrays_zip(F.col(members).alias("m"), F.col("__n").alias("n"))).alias("__at", "__x"))
+    placed = F.collect_list(F.struct(F.col("__at").alias("at"), F.col("__x.m").alias("m")))
+    grouped = each.groupBy(*by, F.col("__x.n").alias("cluster")).agg(F.array_sort(placed, lambda x, y: x["at"] - y["at"]).alias("members"))
+    return grouped.withColumn("members", F.transform("members", lambda x: x["m"]))
 
 
 def centred(group: Column) -> Column:
@@ -37,5 +72,5 @@ def clusters(objects: DataFrame, by: list[str], order: list[str], fields: tuple[
     ranked = F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*fields).alias("m")))
     packed = objects.groupBy(*by).agg(F.array_sort(ranked, lambda x, y: F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0)).alias("a"))
     members = packed.select(*by, F.transform("a", lambda x: x["m"]).alias("members"))
-    each = members.select(*by, F.posexplode(greedy(F.col("members"))).alias("cluster", "members"))
+    each = greedy(members, by, "members", lambda m: is_core(m["t"], m["tags"]), lambda m: linear_km(m["t"], m["tags"]))
     return each.withColumn("c", centred(F.col("members"))).select(*by, "cluster", "members", "c.lon", "c.lat")

@@ -73,7 +73,7 @@ def _tiers(plausible: DataFrame) -> DataFrame:
     both = F.when(F.col("best"), F.when(F.col("n_all") > F.col("n_best"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).otherwise(F.array(F.lit(1)))
     member = F.struct("place", "t", "id", "lon", "lat", "core", "linear", "minor")
     packed = plausible.select("row_id", F.explode(both).alias("tier"), member.alias("m")).groupBy("row_id", "tier").agg(F.array_sort(F.collect_list("m")).alias("all"))
-    each = packed.select("row_id", "tier", F.posexplode(clustering.greedy(F.col("all"), _same)).alias("cluster", "members"))
+    each = clustering.greedy(packed, ["row_id", "tier"], "all", lambda m: m["core"], lambda m: m["linear"])
     return each.withColumn("c", clustering.centred(F.col("members"))).select("row_id", "tier", "cluster", "members", "c.lon", "c.lat")
 
 
