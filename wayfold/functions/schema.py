@@ -27,12 +27,16 @@ def _none() -> Column:
     return F.array().cast(ERRORS)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """What ``body`` makes of a value that is worked out once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+#: Schemas within schemas up to which values are bound; the analyzer bounds how deep lambdas nest, so deeper ones repeat expressions.
+BOUND = 4
 
 
-def _kind(v: Column) -> Column:
+def _let(value, body: Callable, inline: bool = False):
+    """What ``body`` makes of a value that is worked out once, however often the body names it; or of its expression."""
+    return body(value) if inline else F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _kind(v: Column, inline: bool) -> Column:
     """The JSON type of a variant: object, array, string, integer, number, boolean or null; null for no value.
 
     A number without a fraction is an integer, however it is written.
@@ -44,18 +48,14 @@ def _kind(v: Column) -> Column:
             whole = F.when(said.startswith(start), kind).otherwise(whole)
         return whole
 
-    return _let(F.schema_of_variant(v), of)
-
-
-def _part(errors: Column, seen: Column | None = None) -> Column:
-    return F.struct(errors.alias("errors"), (_names([]) if seen is None else seen).alias("seen")).cast(RESULT)
+    return _let(F.schema_of_variant(v), of, inline)
 
 
-def _ok(result: Column) -> Column:
+def _ok(result) -> Column:
     return F.size(result["errors"]) == 0
 
 
-def _seen_if(when: Column, result: Column) -> Column:
+def _seen_if(when: Column, result) -> Column:
     return F.when(when, result["seen"]).otherwise(_names([]))
 
 
@@ -63,36 +63,47 @@ def _seen_if(when: Column, result: Column) -> Column:
 LATE = ("additionalProperties", "unevaluatedProperties")
 
 
-def _result(root: dict, schema: Any, value: Column, path: Column, depth: int = 0) -> Column:
-    """What a schema says of a value: struct(errors, seen), the keys it has looked at; each part of a schema is worked out once."""
+def _result(root: dict, schema: Any, value: Column, path: Column, depth: int = 0):
+    """What a schema says of a value: errors and seen, the keys it has looked at, as a struct, or as a dict of expressions below BOUND."""
     if depth > DEPTH:
         raise SchemaError(f"references are nested more than {DEPTH} deep")
 
-    def body(facts: Column) -> Column:
+    inline = depth >= BOUND
+
+    def body(facts):
         one = _Schema(root, facts, path, depth)
         one.read(schema, False)
 
-        def finish(parts: Column) -> Column:
-            one.parts, one.looked = [], F.flatten(F.transform(parts, lambda p: p["seen"]))
+        def finish(parts):
+            each = lambda k: F.concat(*[p[k] for p in parts]) if inline else F.flatten(F.transform(parts, lambda p: p[k]))
+            one.parts, one.looked = [], each("seen")
             one.read(schema, True)
-            errors = F.flatten(F.transform(parts, lambda p: p["errors"]))
-            return F.struct(F.concat(errors, *[p["errors"] for p in one.parts]).alias("errors"), one.looked.alias("seen"))
+            return one.result(F.concat(each("errors"), *[p["errors"] for p in one.parts]), one.looked)
 
-        return _let(F.array(_part(_none()), *one.parts), finish)
+        parts = [one.part(_none()), *one.parts]
+        return _let(parts if inline else F.array(*parts), finish, inline)
 
-    return _let(F.struct(value.alias("value"), _kind(value).alias("kind"), F.try_variant_get(value, "$", "map<string,variant>").alias("members")), body)
+    facts = {"value": value, "kind": _kind(value, inline), "members": F.try_variant_get(value, "$", "map<string,variant>")}
+    return _let(facts if inline else F.struct(*[c.alias(k) for k, c in facts.items()]), body, inline)
 
 
 class _Schema:
     """What the words of one schema say of one value, part by part."""
 
-    def __init__(self, root: dict, facts: Column, path: Column, depth: int):
-        self.root, self.path, self.depth = root, path, depth
+    def __init__(self, root: dict, facts, path: Column, depth: int):
+        self.root, self.path, self.depth, self.inline = root, path, depth, depth >= BOUND
         self.value, self.kind, self.members = facts["value"], facts["kind"], facts["members"]
         self.keys = F.map_keys(self.members)
-        self.parts: list[Column] = []
+        self.parts: list = []
         self.looked = _names([])
 
+    def result(self, errors: Column, seen: Column):
+        return {"errors": errors, "seen": seen} if self.inline else F.struct(errors.alias("errors"), seen.alias("seen"))
+
+    def part(self, errors: Column, seen: Column | None = None):
+        got = self.result(errors, _names([]) if seen is None else seen)
+        return got if self.inline else got.cast(RESULT)
+
     def read(self, schema: Any, late: bool) -> None:
         if schema is True:
             schema = {}
@@ -111,14 +122,15 @@ class _Schema:
     def fail(self, when: Column, word: str, message: Column | str, path: Column | None = None) -> None:
         text = message if isinstance(message, Column) else F.lit(message)
         one = F.array(F.struct((self.path if path is None else path).alias("path"), F.lit(word).alias("keyword"), text.alias("message")))
-        self.parts.append(_part(F.when(F.coalesce(when, F.lit(False)), one).otherwise(_none())))
+        self.parts.append(self.part(F.when(F.coalesce(when, F.lit(False)), one).otherwise(_none())))
 
-    def under(self, schema: Any, value: Column | None = None, path: Column | None = None) -> Column:
-        return _result(self.root, schema, self.value if value is None else value, self.path if path is None else path, self.depth + 1)
+    def under(self, schema: Any, value: Column | None = None, path: Column | None = None):
+        got = _result(self.root, schema, self.value if value is None else value, self.path if path is None else path, self.depth + 1)
+        return self.part(**got) if isinstance(got, dict) else got.cast(RESULT)
 
     def take(self, schema: Any) -> None:
         """Another schema of the same value holds; what it looked at counts only if it found no error."""
-        self.parts.append(_let(self.under(schema), lambda r: _part(r["errors"], _seen_if(_ok(r), r))))
+        self.parts.append(_let(self.under(schema), lambda r: self.part(r["errors"], _seen_if(_ok(r), r)), self.inline))
 
     def shown(self) -> Column:
         return F.to_json(self.value)
@@ -198,13 +210,13 @@ class _Schema:
     def _properties(self, each: dict, _: dict) -> None:
         for name, schema in each.items():
             there = (self.kind == "object") & F.array_contains(self.keys, name)
-            self.parts.append(_part(F.when(there, self.under(schema, self.members[name], self.child(name))["errors"]).otherwise(_none())))
-        self.parts.append(_part(_none(), _names(list(each))))
+            self.parts.append(self.part(F.when(there, self.under(schema, self.members[name], self.child(name))["errors"]).otherwise(_none())))
+        self.parts.append(self.part(_none(), _names(list(each))))
 
     def _items(self, schema: Any, _: dict) -> None:
         elements = F.try_variant_get(self.value, "$", "array<variant>")
         each = F.transform(elements, lambda v, i: self.under(schema, v, self.child(i.cast("string")))["errors"])
-        self.parts.append(_part(F.when(self.kind == "array", F.flatten(each)).otherwise(_none())))
+        self.parts.append(self.part(F.when(self.kind == "array", F.flatten(each)).otherwise(_none())))
 
     def _minitems(self, n: int, _: dict) -> None:
         self.fail((self.kind == "array") & (F.size(F.try_variant_get(self.value, "$", "array<variant>")) < n), "minItems", F.concat(self.shown(), F.lit(" is too short")))
@@ -214,12 +226,16 @@ class _Schema:
             self.take(s)
 
     def _choice(self, word: str, schemas: list, good, says: str) -> None:
-        def chosen(each: Column) -> Column:
-            passed = F.filter(each, _ok)
+        def chosen(each):
+            if self.inline:
+                passed, seen = sum((F.when(_ok(r), 1).otherwise(0) for r in each), F.lit(0)), F.concat(*[_seen_if(_ok(r), r) for r in each])
+            else:
+                passed, seen = F.size(F.filter(each, _ok)), F.flatten(F.transform(F.filter(each, _ok), lambda r: r["seen"]))
             one = F.array(F.struct(self.path.alias("path"), F.lit(word).alias("keyword"), F.concat(self.shown(), F.lit(f" is valid under {says} of the given schemas")).alias("message")))
-            return _part(F.when(good(F.size(passed)), _none()).otherwise(one), F.flatten(F.transform(passed, lambda r: r["seen"])))
+            return self.part(F.when(good(passed), _none()).otherwise(one), seen)
 
-        self.parts.append(_let(F.array(*[self.under(s).cast(RESULT) for s in schemas]), chosen))
+        each = [self.under(s) for s in schemas]
+        self.parts.append(_let(each if self.inline else F.array(*each), chosen, self.inline))
 
     def _oneof(self, schemas: list, _: dict) -> None:
         self._choice("oneOf", schemas, lambda n: n == 1, "none or several")
@@ -231,12 +247,13 @@ class _Schema:
         self.fail(_ok(self.under(schema)), "not", F.concat(self.shown(), F.lit(" should not be valid under the given schema")))
 
     def _if(self, schema: Any, whole: dict) -> None:
-        def judged(test: Column) -> Column:
-            of = {w: self.under(whole[w]) if w in whole else F.struct(_none().alias("errors"), _names([]).alias("seen")) for w in ("then", "else")}
-            held = F.when(_ok(test), of["then"].cast(RESULT)).otherwise(of["else"].cast(RESULT))
-            return _let(held, lambda r: _part(r["errors"], F.concat(_seen_if(_ok(test), test), _seen_if(_ok(r), r))))
+        def judged(test):
+            of = {w: self.under(whole[w]) if w in whole else self.part(_none()) for w in ("then", "else")}
+            pick = lambda k: F.when(_ok(test), of["then"][k]).otherwise(of["else"][k])
+            held = self.part(pick("errors"), pick("seen")) if self.inline else F.when(_ok(test), of["then"]).otherwise(of["else"])
+            return _let(held, lambda r: self.part(r["errors"], F.concat(_seen_if(_ok(test), test), _seen_if(_ok(r), r))), self.inline)
 
-        self.parts.append(_let(self.under(schema), judged))
+        self.parts.append(_let(self.under(schema), judged, self.inline))
 
     def _beyond(self, word: str, allowed: Any, known: list[Column]) -> None:
         if allowed is True:
