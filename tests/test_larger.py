@@ -5,6 +5,7 @@ import time
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_queries import rows
 from wayfold.operators import areas, covering
@@ -86,3 +87,16 @@ SCAN = {
 def test_the_scan_counts_no_relation_without_a_position(same):
     assert same("candidate_scan", **SCAN)
     assert same("relation_positions", **SCAN)
+
+
+def test_letters_of_the_first_block_are_not_split(spark):
+    from wayfold.operators import checks
+
+    df = spark.createDataFrame([("b", "aé\n😀 漢"), ("a", "я" * 50), ("c", ""), ("d", None), ("e", "ő")], "label string, text string")
+    got = {r.block: r.label for r in checks.offending_blocks(df, "text", ["256-511"], "label").collect()}
+    assert got == {"0-255": "b", "1024-1279": "a", "28416-28671": "b", "128512-128767": "b"}
+    rows = spark.range(40).select(F.col("id").cast("string").alias("label"), F.repeat(F.lit("plain letters "), 20_000).alias("text"))
+    found = checks.offending_blocks(rows, "text", [], "label")
+    # Only what is left without the first block's letters is split.
+    assert "split(regexp_replace(" in found._jdf.queryExecution().analyzed().toString()
+    assert found.collect() == [("0-255", "0")]

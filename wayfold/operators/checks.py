@@ -63,7 +63,11 @@ def offending_blocks(labels: DataFrame, text: str, available: list[str], label:
     """The first label (the text itself, or another column) of each block of 256 code points that is not available."""
     from ..functions.text import block_of
 
-    each = labels.select(F.col(label or text).alias("label"), F.explode(F.array_distinct(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long")))).alias("code"))
+    # Most letters are of the first block, which is told without splitting the text.
+    code = lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long")
+    rest = F.filter(F.array_distinct(F.split(F.regexp_replace(text, r"[\x00-\x{FF}]+", ""), "")), lambda c: c != "")
+    codes = F.concat(F.when(F.col(text).rlike(r"[\x00-\x{FF}]"), F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<bigint>")), F.transform(rest, code))
+    each = labels.select(F.col(label or text).alias("label"), F.explode(codes).alias("code"))
     return each.withColumn("block", block_of("code")).where(~F.col("block").isin(*available)).groupBy("block").agg(F.min("label").alias("label"))
 
 
