@@ -70,6 +70,27 @@ def test_within_equals_all_pairs(spark):
     assert got == {(r.i, r.j) for r in every.collect()} and got
 
 
+def test_within_deals_out_a_full_cell(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "PAIRS_OF_PART", 50)
+    monkeypatch.setattr(spatial, "PAIRS_OF_TASK", 200)
+    rng = random.Random(5)
+    at = lambda i: (i, 8.0 + rng.random() * 0.01, 54.5 + rng.random() * 0.01)
+    left, right = spark.createDataFrame([at(i) for i in range(60)], "i int, lon double, lat double"), spark.createDataFrame([at(i) for i in range(40)], "j int, lon double, lat double")
+    pairs = spatial.within(left, right, 3.0)
+    by_task = [r.n for r in pairs.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).withColumnRenamed("count(1)", "n").collect()]
+    assert pairs.count() == pairs.select("i", "j").distinct().count() == 60 * 40
+    assert len(by_task) > 4 and max(by_task) < 60 * 40 // 2
+
+
+def test_within_finds_a_pair_straight_north_at_the_very_distance(spark):
+    """Rows of cells were lower than the distance by a ten-thousandth of it."""
+    high = 100.0 / 111.32 * 1.001
+    low = 60 * high + high - 1e-7
+    left = spark.createDataFrame([(1, 8.0, low)], "i int, lon double, lat double")
+    right = spark.createDataFrame([(1, 8.0, low + 99.999 / 6371.0 * 180 / 3.141592653589793)], "j int, lon double, lat double")
+    assert spatial.within(left, right, 100.0).count() == spatial.within(right.withColumnRenamed("j", "i"), left.withColumnRenamed("i", "j"), 100.0).count() == 1
+
+
 def test_smallest_area_by_ring_and_edge(spark):
     box = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
     areas = spark.createDataFrame([("big", [tuple(map(float, p)) for p in box(0, 0, 4)]), ("small", [tuple(map(float, p)) for p in box(1, 1, 1)])], "tag string, ring array<struct<lon:double,lat:double>>")

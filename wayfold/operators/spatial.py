@@ -2,32 +2,45 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import KM_PER_DEGREE
 from ..functions.geo import covers, haversine, ring_km2
-
+from ..sources.tables import cut
 
 #: Latitude up to which pairs are found; beyond it a degree of longitude is next to nothing.
 MOST_LATITUDE = 88.0
+#: Pairs of rows in neighbouring cells that a part of a cell, and a task, hold against each other.
+PAIRS_OF_PART, PAIRS_OF_TASK = 2_000_000, 8_000_000
+
+
+def _high(km):
+    """Degrees of latitude that are a little more than ``km``: the height of a row of cells."""
+    return km / KM_PER_DEGREE * 1.01
+
 
+def _wide(row: Column, km) -> Column:
+    """The width in degrees of the cells of a row: the distance at the latitude that its neighbours reach on the side of the pole."""
+    high = _high(km)
+    return high / F.cos(F.radians(F.least(F.greatest(F.abs(row * high), F.abs((row + 1) * high)) + high, F.lit(89.5))))
 
-def _cells(lon: Column, lat: Column, km: float, around: bool) -> Column:
+
+def _cells(lon: Column, lat: Column, km, around: bool) -> Column:
     """The cell of a point, or all cells that points within ``km`` of it can be in, as packed longs.
 
-    Rows of cells are as high as the distance. A row's cells are as wide as the distance is at
-    the latitude that its neighbours reach on the side of the pole, so of each of three rows three cells are enough.
+    Rows of cells are as high as the distance, and a row's cells as wide, so of each of three rows three cells are enough.
     """
-    high = km / KM_PER_DEGREE * 1.001
-    row = F.floor(lat / high)
+    row = F.floor(lat / _high(km))
+    cells = lambda y, steps: [(F.floor(lon / _wide(y, km)) + x) * F.lit(1 << 32) + y for x in steps]
+    return F.array(*[c for b in (-1, 0, 1) for c in cells(row + b, (-1, 0, 1))]) if around else F.array(*cells(row, (0,)))
 
-    def cells(y: Column, steps: tuple[int, ...]) -> list[Column]:
-        reach = F.least(F.greatest(F.abs(y * high), F.abs((y + 1) * high)) + high, F.lit(89.5))
-        x = F.floor(lon / (high / F.cos(F.radians(reach))))
-        return [(x + a) * F.lit(1 << 32) + y for a in steps]
 
-    return F.array(*[c for b in (-1, 0, 1) for c in cells(row + b, (-1, 0, 1))]) if around else F.array(*cells(row, (0,)))
+def _far(c: Column, km: float) -> Column:
+    """A latitude, or an error where it is too near to a pole for pairs within ``km``."""
+    return F.when(F.abs(c) + km / KM_PER_DEGREE > MOST_LATITUDE, F.raise_error(F.lit("too near to a pole")).cast("double")).otherwise(c)
 
 
 def within(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
@@ -36,11 +49,26 @@ def within(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     The right side is put into the nine cells around each row, the left into its own. Rows
     without a position pair with none. A latitude beyond MOST_LATITUDE is an error, as is a
     distance that reaches beyond; pairs across the 180th meridian are not looked for.
+
+    Pairs are counted by cell first, and the left rows of a full cell are dealt out, so that a
+    task makes about PAIRS_OF_TASK of them however many there are and wherever they lie.
     """
-    far = lambda c: F.when(F.abs(c) + km / KM_PER_DEGREE > MOST_LATITUDE, F.raise_error(F.lit("too near to a pole")).cast("double")).otherwise(c)
-    a = left.withColumn("__cell", F.explode(_cells(F.col("lon"), far(F.col("lat")), km, False)))
-    b = right.withColumnsRenamed({"lon": "lon2", "lat": "lat2"}).withColumn("__cell", F.explode(_cells(F.col("lon2"), far(F.col("lat2")), km, True)))
-    return a.join(b, "__cell").withColumn("km", haversine("lon", "lat", "lon2", "lat2")).where(F.col("km") <= km).drop("__cell")
+    a = left.withColumn("__cell", F.get(_cells(F.col("lon"), _far(F.col("lat"), km), km, False), F.lit(0))).where("__cell IS NOT NULL")
+    b = right.withColumnsRenamed({"lon": "lon2", "lat": "lat2"}).withColumn("__cell", F.explode(_cells(F.col("lon2"), _far(F.col("lat2"), km), km, True))).where("__cell IS NOT NULL")
+    count = lambda rows, n: rows.groupBy("__cell").agg(F.count("*").alias(n))
+    both = count(a, "__n").join(count(b, "__m"), "__cell").withColumn("__pairs", F.col("__n") * F.col("__m"))
+    cells = cut(both.select("__cell", "__pairs", F.ceil(F.col("__pairs") / PAIRS_OF_PART).alias("__parts")), "pair-cells")
+    pairs = cells.agg(F.sum("__pairs")).first()[0] or 0
+    tasks = max(1, math.ceil(pairs / PAIRS_OF_TASK), min(pairs // PAIRS_OF_PART, left.sparkSession.sparkContext.defaultParallelism))
+    # A row's part depends on what it holds and not on where it was read, so that a task done again deals alike.
+    plain = [c for c, t in left.dtypes if not t.startswith(("map", "array", "struct", "variant"))]
+    parts = cells.select("__cell", "__parts")
+    a = a.join(parts, "__cell").withColumn("__part", F.pmod(F.xxhash64(*plain), "__parts")).drop("__parts").repartition(tasks, "__cell", "__part")
+    b = b.join(parts, "__cell").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1))).drop("__parts").repartition(tasks, "__cell", "__part")
+    # The box around a row spares most of the pairs that are too far the sines.
+    boxed = (F.abs(F.col("lat2") - F.col("lat")) <= _high(km)) & (F.abs(F.col("lon2") - F.col("lon")) <= F.col("__wide"))
+    a = a.withColumn("__wide", _wide(F.floor(F.col("lat") / _high(km)), km))
+    return a.join(b.hint("shuffle_hash"), ["__cell", "__part"]).where(boxed).withColumn("km", haversine("lon", "lat", "lon2", "lat2")).where(F.col("km") <= km).drop("__cell", "__part", "__wide")
 
 
 def nearest(left: DataFrame, right: DataFrame, key: list[str], km: float, order: list[Column]) -> DataFrame:
