@@ -3,6 +3,8 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from tests.test_areas import Map, covered, square
 from wayfold.operators import areas, covering, spatial
@@ -89,3 +91,27 @@ def test_a_pole_is_an_error(spark):
     df = lambda c: spark.createDataFrame([(1, 0.0, 88.5)], f"{c} int, lon double, lat double")
     with pytest.raises(Exception, match="pole"):
         spatial.within(df("i"), df("j"), 1.0).collect()
+
+
+@pytest.mark.parametrize("n, ranks", [(6, 4), (60, 3), (300, 25), (300, 300)])
+def test_the_nearest_of_the_least_rank_equals_all_pairs(spark, n, ranks):
+    rng = random.Random(n + ranks)
+    at = lambda: (8 + rng.randint(0, 400) / 1000, 54.5 + rng.randint(0, 250) / 1000)
+    a = [(k, *at()) for k in range(150)] + [(900, None, 54.5)]
+    b = [(k, None if k % 17 == 16 else rng.randint(1, ranks), *at()) for k in range(n)]
+    left, right = spark.createDataFrame(a, "i int, lon double, lat double"), spark.createDataFrame(b, "j int, r int, lon double, lat double")
+    every = spatial.within(left, right, 10.0).withColumn("n", F.row_number().over(Window.partitionBy("i").orderBy(F.col("r").asc_nulls_last(), "km", "j"))).where("n = 1")
+    got = spatial.nearest(left, right, ["i"], 10.0, F.col("r"), F.col("j"))
+    assert {(x.i, x.j) for x in got.collect()} == {(x.i, x.j) for x in every.collect()}
+
+
+def test_the_nearest_is_found_without_making_all_pairs(spark, monkeypatch):
+    """Before, a row was held against each row within the distance, whatever its rank."""
+    made = []
+    pairs = spatial._pairs
+    monkeypatch.setattr(spatial, "_pairs", lambda *a: made.append(pairs(*a)) or made[-1])
+    rng = random.Random(9)
+    at = lambda k: (k, 8 + rng.random() * 0.02, 54.5 + rng.random() * 0.01)
+    left, right = spark.createDataFrame([at(k) for k in range(200)], "i int, lon double, lat double"), spark.createDataFrame([at(k) for k in range(300)], "j int, lon double, lat double")
+    got = spatial.nearest(left, right, ["i"], 10.0, F.lit(1), F.col("j"))
+    assert got.count() == 200 and sum(m.count() for m in made) < 100

@@ -15,6 +15,8 @@ from ..sources.tables import cut
 MOST_LATITUDE = 88.0
 #: Pairs of rows in neighbouring cells that a part of a cell, and a task, hold against each other.
 PAIRS_OF_PART, PAIRS_OF_TASK = 2_000_000, 8_000_000
+#: Sizes of cells among which a search for the nearest row chooses, each half of the one before.
+LEVELS = 12
 
 
 def _high(km):
@@ -53,8 +55,12 @@ def within(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     Pairs are counted by cell first, and the left rows of a full cell are dealt out, so that a
     task makes about PAIRS_OF_TASK of them however many there are and wherever they lie.
     """
-    a = left.withColumn("__cell", F.get(_cells(F.col("lon"), _far(F.col("lat"), km), km, False), F.lit(0))).where("__cell IS NOT NULL")
-    b = right.withColumnsRenamed({"lon": "lon2", "lat": "lat2"}).withColumn("__cell", F.explode(_cells(F.col("lon2"), _far(F.col("lat2"), km), km, True))).where("__cell IS NOT NULL")
+    return _pairs(*[side.withColumn("lat", _far(F.col("lat"), km)) for side in (left, right)], km)
+
+
+def _pairs(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
+    a = left.withColumn("__cell", F.get(_cells(F.col("lon"), F.col("lat"), km, False), F.lit(0))).where("__cell IS NOT NULL")
+    b = right.withColumnsRenamed({"lon": "lon2", "lat": "lat2"}).withColumn("__cell", F.explode(_cells(F.col("lon2"), F.col("lat2"), km, True))).where("__cell IS NOT NULL")
     count = lambda rows, n: rows.groupBy("__cell").agg(F.count("*").alias(n))
     both = count(a, "__n").join(count(b, "__m"), "__cell").withColumn("__pairs", F.col("__n") * F.col("__m"))
     cells = cut(both.select("__cell", "__pairs", F.ceil(F.col("__pairs") / PAIRS_OF_PART).alias("__parts")), "pair-cells")
@@ -71,10 +77,64 @@ def within(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     return a.join(b.hint("shuffle_hash"), ["__cell", "__part"]).where(boxed).withColumn("km", haversine("lon", "lat", "lon2", "lat2")).where(F.col("km") <= km).drop("__cell", "__part", "__wide")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: list[str], km: float, order: list[Column]) -> DataFrame:
-    """For each left key the first pair within ``km`` in ``order`` (km is a column), if any."""
-    pairs = within(left, right, km)
-    return pairs.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
+def _least_ranks(places: DataFrame, right: DataFrame, km: float) -> DataFrame:
+    """Places (lon, lat) with ``__rank``: the least rank of the right rows (lon2, lat2, __rank) within ``km``; places without any are left out.
+
+    Cells of both sides are held against each other first: where a cell is near as a whole, its
+    ranks are sure, and only rows of lesser ranks in cells that are near in part are looked at.
+    """
+    side = km / 5
+    row = lambda lat: F.floor(lat / _high(side))
+    in_cell = lambda rows, lon, lat, y, x: rows.withColumn(y, row(F.col(lat))).withColumn(x, F.floor(F.col(lon) / _wide(F.col(y), side)))
+
+    def centred(cells: DataFrame, y: str, x: str, reach: str) -> DataFrame:
+        """Cells with their middle (lon, lat) and the distance from it to the farthest corner."""
+        wide, south = _wide(F.col(y), side), F.col(y) * _high(side)
+        out = cells.withColumns({"lon": (F.col(x) + 0.5) * wide, "lat": south + _high(side) / 2})
+        corner = lambda lat: haversine("lon", "lat", F.col(x) * wide, lat)
+        return out.withColumn(reach, F.greatest(corner(south), corner(south + _high(side))) * 1.001)
+
+    a, b = cut(in_cell(places, "lon", "lat", "__y", "__x"), "near-places"), cut(in_cell(right, "lon2", "lat2", "__v", "__u"), "near-others")
+    # The middles of cells that hold a pair are farther apart by two half diagonals at most.
+    middles = _pairs(centred(a.select("__y", "__x").distinct(), "__y", "__x", "__r"), centred(b.select("__v", "__u", "__rank").distinct(), "__v", "__u", "__s"), km * 1.35)
+    middles = cut(middles.where(F.col("km") <= km + F.col("__r") + F.col("__s")).select("__y", "__x", "__v", "__u", "__rank", (F.col("km") + F.col("__r") + F.col("__s") <= km).alias("__whole")), "near-cells")
+    sure = middles.where("__whole").groupBy("__y", "__x").agg(F.min("__rank").alias("__sure"))
+    maybe = middles.where("not __whole").join(sure, ["__y", "__x"], "left").where(F.col("__sure").isNull() | (F.col("__rank") < F.col("__sure"))).drop("__whole", "__sure")
+    tried = a.join(maybe, ["__y", "__x"]).join(b, ["__v", "__u", "__rank"]).where(haversine("lon", "lat", "lon2", "lat2") <= km)
+    found = tried.groupBy("lon", "lat").agg(F.min("__rank").alias("__found"))
+    both = a.join(sure, ["__y", "__x"], "left").join(found, ["lon", "lat"], "left")
+    return both.select("lon", "lat", F.least("__sure", "__found").alias("__rank")).where("__rank IS NOT NULL")
+
+
+def nearest(left: DataFrame, right: DataFrame, key: list[str], km: float, rank: Column, tie: Column) -> DataFrame:
+    """For each left key the right row within ``km`` of the least rank, of those the nearest, of those the first by ``tie``; none without any.
+
+    ``rank`` (a number, unknown ones last) and ``tie`` are columns of the right side. The rest is as in ``within``, but not all pairs are
+    made: a place's least rank is found by cells, and the nearest row of that rank in cells of
+    about the distance of one that is known. So the pairs do not grow with how many rows are near.
+    """
+    a = left.withColumn("lat", _far(F.col("lat"), km))
+    others = right.withColumnsRenamed({"lon": "lon2", "lat": "lat2"}).withColumns({"lat2": _far(F.col("lat2"), km), "__rank": F.coalesce(rank.cast("double"), F.lit(float("inf"))), "__tie": tie})
+    others = others.where("lon2 IS NOT NULL AND lat2 IS NOT NULL")
+    first = Window.partitionBy("lon2", "lat2", "__rank").orderBy("__tie")
+    others = cut(others.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n"), "nearest-others")
+    places = a.select("lon", "lat").where("lon IS NOT NULL AND lat IS NOT NULL").distinct()
+    ranked = cut(_least_ranks(places, others.select("lon2", "lat2", "__rank"), km), "nearest-ranks")
+
+    # Cells of halved sizes: a row of the rank in a place's own cell says how far the nearest is at most.
+    at = lambda level: F.lit(km) / F.pow(F.lit(2.0), level)
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
+    own = lambda rows, lon, lat: rows.withColumn("__level", levels).withColumn("__cell", F.get(_cells(F.col(lon), F.col(lat), at(F.col("__level")), False), F.lit(0)))
+    grid = own(others, "lon2", "lat2")
+    one = grid.groupBy("__rank", "__level", "__cell").agg(F.min(F.struct("lon2", "lat2")).alias("__one"))
+    known = own(ranked, "lon", "lat").join(one, ["__rank", "__level", "__cell"], "left").groupBy("lon", "lat", "__rank").agg(F.min(haversine("lon", "lat", F.col("__one.lon2"), F.col("__one.lat2"))).alias("__most"))
+    finest = F.floor(F.log2(F.lit(km) / F.greatest(F.coalesce("__most", F.lit(km)), F.lit(km / 2**LEVELS))) - 1e-6)
+    known = known.withColumn("__level", F.greatest(F.least(finest, F.lit(LEVELS - 1)), F.lit(0)).cast("int"))
+    around = known.withColumn("__cell", F.explode(_cells(F.col("lon"), F.col("lat"), at(F.col("__level")), True))).drop("__most")
+    near = around.join(grid, ["__rank", "__level", "__cell"]).withColumn("km", haversine("lon", "lat", "lon2", "lat2")).where(F.col("km") <= km)
+    best = near.withColumn("__n", F.row_number().over(Window.partitionBy("lon", "lat").orderBy("km", "__tie"))).where("__n = 1").drop("__n", "__level", "__cell")
+    pairs = a.join(best, ["lon", "lat"])
+    return pairs.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy("__rank", "km", "__tie"))).where("__n = 1").drop("__n", "__rank", "__tie")
 
 
 def in_boxes(points: DataFrame, boxes: DataFrame, degrees: float = 0.25) -> DataFrame:

@@ -145,4 +145,4 @@ def borrowed_items(spark: SparkSession, d: str) -> DataFrame:
 
     o = table(spark, d, "orders").select("o_orderkey", lon_of("o_orderkey").alias("lon"), lat_of("o_orderkey").alias("lat"))
     b = placed(table(spark, d, "nation"), "n_nationkey").where("n_nationkey % 3 > 0").select("n_nationkey", "n_regionkey", "lon", "lat")
-    return spatial.nearest(o, b, ["o_orderkey"], 10.0, [-F.col("n_regionkey"), F.col("km"), F.concat(F.lit("Q"), F.col("n_nationkey").cast("string"))]).select("o_orderkey", "n_nationkey")
+    return spatial.nearest(o, b, ["o_orderkey"], 10.0, -F.col("n_regionkey"), F.concat(F.lit("Q"), F.col("n_nationkey").cast("string"))).select("o_orderkey", "n_nationkey")
