@@ -138,3 +138,20 @@ def test_tags_go_by_row_then_own_name_then_tuning(spark):
     assert {r.id: (dict(r.added), r.how) for r in got.collect()} == {
         1: ({"name": "", "place": "island"}, "row"), 2: ({LOCAL: "S2", DIALECT: "nds"}, "osm"), 3: ({}, "row"), 4: ({"x": "y"}, None), 5: ({}, None), 6: ({}, None), 7: ({}, None), 8: ({}, None),
     }
+
+
+def test_list_rows_are_parsed_once_by_as_many_tasks_as_there_are_rows_for(spark, monkeypatch):
+    """Before, a list in one file was parsed by one task, and again by each check and by the order of problems."""
+    monkeypatch.setattr(listcheck, "ROWS_OF_TASK", 10)
+    rows = spark.range(95).selectExpr("id AS line", "concat('way/', id) AS osm").coalesce(1)
+    got = listcheck.dealt(rows, "rows", F.spark_partition_id().alias("task"))
+    assert got.select("line").distinct().count() == 95 and got.select("task").distinct().count() == 10
+
+
+def test_plain_names_are_told_from_those_to_be_looked_at(spark):
+    from wayfold.functions.text import cell_problem
+
+    cells = ["Naibel", "Sönke-Nissen Koog 2", "St. Peter's", "", None, " A", "A ", "A  B", "A?", "A; A", "A;B", "A (x", "A (x) b", "A\n", "A\u00a0", "A, A", "A / A", "Å’b #1"]
+    got = {r.c: r.m for r in spark.createDataFrame([(c,) for c in cells], "c string").select("c", cell_problem("c").alias("m")).collect()}
+    assert all(got[c] is None for c in ("Naibel", "Sönke-Nissen Koog 2", "St. Peter's", "", None, "Å’b #1"))
+    assert all(got[c] for c in ("A  B", "A?", "A; A", "A;B", "A (x", "A (x) b"))

@@ -241,8 +241,10 @@ def cell_problem(c: Column | str) -> Column:
     ])), lambda m: m.isNotNull())
     names = F.transform(parts(c), lambda p: p["name"])
     twice = F.filter(names, lambda n, i: F.array_position(names, n) <= i)
+    # Most names have nothing that could be wrong, which one pattern tells.
+    plain = c.rlike(r"^[\p{L}\p{M}\p{N}#'’.-]+(?: [\p{L}\p{M}\p{N}#'’.-]+)*\z")
     return _first([
-        (c == "", F.lit(None).cast("string")), ((depths["least"] < 0) | (depths["most"] > 1), F.lit("unbalanced or nested brackets")), (depths["now"] != 0, F.lit("unbalanced brackets")),
+        ((c == "") | plain, F.lit(None).cast("string")), ((depths["least"] < 0) | (depths["most"] > 1), F.lit("unbalanced or nested brackets")), (depths["now"] != 0, F.lit("unbalanced brackets")),
         (c.rlike(r"(?U)\s;|;(?! \S)"), F.lit("variants are separated by `; ` (no space before, one after)")), (F.size(told) > 0, F.get(told, F.lit(0))),
         (F.size(twice) > 0, F.concat(F.array_join(twice, ", "), F.lit(" twice"))),
     ])

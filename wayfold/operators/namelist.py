@@ -48,9 +48,9 @@ def with_added_columns(rows: DataFrame, layout: list[str]) -> DataFrame:
     return rows.select(*[F.col(c) if c in rows.columns else F.lit("").alias(c) for c in layout], *own)
 
 
-def row_rules() -> list[tuple[Column, Column]]:
-    """The rules of one row, in order: kind, status, references, item, and no item beside a local reference."""
-    kind, status, item, refs = cell("kind"), cell("status"), cell("wikidata"), text.parse_refs("osm")
+def row_rules(refs: Column | None = None) -> list[tuple[Column, Column]]:
+    """The rules of one row, in order: kind, status, references (parsed already, if given), item, and no item beside a local reference."""
+    kind, status, item, refs = cell("kind"), cell("status"), cell("wikidata"), text.parse_refs("osm") if refs is None else refs
     local = F.coalesce(text.local_of(refs).isNotNull(), F.lit(False))
     quoted = lambda what, c, more="": F.concat(F.lit(f"{what} '"), c, F.lit(f"'{more}"))
     return [
@@ -59,9 +59,9 @@ def row_rules() -> list[tuple[Column, Column]]:
     ]
 
 
-def row_problems(rows: DataFrame) -> DataFrame:
+def row_problems(rows: DataFrame, refs: Column | None = None) -> DataFrame:
     """Rows (line, seq, message) for each rule that a row of the list breaks."""
-    each = F.array(*[F.when(test, F.struct(F.lit(i).alias("seq"), what.alias("message"))) for i, (test, what) in enumerate(row_rules())])
+    each = F.array(*[F.when(test, F.struct(F.lit(i).alias("seq"), what.alias("message"))) for i, (test, what) in enumerate(row_rules(refs))])
     return rows.select("line", F.explode(F.filter(each, lambda p: p.isNotNull())).alias("p")).select("line", "p.seq", "p.message")
 
 
