@@ -249,3 +249,40 @@ def test_many_members_are_grouped_as_one_by_one(spark):
     lon, lat = (np.random.default_rng(1).uniform(a, a + 1, 8000) for a in (8, 54))
     start = time.process_time()
     assert len(first_fit(lon, lat, np.zeros(8000, bool), np.full(8000, np.nan))) == 8000 and time.process_time() - start < 10
+
+
+def test_what_is_near_is_what_each_pair_says(spark):
+    from wayfold.operators.clustering import any_near
+
+    rng = np.random.default_rng(5)
+    places = lambda n, span: [8 + span * rng.random(n), 54 + span * rng.random(n), rng.random(n) < 0.5, rng.choice([np.nan, 5.0, 30.0], n, p=[0.8, 0.15, 0.05])]
+    mine, others = places(300, 3), places(40, 3)
+    mine[0][:3], others[1][:2] = np.nan, np.nan
+    p, q = np.radians(mine[1])[:, None], np.radians(others[1])[None]
+    h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(others[0][None] - mine[0][:, None]) / 2) ** 2
+    far = np.maximum(np.nan_to_num(mine[3], nan=3)[:, None], np.nan_to_num(others[3], nan=3)[None])
+    want = (12742 * np.arcsin(np.sqrt(h)) <= np.where(mine[2][:, None] & others[2][None], 1, far)).any(axis=1)
+    assert 10 < want.sum() < 290 and (any_near(mine, others) == want).all()
+    assert any_near(mine, [x[:0] for x in others]).sum() == 0 and len(any_near([x[:0] for x in mine], others)) == 0
+
+
+def test_grouping_grows_with_members_not_with_pairs():
+    import time
+
+    from wayfold.operators.clustering import first_fit
+
+    def took(n):
+        lon, lat = (np.random.default_rng(1).uniform(a, a + 1, n) for a in (8, 54))
+        start = time.process_time()
+        assert len(first_fit(lon, lat, np.zeros(n, bool), np.full(n, np.nan))) == n
+        return time.process_time() - start
+
+    # Pairs would be sixteen times as many.
+    assert took(60_000) < 9 * max(took(15_000), 0.2)
+
+
+def test_norm_of_plain_and_other_letters(spark):
+    from wayfold.functions.text import norm
+
+    df = spark.createDataFrame([("Sankt Peter-Ording",), ("Ærø  Straße",), ("ÅBENRÅ",), ("Kiel_x",), ("ﬁn é",), (None,)], "s string")
+    assert [r[0] for r in df.select(norm("s")).collect()] == ["sankt peter ording", "aeroe strasse", "aabenraa", "kiel x", "fin e", ""]

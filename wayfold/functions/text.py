@@ -54,10 +54,12 @@ def norm(c: Column | str) -> Column:
     goes, and white space is collapsed. Null gives the empty string. Compatibility
     decomposition covers Latin letters.
     """
-    c = F.lower(strip(F.coalesce(_col(c), F.lit(""))))
+    c = low = F.lower(strip(F.coalesce(_col(c), F.lit(""))))
     for a, b in SPELT_OUT.items():
         c = F.replace(c, F.lit(a), F.lit(b))
-    c = F.regexp_replace(_plain(c), PUNCTUATION, " ")
+    # A text of ASCII letters has nothing to spell out or to decompose.
+    c = F.when(low.rlike(r"[^\x00-\x7F]"), _plain(c)).otherwise(low)
+    c = F.regexp_replace(c, PUNCTUATION, " ")
     c = F.regexp_replace(c, r"(?U)[^\w ]+", "")
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..constants import BOUNDARY_KM, GERMAN_NAME_POINTS, ITEM_POINTS, KM_PER_POINT, MINOR_PLACE_KM, MINOR_PLACES, SEPARATION_KM, UNPLACED_KM
 from ..functions import geo, tags
 from ..functions.text import norm, variants
-from ..operators import claims, clustering, kinds, lookup, matching
+from ..operators import claims, clustering, kinds, listcheck, lookup, matching
 from ..sources.tables import cut
 
 FAR = float("inf")
@@ -41,13 +41,16 @@ def candidates(rows: DataFrame, objects: DataFrame, index: DataFrame | None = No
     ``rows`` has row_id, line, kind, de, da and hint. ``place`` is the order in which the
     row's names find objects: name by name, source by source (``matching.source_place``),
     nodes before ways before relations, by id. Of an object that several sources have the last one counts.
+    ``objects`` may have ``marks`` already.
     """
+    if "marks" not in objects.columns:
+        objects = objects.withColumn("marks", kinds.marks(F.struct("t", "tags")))
     index = matching.name_index(objects) if index is None else index
     asked = rows.select("row_id", "line", "kind", F.posexplode(query_names("de", "da")).alias("q", "name")).withColumn("key", norm("name")).where("key <> ''")
     hits = asked.join(index, "key").withColumn("of", matching.source_place("src", sources)).groupBy("row_id", "line", "kind", "t", "id").agg(
         F.min("rank").alias("rank"), F.bool_and("byname").alias("byname"), F.min(F.struct("q", "of")).alias("first"), F.max("of").alias("last")
     )
-    found = hits.withColumn("src", F.col("last.name")).join(objects.select("src", "t", "id", "lon", "lat", "tags", kinds.marks(F.struct("t", "tags")).alias("marks")), ["src", "t", "id"]).withColumn("rule", kinds.rule_of(F.col("kind")))
+    found = hits.withColumn("src", F.col("last.name")).join(objects.select("src", "t", "id", "lon", "lat", "tags", "marks"), ["src", "t", "id"]).withColumn("rule", kinds.rule_of(F.col("kind")))
     item = F.coalesce(F.col("tags")["wikidata"], F.lit(""))
     km = geo.km_or(geo.from_centre("lon", "lat"), UNPLACED_KM)
     own = F.when(item != "", ITEM_POINTS).otherwise(0) + F.when(tags.tag(F.col("tags"), "name:de"), GERMAN_NAME_POINTS).otherwise(0)
@@ -63,11 +66,6 @@ def candidates(rows: DataFrame, objects: DataFrame, index: DataFrame | None = No
     )
 
 
-def _same(a, b) -> Column:
-    """Whether two candidates (structs lon, lat, core, linear) describe one feature."""
-    return F.coalesce(geo.haversine(a["lon"], a["lat"], b["lon"], b["lat"]) <= geo.reach_of(a["core"], a["linear"], b["core"], b["linear"]), F.lit(False))
-
-
 def _tiers(plausible: DataFrame) -> DataFrame:
     """Clusters (row_id, tier, cluster, lon, lat, members) of the best name hits (tier 0) and, where there are weaker ones, of all (tier 1)."""
     both = F.when(F.col("best"), F.when(F.col("n_all") > F.col("n_best"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).otherwise(F.array(F.lit(1)))
@@ -129,13 +127,14 @@ def decide(rows: DataFrame, found: DataFrame, held: DataFrame) -> DataFrame:
     out = cut(out.join(clusters.select("row_id", "tier", "cluster", "members"), ["row_id", "tier", "cluster"], "left"), "match-winners")
 
     # What speaks against a winner: a weaker hit at home that is no part of it, or a part of it that another row holds.
-    inside = F.exists("members", lambda m: (m["t"] == F.col("t")) & (m["id"] == F.col("id")))
-    weak = cands.where("in2 and not best").where(geo.in_box("lon", "lat")).select("row_id", "t", "id").join(out.select("row_id", "members"), "row_id").where(~inside)
-    me = F.struct("lon", "lat", "core", "linear")
-    part = F.exists("members", lambda m: _same(me, m))
+    # Members are joined by their own keys or looked at once for a row, as a winner may have very many and so may what is held against it.
+    inside = out.select("row_id", F.explode("members").alias("m")).select("row_id", "m.t", "m.id")
+    weak = cands.where("in2 and not best").where(geo.in_box("lon", "lat")).select("row_id", "t", "id").join(inside, ["row_id", "t", "id"], "left_anti")
     taken = cands.where("holder IS NOT NULL").withColumn("note", F.concat(matching.ref_text("t", "id"), F.lit(" is taken by row "), "holder"))
     note = lambda df: df.groupBy("row_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "note"))), lambda x: x["note"]), "; ").alias("note"))
-    parts = note(taken.where("covers and not (given and byname)").join(out.select("row_id", "members"), "row_id").where(part).select("row_id", "place", "note"))
+    others = taken.where("covers and not (given and byname)").select("row_id", F.struct("place", "note", "lon", "lat", "core", "linear").alias("o")).groupBy("row_id").agg(F.collect_list("o").alias("others"))
+    near = clustering.near("others", "members", lambda m: m["core"], lambda m: m["linear"])
+    parts = note(others.join(out.where("members IS NOT NULL").select("row_id", "members"), "row_id").select("row_id", F.explode(near).alias("o")).select("row_id", "o.place", "o.note"))
     out = out.join(weak.select("row_id").distinct().withColumn("weak", F.lit(True)), "row_id", "left").join(parts.withColumnRenamed("note", "held_note"), "row_id", "left").join(note(taken).withColumnRenamed("note", "taken_note"), "row_id", "left")
     none, won = F.coalesce("n_free", F.lit(0)) == 0, F.col("cluster").isNotNull()
     review = F.col("suspicious") | (F.col("circle").isNull() & ~F.col("home") & F.coalesce("weak", F.lit(False)))
@@ -198,7 +197,7 @@ def without_taken_items(results: DataFrame, held: DataFrame) -> DataFrame:
     has = (F.col("result") == "matched") & (F.col("wikidata") != "")
     first = results.where(has).groupBy("wikidata").agg(F.min(F.struct("line", "row_id")).alias("first"))
     out = results.join(before, "wikidata", "left").join(first, "wikidata", "left")
-    holder = F.coalesce("before", F.when(F.col("first.row_id") != F.col("row_id"), F.col("first.row_id")))
+    holder = F.coalesce("before", F.when(F.col("first.line") != F.col("line"), F.col("first.row_id")))
     lost, bare = has & holder.isNotNull(), F.size("refs") == 0
     note = F.concat("wikidata", F.lit(" is taken by row "), holder)
     why = F.when(lost & ~bare, F.concat_ws("; ", F.nullif("why", F.lit("")), note)).when(lost, note).otherwise(F.col("why"))
@@ -224,7 +223,9 @@ def match_countries(rows: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def match(rows: DataFrame, objects: DataFrame, held: DataFrame | None = None, countries: DataFrame | None = None, sources: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (RESULT) for rows (row_id, line, kind, de, da, hint), distinct in row_id and line, and objects (src, t, id, lon, lat, tags).
+    """Rows (RESULT) for rows (row_id, line, kind, de, da, hint), distinct in line, and objects (src, t, id, lon, lat, tags).
+
+    A row_id that several lines have makes a row of each: rows are told apart by line and row_id.
 
     ``held`` (CLAIMS) is what other rows hold and ``countries`` (name, item) the items of
     rows that are found by item. ``sources`` gives the order of sources. Empty tables give an empty result; null cells count as
@@ -235,6 +236,8 @@ def match(rows: DataFrame, objects: DataFrame, held: DataFrame | None = None, co
     countries = spark.createDataFrame([], "name string, item string") if countries is None else countries
     rule = kinds.rule_of(F.col("kind"))
     of_kind = {c: F.coalesce(rule[c], F.lit(False)) for c in ("by_item", "home_only")}
+    rows = cut(rows.withColumn("name_id", F.col("row_id")).withColumn("row_id", F.concat_ws("/", "line", "row_id")), "match-list")
+    objects = listcheck.dealt(objects, "match-objects", kinds.marks(F.struct("t", "tags")).alias("marks"))
     index = cut(matching.name_index(objects), "name-index")
     circles = lookup.resolved_hints(rows, index, objects).select(F.col("hint").alias("__h"), F.struct("lon", "lat", "km").alias("circle"))
     full = cut(rows.join(circles, F.col("hint") == F.col("__h"), "left").drop("__h").withColumns({"named": F.size(query_names("de", "da")) > 0, **of_kind}), "match-rows")
@@ -243,19 +246,19 @@ def match(rows: DataFrame, objects: DataFrame, held: DataFrame | None = None, co
     groups = claims.conflict_groups(shared, "row_id", "thing").withColumnRenamed("row_id", "__r")
     waiting = cut(full.where("not by_item").join(groups, F.col("row_id") == F.col("__r"), "left").drop("__r").withColumn("conflict", F.coalesce("conflict", F.col("row_id"))), "match-waiting")
     things = cut(shared.distinct().join(waiting.select("row_id", "line", "conflict"), "row_id").select("thing", "line", "conflict"), "match-things")
-    done = match_countries(full.where("by_item"), countries)
+    done = match_countries(full.where("by_item").withColumn("row_id", F.col("name_id")), countries)
     taken = held
     while waiting.limit(1).count():
-        decided = cut(decide(waiting, found, taken).join(waiting.select("row_id", "conflict"), "row_id"), "match-pass")
+        decided = cut(decide(waiting, found, taken).join(waiting.select("row_id", "name_id", "conflict"), "row_id"), "match-pass")
         takes = decided.where("result = 'matched'").select("line", F.explode(F.transform("refs", lambda r: matching.ref_text(r["t"], r["id"]))).alias("thing"))
         first = takes.groupBy("thing").agg(F.min("line").alias("taken"))
         # From the first row of a group on that an earlier one takes something from, nothing is settled yet.
         ahead = decided.select("line", "conflict").join(things, ["line", "conflict"]).join(first, "thing").where(F.col("line") > F.col("taken"))
         stop = ahead.groupBy("conflict").agg(F.min("line").alias("stop"))
         settled = cut(decided.join(stop, "conflict", "left").where(F.col("stop").isNull() | (F.col("line") < F.col("stop"))).drop("stop"), "match-settled")
-        given = settled.where("result = 'matched'").select(F.explode("refs").alias("r"), F.lit(None).cast("string").alias("item"), F.col("row_id").alias("holder")).select("r.t", "r.id", "item", "holder", F.lit(True).alias("given"))
+        given = settled.where("result = 'matched'").select(F.explode("refs").alias("r"), F.lit(None).cast("string").alias("item"), F.col("name_id").alias("holder")).select("r.t", "r.id", "item", "holder", F.lit(True).alias("given"))
         taken = taken.unionByName(given)
         waiting = cut(waiting.join(settled.select("row_id"), "row_id", "left_anti"), "match-waiting")
         found = cut(found.join(waiting.select("row_id"), "row_id", "left_semi"), "match-found")
-        done = done.unionByName(settled.drop("conflict"))
+        done = done.unionByName(settled.withColumn("row_id", F.col("name_id")).drop("name_id", "conflict"))
     return without_taken_items(cut(done, "match-done"), held)
