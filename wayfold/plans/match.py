@@ -254,11 +254,15 @@ def match(rows: DataFrame, objects: DataFrame, held: DataFrame | None = None, co
         first = takes.groupBy("thing").agg(F.min("line").alias("taken"))
         # From the first row of a group on that an earlier one takes something from, nothing is settled yet.
         ahead = decided.select("line", "conflict").join(things, ["line", "conflict"]).join(first, "thing").where(F.col("line") > F.col("taken"))
-        stop = ahead.groupBy("conflict").agg(F.min("line").alias("stop"))
+        stop = cut(ahead.groupBy("conflict").agg(F.min("line").alias("stop")), "match-stop")
+        as_named = lambda df: df.withColumn("row_id", F.col("name_id")).drop("name_id", "conflict")
+        if stop.isEmpty():
+            done = done.unionByName(as_named(decided))
+            break
         settled = cut(decided.join(stop, "conflict", "left").where(F.col("stop").isNull() | (F.col("line") < F.col("stop"))).drop("stop"), "match-settled")
         given = settled.where("result = 'matched'").select(F.explode("refs").alias("r"), F.lit(None).cast("string").alias("item"), F.col("name_id").alias("holder")).select("r.t", "r.id", "item", "holder", F.lit(True).alias("given"))
         taken = taken.unionByName(given)
         waiting = cut(waiting.join(settled.select("row_id"), "row_id", "left_anti"), "match-waiting")
         found = cut(found.join(waiting.select("row_id"), "row_id", "left_semi"), "match-found")
-        done = done.unionByName(settled.withColumn("row_id", F.col("name_id")).drop("name_id", "conflict"))
+        done = done.unionByName(as_named(settled))
     return without_taken_items(cut(done, "match-done"), held)
