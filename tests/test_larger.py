@@ -1,5 +1,6 @@
 """Queries on keys and shapes that the given tables reach only in larger copies, held against their SQL."""
 
+import random
 import time
 
 import duckdb
@@ -100,3 +101,68 @@ def test_letters_of_the_first_block_are_not_split(spark):
     # Only what is left without the first block's letters is split.
     assert "split(regexp_replace(" in found._jdf.queryExecution().analyzed().toString()
     assert found.collect() == [("0-255", "0")]
+
+
+def canonical(rows):
+    """Polygons as sets of rings, however they are numbered."""
+    by = {}
+    for r in rows:
+        by.setdefault((r.tag, r.polygon), []).append((r.hole > 0, tuple(r.ring), tuple((p.lon, p.lat) for p in r.points), r.doubled))
+    assert all([h for h, *_ in sorted(v)].count(False) == 1 for v in by.values())
+    return sorted((k[0], sorted(v)) for k, v in by.items())
+
+
+@pytest.mark.parametrize("dense", [0.3, 0.62, 0.9])
+def test_areas_traced_by_strips_equal_those_traced_whole(spark, monkeypatch, dense):
+    """Before, all edges of a key were traced in one task, which at 6 GB took more memory than an executor has."""
+    rng, side = random.Random(dense), 60
+    corner = lambda x, y: y * 1000 + x
+    cells = [(x, y) for x in range(side) for y in range(side) if rng.random() < dense]
+    ways = [(f"{x},{y}", "outer", 0, [corner(x, y), corner(x + 1, y), corner(x + 1, y + 1), corner(x, y + 1), corner(x, y)]) for x, y in cells]
+    groups = [(w[0], "small" if k % 40 == 0 else "large") for k, w in enumerate(ways)]
+    nodes = spark.createDataFrame([(corner(x, y), float(x), float(y)) for x in range(side + 1) for y in range(side + 1)], "id long, lon double, lat double")
+    given = spark.createDataFrame(ways, "area string, role string, place int, nodes array<long>"), nodes, spark.createDataFrame(groups, "area string, tag string")
+    whole = areas.dissolved(*given).collect()
+    monkeypatch.setattr(areas, "STRIP_EDGES", 900)
+    monkeypatch.setattr(areas, "CUT_NODES", 30)
+    got = areas.dissolved(*given).collect()
+    assert canonical(got) == canonical(whole)
+    numbers = {(r.tag, r.polygon, r.hole) for r in got}
+    for tag in ("small", "large"):
+        polygons = {p for t, p, _ in numbers if t == tag}
+        assert polygons == set(range(len(polygons)))
+        assert all({h for t, q, h in numbers if t == tag and q == p} == set(range(sum(1 for t, q, _ in numbers if t == tag and q == p))) for p in polygons)
+
+
+def test_no_task_gets_all_edges_of_a_key(spark, monkeypatch):
+    monkeypatch.setattr(areas, "STRIP_EDGES", 200)
+    monkeypatch.setattr(areas, "CUT_NODES", 20)
+    edges = spark.range(4000).selectExpr("'a' AS tag", "id AS u", "(id + 1) % 4000 AS v", "0D AS x1", "CAST(id AS DOUBLE) AS y1", "0D AS x2", "CAST((id + 1) % 4000 AS DOUBLE) AS y2")
+    strips = {r.strip: r.n for r in areas._in_strips(edges, "tag").groupBy("strip").agg(F.count("*").alias("n")).collect()}
+    assert len(strips) > 10 and max(strips.values()) < 600
+
+
+def test_many_points_in_a_ring_at_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    at = np.linspace(0, 2 * np.pi, 300, endpoint=False)
+    ring = np.column_stack([np.cos(at), np.sin(at)]) * rng.uniform(0.4, 1, 300)[:, None]
+    ring = np.concatenate([ring, ring[:1]])
+    x, y = rng.uniform(-1, 1, 2000), np.round(rng.uniform(-1, 1, 2000), 2)
+    y[:50] = ring[:50, 1]
+    monkeypatch.setattr(areas, "MOST_POINTS", 3)
+    assert areas._which_inside(x, y, ring).tolist() == [areas._inside(*p, ring) for p in zip(x.tolist(), y.tolist(), strict=True)]
+
+
+@pytest.fixture
+def strips(monkeypatch):
+    """Areas of over 200 edges are traced by strips; the strips of each key, as they come."""
+    seen, in_strips = [], areas._in_strips
+    monkeypatch.setattr(areas, "STRIP_EDGES", 200)
+    monkeypatch.setattr(areas, "CUT_NODES", 20)
+    monkeypatch.setattr(areas, "_in_strips", lambda *a: seen.append(in_strips(*a)) or seen[-1])
+    return lambda: {r.tag: r.n for r in seen[-1].groupBy("tag").agg(F.countDistinct("strip").alias("n")).collect()}
+
+
+def test_areas_are_simplified_by_strips(same, strips):
+    assert same("area_simplified", customer=TWINS)
+    assert strips()["V"] > 3
