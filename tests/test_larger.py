@@ -166,3 +166,9 @@ def strips(monkeypatch):
 def test_areas_are_simplified_by_strips(same, strips):
     assert same("area_simplified", customer=TWINS)
     assert strips()["V"] > 3
+
+
+def test_inside_points_by_strips(same, strips):
+    """Before, the edges of the largest area were all in one task."""
+    assert same("inside_points", customer=TWINS)
+    assert strips()["V"] > 3
