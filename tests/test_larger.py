@@ -172,3 +172,33 @@ def test_inside_points_by_strips(same, strips):
     """Before, the edges of the largest area were all in one task."""
     assert same("inside_points", customer=TWINS)
     assert strips()["V"] > 3
+
+
+def boxes(spark, n):
+    """Squares of many sizes as rings."""
+    rows = []
+    for k in range(n):
+        x, y, a = 8 + k % 20 / 10, 54 + k // 20 / 10, 0.08 / (1 + k % 7)
+        rows.append(("ab"[k % 2], k, 0, [(x, y), (x + a, y), (x + a, y + a), (x, y + a), (x, y)], 2 * a * a))
+    return spark.createDataFrame(rows, "tag string, polygon int, hole int, points array<struct<lon:double,lat:double>>, doubled double")
+
+
+def test_areas_of_few_edges_have_four_cells_at_most(spark):
+    """Before, Python made up to twelve for a square, which at 6 GB are millions of areas."""
+    rings = boxes(spark, 200)
+    assert covering.covering(rings).groupBy("tag", "polygon").count().agg(F.max("count"), F.count("*")).first() == (4, 200)
+    rng = random.Random(8)
+    points = [(k, 8 + rng.random() * 2, 54 + rng.random()) for k in range(2000)] + [(5000, 8.0, 54.0), (5001, 8.08, 54.04), (5002, 180.0, 90.0)]
+    want = {(p[0], r.polygon) for r in rings.collect() for p in points if r.points[0].lon <= p[1] <= r.points[2].lon and r.points[0].lat <= p[2] <= r.points[2].lat}
+    got = covering.covered_by(spark.createDataFrame(points, "k int, lon double, lat double"), rings, ["k"])
+    assert {(r.k, r.polygon) for r in got.collect()} == want and len(want) > 200
+
+
+def test_a_position_is_looked_up_once(spark, monkeypatch):
+    seen, smallest = [], covering.smallest
+    monkeypatch.setattr(covering, "smallest", lambda points, *a: seen.append(points) or smallest(points, *a))
+    rows = [(k, 8.01 + k % 3 / 10, 54.01, 8.11 if k % 2 else None, 54.01 if k % 2 else None, 6 if k % 5 == 0 else None) for k in range(300)] + [(900, None, None, 8.01, 54.01, None), (901, 1.0, 1.0, None, None, 8)]
+    objects = spark.createDataFrame(rows, "k int, lon double, lat double, lon2 double, lat2 double, admin_level int")
+    got = {r.k: r.tag for r in covering.variety_of(objects, boxes(spark, 20), ["k"]).collect()}
+    assert got == {k: None if k % 5 == 0 else "aba"[k % 3] for k in range(300)} | {900: "a", 901: None}
+    assert seen[0].count() == 4

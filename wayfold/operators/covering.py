@@ -1,8 +1,9 @@
 """Which area covers a point, over quadtree cells of several sizes.
 
-Each polygon is covered by a bounded number of cells. A cell that no edge touches lies wholly
-inside, so a point in it needs no test; only points in cells at a border are held against the
-polygon's edges, holes included. A point looks up one cell for each size.
+A polygon of few edges is in the up to four cells that its box meets in a grid whose cells are
+about as large as the box. One of more edges is covered by a bounded number of quadtree cells: a cell
+that no edge touches lies wholly inside, so a point in it needs no test. All other points are held
+against the polygon's edges, holes included. A point looks up one cell for each size.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 
 #: Cells of a polygon at most (four at least, and no more than its edges and eight), and halvings of the world after which no cell is cut.
 MOST_CELLS, DEEPEST = 256, 24
+#: Edges of a polygon that has no quadtree cells of its own; the least size of grid cells, as a power of two of the mean box, and what tells its sizes from quadtree levels.
+FEW_EDGES, LEAST_GRID, GRIDS = 64, -8, 128
 #: Fixed value: the level of municipalities; areas above it have no variety of their own.
 MUNICIPALITY_LEVEL = 8
-CELLS = "polygon int, level int, cell long, full boolean, west double, south double, east double, north double"
+CELLS = "polygon int, level int, cell long, full boolean, west double, south double, east double, north double, size double, wide double, high double"
 
 
 def _touching(edges: np.ndarray, west: float, south: float, east: float, north: float) -> np.ndarray:
@@ -71,19 +74,39 @@ def cells_of(edges: np.ndarray, most: int = MOST_CELLS, deepest: int = DEEPEST)
 
 
 def covering(rings: DataFrame, key: str = "tag", most: int = MOST_CELLS) -> DataFrame:
-    """Rows (key, polygon, level, cell, full, west, south, east, north: the box of the polygon) that cover each polygon of ``rings`` (see ``areas.polygons``): ``most`` cells a polygon, four at least."""
+    """Rows (key, polygon, level, cell, full, west, south, east, north: the box of the polygon, size: twice its area, wide, high: of the cell) that cover each polygon of ``rings`` (see ``areas.polygons``).
+
+    A polygon of FEW_EDGES at most has four cells at most, another ``most``, four at least.
+    """
+    return _cover(with_edges(rings, key), key, most)
+
+
+def _cover(whole: DataFrame, key: str, most: int = MOST_CELLS) -> DataFrame:
+    """``covering`` of polygons with their edges (see ``with_edges``)."""
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for tag, polygon, *ends in zip(*(pdf[c] for c in (key, "polygon", "x1", "y1", "x2", "y2")), strict=True):
+            for tag, polygon, size, *ends in zip(*(pdf[c] for c in (key, "polygon", "size", "x1", "y1", "x2", "y2")), strict=True):
                 edges = np.column_stack(ends)
                 box = (*edges[:, :2].min(axis=0).tolist(), *edges[:, :2].max(axis=0).tolist())
-                rows += [(tag, polygon, level, (i << 32) + j, full, *box) for level, i, j, full in cells_of(edges, most)]
-            yield pd.DataFrame(rows, columns=[key, "polygon", "level", "cell", "full", "west", "south", "east", "north"])
-
-    whole = with_edges(rings, key).select(key, "polygon", *[F.col(f"edges.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
-    return whole.mapInPandas(run, f"{key} {dict(rings.dtypes)[key]}, {CELLS}")
+                rows += [(tag, polygon, level, (i << 32) + j, full, *box, size, 360.0 / 2**level, 180.0 / 2**level) for level, i, j, full in cells_of(edges, most)]
+            yield pd.DataFrame(rows, columns=columns)
+
+    columns = [key, "polygon", *[c.split()[0] for c in CELLS.split(", ")[1:]]]
+    many = F.size("edges") > FEW_EDGES
+    cut_up = whole.where(many).select(key, "polygon", "size", *[F.col(f"edges.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    cells = cut_up.mapInPandas(run, f"{key} {dict(whole.dtypes)[key]}, {CELLS}")
+    # Edges make closed rings, so their first ends are all corners.
+    box = {c: f(F.col(f"edges.{end}")) for c, f, end in (("west", F.array_min, "x1"), ("south", F.array_min, "y1"), ("east", F.array_max, "x1"), ("north", F.array_max, "y1"))}
+    few = whole.where(~many).select(key, "polygon", "size", *[c.alias(n) for n, c in box.items()])
+    wide, high = (x or 1.0 for x in few.agg(F.avg(F.col("east") - F.col("west")), F.avg(F.col("north") - F.col("south"))).first())
+    part = F.greatest((F.col("east") - F.col("west")) / wide, (F.col("north") - F.col("south")) / high, F.lit(2.0**LEAST_GRID))
+    few = few.withColumn("step", F.ceil(F.log2(part)).cast("int"))
+    few = few.withColumns({"level": F.col("step") + GRIDS, "full": F.lit(False), "wide": F.lit(wide) * F.pow(F.lit(2.0), "step"), "high": F.lit(high) * F.pow(F.lit(2.0), "step")})
+    span = lambda low, high, size, start: F.explode(F.sequence(_place(F.col(low), F.col(size), start), _place(F.col(high), F.col(size), start)))
+    few = few.withColumn("i", span("west", "east", "wide", -180.0)).withColumn("j", span("south", "north", "high", -90.0)).withColumn("cell", _packed(F.col("i"), F.col("j")))
+    return cells.unionByName(few.select(*columns))
 
 
 def with_edges(rings: DataFrame, key: str) -> DataFrame:
@@ -93,10 +116,19 @@ def with_edges(rings: DataFrame, key: str) -> DataFrame:
     return rings.groupBy(key, "polygon").agg(F.flatten(F.collect_list(edges)).alias("edges"), F.sum("doubled").alias("size"))
 
 
-def _cell(lon: Column, lat: Column, level: Column) -> Column:
-    n = F.pow(F.lit(2.0), level)
-    at = lambda x, low, span: F.least(F.floor((x - low) / (F.lit(span) / n)), n - 1).cast("long")
-    return F.shiftleft(at(lon, -180.0, 360.0), 32) + at(lat, -90.0, 180.0)
+def _place(x: Column, size: Column, start: float) -> Column:
+    return F.floor((x - start) / size).cast("long")
+
+
+def _packed(i: Column, j: Column) -> Column:
+    return F.shiftleft(i, 32).bitwiseXOR(j)
+
+
+def _cell(lon: Column, lat: Column, level: Column, wide: Column, high: Column) -> Column:
+    """The cell of a point; the map's eastern and northern borders are in the last quadtree cells."""
+    last = F.when(level < GRIDS, F.call_function("shiftleft", F.lit(1).cast("long"), F.least(level, F.lit(DEEPEST + 1))) - 1)
+    at = lambda x, size, start: F.least(_place(x, size, start), last)
+    return _packed(at(lon, wide, -180.0), at(lat, high, -90.0))
 
 
 def _inside(edges: Column, x: Column, y: Column) -> Column:
@@ -109,22 +141,25 @@ def _inside(edges: Column, x: Column, y: Column) -> Column:
     return F.aggregate(level, F.lit(0).cast("long"), lambda s, e: F.when(on(e), s - (1 << 40)).when(crossed(e), s + 1).otherwise(s), lambda s: (s < 0) | (s % 2 == 1))
 
 
-def covered_by(points: DataFrame, rings: DataFrame, keys: list[str], tag: str = "tag", cover: DataFrame | None = None) -> DataFrame:
+def covered_by(points: DataFrame, rings: DataFrame, keys: list[str], tag: str = "tag", cover: DataFrame | None = None, whole: DataFrame | None = None) -> DataFrame:
     """Rows (keys, tag, polygon, size) of points (keys, lon, lat) and the polygons that cover them, edges included."""
-    cover = covering(rings, tag) if cover is None else cover
-    levels = [r["level"] for r in cover.select("level").distinct().collect()]
-    at = points.where("lon IS NOT NULL AND lat IS NOT NULL").select(*keys, "lon", "lat", F.explode(F.array(*[F.lit(x) for x in sorted(levels)]).cast("array<int>")).alias("level"))
-    hits = at.withColumn("cell", _cell(F.col("lon"), F.col("lat"), F.col("level"))).join(cover, ["level", "cell"]).where("lon BETWEEN west AND east AND lat BETWEEN south AND north")
-    whole = with_edges(rings, tag)
-    sizes = whole.select(tag, "polygon", "size")
-    sure = hits.where("full").select(*keys, tag, "polygon").join(sizes, [tag, "polygon"])
-    tested = hits.where("NOT full").join(whole, [tag, "polygon"]).where(_inside(F.col("edges"), F.col("lon"), F.col("lat")))
-    return sure.select(*keys, tag, "polygon", "size").unionByName(tested.select(*keys, tag, "polygon", "size"))
-
-
-def smallest(points: DataFrame, rings: DataFrame, keys: list[str], tag: str = "tag", cover: DataFrame | None = None) -> DataFrame:
+    whole = with_edges(rings, tag) if whole is None else whole
+    cover = _cover(whole, tag) if cover is None else cover
+    levels = [F.struct(F.lit(level).cast("int").alias("level"), F.lit(wide).cast("double").alias("wide"), F.lit(high).cast("double").alias("high")) for level, wide, high in sorted(cover.select("level", "wide", "high").distinct().collect())]
+    if not levels:
+        levels = [F.lit(None).cast("struct<level:int,wide:double,high:double>")]
+    own = [*keys, *[c for c in ("lon", "lat") if c not in keys]]
+    at = points.where("lon IS NOT NULL AND lat IS NOT NULL").select(*own, F.explode(F.array(*levels)).alias("s"))
+    at = at.select(*own, "s.level", _cell(F.col("lon"), F.col("lat"), F.col("s.level"), F.col("s.wide"), F.col("s.high")).alias("cell"))
+    hits = at.join(cover.drop("wide", "high"), ["level", "cell"]).where("lon BETWEEN west AND east AND lat BETWEEN south AND north")
+    sure = hits.where("full").select(*keys, tag, "polygon", "size")
+    tested = hits.where("NOT full").drop("size").join(whole, [tag, "polygon"]).where(_inside(F.col("edges"), F.col("lon"), F.col("lat")))
+    return sure.unionByName(tested.select(*keys, tag, "polygon", "size"))
+
+
+def smallest(points: DataFrame, rings: DataFrame, keys: list[str], tag: str = "tag", cover: DataFrame | None = None, whole: DataFrame | None = None) -> DataFrame:
     """Rows (keys, tag) of points that some polygon covers: the tag of the smallest; equal sizes go by tag."""
-    found = covered_by(points, rings, keys, tag, cover)
+    found = covered_by(points, rings, keys, tag, cover, whole)
     first = F.row_number().over(Window.partitionBy(*keys).orderBy("size", tag))
     return found.withColumn("__n", first).where("__n = 1").select(*keys, tag)
 
@@ -133,13 +168,21 @@ def variety_of(objects: DataFrame, rings: DataFrame, keys: list[str], tag: str =
     """``objects`` (keys, lon, lat, lon2, lat2, admin_level) with ``tag``: of the area around the point, else of that around the outline point.
 
     An administrative area above municipality level has none; an unknown level is no reason.
+    A position is looked up once, however many objects are there.
     """
     from ..sources.tables import cut
 
-    rings = cut(rings, "area-rings")
-    cover = cut(covering(rings, tag), "area-cells")
-    able = objects.where(F.coalesce("admin_level", F.lit(MUNICIPALITY_LEVEL)) >= MUNICIPALITY_LEVEL)
-    both = able.select(*keys, F.explode(F.array(F.struct(F.lit(1).alias("which"), F.col("lon").alias("x"), F.col("lat").alias("y")), F.struct(F.lit(2).alias("which"), F.col("lon2").alias("x"), F.col("lat2").alias("y")))).alias("p"))
-    got = smallest(both.select(*keys, "p.which", F.col("p.x").alias("lon"), F.col("p.y").alias("lat")), rings, [*keys, "which"], tag, cover)
-    first = got.groupBy(*keys).agg(F.min_by(tag, "which").alias(tag))
-    return objects.join(first, keys, "left")
+    whole = cut(with_edges(rings, tag), "area-edges")
+    cover = cut(_cover(whole, tag), "area-cells")
+    able = F.coalesce("admin_level", F.lit(MUNICIPALITY_LEVEL)) >= MUNICIPALITY_LEVEL
+    both = F.array(*[F.struct(F.col(x).cast("double").alias("lon"), F.col(y).cast("double").alias("lat")) for x, y in (("lon", "lat"), ("lon2", "lat2"))])
+    spots = objects.where(able).select(F.explode(both).alias("p")).select("p.*").where("lon IS NOT NULL AND lat IS NOT NULL").distinct()
+    found = cut(smallest(spots, rings, ["lon", "lat"], tag, cover, whole), "area-spots")
+    out = objects
+    for n, x, y in ((1, "lon", "lat"), (2, "lon2", "lat2")):
+        # What has no position is dealt out by its key: it meets nothing, as there is no such longitude.
+        nowhere = F.pmod(F.xxhash64(*keys), F.lit(1 << 20)) + F.lit(1000.0)
+        there = able & F.col(x).isNotNull() & F.col(y).isNotNull()
+        out = out.withColumns({f"__x{n}": F.when(there, F.col(x).cast("double")).otherwise(nowhere), f"__y{n}": F.when(there, F.col(y).cast("double")).otherwise(0.0)})
+        out = out.join(found.select(F.col("lon").alias(f"__x{n}"), F.col("lat").alias(f"__y{n}"), F.col(tag).alias(f"__tag{n}")), [f"__x{n}", f"__y{n}"], "left")
+    return out.select(*objects.columns, F.coalesce("__tag1", "__tag2").alias(tag))
