@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_queries import rows
-from wayfold.operators import areas, covering
+from wayfold.operators import areas, covering, tagging
+from wayfold.operators.naming import Variety
 from wayfold.plans import area_queries, check_queries, list_queries, schema_queries, search_queries, small_queries, tile_queries  # noqa: F401  register their queries
 from wayfold.plans import queries as plans
 
@@ -202,3 +203,34 @@ def test_a_position_is_looked_up_once(spark, monkeypatch):
     got = {r.k: r.tag for r in covering.variety_of(objects, boxes(spark, 20), ["k"]).collect()}
     assert got == {k: None if k % 5 == 0 else "aba"[k % 3] for k in range(300)} | {900: "a", 901: None}
     assert seen[0].count() == 4
+
+
+def test_only_objects_with_a_local_name_are_looked_up(spark, monkeypatch):
+    """Before, all named objects were, and they were held against each other's lists again for each use."""
+    seen, variety_of = [], tagging.variety_of
+    monkeypatch.setattr(tagging, "variety_of", lambda objects, *a: seen.append(objects) or variety_of(objects, *a))
+    rows = [("n", k, 8.01, 54.01, None, None, None, "F" if k % 4 == 0 else ("" if k % 4 == 1 else None), "S" if k % 6 == 0 else None) for k in range(60)]
+    objects = spark.createDataFrame(rows, "t string, id long, lon double, lat double, lon2 double, lat2 double, admin_level int, name_frr string, name_nds string")
+    named, held = objects.select("t", "id").where("id < 40").union(objects.select("t", "id").where("id = 4")), objects.select("t", "id").where("id % 8 = 0")
+    got = tagging.local_names(named, held, objects, boxes(spark, 1), [Variety("a", "one", "frr")])
+    assert sorted(r.id for r in got.collect()) == [k for k in range(40) if k % 4 == 0 and k % 8]
+    assert {r.id for r in seen[0].collect()} == {k for k in range(60) if k % 4 == 0 or k % 6 == 0}
+    assert "Join" not in seen[0]._jdf.queryExecution().analyzed().toString()
+
+
+#: Cells of the three segments that have a language, and of another; orders in and around them.
+SPOKEN = {
+    "customer": "SELECT k AS c_custkey, ['BUILDING', 'MACHINERY', 'FURNITURE', 'HOUSEHOLD'][1 + (k * 7919 // 7) % 4] AS c_mktsegment FROM range(1200) r(k)",
+    "orders": "SELECT k AS o_orderkey, k % 1200 AS o_custkey FROM range(0, 30000, 13) r(k)",
+}
+
+
+def test_local_names_by_strips(same, strips):
+    assert same("osm_local_names", **SPOKEN)
+    assert min(strips().values()) > 3
+
+
+def test_added_tags_by_strips(same, strips):
+    """Before, each segment's area was one task's, and its cells were made by Python one area at a time."""
+    assert same("added_tags", **SPOKEN)
+    assert min(strips().values()) > 3

@@ -16,10 +16,12 @@ def local_names(named: DataFrame, held: DataFrame, objects: DataFrame, rings: Da
     ``objects`` are located (t, id, lon, lat, lon2, lat2, admin_level, name_frr, name_nds). What
     is not located, outside all areas, or without such a name gets nothing.
     """
-    free = named.select("t", "id").distinct().join(held.select("t", "id"), ["t", "id"], "left_anti")
-    there = objects.join(free, ["t", "id"], "left_semi")
-    got = variety_of(there, rings, ["t", "id"])
-    return got.select("t", "id", unclaimed_tags(F.col("tag"), varieties).alias("added")).where(F.size("added") > 0)
+    # Few objects have such a name: only they are looked up, and only what lies in an area is held against the rows.
+    able = objects.where("coalesce(name_frr, '') != '' OR coalesce(name_nds, '') != ''")
+    added = lambda: unclaimed_tags(F.col("tag"), varieties)
+    got = variety_of(able, rings, ["t", "id"]).select("t", "id", "tag", "name_frr", "name_nds").where(F.size(added()) > 0)
+    free = got.join(named.select("t", "id"), ["t", "id"], "left_semi").join(held.select("t", "id"), ["t", "id"], "left_anti")
+    return free.select("t", "id", added().alias("added"))
 
 
 def added_tags(objects: DataFrame, claimed: DataFrame, local: DataFrame, tuned: DataFrame) -> DataFrame:
