@@ -243,10 +243,10 @@ def _by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         stack = lambda cols: np.column_stack([col(c).to_numpy(zero_copy_only=False) for c in cols])
         parts = stack(_NODES), stack(_ENDS), stack(("out1", "out2"))
         runs = [pc.run_end_encode(col(k)) for k in keys]
-        stops = sorted({e for r in runs for e in r.run_ends.to_pylist()})
-        values = [[r.values[int(i)].as_py() for i in np.searchsorted(r.run_ends.to_numpy(), stops)] for r in runs]
+        stops = np.unique(np.concatenate([r.run_ends.to_numpy() for r in runs]))
+        values = [r.values.take(pa.array(np.searchsorted(r.run_ends.to_numpy(), stops))).to_pylist() for r in runs]
         start = 0
-        for k, end in zip(zip(*values, strict=True), stops, strict=True):
+        for k, end in zip(zip(*values, strict=True), stops.tolist(), strict=True):
             if held and k != now:
                 yield now, *(np.concatenate(x) for x in zip(*held, strict=True))
                 held = []
