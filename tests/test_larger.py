@@ -234,3 +234,10 @@ def test_added_tags_by_strips(same, strips):
     """Before, each segment's area was one task's, and its cells were made by Python one area at a time."""
     assert same("added_tags", **SPOKEN)
     assert min(strips().values()) > 3
+
+
+def test_nodes_and_groups_are_not_sent_to_all_tasks(spark):
+    """Before, they were broadcast by the size of the file they come from: at 360 times sf0.1 the driver's memory did not hold them."""
+    ways = spark.range(10).selectExpr("id AS area", "'outer' AS role", "0 AS place", "array(id, id + 1, id + 2, id) AS nodes")
+    nodes, groups = spark.range(20).selectExpr("id", "CAST(id AS DOUBLE) AS lon", "CAST(id * id AS DOUBLE) AS lat"), spark.range(10).selectExpr("id AS area", "'a' AS tag")
+    assert "Broadcast" not in areas.dissolved(ways, nodes, groups)._jdf.queryExecution().executedPlan().toString()

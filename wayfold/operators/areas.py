@@ -35,7 +35,8 @@ def directed_edges(ways: DataFrame, nodes: DataFrame, key: str = "area") -> Data
     parts = ways.select(F.col(key).alias("area"), "role", F.col("place").alias("role_place"), "nodes")
     rings = assembled(parts, ["area", "role"]).where("closed").withColumn("ring_id", F.xxhash64("area", "role", "ring"))
     steps = rings.select("area", "role", "ring_id", F.posexplode(F.arrays_zip(F.slice("ring", F.lit(1), F.size("ring") - 1).alias("u"), F.slice("ring", F.lit(2), F.size("ring") - 1).alias("v"))).alias("place", "e"))
-    ends = lambda i: nodes.select(F.col("id").alias("u" if i == 1 else "v"), F.col("lon").alias(f"x{i}"), F.col("lat").alias(f"y{i}"))
+    # Nodes are many more than the size of what they are made from may tell: they are not sent to all tasks.
+    ends = lambda i: nodes.select(F.col("id").alias("u" if i == 1 else "v"), F.col("lon").alias(f"x{i}"), F.col("lat").alias(f"y{i}")).hint("merge")
     whole = Window.partitionBy("area", "role", "ring_id")
     at = steps.select("area", "role", "ring_id", "e.u", "e.v").join(ends(1), "u", "left").join(ends(2), "v", "left")
     at = at.where(F.col("u") != F.col("v")).withColumns({"lost": F.count(F.when(F.col("x1").isNull() | F.col("x2").isNull(), 1)).over(whole), "turn": F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")).over(whole)}).where("lost = 0 AND turn != 0")
@@ -499,8 +500,10 @@ def of_ways(ways: DataFrame, nodes: DataFrame, key: str = "area") -> DataFrame:
 
 def dissolved(ways: DataFrame, nodes: DataFrame, groups: DataFrame, key: str = "area", group: str = "tag") -> DataFrame:
     """The polygons of each group of areas as one: ``groups`` has (key, group). Borders within a group go, as do areas listed twice."""
+    # Groups are as many as areas; by the size of their file they may look small enough to be sent to all tasks.
+    groups = groups.hint("merge")
     edges = boundary(directed_edges(ways, nodes, key), key).join(groups, key)
-    return polygons(boundary(edges, group), group, _large(ways.join(groups, key), group))
+    return polygons(boundary(edges, group), group, _large(ways.select(key, "nodes").join(groups, key), group))
 
 
 def junctions(rings: DataFrame, key: str) -> DataFrame:
